@@ -14,6 +14,79 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _listing(pages: DataFrame) -> DataFrame:
+    """Dated list entries for the hosts of the pages: the tables have no list of their own.
+
+    By the MD5 of a host: those that begin with 0-3 are blocked from a day of 2024 on, 0 and 1 of them only for 200
+    days; 4 and 5 have their /fr pages blocked and 6 are allowed. The domain example.org is blocked, allowed for a
+    while, and let go.
+    """
+    from .url_filters import url_host
+
+    hosts = pages.select(url_host(F.col("url")).alias("host")).filter("host <> ''").distinct().withColumn("h", F.md5("host"))
+    sign, day = F.substring("h", 1, 1), F.conv(F.substring("h", 2, 2), 16, 10).cast("int")
+    on = F.date_add(F.lit("2024-01-01").cast("date"), day)
+    make = lambda kind, value, action, at: F.struct(F.lit(kind).alias("kind"), value.alias("value"), F.lit(action).alias("action"), at.alias("listed_on"))
+    of = F.array_compact(F.array(
+        F.when(sign.isin(*"0123"), make("domain", F.col("host"), "block", on)), F.when(sign.isin(*"01"), make("domain", F.col("host"), "remove", F.date_add(on, 200))),
+        F.when(sign.isin(*"45"), make("prefix", F.concat("host", F.lit("/fr")), "block", on)), F.when(sign == "6", make("domain", F.col("host"), "allow", on)),
+    ))
+    spark = pages.sparkSession
+    fixed = spark.sql("SELECT * FROM VALUES ('domain', 'example.org', 'block', DATE '2024-03-01'), ('domain', 'example.org', 'allow', DATE '2024-09-01'), ('domain', 'example.org', 'remove', DATE '2025-02-01') AS t(kind, value, action, listed_on)")
+    return hosts.select(F.explode(of).alias("e")).select("e.*").unionByName(fixed)
+
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's URL against the listing; a page counts as fetched on day page_id % 600 from 2024-01-01 on."""
+    from .url_filters import url_filter
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    captures = pages.withColumn("fetched_on", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 600).cast("int")))
+    out = url_filter(captures, _listing(pages))
+    return out.select("page_id", "url", "fetched_on", "host", "n_active", "decision", "matched_kind", "matched_value", "valid_from", "valid_to")
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import round_trip
+
+    got = round_trip(table(spark, sf_dir, "pages")).filter("kind = 'record'")
+    number = lambda c: F.when(F.col(c) != "null", F.col(c)).cast("long")
+    return got.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
+
+
+OP1_SQL = r"""
+WITH u AS (SELECT page_id, url, DATE '2024-01-01' + CAST(page_id % 600 AS INTEGER) AS fetched_on,
+                  regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1) AS host,
+                  regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+h AS (SELECT DISTINCT host, md5(host) AS h FROM u WHERE host <> ''),
+d AS (SELECT host, substr(h, 1, 1) AS sign, DATE '2024-01-01' + CAST('0x' || substr(h, 2, 2) AS INTEGER) AS since FROM h),
+e AS (SELECT 'domain' AS kind, host AS value, 'block' AS action, since FROM d WHERE sign IN ('0', '1', '2', '3')
+      UNION ALL SELECT 'domain', host, 'remove', since + 200 FROM d WHERE sign IN ('0', '1')
+      UNION ALL SELECT 'prefix', host || '/fr', 'block', since FROM d WHERE sign IN ('4', '5')
+      UNION ALL SELECT 'domain', host, 'allow', since FROM d WHERE sign = '6'
+      UNION ALL SELECT 'domain', 'example.org', 'block', DATE '2024-03-01'
+      UNION ALL SELECT 'domain', 'example.org', 'allow', DATE '2024-09-01'
+      UNION ALL SELECT 'domain', 'example.org', 'remove', DATE '2025-02-01'),
+i AS (SELECT *, lead(since) OVER (PARTITION BY kind, value ORDER BY since) AS until FROM e),
+m AS (SELECT u.page_id, i.*, CASE WHEN kind = 'prefix' THEN 900000 ELSE len(string_split(value, '.')) END AS rank
+      FROM u JOIN i ON i.action <> 'remove' AND i.since <= u.fetched_on AND (i.until IS NULL OR u.fetched_on < i.until)
+       AND ((i.kind = 'domain' AND (u.host = i.value OR ends_with(u.host, '.' || i.value)))
+         OR (i.kind = 'prefix' AND u.host || regexp_extract(u.path, '^(/[^/]*)', 1) = i.value))
+      WHERE u.host <> ''),
+b AS (SELECT *, count(*) OVER (PARTITION BY page_id) AS n, row_number() OVER (PARTITION BY page_id ORDER BY rank DESC, kind DESC, value DESC) AS k FROM m)
+SELECT u.page_id, u.url, u.fetched_on, nullif(u.host, '') AS host, coalesce(b.n, 0) AS n_active, coalesce(b.action, 'none') AS decision,
+       b.kind AS matched_kind, b.value AS matched_value, b.since AS valid_from, b.until AS valid_to
+FROM u LEFT JOIN b ON u.page_id = b.page_id AND b.k = 1
+"""
+
+OP5_SQL = r"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS h FROM pages),
+q AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, n AS payload_bytes, h AS payload_digest, CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to FROM q
+"""
+
+
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_duplicates
 
@@ -46,5 +119,5 @@ SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION B
 FROM d WINDOW w AS (PARTITION BY h ORDER BY n DESC, doc_id)
 """
 
-QUERIES = {"op2_minhash": op2_minhash, "op3_packing": op3_packing, "op4_exact_dedup": op4_exact_dedup, "op8_token_counts": op8_token_counts}
-ORACLES = {"op4_exact_dedup": OP4_SQL}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_minhash, op3_packing, op4_exact_dedup, op5_warc, op8_token_counts)}
+ORACLES = {"op1_url_filters": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op5_warc": OP5_SQL}
