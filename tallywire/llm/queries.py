@@ -54,6 +54,18 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import perplexity_verdicts
+
+    return perplexity_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 OP1_SQL = r"""
 WITH u AS (SELECT page_id, url, DATE '2024-01-01' + CAST(page_id % 600 AS INTEGER) AS fetched_on,
                   regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1) AS host,
@@ -119,5 +131,5 @@ SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION B
 FROM d WINDOW w AS (PARTITION BY h ORDER BY n DESC, doc_id)
 """
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_minhash, op3_packing, op4_exact_dedup, op5_warc, op8_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_minhash, op3_packing, op4_exact_dedup, op5_warc, op8_token_counts, op9_quality, op10_decontamination)}
 ORACLES = {"op1_url_filters": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op5_warc": OP5_SQL}
