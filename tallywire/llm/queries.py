@@ -118,6 +118,21 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import KINDS, personal_data
+
+    got = personal_data(table(spark, sf_dir, "documents"))
+    line = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x.kind, x.start.cast("string"), x.end.cast("string"))), ",")
+    count = lambda k: F.size(F.filter("base", lambda x: x.kind == k)).cast("long").alias(f"n_{k}")
+    return got.select("doc_id", *(count(k) for k in KINDS), F.sha2(line(F.col("base")), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import token_counts
 
@@ -131,5 +146,5 @@ SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION B
 FROM d WINDOW w AS (PARTITION BY h ORDER BY n DESC, doc_id)
 """
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_minhash, op3_packing, op4_exact_dedup, op5_warc, op8_token_counts, op9_quality, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_minhash, op3_packing, op4_exact_dedup, op5_warc, op6_suffix_dedup, op7_personal_data, op8_token_counts, op9_quality, op10_decontamination)}
 ORACLES = {"op1_url_filters": OP1_SQL, "op4_exact_dedup": OP4_SQL, "op5_warc": OP5_SQL}
