@@ -1,3 +1,738 @@
-"""Queries by name."""
+"""Queries by name, each over the whole of its tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .. import model as M
+from ..functions import ner
+from ..functions import normalize as N
+from ..functions.names import name_parts
+from ..operators import audit, crowd, dedup, export, flows, graph, ingest, repo, search, temporal, timing, verify
+from ..session import cut, ship
+from ..sources import delimited, html, landed
+from . import fixtures as X
 
 QUERIES: dict = {}
+
+
+def query(f):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return f(spark, sf_dir)
+
+    run.__name__, run.__doc__ = f.__name__, f.__doc__
+    QUERIES[f.__name__] = run
+    return run
+
+
+def money(c: str):
+    return F.round(c, 2).alias(c)
+
+
+# timing
+
+
+def _correlations(s, d):
+    return timing.timing_correlations(M.timing_events(s, d))
+
+
+@query
+def timing_correlations(s, d):
+    return _correlations(s, d)
+
+
+@query
+def timing_flags(s, d):
+    return timing.timing_flags(M.timing_events(s, d))
+
+
+@query
+def correlations_by_type(s, d):
+    return timing.correlations_by_type(_correlations(s, d))
+
+
+@query
+def correlations_for_official(s, d):
+    """Those of the vote of smallest number."""
+    return timing.correlations_for(_correlations(s, d), M.timing_events(s, d).filter("event_type = 'Vote'").agg(F.min("seq")).first()[0] or 0)
+
+
+@query
+def timing_page_stats(s, d):
+    return timing.correlation_summary(_correlations(s, d))
+
+
+# temporal
+
+
+def _order_times(s, d):
+    return M.table(s, d, "orders").select(F.col("o_orderkey").alias("seq"), F.col("o_custkey").alias("entity"), F.col("o_orderdate").alias("ts"))
+
+
+@query
+def bursts_greedy(s, d):
+    return temporal.bursts(M.temporal_events(s, d))
+
+
+@query
+def periodic_runs(s, d):
+    return temporal.periodic_runs(_order_times(s, d))
+
+
+@query
+def response_chains(s, d):
+    """Purchases above 100, and errors above 100 within two days of them."""
+    e = M.table(s, d, "events").filter("value > 100").select(F.col("event_id").alias("seq"), "ts", "event_type")
+    return temporal.response_chains(e.filter("event_type = 'purchase'"), e.filter("event_type = 'error'"), 2)
+
+
+@query
+def temporal_all(s, d):
+    return temporal.all_patterns(_order_times(s, d))
+
+
+@query
+def rate_limited(s, d):
+    """At most two clicks an hour a user."""
+    e = M.table(s, d, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), "ts")
+    return temporal.rate_limited(e, 2, 6 * 3600)
+
+
+# flows
+
+
+@query
+def flows_in_window(s, d):
+    f = M.flows(s, d)
+    first = f.agg(F.min("date")).first()[0]
+    import datetime as dt
+
+    return timing.flows_between(f, str(first + dt.timedelta(days=3)), str(first + dt.timedelta(days=9))).select("flow_id", "donor", "recipient", "amount", "date")
+
+
+@query
+def flow_periods_30d(s, d):
+    """Orders' totals in periods of 30 days, customers paying by status."""
+    o = M.table(s, d, "orders").select(F.col("o_custkey").alias("donor"), F.col("o_orderstatus").alias("recipient"), F.col("o_totalprice").alias("amount"), F.to_date("o_orderdate").alias("date"))
+    return timing.flow_periods(o, 30).withColumn("total", F.round("total", 2))
+
+
+@query
+def suspicious_bursts(s, d):
+    """Every day of the event stream as a vote: small flows of the five days before."""
+    f = M.flows(s, d)
+    votes = f.select("date").distinct().select(F.datediff("date", F.lit("2000-01-01")).cast("bigint").alias("vote_row"), F.col("date").alias("vote_date"))
+    return timing.suspicious_bursts(f, votes, 5, 50.0, 3).withColumns({"total": F.round("total", 2), "average": F.round("average", 4)})
+
+
+@query
+def flow_chains(s, d):
+    return flows.flow_chains(M.flows(s, d, sparse=True), 5, 2).withColumn("total", F.round("total", 2))
+
+
+def _busiest(e):
+    return e.groupBy("src").count().orderBy(F.col("count").desc(), "src").first()["src"]
+
+
+@query
+def money_trace(s, d):
+    """From the busiest purchaser, three steps."""
+    e = M.money_edges(s, d)
+    t = flows.money_trace(e, _busiest(e), 3)
+    return t.select(F.array_join("hops", "->").alias("path"), F.round("total_amount", 2).alias("total_amount"), "hop_count")
+
+
+@query
+def flow_destinations(s, d):
+    e = M.money_edges(s, d)
+    return flows.flow_destinations(flows.money_trace(e, _busiest(e), 3)).withColumn("total", F.round("total", 2))
+
+
+# repository
+
+
+@query
+def entity_point_lookup(s, d):
+    return repo.by_id(M.entities(s, d), "P7")
+
+
+@query
+def entities_page(s, d):
+    return repo.page(M.entities(s, d), 20, 10)
+
+
+@query
+def entities_by_type(s, d):
+    return repo.by_type(M.entities(s, d), "Organization")
+
+
+@query
+def entities_date_range(s, d):
+    return repo.in_dates(M.entities(s, d), "updated_at", "2020-02-01 00:00:00", "2020-02-10 00:00:00")
+
+
+@query
+def entities_contains(s, d):
+    return M.entities(s, d).filter(repo.contains('{"Person": {"segment": "BUILDING", "tags": ["n3"]}}'))
+
+
+@query
+def entities_type_version(s, d):
+    return repo.type_and_version(M.entities(s, d), "Person", 2)
+
+
+@query
+def entities_recent(s, d):
+    return repo.recent(M.entities(s, d), 25)
+
+
+@query
+def entities_keyset_page(s, d):
+    return repo.keyset_page(M.entities(s, d), 15, ("2020-01-03 00:00:00", "O3"))
+
+
+@query
+def entity_counts(s, d):
+    return M.entities(s, d).groupBy("entity_type").agg(F.count("*").alias("n"))
+
+
+@query
+def entities_faceted(s, d):
+    return repo.faceted(M.entities(s, d), "customer", ["Person"], "2020-01-02", "2020-01-08")
+
+
+@query
+def like_search(s, d):
+    return repo.like_search(M.entities(s, d), "building")
+
+
+@query
+def rel_from(s, d):
+    return repo.edges_of(M.relationships(s, d), "P7", "from")
+
+
+@query
+def rel_to(s, d):
+    return repo.edges_of(M.relationships(s, d), "O3", "to")
+
+
+@query
+def rel_between(s, d):
+    return repo.edges_between(M.relationships(s, d), "O3", "P7")
+
+
+@query
+def rel_active_on(s, d):
+    return repo.active_on(M.relationships(s, d), "1998-03-01")
+
+
+@query
+def rel_by_type(s, d):
+    return M.relationships(s, d).filter(F.col("rel_type").isin(*M.FINANCIAL)).groupBy("rel_type").agg(F.count("*").alias("n"))
+
+
+def _batch(s, d):
+    """Every tenth person twice, and as many new ones."""
+    e = M.entities(s, d).filter("entity_type = 'Person'").withColumn("k", F.substring("entity_id", 2, 20).cast("bigint")).filter("k % 10 = 0")
+    later = F.timestamp_add("DAY", F.lit(1), F.col("updated_at"))
+    twice = e.withColumn("seq", F.explode(F.array(F.lit(1), F.lit(2))))
+    old = twice.select("entity_id", "entity_type", (F.col("version") + F.col("seq")).alias("version"), F.col("updated_at").alias("created_at"), later.alias("updated_at"), F.concat(F.lit('{"Person":{"name":"seq'), F.col("seq").cast("string"), F.lit('"}}')).alias("data"), "seq")
+    return old.unionByName(old.filter("seq = 2").withColumn("entity_id", F.concat(F.lit("N"), "entity_id")))
+
+
+@query
+def upsert_merge(s, d):
+    return repo.upsert(M.entities(s, d).filter("entity_type = 'Person'"), _batch(s, d))
+
+
+@query
+def insert_new(s, d):
+    return repo.insert_new(M.entities(s, d), _batch(s, d).filter("seq = 2")).select("entity_id", "version")
+
+
+@query
+def versioned_update(s, d):
+    e = M.entities(s, d).filter("entity_type in ('Person', 'Organization')").withColumn("k", F.substring("entity_id", 2, 20).cast("bigint"))
+    tagged = e.select("entity_id", "version", F.concat(F.lit('{"id":"'), "entity_id", F.lit('","kind":"stored"}')).alias("data"))
+    change = e.filter("k % 5 = 0").select(F.when(F.col("k") % 10 == 0, F.col("entity_id")).otherwise(F.concat(F.lit("X"), "entity_id")).alias("entity_id"), (F.col("k") % 4).alias("version"), F.lit('{"kind":"new","note":"x"}').alias("data"))
+    return repo.versioned_update(tagged, change)
+
+
+@query
+def cascade_delete(s, d):
+    e = M.entities(s, d).filter("entity_type = 'Organization'")
+    gone = e.filter(F.substring("entity_id", 2, 20).cast("bigint") % 2 == 0)
+    return repo.cascade_delete(e, M.relationships(s, d), gone)[1].groupBy("rel_type").agg(F.count("*").alias("n"))
+
+
+@query
+def rel_orphans(s, d):
+    people = M.entities(s, d).filter("entity_type = 'Organization' or (entity_type = 'Person' and version > 1)")
+    return repo.orphans(M.relationships(s, d), people).groupBy("rel_type").agg(F.count("*").alias("n"))
+
+
+@query
+def stats(s, d):
+    n = lambda df, name: df.agg(F.lit(name).alias("what"), F.count("*").alias("n"))
+    return n(M.entities(s, d), "entities").unionAll(n(M.relationships(s, d), "relationships")).unionAll(n(X.submission_events(s, d).filter("action = 'claim'"), "pending"))
+
+
+# joins
+
+
+@query
+def neighbors_out(s, d):
+    return repo.neighbours(M.relationships(s, d), M.entities(s, d), "P7", "out")
+
+
+@query
+def neighbors_in(s, d):
+    return repo.neighbours(M.relationships(s, d), M.entities(s, d), "O3", "in")
+
+
+@query
+def relationship_bundle(s, d):
+    return repo.bundle(M.relationships(s, d), M.entities(s, d), "O3").select("rel_id", "direction")
+
+
+@query
+def timeline(s, d):
+    return temporal.timeline(M.relationships(s, d), "P7").select("rel_id", "rel_type", "start_date", "end_date", "direction")
+
+
+# graph
+
+
+@query
+def degrees(s, d):
+    return graph.degrees(M.edges(s, d))
+
+
+@query
+def degree_centrality(s, d):
+    return graph.degree_centrality(M.edges(s, d)).withColumn("centrality", F.round("centrality", 6))
+
+
+@query
+def ego_subgraph(s, d):
+    e = M.money_edges(s, d)
+    return graph.ego(e, _busiest(e), 2)
+
+
+@query
+def ego_network_undirected(s, d):
+    e = M.money_edges(s, d)
+    return graph.ego(e, _busiest(e), 2, directed=False)
+
+
+@query
+def simple_paths(s, d):
+    """From the busiest purchaser to the one that most money goes to."""
+    e = M.money_edges(s, d)
+    a = _busiest(e)
+    b = e.filter(F.col("dst") != a).groupBy("dst").count().orderBy(F.col("count").desc(), "dst").first()["dst"]
+    return graph.simple_paths(e, a, b, 3).groupBy("path").agg(F.count("*").alias("n"))
+
+
+def _ends(e):
+    a = _busiest(e)
+    return a, e.filter(F.col("dst") != a).agg(F.max("dst")).first()[0]
+
+
+@query
+def shortest_path(s, d):
+    e = M.money_edges(s, d)
+    return graph.shortest_path(e, *_ends(e))
+
+
+@query
+def shortest_path_undirected(s, d):
+    e = M.money_edges(s, d)
+    return graph.shortest_path(e, *_ends(e), directed=False)
+
+
+@query
+def components(s, d):
+    return graph.components(M.money_edges(s, d))
+
+
+@query
+def component_communities(s, d):
+    return graph.component_communities(graph.components(M.money_edges(s, d)))
+
+
+@query
+def dense_clusters(s, d):
+    e = M.money_edges(s, d)
+    return graph.dense_clusters(e, graph.components(e), 2).withColumn("density", F.round("density", 6))
+
+
+@query
+def modularity(s, d):
+    e = M.money_edges(s, d)
+    return graph.modularity(e, graph.components(e).withColumnRenamed("component", "community")).withColumn("modularity", F.round("modularity", 6))
+
+
+@query
+def betweenness(s, d):
+    return graph.betweenness(M.money_edges(s, d)).withColumn("centrality", F.round("centrality", 9))
+
+
+@query
+def articulation_points(s, d):
+    e = M.money_edges(s, d)
+    return graph.articulation_points(e, graph.components(e))
+
+
+@query
+def label_propagation(s, d):
+    e = M.money_edges(s, d)
+    return graph.label_propagation(e, graph.components(e))
+
+
+# export
+
+
+@query
+def export_dot(s, d):
+    return export.dot_lines(M.money_edges(s, d))
+
+
+@query
+def export_graphml(s, d):
+    return export.graphml_lines(M.money_edges(s, d))
+
+
+@query
+def export_cytoscape(s, d):
+    return export.cytoscape(M.money_edges(s, d))
+
+
+@query
+def export_correlations(s, d):
+    return export.correlations_json(_correlations(s, d).filter("correlation_type = 'DonationToVote'").select("entity_id", "event_a_date", "event_b_date", "days_between", "correlation_type"))
+
+
+@query
+def entity_labels(s, d):
+    """Payments by their amount, everything else by name."""
+    e = M.entities(s, d).join(M.table(s, d, "orders").select(F.concat(F.lit("Y"), F.col("o_orderkey").cast("string")).alias("entity_id"), "o_totalprice"), "entity_id", "left")
+    return export.entity_labels(e, "o_totalprice")
+
+
+# search
+
+
+def _search_docs(s, d):
+    kind = F.element_at(F.array(*map(F.lit, M.ENTITY_TYPES)), (F.substring("source", 4, 5).cast("int") % 12 + 1))
+    name = F.array_join(F.slice(F.split("text", r"\s+"), 1, 4), " ")
+    return M.table(s, d, "documents").select(
+        F.col("doc_id").cast("string").alias("entity_id"), kind.alias("entity_type"), name.alias("name"), F.col("text").alias("content"), F.array("lang", "source").alias("tags"), F.date_add(F.lit("2020-01-01").cast("date"), (F.col("doc_id") % 1000).cast("int")).alias("date"),
+    )
+
+
+@query
+def search_bm25(s, d):
+    return search.search(_search_docs(s, d), "the that with", limit=20).withColumn("score", F.round("score", 4))
+
+
+@query
+def search_filtered(s, d):
+    return search.search(_search_docs(s, d), "the en", limit=20, kind="Payment", first="2020-02-01", last="2020-12-31").withColumn("score", F.round("score", 4))
+
+
+@query
+def search_facets(s, d):
+    return search.facets(_search_docs(s, d), "erin der")
+
+
+@query
+def search_prefix(s, d):
+    return search.prefix(_search_docs(s, d), "th", 20)
+
+
+@query
+def search_builder(s, d):
+    return search.Query().text("erin der").kind("Document").dates("2020-01-05", "2021-06-30").run(_search_docs(s, d)).select("entity_id")
+
+
+@query
+def search_snippets(s, d):
+    return search.prefix(_search_docs(s, d), "the", 50).select("name", search.snippet(F.col("name"), "the of").alias("snippet"))
+
+
+@query
+def sanitized_queries(s, d):
+    return X.texts(s).select("id", search.sanitize_query(F.col("t")).alias("q"))
+
+
+# scalars
+
+
+@query
+def norm_person_name(s, d):
+    own = M.table(s, d, "part").select(F.col("p_partkey").alias("id"), F.concat(F.upper(F.substring_index("p_name", " ", -1)), F.lit(", "), F.substring_index("p_name", " ", 1), F.lit(" Jr.")).alias("t"))
+    return X.names(s).unionByName(own).select("id", "t", N.person_name(F.col("t")).alias("name"))
+
+
+@query
+def norm_dollar(s, d):
+    return X.amounts(s).select("id", N.dollar_amount(F.col("t")).alias("amount"))
+
+
+@query
+def norm_date(s, d):
+    return X.dates(s).select("id", N.calendar_date(F.col("t")).alias("day"))
+
+
+@query
+def norm_state(s, d):
+    return X.states(s).select("id", N.state_code(F.col("t")).alias("code"))
+
+
+@query
+def fingerprints(s, d):
+    return dedup.with_fingerprint(X.records(s, d)).select("seq", "fingerprint")
+
+
+@query
+def fec_id_checks(s, d):
+    return X.ids(s).select("id", N.candidate_id_ok(F.col("t")).alias("candidate"), N.committee_id_ok(F.col("t")).alias("committee"))
+
+
+@query
+def sanitize_text(s, d):
+    return X.texts(s).select("id", N.sanitized(F.col("t")).alias("clean"), N.without_tags(F.col("t")).alias("plain"))
+
+
+@query
+def url_checks(s, d):
+    return M.table(s, d, "pages").select(F.col("page_id").alias("id"), F.col("url").alias("t")).unionByName(X.urls(s)).select("id", N.url_ok(F.col("t")).alias("ok"))
+
+
+@query
+def kind_maps(s, d):
+    t = F.col("t")
+    return X.kinds(s).select("id", N.committee_kind(t).alias("committee"), N.case_kind(t).alias("case_type"), N.docket_kind(t, t).alias("docket"), N.lookup(t, N.PARTIES_FILINGS, "Other").alias("party"), N.lookup(t, N.PARTIES_MEMBERS, "Other").alias("member_party"))
+
+
+@query
+def content_hashes(s, d):
+    h = F.sha2(F.col("text"), 256)
+    return M.table(s, d, "documents").select("doc_id", h.alias("content_hash"), audit.store_path(h).alias("path"))
+
+
+# dedup and ingest
+
+
+@query
+def doc_dedup(s, d):
+    return dedup.content_duplicates(M.table(s, d, "documents"), "doc_id", "text")
+
+
+@query
+def ingest_dedup_stats(s, d):
+    return dedup.dedup_stats(X.records(s, d))
+
+
+@query
+def ingest_validation(s, d):
+    kept = ingest.indexed(dedup.dedup_records(X.records(s, d)))
+    return ingest.validation_errors(kept, ["name", "amount"])
+
+
+@query
+def ingest_pipeline(s, d):
+    out, _, _ = ingest.pipeline(X.records(s, d), ["name", "amount"], cap=1000, names=["name"], amounts=["amount"])
+    return out.select("record_index", "seq", F.element_at("fields", "name").alias("name"), F.element_at("fields", "amount").alias("amount"))
+
+
+@query
+def ingest_counters(s, d):
+    return ingest.pipeline(X.records(s, d), ["name", "amount"], cap=1000)[2]
+
+
+@query
+def person_fuzzy(s, d):
+    """Parts of brand 1x against those of other brands, by name; a part's size is its day of birth."""
+    p = M.table(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.date_add(F.lit("1950-01-01").cast("date"), (F.col("p_partkey") % 5000).cast("int")).alias("birth_date"), F.col("p_partkey"))
+    new = p.filter("p_partkey % 20 = 0").drop("p_partkey")
+    return dedup.person_matches(new, p.filter("p_partkey % 20 = 1").drop("p_partkey")).withColumn("confidence", F.round("confidence", 6))
+
+
+@query
+def name_keys(s, d):
+    first, last = name_parts(F.col("t"))
+    return X.names(s).select("id", first.alias("first"), last.alias("last"))
+
+
+# text
+
+
+def _corpus(s, d):
+    own = M.table(s, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("t"))
+    return own.unionByName(X.passages(s))
+
+
+def _matches(s, d, pattern):
+    return _corpus(s, d).select("id", F.array_join(ner.all_matches(F.col("t"), pattern), "|").alias("found")).filter("found <> ''")
+
+
+@query
+def ner_amounts(s, d):
+    return _matches(s, d, ner.AMOUNT)
+
+
+@query
+def ner_dates(s, d):
+    return _matches(s, d, ner.DATE)
+
+
+@query
+def ner_filings(s, d):
+    return _matches(s, d, ner.FILING)
+
+
+@query
+def ner_mentions(s, d):
+    return ner.extract_mentions(_corpus(s, d), "id", "t")
+
+
+@query
+def html_title(s, d):
+    return M.table(s, d, "pages").select("page_id", html.title_of(F.col("html")).alias("title"))
+
+
+def _pages(s, d):
+    return html.extract(M.table(s, d, "pages").unionByName(X.pages(s)))
+
+
+@query
+def html_links(s, d):
+    return _pages(s, d).select("page_id", F.posexplode("links").alias("k", "l")).select("page_id", "k", "l.href", "l.text")
+
+
+@query
+def html_text(s, d):
+    return _pages(s, d).select("page_id", "title", "description", "text")
+
+
+@query
+def html_tables(s, d):
+    t = _pages(s, d).select("page_id", F.posexplode("tables").alias("table_no", "rows")).select("page_id", "table_no", F.posexplode("rows").alias("row_no", "cells"))
+    return t.select("page_id", "table_no", "row_no", F.array_join("cells", "|").alias("cells"))
+
+
+@query
+def csv_records(s, d):
+    """The customers as delimited text of one line each, read back."""
+    rows = M.table(s, d, "customer").select("c_custkey", F.concat_ws("\n", F.lit("name;segment;key"), F.concat_ws(";", "c_name", "c_mktsegment", F.col("c_custkey").cast("string"))).alias("t"))
+    kind = "array<map<string,string>>"
+    read = F.udf(lambda t: list(delimited.records(t)), kind)
+    return rows.select("c_custkey", F.explode(read("t")).alias("r")).select("c_custkey", F.element_at("r", "name").alias("name"), F.element_at("r", "segment").alias("segment"), F.element_at("r", "key").alias("key"))
+
+
+@query
+def landed_entities(s, d):
+    return landed.run_all(X.landed(s))
+
+
+@query
+def mime_routes(s, d):
+    return X.kinds(s).select("id", html.route(F.col("t")).alias("extractor")).unionByName(X.mimes(s).select("id", html.route(F.col("t")).alias("extractor")))
+
+
+# crowd
+
+
+@query
+def reputation(s, d):
+    return crowd.reputation(X.reputation_events(s, d))
+
+
+@query
+def leaderboard(s, d):
+    return crowd.leaderboard(crowd.reputation(X.reputation_events(s, d)), 10)
+
+
+@query
+def submission_states(s, d):
+    return crowd.submission_states(X.submission_events(s, d))
+
+
+@query
+def submission_status_counts(s, d):
+    return crowd.status_counts(crowd.submission_states(X.submission_events(s, d)))
+
+
+@query
+def watch_alerts(s, d):
+    return crowd.watch_alerts(X.changes(s, d), X.subscriptions(s, d))
+
+
+# verification
+
+
+@query
+def confidence_levels(s, d):
+    r = X.verify_results(s, d)
+    c = verify.confidence(F.col("kind"), F.col("found"), F.col("live"), F.col("archived"), F.col("score"))
+    return r.select("source_id", c.alias("confidence"), verify.level(c).alias("level"))
+
+
+@query
+def batch_stats(s, d):
+    r = X.verify_results(s, d)
+    c = verify.confidence(F.col("kind"), F.col("found"), F.col("live"), F.col("archived"), F.col("score"))
+    return verify.batch_stats(r.withColumn("confidence", c)).withColumns({"avg_confidence": F.round("avg_confidence", 6), "success_rate": F.round("success_rate", 6)})
+
+
+@query
+def sanction_flags(s, d):
+    return verify.sanction_flags(X.answers(s)).select("id", "is_sanctioned", "is_pep", "matched_name", "match_score")
+
+
+@query
+def verify_routes(s, d):
+    return X.source_rows(s).select("id", verify.route(F.col("source_type"), F.col("filing_id")).alias("route"))
+
+
+# integrity
+
+
+@query
+def audit_chain_build(s, d):
+    return audit.append(X.audit_entries(s, d)).select("seq", "prev_hash", "entry_hash")
+
+
+@query
+def audit_chain_verify(s, d):
+    """The chain with its tenth entry tampered with."""
+    log = cut(audit.append(X.audit_entries(s, d)))
+    return audit.verify(log.withColumn("data_hash", F.when(F.col("seq") == 10, F.sha2(F.lit("changed"), 256)).otherwise(F.col("data_hash"))))
+
+
+@query
+def audit_summary(s, d):
+    return audit.summary(cut(audit.append(X.audit_entries(s, d))))
+
+
+@query
+def archive_integrity(s, d):
+    """Documents stored under their hashes, every hundredth under another's."""
+    h = F.sha2(F.encode("text", "utf-8"), 256)
+    wrong = F.sha2(F.lit("other"), 256)
+    files = M.table(s, d, "documents").select(audit.store_path(F.when(F.col("doc_id") % 100 == 0, wrong).otherwise(h)).alias("path"), F.encode("text", "utf-8").alias("content"), "doc_id")
+    return audit.archive_mismatches(files.withColumn("path", F.concat_ws("/", F.col("doc_id").cast("string"), "path"))).select("path")
+
+
+# what the source-and-page views of the front end show
+
+
+@query
+def sources_by_tier(s, d):
+    """Pages by scheme, and how many distinct hosts each has."""
+    p = M.table(s, d, "pages").select(F.regexp_extract("url", "^([a-z]+)://", 1).alias("scheme"), F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("host"))
+    return p.groupBy("scheme").agg(F.count("*").alias("n"), F.count_distinct("host").alias("hosts"))
