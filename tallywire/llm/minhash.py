@@ -18,7 +18,7 @@ _WORDS = 1_000_000
 def _word_hashes(words: list[bytes]) -> np.ndarray:
     from xxhash import xxh3_64_intdigest
 
-    new = set(words) - _words.keys()
+    new = {w for w in set(words) if w not in _words}
     if len(_words) + len(new) > _WORDS:
         _words.clear()
         new = set(words)
