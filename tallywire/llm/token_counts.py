@@ -127,7 +127,7 @@ class WordCounter:
         """Special tokens' strings inside a text count as one token each."""
         split = [[w for w in (SPACE.split(t) if ODD_SPACE.search(t) else t.split()) if w] for t in texts]
         words = set().union(*split)
-        if new := words - self.words.keys():
+        if new := {w for w in words if w not in self.words}:
             self.learn(new if len(self.words) <= self.CACHE else words)
         return [sum(map(self.words.__getitem__, s)) for s in split]
 
