@@ -1,0 +1 @@
+"""The incremental engines as Structured Streaming queries."""
