@@ -59,6 +59,8 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict, bytes, int]:
         if not colon:
             raise Damaged("header without a colon")
         heads[name.strip().lower().decode("latin-1")] = value.strip().decode("latin-1")
+    if missing := [h for h in ("warc-type", "warc-record-id", "warc-date") if h not in heads]:
+        raise Damaged(f"no {missing[0]}")
     if not heads.get("content-length", "").isdigit():
         raise Damaged("no content length")
     start, size = end + 4, int(heads["content-length"])
