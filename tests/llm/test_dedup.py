@@ -11,7 +11,7 @@ from tallywire.llm import suffix_dedup
 from tallywire.llm.components import components
 from tallywire.llm.exact_dedup import CuckooIndex, exact_dedup
 from tallywire.llm.minhash import SetSketch, near_duplicates, shingle_sets
-from tallywire.llm.suffix_dedup import BlindTrie, deep_shallow, remove_repeats
+from tallywire.llm.suffix_dedup import BlindTrie, deep_shallow, pack_runs, remove_repeats, runs_of, unpack
 
 BLANK = re.compile(r"[\x20\x09-\x0D]")
 ORDER = lambda i: -(2**63) if i is None else i
@@ -140,6 +140,15 @@ def test_remove_repeats(make_docs, prose, monkeypatch, hot):
     assert sum(x[1] for x in want.values()) > 2000
 
 
+def test_periodic_text_is_few_rows():
+    texts = [b"For " * 1000, b"x" * 5000, bytes(range(256)) * 3, b"short", b""]
+    runs = runs_of(texts, 100)
+    text, number, _ = pack_runs(*runs)
+    assert len(runs[0]) > 5000 and (text == 0).sum() + (text == 1).sum() < 20
+    again = [(t, s + k * n, n, d) for t, x in zip(text.tolist(), number.tolist(), strict=True) for r, s, n, d in [unpack(x)] for k in range(r)]
+    assert again == list(zip(*(x.tolist() for x in runs[:4]), strict=True))
+
+
 def test_remove_repeats_of_nothing(make_docs):
     assert remove_repeats(make_docs([])).count() == 0
     assert [tuple(r)[1:4] for r in remove_repeats(make_docs([(1, None)])).collect()] == [(0, 0, 0)]
