@@ -62,3 +62,34 @@ def watch_alerts(changes: DataFrame, subscriptions: DataFrame) -> DataFrame:
 
 def dispute_note(note, text):
     return F.concat(F.coalesce(note, F.lit("")), F.lit("\n\nDISPUTE: "), text)
+
+
+def pending(submissions: DataFrame, n: int | None = None) -> DataFrame:
+    """Pending submissions, those handed in first coming first."""
+    out = submissions.filter("status = 'Pending'")
+    return out if n is None else out.orderBy("submitted_at", "submission_id").limit(n)
+
+
+def by_contributor(submissions: DataFrame, contributor) -> DataFrame:
+    return submissions.filter(F.col("contributor") == contributor)
+
+
+def review_counts(reviews: DataFrame) -> DataFrame:
+    """(reviewer, action, n, submissions) of a review log (submission_id, reviewer, action)."""
+    return reviews.groupBy("reviewer", "action").agg(F.count("*").alias("n"), F.count_distinct("submission_id").alias("submissions"))
+
+
+def current_subscriptions(events: DataFrame) -> DataFrame:
+    """(subscriber, entity_id) that are on: of subscribe and unsubscribe events (seq, subscriber, entity_id, action) the last one counts."""
+    last = events.groupBy("subscriber", "entity_id").agg(F.max_by("action", "seq").alias("action"))
+    return last.filter("action = 'subscribe'").select("subscriber", "entity_id")
+
+
+def unread(alerts: DataFrame, read: DataFrame) -> DataFrame:
+    """Alerts whose (sub_id, seq) was not marked as read."""
+    return alerts.join(read.select("sub_id", "seq").distinct(), ["sub_id", "seq"], "left_anti")
+
+
+def by_preference(alerts: DataFrame, subscriptions: DataFrame, notify: str) -> DataFrame:
+    """Alerts of the subscriptions with one way of being told: at once, or in a digest."""
+    return alerts.join(subscriptions.filter(F.col("notify") == notify).select("sub_id"), "sub_id", "left_semi")

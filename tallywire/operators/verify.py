@@ -37,3 +37,25 @@ def sanction_flags(answers: DataFrame, body: str = "body") -> DataFrame:
     r = answers.withColumn("_j", j)
     pep = has(F.col("_j.datasets"), "pep") | (F.coalesce(F.col("_j.schema") == "Person", F.lit(False)) & has(F.col("_j.properties.topics"), "pep"))
     return r.withColumns({"is_sanctioned": has(F.col("_j.datasets"), "sanction", "ofac", "eu_fsf"), "is_pep": pep, "matched_name": F.try_element_at("_j.properties.name", F.lit(1)), "match_score": F.col("_j.score")}).drop("_j")
+
+
+def filing_answers(answers: DataFrame, body: str = "body") -> DataFrame:
+    """Adds (found, filing_name, filing_date) from the first result of a register's answer; an empty or unreadable one is not found."""
+    j = F.from_json(body, "results array<struct<committee_name: string, receipt_date: string>>")
+    first = F.try_element_at(j.getField("results"), F.lit(1))
+    return answers.withColumns({"found": first.isNotNull(), "filing_name": first.getField("committee_name"), "filing_date": F.try_to_date(first.getField("receipt_date"), "yyyy-MM-dd")})
+
+
+def evidence(kind: Column, found: Column, live: Column, archived: Column) -> Column:
+    """A line on what was found out about a source."""
+    url = F.concat(F.when(live, "URL is live").otherwise("URL is not reachable"), F.when(archived, "; archived copy exists").otherwise("; no archived copy"))
+    filing = F.when(found, "Filing found").otherwise("Filing not found")
+    names = F.when(found, "Name found on a list").otherwise("Name not on any list")
+    return F.when(kind == "filing", filing).when(kind == "url", url).when(kind == "sanctions", names).otherwise("Not applicable")
+
+
+def source_chain(primary: DataFrame, supporting: DataFrame) -> DataFrame:
+    """(entity_id, source_count, urls): one primary source and any number of supporting ones, the primary first."""
+    s = supporting.groupBy("entity_id").agg(F.sort_array(F.collect_list(F.struct("n", "url"))).alias("s"))
+    urls = F.concat(F.array("url"), F.coalesce(F.col("s.url"), F.array().cast("array<string>")))
+    return primary.join(s, "entity_id", "left").select("entity_id", F.size(urls).alias("source_count"), urls.alias("urls"))

@@ -171,3 +171,15 @@ def audit_entries(s, d) -> DataFrame:
         k.alias("seq"), F.md5(F.concat(F.lit("a"), k.cast("string"))).alias("id"), F.timestamp_add("MINUTE", k.cast("int"), F.lit("2024-01-01").cast("timestamp_ntz")).alias("timestamp"), F.lit("Create").alias("operation"), F.lit("Organization").alias("entity_type"),
         F.md5(F.concat(F.lit("O"), k.cast("string"))).alias("entity_id"), F.sha2("s_name", 256).alias("data_hash"),
     )
+
+
+FILINGS = [{"results": [{"committee_name": "Forward", "receipt_date": "2024-05-06"}, {"committee_name": "Other"}]}, {"results": []}, None, {"results": [{"committee_name": "Back", "receipt_date": "bad"}]}]
+
+
+def filings(s):
+    return _inline(s, [("404" if x is None else json.dumps(x),) for x in FILINGS], "body string")
+
+
+def submissions(s, d) -> DataFrame:
+    status = _pick(F.col("o_orderstatus"), {"O": "Pending", "F": "Approved"}, "Rejected")
+    return table(s, d, "orders").select(F.col("o_orderkey").alias("submission_id"), F.col("o_custkey").alias("contributor"), status.alias("status"), F.col("o_orderdate").alias("submitted_at"))

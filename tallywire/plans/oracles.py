@@ -266,6 +266,28 @@ SELECT c_custkey AS sub_id, c_nationkey AS subscriber, seq, entity_id, alert_typ
 }
 
 
+_SUBM = "m AS (SELECT o_orderkey AS submission_id, o_custkey AS contributor, CASE o_orderstatus WHEN 'O' THEN 'Pending' WHEN 'F' THEN 'Approved' ELSE 'Rejected' END AS status, o_orderdate AS submitted_at FROM orders)"
+ORACLES |= {
+    "submissions_pending": f"WITH {_SUBM} SELECT submission_id, contributor, submitted_at FROM m WHERE status = 'Pending' ORDER BY submitted_at, submission_id LIMIT 50",
+    "submissions_by_contributor": f"WITH {_SUBM} SELECT * FROM m WHERE contributor = 7",
+    "submissions_by_status": f"WITH {_SUBM} SELECT status, count(*) AS n FROM m GROUP BY 1",
+    "review_counts": """SELECT user_id % 10 AS reviewer, CASE event_type WHEN 'view' THEN 'claim' WHEN 'purchase' THEN 'approve' WHEN 'error' THEN 'reject' WHEN 'click' THEN 'dispute' ELSE 'withdraw' END AS action, count(*) AS n, count(DISTINCT event_id % 997) AS submissions FROM events GROUP BY ALL""",
+    "current_subscriptions": "SELECT user_id AS subscriber, event_id % 7 AS entity_id FROM events GROUP BY ALL HAVING arg_max(event_type, event_id) <> 'click'",
+    "alerts_unread": ORACLES["watch_alerts"] + " AND seq % 3 <> 0",
+    "alerts_digest": f"SELECT subscriber, count(*) AS n FROM ({ORACLES['watch_alerts']}) WHERE sub_id % 2 = 0 GROUP BY 1",
+    "evidence_lines": f"""WITH {_VER} SELECT source_id, CASE kind WHEN 'filing' THEN CASE WHEN found THEN 'Filing found' ELSE 'Filing not found' END WHEN 'url' THEN CASE WHEN live THEN 'URL is live' ELSE 'URL is not reachable' END || CASE WHEN archived THEN '; archived copy exists' ELSE '; no archived copy' END
+  WHEN 'sanctions' THEN CASE WHEN found THEN 'Name found on a list' ELSE 'Name not on any list' END ELSE 'Not applicable' END AS evidence FROM v""",
+    "filing_answers": f"SELECT id, found, filing_name, CAST(filing_date AS DATE) AS filing_date FROM {_values([(True, 'Forward', '2024-05-06'), (False, None, None), (False, None, None), (True, 'Back', None)], 'found, filing_name, filing_date')}",
+    "source_chains": "SELECT o_orderkey AS entity_id, CAST(count(l_orderkey) + 1 AS INTEGER) AS source_count, concat_ws(' ', 'o/' || o_orderkey, string_agg('l/' || l_linenumber, ' ' ORDER BY l_linenumber)) AS urls FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey",
+    "endpoint_checks": f"WITH {_REL} SELECT rel_type, count(*) AS n FROM rel WHERE CAST(substr(src, 2) AS BIGINT) % 3 <> 0 GROUP BY 1",
+    "audit_by_entity": "SELECT s_suppkey AS seq, 'Create' AS operation, md5('O3') AS entity_id FROM supplier WHERE s_suppkey = 3",
+    "merkle_check": """WITH d AS (SELECT doc_id, sha256(text) AS own FROM documents), bad AS (SELECT * FROM d WHERE doc_id % 50 = 0)
+SELECT 'd' || doc_id AS id FROM bad UNION SELECT 'p' || (doc_id // 10) FROM bad WHERE own NOT IN (SELECT own FROM d WHERE doc_id % 50 <> 0)""",
+    "pardon_days": f"WITH {_PAIRS} SELECT entity_id, event_a_id, min(days_between) AS days_indictment_to_pardon FROM corr WHERE correlation_type = 'IndictmentToPardon' GROUP BY ALL",
+    "search_documents": f"WITH {_DOCS} SELECT entity_id, entity_type, name, CAST(len(tc) AS INTEGER) AS words, CAST(epoch(date) AS BIGINT) AS date_seconds FROM tok",
+}
+
+
 def _found(pattern: str) -> str:
     inline = _values([(x,) for x in X.PASSAGES], "t")
     return f"WITH c AS (SELECT doc_id AS id, text AS t FROM documents UNION ALL SELECT id, t FROM {inline}) SELECT id, array_to_string(regexp_extract_all(t, {_q(pattern)}), '|') AS found FROM c WHERE len(regexp_extract_all(t, {_q(pattern)})) > 0"

@@ -736,3 +736,103 @@ def sources_by_tier(s, d):
     """Pages by scheme, and how many distinct hosts each has."""
     p = M.table(s, d, "pages").select(F.regexp_extract("url", "^([a-z]+)://", 1).alias("scheme"), F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("host"))
     return p.groupBy("scheme").agg(F.count("*").alias("n"), F.count_distinct("host").alias("hosts"))
+
+
+# workflow, sources and archive, continued
+
+
+@query
+def submissions_pending(s, d):
+    return crowd.pending(X.submissions(s, d), 50).select("submission_id", "contributor", "submitted_at")
+
+
+@query
+def submissions_by_contributor(s, d):
+    return crowd.by_contributor(X.submissions(s, d), 7)
+
+
+@query
+def submissions_by_status(s, d):
+    return crowd.status_counts(X.submissions(s, d))
+
+
+@query
+def review_counts(s, d):
+    return crowd.review_counts(X.submission_events(s, d).join(M.table(s, d, "events").select(F.col("event_id").alias("seq"), (F.col("user_id") % 10).alias("reviewer")), "seq"))
+
+
+@query
+def current_subscriptions(s, d):
+    e = M.table(s, d, "events")
+    action = F.when(F.col("event_type") == "click", "unsubscribe").otherwise("subscribe")
+    return crowd.current_subscriptions(e.select(F.col("event_id").alias("seq"), F.col("user_id").alias("subscriber"), (F.col("event_id") % 7).alias("entity_id"), action.alias("action")))
+
+
+@query
+def alerts_unread(s, d):
+    a = crowd.watch_alerts(X.changes(s, d), X.subscriptions(s, d))
+    return crowd.unread(a, a.filter("seq % 3 = 0"))
+
+
+@query
+def alerts_digest(s, d):
+    subs = X.subscriptions(s, d).withColumn("notify", F.when(F.col("sub_id") % 2 == 0, "digest").otherwise("immediate"))
+    return crowd.by_preference(crowd.watch_alerts(X.changes(s, d), subs), subs, "digest").groupBy("subscriber").agg(F.count("*").alias("n"))
+
+
+@query
+def evidence_lines(s, d):
+    r = X.verify_results(s, d)
+    return r.select("source_id", verify.evidence(F.col("kind"), F.col("found"), F.col("live"), F.col("archived")).alias("evidence"))
+
+
+@query
+def filing_answers(s, d):
+    return verify.filing_answers(X.filings(s)).select("id", "found", "filing_name", "filing_date")
+
+
+@query
+def source_chains(s, d):
+    """An order's source and its lines as supporting ones."""
+    p = M.table(s, d, "orders").select(F.col("o_orderkey").alias("entity_id"), F.concat(F.lit("o/"), F.col("o_orderkey").cast("string")).alias("url"))
+    lines = M.table(s, d, "lineitem").select(F.col("l_orderkey").alias("entity_id"), F.col("l_linenumber").alias("n"), F.concat(F.lit("l/"), F.col("l_linenumber").cast("string")).alias("url"))
+    return verify.source_chain(p, lines).select("entity_id", "source_count", F.array_join("urls", " ").alias("urls"))
+
+
+@query
+def endpoint_checks(s, d):
+    """Relationships both of whose ends are stored."""
+    e = M.entities(s, d).filter("entity_type = 'Organization' or (entity_type = 'Person' and version > 1)").select("entity_id")
+    r = M.relationships(s, d)
+    ok = r.join(e.withColumnRenamed("entity_id", "src"), "src", "left_semi").join(e.withColumnRenamed("entity_id", "dst"), "dst", "left_semi")
+    return ok.groupBy("rel_type").agg(F.count("*").alias("n"))
+
+
+@query
+def audit_by_entity(s, d):
+    return X.audit_entries(s, d).filter(F.col("entity_id") == F.md5(F.lit("O3"))).select("seq", "operation", "entity_id")
+
+
+@query
+def merkle_check(s, d):
+    """Documents as leaves and a parent for each ten of them; the hash of every fiftieth leaf was changed."""
+    t = M.table(s, d, "documents").select("doc_id", F.encode("text", "utf-8").alias("data"))
+    own = F.sha2("data", 256)
+    none = F.array().cast("array<string>")
+    leaf = t.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), none.alias("children"), "data", F.when(F.col("doc_id") % 50 == 0, F.sha2(F.lit("bad"), 256)).otherwise(own).alias("hash"))
+    up = t.groupBy(F.floor(F.col("doc_id") / 10).alias("k")).agg(F.sort_array(F.collect_list(own)).alias("children"))
+    parent = up.select(F.concat(F.lit("p"), F.col("k").cast("string")).alias("id"), "children", F.lit(None).cast("binary").alias("data"), F.sha2(F.array_join("children", ""), 256).alias("hash"))
+    return audit.merkle_broken(leaf.unionByName(parent))
+
+
+@query
+def pardon_days(s, d):
+    """Days from an entity's indictment to its earliest later pardon."""
+    c = _correlations(s, d).filter("correlation_type = 'IndictmentToPardon'")
+    return c.groupBy("entity_id", "event_a_id").agg(F.min("days_between").alias("days_indictment_to_pardon"))
+
+
+@query
+def search_documents(s, d):
+    """What is indexed of an entity: its name, and how many words of text."""
+    return _search_docs(s, d).select("entity_id", "entity_type", "name", F.size(search.tokens(F.col("content"))).alias("words"), (F.unix_date("date").cast("bigint") * 86400).alias("date_seconds"))
