@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
-import zipfile
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir, ship
+
 #: Stands for a null id wherever ids are ordered: nulls come first.
 NULL_ID = -(2**63)
 
-_shipped: set[str] = set()
+_prepared: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,52 +23,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Make this package importable on executors, and bound the bytes of an Arrow batch.
-
-    The package goes along as a zip, so executors need no copy of the repository. Idempotent per application.
-    """
+    """Make this package importable on executors, and bound the rows and bytes of an Arrow batch. Idempotent per application."""
+    ship(spark)
     app = spark.sparkContext.applicationId
-    if app in _shipped:
+    if app in _prepared:
         return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    name = os.path.basename(root)
-    out = os.path.join(tempfile.mkdtemp(prefix="ship-"), f"{name}.zip")
-    with zipfile.ZipFile(out, "w") as z:
-        for folder, _, files in os.walk(root):
-            for f in files:
-                if f.endswith(".py"):
-                    p = os.path.join(folder, f)
-                    z.write(p, os.path.join(name, os.path.relpath(p, root)))
-    spark.sparkContext.addPyFile(out)
+    _prepared.add(app)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     try:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     except Exception as e:  # a Spark without this setting: rows alone bound a batch
         if "CONFIG" not in str(e).upper():
             raise
-    _shipped.add(app)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", at) if _settable(spark) else None
-    return at
-
-
-def _settable(spark: SparkSession) -> bool:
-    try:
-        return spark.conf.isModifiable("spark.checkpoint.dir")
-    except Exception:
-        return False
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, and survives the loss of executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

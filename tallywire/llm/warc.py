@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, as_bytes, id_column, prepare, shared_dir, stash
+from ..session import shared_dir
+from .common import NULL_ID, as_bytes, id_column, prepare, stash
 
 MAGIC = b"\x1f\x8b\x08"
 #: A complete gzip member of nothing. Every member ends with a zero byte when it is under 16 MiB, as this one does.
@@ -228,6 +229,6 @@ def round_trip(pages: DataFrame) -> DataFrame:
     import uuid
 
     spark = pages.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_warc(pages, path)
     return read_warc(spark, path)
