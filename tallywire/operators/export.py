@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import numbered
 from .graph import nodes
 
 
 def dot_lines(edges: DataFrame) -> DataFrame:
     """(line_no, line): the DOT text of a graph, nodes by name, edges by seq. Lines are rows, so a file of any size can be written."""
     s = lambda c: F.col(c).cast("string")
-    n = nodes(edges).select(F.lit(1).alias("part"), F.row_number().over(Window.orderBy("node")).cast("bigint").alias("k"), F.format_string('    "%s";', s("node")).alias("line"))
-    e = edges.select(F.lit(2).alias("part"), F.row_number().over(Window.orderBy("seq")).cast("bigint").alias("k"), F.format_string('    "%s" -> "%s" [label="%s"];', s("src"), s("dst"), F.col("rel_type")).alias("line"))
+    n = numbered(nodes(edges), "k", "node").select(F.lit(1).alias("part"), "k", F.format_string('    "%s";', s("node")).alias("line"))
+    e = numbered(edges, "k", "seq").select(F.lit(2).alias("part"), "k", F.format_string('    "%s" -> "%s" [label="%s"];', s("src"), s("dst"), F.col("rel_type")).alias("line"))
     ends = edges.sparkSession.createDataFrame([(0, 0, "digraph {"), (3, 0, "}")], "part int, k bigint, line string")
     return _numbered(ends.union(n).union(e))
 
@@ -25,16 +26,15 @@ def graphml_lines(edges: DataFrame) -> DataFrame:
         '         xsi:schemaLocation="http://graphml.graphdrawing.org/graphml http://graphml.graphdrawing.org/graphml/graphml.xsd">',
         '  <key id="relationship" for="edge" attr.name="relationship" attr.type="string"/>', '  <graph id="G" edgedefault="directed">',
     ]
-    n = nodes(edges).select(F.lit(1).alias("part"), F.row_number().over(Window.orderBy("node")).cast("bigint").alias("k"), F.format_string('    <node id="%s"/>', s("node")).alias("line"))
-    k = F.row_number().over(Window.orderBy("seq")).cast("bigint") - 1
+    n = numbered(nodes(edges), "k", "node").select(F.lit(1).alias("part"), "k", F.format_string('    <node id="%s"/>', s("node")).alias("line"))
     three = F.array(F.format_string('    <edge id="e%d" source="%s" target="%s">', F.col("i"), s("src"), s("dst")), F.format_string('      <data key="relationship">%s</data>', F.col("rel_type")), F.lit("    </edge>"))
-    e = edges.withColumn("i", k).select("i", F.posexplode(three).alias("p", "line")).select(F.lit(2).alias("part"), (F.col("i") * 3 + F.col("p")).alias("k"), "line")
+    e = numbered(edges, "i", "seq").select("i", F.posexplode(three).alias("p", "line")).select(F.lit(2).alias("part"), (F.col("i") * 3 + F.col("p")).alias("k"), "line")
     ends = edges.sparkSession.createDataFrame([(0, i, x) for i, x in enumerate(head)] + [(3, 0, "  </graph>"), (3, 1, "</graphml>")], "part int, k bigint, line string")
     return _numbered(ends.union(n).union(e))
 
 
 def _numbered(lines: DataFrame) -> DataFrame:
-    return lines.select((F.row_number().over(Window.orderBy("part", "k")) - 1).cast("bigint").alias("line_no"), "line")
+    return numbered(lines, "line_no", "part", "k").select("line_no", "line")
 
 
 def cytoscape(edges: DataFrame) -> DataFrame:

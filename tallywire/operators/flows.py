@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import FINANCIAL
-from ..session import cut
+from ..session import cut, numbered
 
 
 def flow_chains(flows: DataFrame, gap: int, least: int = 2, deepest: int = 50) -> DataFrame:
@@ -16,9 +16,8 @@ def flow_chains(flows: DataFrame, gap: int, least: int = 2, deepest: int = 50) -
     chains over one sequence of nodes the first stays, by the flows' order (date, flow_id). Chains grow by one join a
     round; a chain that none goes on from is maximal. Guards: gap < 0 or least = 0 give no rows.
     """
-    spark = flows.sparkSession
-    rank = F.row_number().over(Window.orderBy("date", "flow_id"))
-    f = cut(flows.select("flow_id", F.col("donor").cast("string").alias("donor"), F.col("recipient").cast("string").alias("recipient"), "amount", "date").withColumn("rank", rank))
+    rows = flows.select("flow_id", F.col("donor").cast("string").alias("donor"), F.col("recipient").cast("string").alias("recipient"), "amount", "date")
+    f = cut(numbered(rows, "rank", "date", "flow_id"))
     nxt = f.select(F.col("donor").alias("at"), F.col("recipient").alias("to"), F.col("amount").alias("more"), F.col("date").alias("on"), F.col("rank").alias("next"))
     chain = f.select(F.array("rank").alias("ranks"), F.array("donor", "recipient").alias("nodes"), F.col("amount").alias("total"), F.col("date").alias("first_date"), F.col("date").alias("last_date"), F.col("recipient").alias("at"))
     if gap < 0 or least == 0:
@@ -37,7 +36,6 @@ def flow_chains(flows: DataFrame, gap: int, least: int = 2, deepest: int = 50) -
     path = F.array_join("nodes", "->")
     best = Window.partitionBy("path").orderBy("ranks")
     out = done.withColumn("path", path).withColumn("k", F.row_number().over(best)).filter("k = 1")
-    del spark
     return out.select("path", F.size("ranks").alias("n"), "total", "first_date", "last_date")
 
 

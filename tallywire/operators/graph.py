@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, numbered
 
 
 def nodes(edges: DataFrame) -> DataFrame:
@@ -111,7 +111,7 @@ def component_sizes(labelled: DataFrame) -> DataFrame:
 
 def component_communities(labelled: DataFrame) -> DataFrame:
     """(community, node): components numbered from 0 by their least node."""
-    ids = labelled.select("component").distinct().withColumn("community", F.row_number().over(Window.orderBy("component")) - 1)
+    ids = numbered(labelled.select("component").distinct(), "community", "component")
     return labelled.join(ids, "component").select("community", "node")
 
 

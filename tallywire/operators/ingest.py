@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import normalize as N
+from ..session import numbered
 from .dedup import dedup_records
 
 
@@ -18,7 +19,7 @@ def validation_errors(records: DataFrame, required: list[str]) -> DataFrame:
 
 def indexed(records: DataFrame) -> DataFrame:
     """Records numbered from 0 in order of arrival."""
-    return records.withColumn("record_index", F.row_number().over(Window.orderBy("seq")) - 1)
+    return numbered(records, "record_index", "seq")
 
 
 def normalized(records: DataFrame, names: list[str], amounts: list[str], dates: list[str], states: list[str]) -> DataFrame:

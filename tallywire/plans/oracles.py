@@ -198,7 +198,7 @@ SELECT array_to_string(nodes, '->') AS path, count(*) AS n FROM t WHERE loc = (S
     "shortest_path": _bfs(_WAY),
     "shortest_path_undirected": _bfs(_WAYS),
     "components": f"WITH RECURSIVE {_FLOWS}, {_COMP} SELECT * FROM comp",
-    "component_communities": f"WITH RECURSIVE {_FLOWS}, {_COMP} SELECT CAST(dense_rank() OVER (ORDER BY component) - 1 AS INTEGER) AS community, node FROM comp",
+    "component_communities": f"WITH RECURSIVE {_FLOWS}, {_COMP} SELECT dense_rank() OVER (ORDER BY component) - 1 AS community, node FROM comp",
     "dense_clusters": f"""WITH RECURSIVE {_FLOWS}, {_COMP}, z AS (SELECT component, count(*) AS size FROM comp GROUP BY 1), i AS (SELECT component, count(*) AS internal_edges FROM money JOIN comp ON src = node GROUP BY 1)
 SELECT component, size, internal_edges, round(CASE WHEN size > 1 THEN 2 * internal_edges / (size * (size - 1)) ELSE 0.0 END, 6) AS density FROM z JOIN i USING (component) WHERE size >= 2""",
     "modularity": f"""WITH RECURSIVE {_FLOWS}, {_COMP}, o AS (SELECT src, count(*) AS o FROM money GROUP BY 1), i AS (SELECT dst, count(*) AS i FROM money GROUP BY 1), m AS (SELECT count(*) AS m FROM money)
@@ -235,8 +235,8 @@ UNION ALL SELECT 'edge', '{{"data":{{"source":"' || src || '","target":"' || dst
     "content_hashes": "SELECT doc_id, h AS content_hash, left(h, 2) || '/' || substr(h, 3, 2) || '/' || h AS path FROM (SELECT doc_id, sha256(text) AS h FROM documents)",
     "doc_dedup": "SELECT sha256(text) AS content_hash, min(doc_id) AS first_id, count(*) AS copies FROM documents GROUP BY 1",
     "ingest_dedup_stats": f"WITH {_REC.format(cap=_ALL)} SELECT count(*) AS total_seen, count(*) - count(DISTINCT fingerprint) AS duplicates_skipped, count(DISTINCT fingerprint) AS unique_passed FROM fp",
-    "ingest_validation": f"WITH {_REC.format(cap=_ALL)} SELECT CAST(i AS INTEGER) AS record_index, 'amount' AS field, CASE WHEN amount IS NULL THEN 'missing' ELSE 'empty' END AS reason FROM kept WHERE amount IS NULL OR trim(amount) = ''",
-    "ingest_pipeline": f"""WITH {_REC.format(cap=1000)} SELECT CAST(i AS INTEGER) AS record_index, seq, array_to_string(list_transform(string_split(nm, ' '), lambda w: upper(left(w, 1)) || substr(w, 2)), ' ') AS name,
+    "ingest_validation": f"WITH {_REC.format(cap=_ALL)} SELECT CAST(i AS BIGINT) AS record_index, 'amount' AS field, CASE WHEN amount IS NULL THEN 'missing' ELSE 'empty' END AS reason FROM kept WHERE amount IS NULL OR trim(amount) = ''",
+    "ingest_pipeline": f"""WITH {_REC.format(cap=1000)} SELECT CAST(i AS BIGINT) AS record_index, seq, array_to_string(list_transform(string_split(nm, ' '), lambda w: upper(left(w, 1)) || substr(w, 2)), ' ') AS name,
   CASE WHEN amount LIKE '$%' THEN CAST(CAST(replace(replace(amount, '$', ''), 'K', '') AS BIGINT) * 1000 AS VARCHAR) ELSE amount END AS amount FROM kept""",
     "ingest_counters": f"WITH {_REC.format(cap=1000)} SELECT (SELECT count(*) FROM kept) AS processed, (SELECT count(*) FROM taken) - (SELECT count(*) FROM kept) AS skipped_duplicate, (SELECT count(*) FROM kept WHERE amount IS NULL OR trim(amount) = '') AS validation_errors",
     "person_fuzzy": f"""WITH p AS (SELECT p_partkey AS id, DATE '1950-01-01' + CAST(p_partkey % 5000 AS INTEGER) AS born, lower(split_part(p_name, ' ', 1)) AS f, lower(split_part(p_name, ' ', -1)) AS l FROM part),

@@ -6,7 +6,8 @@ import os
 import tempfile
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
 
@@ -58,3 +59,17 @@ def cut(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
+
+
+def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
+    """df with a row's place from 0 on in an order of columns, without bringing all rows into one task.
+
+    Rows are dealt out by ranges of the order; a range's rows are numbered by themselves and begin where the ranges
+    before it end. The ranges are written first, since a second run could draw them elsewhere.
+    """
+    dealt = cut(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    ranges = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
+    ahead = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = F.broadcast(ranges.select("_range", ahead.alias("_ahead")))  # a row for each partition
+    k = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    return dealt.withColumn("_k", k).join(starts, "_range").withColumn(name, (F.col("_k") + F.col("_ahead")).cast("bigint")).drop("_range", "_k", "_ahead")
