@@ -12,7 +12,7 @@ from .components import components
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _words: dict[bytes, int] = {}
-_WORDS = 1_000_000
+_WORDS = 300_000
 
 
 def _word_hashes(words: list[bytes]) -> np.ndarray:
