@@ -68,6 +68,28 @@ def runs_of(texts: list[bytes], width: int) -> tuple[np.ndarray, ...]:
     return text, s - heads[text], np.diff(np.r_[first, len(start)]), a[first] - s, hash_[s]
 
 
+def pack_runs(text, s, n, d, h) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, number, hash) of runs; runs of one anchor's string that follow on each other are one number.
+
+    A text that repeats a short piece over and over has the same run over and over, each right behind the one before.
+    The number holds how many follow (16 bits), the first window (32), the windows of each (7), the anchor's offset (7).
+    """
+    if not len(s):
+        return text, s, h
+    new = np.r_[True, (np.diff(text) != 0) | (np.diff(h) != 0) | (np.diff(n) != 0) | (np.diff(d) != 0) | (np.diff(s) != n[:-1])]
+    at = np.flatnonzero(new)
+    place = np.arange(len(s)) - np.repeat(at, np.diff(np.r_[at, len(s)]))
+    new |= place % (1 << 16) == 0
+    at = np.flatnonzero(new)
+    follow = np.diff(np.r_[at, len(s)]) - 1
+    return text[at], (follow << 46) | (s[at] << 14) | (n[at] << 7) | d[at], h[at]
+
+
+def unpack(number: int) -> tuple[int, int, int, int]:
+    """(runs, first window, windows of each, anchor's offset)."""
+    return ((number >> 46) & 0xFFFF) + 1, (number >> 14) & 0xFFFFFFFF, (number >> 7) & 127, number & 127
+
+
 def _lcp(a: bytes, b: bytes) -> int:
     m = min(len(a), len(b))
     x = int.from_bytes(a[:m], "big") ^ int.from_bytes(b[:m], "big")
@@ -202,6 +224,17 @@ def _flag_batch(rows) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc", "th", "start", "windows"])
 
 
+def _chained(repeats: list[tuple]) -> list[tuple]:
+    """Sorted runs of repeated windows (doc, th, first window, windows), those of one text that touch made one."""
+    out: list[tuple] = []
+    for doc, th, s, n in sorted(repeats):
+        if out and out[-1][0] == doc and out[-1][1] == th and s <= out[-1][2] + out[-1][3]:
+            out[-1] = (doc, th, out[-1][2], max(out[-1][3], s + n - out[-1][2]))
+        else:
+            out.append((doc, th, s, n))
+    return out
+
+
 class _First:
     """The first place of each string; every other place is passed on as a repeat."""
 
@@ -251,13 +284,13 @@ def remove_repeats(docs: DataFrame, width: int = 100, id_col: str = "doc_id", te
                     seen.add(t), keep.append(k)
             for j in range(0, len(keep), 1000):
                 part = keep[j : j + 1000]
-                text, s, n, d, h = runs_of([raw[k] for k in part], width)
+                text, number, h = pack_runs(*runs_of([raw[k] for k in part], width))
                 ids = np.array([th[k] for k in part], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[text] if len(text) else text), pa.array((s << 14) | (n << 7) | d)], ["anchor", "th", "pack"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[text] if len(text) else text), pa.array(number)], ["anchor", "th", "pack"])
 
     anchors = rows.select("th", "text").mapInArrow(runs, "anchor long, th long, pack long")
     same = Window.partitionBy("anchor")
-    again = anchors.withColumns({"n": F.count("*").over(same), "a": F.min("th").over(same), "z": F.max("th").over(same), "p": F.min("pack").over(same), "q": F.max("pack").over(same)}).filter("a <> z or p <> q")
+    again = anchors.withColumns({"n": F.sum(F.shiftright("pack", 46) + 1).over(same), "a": F.min("th").over(same), "z": F.max("th").over(same), "p": F.min("pack").over(same), "q": F.max("pack").over(same)}).filter("a <> z or p <> q or shiftright(q, 46) > 0")
     hot = F.when(F.col("n") > HOT, F.lit(1 << 62)).otherwise(F.lit(0)).cast("long")
     wanted = again.select("th", F.col("pack").bitwiseOR(hot).alias("pack")).groupBy("th").agg(F.collect_set("pack").alias("packs"))
     wanted = stash(wanted.join(first, "th"), "wanted")
@@ -275,17 +308,18 @@ def remove_repeats(docs: DataFrame, width: int = 100, id_col: str = "doc_id", te
             whole, single, repeats = _First(), _First(), []
             for doc, th, raw, packs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), as_bytes(b.column(2)), b.column(3).to_pylist(), strict=True):
                 for p in packs:
-                    s, n, d = (p & ~(1 << 62)) >> 14, (p >> 7) & 127, p & 127
-                    if s + n - 1 + width > len(raw):
-                        continue
-                    if p >> 62:
-                        for k in range(n):
-                            single.offer(raw[s + k : s + k + width], (doc, th, s + k, 1, d - k), repeats)
-                    else:
-                        whole.offer(bytes([d]) + raw[s : s + n - 1 + width], (doc, th, s, n, d), repeats)
+                    runs_, first_, n, d = unpack(p)
+                    for s in range(first_, first_ + runs_ * n, n):
+                        if s + n - 1 + width > len(raw):
+                            break
+                        if p >> 62:
+                            for k in range(n):
+                                single.offer(raw[s + k : s + k + width], (doc, th, s + k, 1, d - k), repeats)
+                        else:
+                            whole.offer(bytes([d]) + raw[s : s + n - 1 + width], (doc, th, s, n, d), repeats)
             out = [(signed(xxh3_64_intdigest(k[1:][k[0] : k[0] + GRAM])), *v, k[1:]) for k, v in whole.at.items()]
             out += [(signed(xxh3_64_intdigest(k, seed=1)), *v, k) for k, v in single.at.items()]
-            out += [(None, *r, None, None) for r in repeats]
+            out += [(None, *r, None, None) for r in _chained(repeats)]
             for k in range(0, len(out), 20_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[k : k + 20_000], strict=True), kinds, strict=True)], route_names)
 
@@ -311,7 +345,7 @@ def remove_repeats(docs: DataFrame, width: int = 100, id_col: str = "doc_id", te
                 new = np.flatnonzero(np.r_[True, (np.diff(whose) != 0) | (np.diff(which) != 1)][: len(whose)])
                 for w, j, n in zip(whose[new].tolist(), which[new].tolist(), np.diff(np.r_[new, len(whose)]).tolist(), strict=True):
                     repeats.append((rest[w][0], rest[w][1], rest[w][2] + j, n))
-            return _flag_batch(repeats)
+            return _flag_batch(_chained(repeats))
 
         now = None
         for b in batches:
