@@ -157,7 +157,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     merged = near.repartition("digest").mapInArrow(_index, LIVE)
     # a task that passed its memory bound has left more than one row of a digest
     live = merged.groupBy("digest").agg(F.max(F.struct("chars", (-F.col("doc").cast("decimal(20,0)")).alias("o"), "doc")).getField("doc").alias("keep"), F.sum("copies").alias("group_size"))
-    shared = live.filter("group_size > 1")
+    # written, so that both sides of the join are plain scans: a digest of very many rows can then be split
+    shared = stash(live.filter("group_size > 1").select("digest", "keep", "group_size"), "shared")
     out = ids.join(shared, "digest", "left")
     keep = F.coalesce("keep", "doc")
     null = lambda c: F.when(c != NULL_ID, c)
