@@ -1,4 +1,4 @@
-"""Benchmark items inside documents, also edited ones: random-walk embedding, bit sampling, exact edit distance."""
+"""Benchmark items inside documents, also edited ones: unedited pieces, exact edit distance."""
 
 from __future__ import annotations
 
@@ -7,148 +7,112 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, as_bytes, id_column, mix64, prepare, ragged
+from .common import NULL_ID, as_bytes, id_column, mix64, prepare
 from .minhash import _word_hashes
 
 #: Lower case for A-Z; other ASCII than letters and digits separates words.
 _FOLD = bytes((b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32) for b in range(256))
-_GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: bytes) -> list[bytes]:
     return text.translate(_FOLD).split()
 
 
-class WalkIndex:
-    """Windows of items under a CGK embedding and sampled positions of it.
+class PieceIndex:
+    """Pieces of items, by which every place where an item may stand within its allowed edits is found.
 
-    A walk reads a window from its start. In each step it puts out the word it stands on, and a random bit of the word
-    and the step says whether it moves on; so a walk falls in step again after an edit, and few edits mean few
-    different positions. A repetition has bits of its own and samples `picks` positions of the first `steps`; windows
-    that agree in all of them are candidates. Every item has a window from each of its words that leaves room for the
-    walk, documents one from every `stride`-th word, so some pair of windows is aligned, wherever the item stands.
+    An item that may have e edits is cut into e + 1 pieces of equal size, give or take a word. An edit touches one
+    piece at most, so one of them stands unedited in every occurrence, at most e words from its own place: looking up
+    the words from every start of a document, at each size of a piece, misses no occurrence.
     """
 
-    STEPS = ((16, 9), (32, 14))  # length classes: steps of the walk, sampled positions
-
-    def __init__(self, items: list[tuple[int, bytes]], repetitions: int = 4, stride: int = 4, share: float = 0.2, seed: int = 1):
-        self.repetitions, self.stride, self.share = repetitions, stride, share
-        rng = np.random.default_rng(seed)
-        self.seeds = rng.integers(1, 2**63, repetitions).astype(np.uint64)
-        self.picks = [[np.isin(np.arange(steps), rng.choice(steps, n, replace=False)) for steps, n in self.STEPS] for _ in range(repetitions)]
+    def __init__(self, items: list[tuple[int, bytes]], share: float = 0.2):
+        self.share = share
         self.ids = [i for i, _ in items]
-        split = [words_of(t) for _, t in items]
-        self.words = [_word_hashes(w) for w in split]
-        self.short: dict[int, dict[int, list[int]]] = {}
-        keys, whose, shift = [], [], []
+        self.words = [_word_hashes(words_of(t)) for _, t in items]
+        by_size: dict[int, list[tuple[int, int]]] = {}
         for k, w in enumerate(self.words):
-            if not self.walkable(len(w)):
-                if len(w):
-                    self.short.setdefault(len(w), {}).setdefault(int(self._whole(w, len(w))[0]), []).append(k)
-                continue
-            starts = np.arange(len(w))
-            for c, per in enumerate(self._keys(w, starts)):
-                ok = starts + self.reach(self.STEPS[c][0]) <= len(w)
-                for x in per:
-                    keys.append(x[ok]), whose.append(np.full(ok.sum(), k)), shift.append(starts[ok])
+            pieces = min(self.allowed(len(w)) + 1, len(w))
+            for i in range(pieces):
+                at, end = len(w) * i // pieces, len(w) * (i + 1) // pieces
+                by_size.setdefault(end - at, []).append((k, at))
+        self.sizes = sorted(by_size)
+        keys = [self._piece(self.words[k][at : at + n], n) for n in self.sizes for k, at in by_size[n]]
         self.keys = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-        whose_, shift_ = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (whose, shift))
+        whose = np.array([x for n in self.sizes for x in by_size[n]], np.int64).reshape(-1, 2)
         order = np.argsort(self.keys, kind="stable")
-        self.keys, self.whose, self.shift = self.keys[order], whose_[order], shift_[order]
+        self.keys, self.whose, self.shift = self.keys[order], whose[order, 0], whose[order, 1]
         self.bits = max(16, int(len(self.keys) * 16).bit_length())
         self.hot = np.zeros(1 << self.bits, bool)
         self.hot[(self.keys >> np.uint64(64 - self.bits)).astype(np.int64)] = True
 
-    @staticmethod
-    def reach(steps: int) -> int:
-        """Words that a walk of so many steps reads with probability 0.98 at most."""
-        return int(np.ceil(steps / 2 + np.sqrt(steps)))
-
     def walkable(self, n: int) -> bool:
-        return n >= self.reach(self.STEPS[0][0]) + self.stride - 1
+        return n >= 15
 
     def allowed(self, n: int) -> int:
         """Edits that an item of n words may have; short items must occur as they are."""
-        return int(self.share * n) if self.walkable(n) else 0
+        return int(self.share * n + 1e-9) if self.walkable(n) else 0
 
     @staticmethod
-    def _whole(w: np.ndarray, n: int) -> np.ndarray:
-        h = np.zeros(max(len(w) - n + 1, 0), np.uint64)
+    def _piece(w: np.ndarray, n: int) -> np.ndarray:
+        """Hash of the n words from each start that has as many."""
+        if len(w) < n:
+            return np.zeros(0, np.uint64)
+        h = np.full(len(w) - n + 1, np.uint64(n))
         with np.errstate(over="ignore"):
             for k in range(n):
                 h = h * np.uint64(0x100000001B3) + w[k : len(w) - n + 1 + k]
-        return h
-
-    def _keys(self, w: np.ndarray, starts: np.ndarray) -> list[list[np.ndarray]]:
-        """By length class, by repetition: the key of the window at each start."""
-        out: list[list[np.ndarray]] = [[] for _ in self.STEPS]
-        longest = self.STEPS[-1][0]
-        padded = np.r_[w, np.zeros(longest + 1, np.uint64)]
-        with np.errstate(over="ignore"):
-            for r in range(self.repetitions):
-                h = mix64(padded ^ self.seeds[r])
-                at = starts.astype(np.int64)
-                key = [np.full(len(starts), np.uint64(c + 1) * self.seeds[r], np.uint64) for c in range(len(self.STEPS))]
-                for j in range(longest):
-                    x = h[at]
-                    for c, (steps, _) in enumerate(self.STEPS):
-                        if j < steps and self.picks[r][c][j]:
-                            key[c] = (key[c] ^ x) * _GOLD
-                            key[c] ^= key[c] >> np.uint64(29)
-                    at = at + ((x >> np.uint64(j + 16)) & np.uint64(1)).astype(np.int64)
-                for c in range(len(self.STEPS)):
-                    out[c].append(mix64(key[c]))
-        return out
+            return mix64(h)
 
     def candidates(self, docs: list[np.ndarray]) -> list[set[tuple[int, int]]]:
-        """For each document (item, place where it would begin). All documents' windows are embedded at once."""
+        """For each document (item, place where it would begin). All documents are looked up at once."""
         found: list[set[tuple[int, int]]] = [set() for _ in docs]
-        for n, whole in self.short.items():
-            known = np.array(sorted(whole), np.uint64)
-            for d, w in enumerate(docs):
-                h = self._whole(w, n)
-                for p in np.flatnonzero(np.isin(h, known)).tolist():
-                    found[d].update((k, p) for k in whole[int(h[p])])
-        gap = np.zeros(self.STEPS[-1][0] + 1, np.uint64)
+        gap = np.zeros(1, np.uint64)
         size = np.array([len(w) for w in docs], np.int64)
-        heads = np.cumsum(size + len(gap)) - (size + len(gap))
-        counts = -(-size // self.stride)
-        starts = ragged(np.zeros(len(docs), np.int64), counts) * self.stride + np.repeat(heads, counts)
-        if not len(starts) or not len(self.keys):
-            return found
-        flat = np.concatenate([x for w in docs for x in (w, gap)])
-        for k in range(0, len(starts), 1 << 15):
-            part = starts[k : k + (1 << 15)]
-            for per in self._keys(flat, part):
-                for x in per:
-                    maybe = np.flatnonzero(self.hot[(x >> np.uint64(64 - self.bits)).astype(np.int64)])
-                    lo = np.searchsorted(self.keys, x[maybe])
-                    hi = np.searchsorted(self.keys, x[maybe], side="right")
-                    good = hi > lo
-                    where = part[maybe[good]]
-                    owner = np.searchsorted(heads, where, side="right") - 1
-                    for d, p, a, b in zip(owner.tolist(), (where - heads[owner]).tolist(), lo[good].tolist(), hi[good].tolist(), strict=True):
-                        found[d].update(zip(self.whose[a:b].tolist(), (p - self.shift[a:b]).tolist(), strict=True))
+        heads = np.cumsum(size + 1) - (size + 1)
+        flat = np.concatenate([x for w in docs for x in (w, gap)]) if docs else gap
+        for n in self.sizes:
+            x = self._piece(flat, n)
+            maybe = np.flatnonzero(self.hot[(x >> np.uint64(64 - self.bits)).astype(np.int64)])
+            lo = np.searchsorted(self.keys, x[maybe])
+            hi = np.searchsorted(self.keys, x[maybe], side="right")
+            good = hi > lo
+            where = maybe[good]
+            owner = np.searchsorted(heads, where, side="right") - 1
+            for d, p, a, b in zip(owner.tolist(), (where - heads[owner]).tolist(), lo[good].tolist(), hi[good].tolist(), strict=True):
+                found[d].update(zip(self.whose[a:b].tolist(), (p - self.shift[a:b]).tolist(), strict=True))
         return found
 
     def hits(self, w: np.ndarray, candidates: set[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
         """(item id, first word, words, edits) of each item that occurs in w: its occurrence of fewest edits, then the first."""
-        best: dict[int, tuple[int, int, int]] = {}
+        stretches: dict[int, list[list[int]]] = {}
         for k, p in sorted(candidates):
+            n = len(self.words[k])
+            most = self.allowed(n)
+            lo, hi = max(0, p - most), p + n + most
+            own = stretches.setdefault(k, [])
+            if own and lo <= own[-1][1]:  # places nearby share one stretch
+                own[-1][1] = hi
+            else:
+                own.append([lo, hi])
+        best: dict[int, tuple[int, int, int]] = {}
+        for k, own in stretches.items():
             item = self.words[k]
             most = self.allowed(len(item))
-            if k in best and (best[k][0] == 0 or abs(best[k][1] - p) <= most):
-                continue
-            lo = max(0, p - most)
-            # each word of the item that is not edited stands in the stretch
-            if np.isin(item, w[lo : p + len(item) + most]).sum() < len(item) - most:
-                continue
-            got = align(item, w[lo : p + len(item) + most])
-            if got[0] <= most and (k not in best or got[0] < best[k][0]):
-                best[k] = got[0], lo + got[1], got[2]
+            for lo, hi in own:
+                # each word of the item that is not edited stands in the stretch
+                if np.isin(item, w[lo:hi]).sum() < len(item) - most:
+                    continue
+                got = align(item, w[lo:hi])
+                if got[0] <= most and (k not in best or got[0] < best[k][0]):
+                    best[k] = got[0], lo + got[1], got[2]
         return [(self.ids[k], s, n, e) for k, (e, s, n) in sorted(best.items())]
 
 
+#: The index by its former name.
+WalkIndex = PieceIndex
+
+
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     """Least edit distance in words of the item to a stretch of the text: (edits, first word, words)."""
     n = len(text)
@@ -172,14 +136,13 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
 
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
-    share: float = 0.2, repetitions: int = 4, block: int = 20_000,
+    share: float = 0.2, block: int = 20_000,
 ) -> DataFrame:
     """One row per document and benchmark item that occurs in it: (id, item_id, first_word, n_words, edits).
 
     An item occurs where a stretch of the document's words is within share * (words of the item) word edits of it; items
     of fewer than 15 words must occur as they are. Words are runs of ASCII letters and digits and of all other
-    characters beyond ASCII, in lower case for A-Z. Unedited items are found always; edited ones with high probability:
-    each of the repetitions, at each aligned place, is one more chance.
+    characters beyond ASCII, in lower case for A-Z. Every item that so occurs is found.
 
     Null texts are empty and match nothing, nor do items without a word or with a null id; a null document id comes
     back as null. Repeated rows give repeated results, of repeated items one. Further columns are ignored; with an
@@ -200,7 +163,7 @@ def contaminated(
         shared = spark.sparkContext.broadcast([(r.item, r.text.encode()) for r in part])
 
         def run(batches, shared=shared):
-            index = WalkIndex(shared.value, repetitions, share=share)
+            index = PieceIndex(shared.value, share)
             for b in batches:
                 cols: list[list] = [[] for _ in range(5)]
                 ids, raw = b.column(0).to_pylist(), as_bytes(b.column(1))

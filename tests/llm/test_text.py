@@ -223,6 +223,28 @@ def test_hits_equal_brute_force(bench):
             assert align(item, w)[0] <= edits <= index.allowed(len(item)) and align(item, w[start : start + n])[0] == edits
 
 
+def edited(item, edits, r):
+    """The words with so many of them replaced, dropped or doubled, each edit at a word of its own."""
+    out = [[x] for x in item]
+    for at in r.sample(range(len(item)), edits):
+        out[at] = r.choice([["zz"], [], [item[at], "qq"]])
+    return [x for part in out for x in part]
+
+
+@pytest.mark.parametrize("n", [15, 16, 18, 20, 25, 30, 45, 60])
+def test_all_items_at_the_bound_are_found(n):
+    r = random.Random(n)
+    say = lambda k: [f"w{r.randrange(500)}" for _ in range(k)]
+    items = [say(n) for _ in range(100)]
+    index = WalkIndex([(i, " ".join(w).encode()) for i, w in enumerate(items)])
+    docs = [_word_hashes([x.encode() for x in say(r.randint(0, 40)) + edited(w, n // 5, r) + say(r.randint(0, 40))]) for w in items]
+    for i, (w, near) in enumerate(zip(docs, index.candidates(docs), strict=True)):
+        got = {k: e for k, _, _, e in index.hits(w, near)}
+        assert i in got
+        if i < 5:
+            assert got == {k: e for k, item in enumerate(index.words) if (e := align(item, w)[0]) <= n // 5}
+
+
 def kn_brute(texts, order):
     """p(symbol | history) by the textbook, over the symbols of the texts."""
     from collections import Counter
