@@ -32,7 +32,7 @@ class PieceIndex:
         self.words = [_word_hashes(words_of(t)) for _, t in items]
         by_size: dict[int, list[tuple[int, int]]] = {}
         for k, w in enumerate(self.words):
-            pieces = min(self.allowed(len(w)) + 1, len(w))
+            pieces = self.allowed(len(w)) + 1 if len(w) else 0
             for i in range(pieces):
                 at, end = len(w) * i // pieces, len(w) * (i + 1) // pieces
                 by_size.setdefault(end - at, []).append((k, at))
@@ -46,12 +46,9 @@ class PieceIndex:
         self.hot = np.zeros(1 << self.bits, bool)
         self.hot[(self.keys >> np.uint64(64 - self.bits)).astype(np.int64)] = True
 
-    def walkable(self, n: int) -> bool:
-        return n >= 15
-
     def allowed(self, n: int) -> int:
-        """Edits that an item of n words may have; short items must occur as they are."""
-        return int(self.share * n + 1e-9) if self.walkable(n) else 0
+        """Edits that an item of n words may have, so that one word at least is its own."""
+        return max(min(int(self.share * n + 1e-9), n - 1), 0)
 
     @staticmethod
     def _piece(w: np.ndarray, n: int) -> np.ndarray:
@@ -140,8 +137,8 @@ def contaminated(
 ) -> DataFrame:
     """One row per document and benchmark item that occurs in it: (id, item_id, first_word, n_words, edits).
 
-    An item occurs where a stretch of the document's words is within share * (words of the item) word edits of it; items
-    of fewer than 15 words must occur as they are. Words are runs of ASCII letters and digits and of all other
+    An item occurs where a stretch of the document's words is within share * (words of the item) word edits of it, at any
+    size of item; one word of it at least is unedited. Words are runs of ASCII letters and digits and of all other
     characters beyond ASCII, in lower case for A-Z. Every item that so occurs is found.
 
     Null texts are empty and match nothing, nor do items without a word or with a null id; a null document id comes

@@ -38,7 +38,7 @@ def shingle_sets(texts: list[bytes], width: int = 5) -> list[np.ndarray]:
     ends = np.cumsum(n)
     with np.errstate(over="ignore"):
         roll = np.zeros(max(len(flat) - width + 1, 0), np.uint64)
-        for k in range(width):
+        for k in range(width if len(roll) else 0):
             roll = roll * np.uint64(0x100000001B3) + flat[k : len(flat) - width + 1 + k]
         roll = mix64(roll)
         out = []

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import zlib
@@ -43,6 +44,17 @@ def member(record: bytes, level: int = 1) -> bytes:
     return out if out[-1] == 0 else out + NOTHING
 
 
+def _agrees(said: str, data: bytes) -> bool | None:
+    """Whether a digest header, its value in hexadecimal or base 32, is that of the data; None of an algorithm not computed here."""
+    name, _, value = said.partition(":")
+    name = name.strip().lower().replace("-", "")
+    if not value or name not in ("md5", "sha1", "sha256", "sha512"):
+        return None
+    own = hashlib.new(name, data, usedforsecurity=False).digest()
+    value = value.strip().lower().rstrip("=")
+    return value in (own.hex(), base64.b32encode(own).decode().lower().rstrip("="))
+
+
 class Damaged(ValueError):
     """A record that fails a check."""
 
@@ -70,8 +82,7 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict, bytes, int]:
         raise Damaged("block is cut short")
     if data[start + size : start + size + 4] != b"\r\n\r\n":
         raise Damaged("record does not end where its length says")
-    said = heads.get("warc-block-digest", "")
-    if said.startswith("sha256:") and said[7:] != hashlib.sha256(block).hexdigest():
+    if _agrees(heads.get("warc-block-digest", ""), block) is False:
         raise Damaged("block digest differs")
     return heads, block, start + size + 4
 
@@ -130,11 +141,42 @@ def salvage(data: bytes) -> Iterator[tuple[str, int, int, object]]:
         yield "gap", gap, len(data) - gap, why
 
 
-def _payload(heads: dict, block: bytes) -> tuple[int, str]:
-    """Size and SHA-256 of the full payload; a revisit's are what its headers say of it."""
+def _is_http(heads: dict, block: bytes) -> bool:
+    kind = heads.get("content-type")
+    return block.startswith(b"HTTP/") if kind is None else kind.lower().startswith("application/http")
+
+
+def _body(heads: dict, block: bytes) -> bytes:
+    """The block, without the HTTP headers if it is an HTTP message."""
+    if not _is_http(heads, block):
+        return block
+    end = block.find(b"\r\n\r\n")
+    return block[end + 4 :] if end >= 0 else b""
+
+
+def _unchunk(body: bytes) -> bytes:
+    out, k = [], 0
+    while m := re.compile(rb"([0-9A-Fa-f]+)[^\r\n]*\r\n").match(body, k):
+        n = int(m[1], 16)
+        out.append(body[m.end() : m.end() + n])
+        k = m.end() + n + 2
+    return b"".join(out)
+
+
+def _differs(heads: dict, block: bytes, body: bytes) -> bool:
+    """Whether the payload digest is not that of the payload. Of a chunked message it may be that of the joined chunks; a segment's is that of the whole."""
+    said = heads.get("warc-payload-digest", "")
+    if heads.get("warc-type") in ("revisit", "continuation") or "warc-segment-number" in heads or _agrees(said, body) is not False:
+        return False
+    chunked = _is_http(heads, block) and re.search(rb"\r\ntransfer-encoding:[^\r\n]*chunked", block[: len(block) - len(body)], re.IGNORECASE)
+    return not (chunked and _agrees(said, _unchunk(body)))
+
+
+def _payload(heads: dict, body: bytes) -> tuple[int | None, str | None]:
+    """Size and SHA-256 of the full payload; a revisit's are what its headers say of it, null if they do not."""
     if heads.get("warc-type") == "revisit":
-        return int(heads["x-payload-length"]), heads["warc-payload-digest"].partition(":")[2]
-    body = block[block.find(b"\r\n\r\n") + 4 :]
+        size = heads.get("x-payload-length", "")
+        return int(size) if size.isdigit() else None, heads.get("warc-payload-digest", "").partition(":")[2] or None
     return len(body), hashlib.sha256(body).hexdigest()
 
 
@@ -187,7 +229,7 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = False) -> DataFra
     """All records and quarantined gaps of the archives below `path`, gzipped or plain.
 
     kind is 'record' or 'gap'; a gap has the reason of the first check that failed. A record whose payload is not the
-    one its digest says is quarantined too. `payloads` adds the bytes of responses. An empty folder has no rows.
+    one its digest says (MD5, SHA-1, SHA-256 or SHA-512) is quarantined too. Only HTTP messages lose their headers. `payloads` adds the bytes of responses. An empty folder has no rows.
     """
     prepare(spark)
 
@@ -198,15 +240,15 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = False) -> DataFra
                 for kind, at, n, x in salvage(data):
                     if kind == "record":
                         heads, block = x
-                        size, digest = _payload(heads, block)
-                        said = heads.get("warc-payload-digest", "").partition(":")[2]
-                        if said and said != digest:
+                        body = _body(heads, block)
+                        size, digest = _payload(heads, body)
+                        if _differs(heads, block, body):
                             kind, x = "gap", "payload digest differs"
                     if kind == "gap":
                         rows.append((name, at, n, "gap", x, None, None, None, None, None, None, None))
                     else:
                         bare = lambda k: None if (v := heads.get(k)) is None else re.sub(r"^<urn:page:|>$", "", v)  # noqa: E731, B023
-                        rows.append((name, at, n, "record", None, bare("warc-record-id"), heads.get("warc-type"), heads.get("warc-target-uri"), size, digest, bare("warc-refers-to"), block[block.find(b"\r\n\r\n") + 4 :] if payloads and heads.get("warc-type") == "response" else None))
+                        rows.append((name, at, n, "record", None, bare("warc-record-id"), heads.get("warc-type"), heads.get("warc-target-uri"), size, digest, bare("warc-refers-to"), body if payloads and heads.get("warc-type") == "response" else None))
                     if len(rows) >= 1000:
                         yield _records(rows)
                         rows = []

@@ -245,6 +245,20 @@ def test_all_items_at_the_bound_are_found(n):
             assert got == {k: e for k, item in enumerate(index.words) if (e := align(item, w)[0]) <= n // 5}
 
 
+@pytest.mark.parametrize("n", [5, 6, 7, 9, 10, 12, 14])
+def test_short_items_may_be_edited(n):
+    r = random.Random(n)
+    say = lambda k: [f"w{r.randrange(200)}" for _ in range(k)]
+    items = [say(n) for _ in range(60)]
+    index = WalkIndex([(i, " ".join(w).encode()) for i, w in enumerate(items)])
+    docs = [_word_hashes([x.encode() for x in say(r.randint(0, 20)) + edited(w, n // 5, r) + say(r.randint(0, 20))]) for w in items]
+    for i, (w, near) in enumerate(zip(docs, index.candidates(docs), strict=True)):
+        got = {k: e for k, _, _, e in index.hits(w, near)}
+        assert i in got
+        if i < 5:
+            assert got == {k: e for k, item in enumerate(index.words) if (e := align(item, w)[0]) <= n // 5}
+
+
 def kn_brute(texts, order):
     """p(symbol | history) by the textbook, over the symbols of the texts."""
     from collections import Counter

@@ -1,3 +1,4 @@
+import base64
 import datetime as dt
 import gzip
 import hashlib
@@ -122,6 +123,29 @@ def test_salvage_recovers_later_records(zipped):
         assert at == len(data)
 
 
+def foreign(kind, block, *heads):
+    return "\r\n".join(["WARC/1.0", f"WARC-Type: {kind}", "WARC-Record-ID: <urn:x:1>", "WARC-Date: 2024-01-01T00:00:00Z", f"Content-Length: {len(block)}", *heads]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_records_of_other_writers(spark, tmp_path):
+    body, http = b"<p>a\r\n\r\nb</p>", b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n"
+    sha1 = lambda x: "sha1:" + base64.b32encode(hashlib.sha1(x).digest()).decode()
+    of_http = "Content-Type: application/http; msgtype=response"
+    parts = [
+        foreign("warcinfo", b"software: x\r\n", "Content-Type: application/warc-fields"),
+        foreign("response", http + body, of_http, f"WARC-Payload-Digest: {sha1(body)}", f"WARC-Block-Digest: {sha1(http + body)}"),
+        foreign("response", http[:-2] + b"Transfer-Encoding: chunked\r\n\r\n3\r\nabc\r\n2\r\nde\r\n0\r\n\r\n", of_http, f"WARC-Payload-Digest: {sha1(b'abcde')}"),
+        foreign("resource", body, "Content-Type: text/html", "WARC-Payload-Digest: blake3:00"),
+        foreign("conversion", b"text", "Content-Type: text/plain", f"WARC-Payload-Digest: {sha1(b'text')}"),
+        foreign("revisit", http, of_http, f"WARC-Payload-Digest: {sha1(body)}"),
+        foreign("response", http + body, of_http, f"WARC-Payload-Digest: {sha1(b'other')}"),
+    ]
+    (tmp_path / "a.warc").write_bytes(b"".join(parts))
+    got = read_warc(spark, str(tmp_path), payloads=True).orderBy("offset").collect()
+    assert [(r.kind, r.record_type, r.payload_bytes) for r in got] == [("record", "warcinfo", 13), ("record", "response", len(body)), ("record", "response", 20), ("record", "resource", len(body)), ("record", "conversion", 4), ("record", "revisit", None), ("gap", None, None)]
+    assert got[1].payload == body and got[3].payload_digest == hashlib.sha256(body).hexdigest() and got[5].payload_digest == sha1(body)[5:]
+
+
 def test_members_are_gzip():
     x = records(1)[0]
     assert gzip.decompress(member(x)) == x and member(x)[-1] == 0
