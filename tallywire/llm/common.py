@@ -45,8 +45,17 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_rows(df: DataFrame, name: str = "row") -> DataFrame:
+    """df with a number of its own for each row, written to the shared folder: numbers made in a scan are only good once written."""
+    return stash(df.withColumn(name, F.monotonically_increasing_id()), "rows")
+
+
 def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished jobs now rather than at the driver's next garbage collection."""
+    """Let Spark delete the shuffle files of finished jobs now rather than at the driver's next garbage collection.
+
+    A finished round's shuffle files are referenced by cyclic objects of the driver's Python and JVM, which nothing
+    else frees soon; loops that shuffle as much as their input each round would fill the disks.
+    """
     import gc
 
     gc.collect()

@@ -11,7 +11,6 @@ from tallywire.llm import pii
 from tallywire.llm.decontaminate import WalkIndex, align, contaminated, words_of
 from tallywire.llm.minhash import _word_hashes
 from tallywire.llm.packing import Packer, pack
-from tallywire.llm.quality import CLASSES, ORDER, Scorer, classes_of, grams, kneser_ney, perplexity_verdicts
 from tallywire.llm.token_counts import RankMerger, WordCounter, token_counts
 
 ODD = ["", " ", "\n", " a", "a ", "a\n", "\na", "a\n b", "a \nb", "a  b", "a\tb c", "x<|endoftext|>y z", "don't we'll I'M", "a\x00b c", "a\x1cb d", "日本語 12345 6", "ΑΣ ΣΑΣ Σ", "İstanbul é ́x", "🙂🙂 --!!??##$$", "a" * 3000, "aaaa " * 300, "a　b\x85c", "'s't"]
@@ -257,69 +256,3 @@ def test_short_items_may_be_edited(n):
         assert i in got
         if i < 5:
             assert got == {k: e for k, item in enumerate(index.words) if (e := align(item, w)[0]) <= n // 5}
-
-
-def kn_brute(texts, order):
-    """p(symbol | history) by the textbook, over the symbols of the texts."""
-    from collections import Counter
-
-    counts = {order: Counter()}
-    for t in texts:
-        s = [63] * (order - 1) + classes_of([t])[0].tolist()
-        counts[order].update(tuple(s[i : i + order]) for i in range(len(s) - order + 1))
-    for k in range(order - 1, 0, -1):
-        counts[k] = Counter(g[1:] for g in counts[k + 1])
-    disc = {}
-    for k, c in counts.items():
-        n = [sum(v == i for v in c.values()) for i in range(5)]
-        y = n[1] / (n[1] + 2 * n[2]) if n[1] + 2 * n[2] else 0.5
-        d = [min(max(v, 0.1), i) for i, v in ((1, 1 - 2 * y * n[2] / max(n[1], 1)), (1.9, 2 - 3 * y * n[3] / max(n[2], 1)), (2.9, 3 - 4 * y * n[4] / max(n[3], 1)))]
-        disc[k] = [0, min(d[0], 0.95), d[1], d[2]]
-
-    def p(g):
-        k = len(g)
-        if k == 0:
-            return 1 / CLASSES
-        seen = [v for h, v in counts[k].items() if h[:-1] == g[:-1]]
-        if not seen:
-            return p(g[1:])
-        c = counts[k].get(g, 0)
-        own = (c - disc[k][min(c, 3)]) if c else 0
-        return own / sum(seen) + sum(disc[k][min(v, 3)] for v in seen) / sum(seen) * p(g[1:])
-
-    return p
-
-
-def test_kneser_ney_is_the_textbook(spark):
-    texts = ["the cat sat on the mat.", "the dog sat, the cat ran!", "A cat\nand a dog", "12 cats é"]
-    g = np.concatenate([grams([t])[0] for t in texts])
-    values, n = np.unique(g, return_counts=True)
-    model = []
-    for p, gamma in kneser_ney(spark.createDataFrame(list(zip(values.tolist(), n.tolist(), strict=True)), "gram bigint, c bigint")):
-        a, b = p.toArrow(), gamma.toArrow()
-        model.append((a["gram"].to_numpy(), a["p"].to_numpy().astype(np.float32), b["context"].to_numpy(), b["gamma"].to_numpy().astype(np.float32)))
-    scorer, p = Scorer(model), kn_brute(texts, ORDER)
-    for t in ["the cat", "zebra!!", "dog\n", "", "THE"]:
-        s = [63] * (ORDER - 1) + classes_of([t])[0].tolist()
-        want = sum(np.log(p(tuple(s[i : i + ORDER]))) for i in range(len(s) - ORDER + 1))
-        assert scorer.sums([t])[0][0] == pytest.approx(want, rel=1e-4, abs=1e-6)
-    cells = np.exp(scorer.log).reshape(-1, CLASSES).sum(1)
-    assert np.allclose(cells, 1, atol=1e-3)
-
-
-def test_verdicts(make_docs, spark):
-    r = random.Random(9)
-    say = lambda: " ".join(r.choice(["the", "quiet", "river", "runs", "to", "a", "green", "hill"]) for _ in range(r.randint(3, 80))) + "."
-    good = [(i, say()) for i in range(300)]
-    junk = [(1000 + i, " ".join(w.upper() + "###!!" for w in say().split())) for i in range(20) for _ in range(1)]
-    rest = [(2000, None), (2001, ""), (None, "the river runs."), good[0]]
-    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 300, 2)] + [(1000, 0, 0), (1001, 1, 1), (5, None, None), (None, 1, 0)], "doc_id bigint, quality int, toxic int")
-    docs = make_docs(good + junk + rest)
-    got = perplexity_verdicts(docs, labels).collect()
-    assert len(got) == len(good + junk + rest)
-    long_junk = {i for i, t in junk if len(t) > 60}
-    assert not any(x.kept for x in got if x.doc_id in long_junk)
-    assert sum(not x.kept for x in got if x.doc_id is not None and x.doc_id < 300) <= 3 and all(x.kept for x in got if x.doc_id in (2000, 2001, None))
-    assert all(x.kept and x.perplexity is None for x in perplexity_verdicts(docs, labels.limit(0)).collect())
-    assert perplexity_verdicts(make_docs([]), labels).count() == 0
-
