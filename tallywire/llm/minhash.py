@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, as_bytes, id_column, mix64, prepare, ragged, stash
+from .common import NULL_ID, as_bytes, id_column, mix64, prepare, ragged, release, stash, with_rows
 from .components import components
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -95,12 +95,11 @@ class SetSketch:
         """Registers of the union."""
         return np.maximum(a, b)
 
-    def joint(self, one: np.ndarray, size: float, others: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Maximum-likelihood similarity of one set with others, from how many registers are above, below and equal, given the sets' sizes."""
-        above = (one[None, :] > others).sum(1)
-        equal = (one[None, :] == others).sum(1)
+    def joint(self, one: np.ndarray, size: np.ndarray, other: np.ndarray, other_size: np.ndarray) -> np.ndarray:
+        """Maximum-likelihood similarity of pairs of sets, from how many registers are above, below and equal, given the sets' sizes."""
+        above, equal = (one > other).sum(1), (one == other).sum(1)
         below = self.m - above - equal
-        u = size / (size + sizes)
+        u = size / (size + other_size)
         v = 1 - u
         b = self.base
         p = lambda z: -np.log(np.maximum(1 - np.maximum(z, 1e-12) * (b - 1) / b, 1e-300)) / np.log(b)
@@ -109,7 +108,7 @@ class SetSketch:
             up, down = p(u - v * j), p(v - u * j)
             return above * np.log(up) + below * np.log(down) + equal * np.log(np.maximum(1 - up - down, 1e-12))
 
-        lo, hi = np.zeros(len(others)), np.minimum(u / v, v / u)
+        lo, hi = np.zeros(len(u)), np.minimum(u / v, v / u)
         g = (5**0.5 - 1) / 2
         for _ in range(24):
             c, d = hi - g * (hi - lo), lo + g * (hi - lo)
@@ -118,17 +117,85 @@ class SetSketch:
         return (lo + hi) / 2
 
 
+class Likely:
+    """Pairs that registers say are likely links: in each group of documents as many as connect what they connect."""
+
+    SMALL, PAIRS = 24, 20_000
+
+    def __init__(self, sketch: SetSketch, percent: int, margin: float):
+        self.sketch, self.percent, self.floor = sketch, percent, percent / 100 - margin
+        self.docs: list[np.ndarray] = []
+        self.a: list[np.ndarray] = []
+        self.b: list[np.ndarray] = []
+        self.size: list[np.ndarray] = []
+        self.regs: list[np.ndarray] = []
+        self.members = self.waiting = 0
+
+    def _sized(self, x, y):
+        return 100 * np.minimum(x, y) >= self.percent * np.maximum(x, y)
+
+    def add(self, docs: np.ndarray, size: np.ndarray, regs: np.ndarray, side: np.ndarray) -> list[tuple[int, int]]:
+        """side: 0 for pairs within, or 1 and 2 for pairs across. Small groups wait until there are many pairs to estimate at once."""
+        n = len(docs)
+        if n > self.SMALL:
+            return self._large(docs, size, regs, side)
+        i, j = np.triu_indices(n, 1)
+        ok = self._sized(size[i], size[j]) & ((side[i] != side[j]) | (side[i] == 0))
+        self.a.append(i[ok] + self.members), self.b.append(j[ok] + self.members)
+        self.docs.append(docs), self.size.append(size), self.regs.append(regs)
+        self.members += n
+        self.waiting += int(ok.sum())
+        return self.drain() if self.waiting >= self.PAIRS or self.members >= self.PAIRS else []
+
+    def drain(self) -> list[tuple[int, int]]:
+        if not self.members:
+            return []
+        docs, size, regs = np.concatenate(self.docs), np.concatenate(self.size), np.concatenate(self.regs)
+        a, b = np.concatenate(self.a), np.concatenate(self.b)
+        self.docs, self.size, self.regs, self.a, self.b, self.members, self.waiting = [], [], [], [], [], 0, 0
+        good = self.sketch.joint(regs[a], size[a], regs[b], size[b]) >= self.floor if len(a) else np.zeros(0, bool)
+        root = list(range(len(docs)))
+        out = []
+        for i, j in zip(a[good].tolist(), b[good].tolist(), strict=True):
+            x, y = i, j
+            while root[x] != x:
+                x = root[x]
+            while root[y] != y:
+                y = root[y]
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                out.append((int(docs[i]), int(docs[j])))
+        return out
+
+    def _large(self, docs, size, regs, side):
+        n, out = len(docs), []
+        cls = np.arange(n)
+        for i in range(n):
+            left = (cls != cls[i]) & self._sized(size, size[i])
+            left[:i] = False
+            if side[i]:
+                left &= side != side[i]
+            near = np.flatnonzero(left)
+            if len(near):
+                one = np.broadcast_to(regs[i], (len(near), len(regs[i])))
+                for j in near[self.sketch.joint(one, np.full(len(near), size[i]), regs[near], size[near]) >= self.floor].tolist():
+                    if cls[i] != cls[j]:
+                        out.append((int(docs[i]), int(docs[j])))
+                        cls[cls == cls[j]] = cls[i]
+        return out
+
+
 class Links:
     """Exact links inside a group of documents, one per step that joins two classes of linked documents."""
 
     def __init__(self, sketch: SetSketch, percent: int, margin: float):
         self.sketch, self.percent, self.floor = sketch, percent, percent / 100 - margin
 
-    def find(self, docs, sets, regs, side) -> list[tuple[int, int]]:
+    def find(self, docs, sets, regs, side, classes) -> list[tuple[int, int]]:
         """side: 0 for pairs within, or 1 and 2 for pairs across. Pairs inside a class that is linked already are not tested."""
         n, out = len(docs), []
         size = np.array([len(s) for s in sets], np.int64)
-        cls = np.arange(n)
+        cls = np.unique(np.asarray(classes), return_inverse=True)[1]
         flat, ends = np.concatenate(sets), np.cumsum(size)
         for i in range(n):
             left = cls != cls[i]
@@ -139,7 +206,7 @@ class Links:
             near = np.flatnonzero(left)
             if not len(near):
                 continue
-            est = self.sketch.joint(regs[i], size[i], regs[near], size[near])
+            est = self.sketch.joint(np.broadcast_to(regs[i], (len(near), len(regs[i]))), np.full(len(near), size[i]), regs[near], size[near])
             keep = est >= self.floor
             near = near[keep][np.argsort(-est[keep], kind="stable")]
             for k in range(0, len(near), 64):  # likeliest first: once linked, the rest of a class need no test
@@ -158,36 +225,69 @@ class Links:
         return out
 
 
+def _groups(batches, n: int):
+    """Rows of sorted batches, gathered by their first n columns."""
+    now, held = None, []
+    for b in batches:
+        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if row[:n] != now:
+                if held:
+                    yield held
+                now, held = row[:n], []
+            held.append(row[n:])
+    if held:
+        yield held
+
+
+def _edges(pairs) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([max(x) for x in pairs], pa.int64()), pa.array([min(x) for x in pairs], pa.int64())], ["a", "b"])
+
+
+def _dealt(members: DataFrame, group: str, *columns: str) -> DataFrame:
+    """Members of groups that consist of `blocks` blocks, once for each pair of blocks (i, j) that theirs is in, so no task holds more than two."""
+    mine, other = F.col("mine"), F.col("other")
+    each = members.withColumn("mine", F.pmod(F.xxhash64("row", group), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(mine == other, 0).when(mine < other, 1).otherwise(2).cast("int").alias("side")
+    each = each.select(group, F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), side, "row", *columns)
+    return each.repartition(group, "i", "j").sortWithinPartitions(group, "i", "j")
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, width: int = 5, rows: int = 7, registers: int = 256,
-    margin: float = 0.1, block: int = 2000,
+    margin: float = 0.1, block: int = 1000, row_col: str | None = None,
 ) -> DataFrame:
-    """One row per input row: (id, n_shingles, component_id, kept).
+    """One row per input row: ([row,] id, n_shingles, component_id, kept).
 
-    Two documents are linked when 100 * |A & B| >= percent * |A | B| on their sets of `width`-word shingles; a component
-    is what links connect; its smallest id is kept. Candidates agree in a band of `rows` of the registers (36 bands of
-    7: a pair at 0.85 is missed with probability 9e-7); pairs whose estimated similarity is more than `margin` under
-    the bound (over four deviations) are left out; all others are verified on full sets.
+    Two documents are linked when 100 * |A & B| >= percent * |A | B| on their sets of `width`-word shingles, held as
+    64-bit hashes; a component is what links connect. component_id is its smallest id, and the one row that is kept is
+    the first by id, then by the number it gets when rows are written. Candidates agree in a band of `rows` of the
+    registers (36 bands of 7: a pair at 0.85 is missed with probability 9e-7); pairs whose estimated similarity is more
+    than `margin` under the bound (over four deviations) are left out; all others are verified on full sets.
 
     Null text, and text without words, has an empty set and is linked with nothing. A null id orders before all others
-    and comes back as null. Repeated rows share their component. Further columns are ignored; an empty table gives an
-    empty result.
-
-    Rows of one shingle set are one class, so copies are never compared or expanded. Classes that share bands, directly
-    or through others, form clumps; a clump of more than `block` classes is dealt out in pairs of blocks, so a task
-    holds two blocks at most, and no pair is ever a row.
+    and comes back as null. Rows that share an id are documents of their own. Further columns are ignored; an empty
+    table gives an empty result. `row_col` names a column of unique numbers, to be returned too; without it texts are
+    written once, numbered.
+
+    Rows of one shingle set are one class, so copies are never compared or expanded. Registers meet in their band's
+    bucket, each set of documents once however many bands it shares, and only pairs that their registers call likely
+    leave it, as few as connect what they connect. These are verified first. Where likely pairs hold documents together
+    that verified links do not, all pairs between the parts are verified. Buckets and such parts of more than `block`
+    classes are dealt out in pairs of blocks, so a task holds two blocks at most, and no pair is ever a row unless
+    it is likely and joins two classes of its bucket.
     """
     spark = docs.sparkSession
     prepare(spark)
     sketch = SetSketch(registers)
     bands = registers // rows
-    texts = docs.select(id_column(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
+    texts = docs.select(*([F.col(row_col).cast("long").alias("row")] if row_col else []), id_column(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
+    texts = texts if row_col else with_rows(texts).select("row", "doc", "text")
 
     def sketches(batches):
         from xxhash import xxh3_128_digest
 
         for b in batches:
-            raw = as_bytes(b.column(1))
+            raw = as_bytes(b.column(2))
             for k in range(0, len(raw), 250):
                 sets = shingle_sets(raw[k : k + 250], width)
                 regs = sketch.registers(sets)
@@ -200,68 +300,79 @@ def near_duplicates(
                 offsets = np.r_[0, np.cumsum(np.where(full, bands, 0))].astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        b.column(0).slice(k, len(sets)), pa.array([len(s) for s in sets], pa.int64()),
+                        b.column(0).slice(k, len(sets)), b.column(1).slice(k, len(sets)), pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(key[full].reshape(-1).view(np.int64))),
+                        pa.array([r.tobytes() for r in regs], pa.binary()),
                     ],
-                    ["doc", "n_shingles", "print", "bands"],
+                    ["row", "doc", "n_shingles", "print", "bands", "regs"],
                 )
 
-    rows_ = stash(texts.mapInArrow(sketches, "doc long, n_shingles long, print binary, bands array<long>"), "sketches")
-    classes = stash(rows_.filter("print is not null").groupBy("print").agg(F.min("doc").alias("class"), F.count("*").alias("copies")), "classes")
-    one = rows_.join(classes.filter("copies > 1").select("print", "class"), "print", "left").filter("class is null or doc = class")
-    keys = one.select("doc", F.explode("bands").alias("key"))
-    hubs = stash(keys.groupBy("key").agg(F.min("doc").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("key", "hub"), "hubs")
-    clumps = components(keys.join(hubs, "key").filter("doc > hub").select("doc", "hub").distinct(), "doc", "hub")
-    sizes = clumps.groupBy("component").agg(F.count("*").alias("size"))
-    members = stash(clumps.join(sizes, "component").withColumn("blocks", F.ceil(F.col("size") / block).cast("int")), "clumps")
+    own = stash(texts.mapInArrow(sketches, "row long, doc long, n_shingles long, print binary, bands array<long>, regs binary"), "sketches")
+    first = F.min(F.struct("doc", "row"))
+    classes = stash(own.filter("print is not null").groupBy("print").agg(F.min("row").alias("class"), F.count("*").alias("copies"), first.alias("first")), "classes")
+    one = own.join(classes.filter("copies > 1").select("print", "class"), "print", "left").filter("print is not null and (class is null or row = class)")
+
+    keys = one.select("row", F.explode("bands").alias("key"))
+    buckets = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("row").alias("least"), F.bit_xor(F.xxhash64("row")).alias("whose")).filter("n > 1")
+    buckets = buckets.groupBy("n", "least", "whose").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    members = stash(keys.join(buckets, "key"), "buckets")
+
+    def estimate(batches):
+        likely = Likely(sketch, percent, margin)
+        for held in _groups(batches, 3):
+            side, docs_, size, regs = zip(*held, strict=True)
+            got = likely.add(np.array(docs_), np.array(size), np.frombuffer(b"".join(regs), np.uint16).reshape(len(docs_), -1), np.array(side))
+            if got:
+                yield _edges(got)
+        yield _edges(likely.drain())
+
+    with_regs = members.join(one.select("row", "n_shingles", "regs"), "row")
+    edges = stash(_dealt(with_regs, "key", "n_shingles", "regs").mapInArrow(estimate, "a long, b long").distinct(), "likely")
+    release(spark)
 
     def full_sets(batches):
         for b in batches:
-            raw = as_bytes(b.column(3))
+            raw = as_bytes(b.column(b.num_columns - 1))
             for k in range(0, len(raw), 250):
                 sets = shingle_sets(raw[k : k + 250], width)
-                regs = sketch.registers(sets)
-                yield pa.RecordBatch.from_arrays(
-                    [*(b.column(i).slice(k, len(sets)) for i in range(3)), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([r.tobytes() for r in regs], pa.binary())],
-                    ["component", "blocks", "doc", "hashes", "regs"],
-                )
-
-    def link(batches):
-        finder = Links(sketch, percent, margin)
-        now, held = None, []
+                yield pa.RecordBatch.from_arrays([*(b.column(i).slice(k, len(sets)) for i in range(b.num_columns - 1)), pa.array([s.tobytes() for s in sets], pa.binary())], [*b.schema.names[:-1], "hashes"])
 
-        def flush():
-            seen, docs_, sets, regs, side = set(), [], [], [], []
-            for d, h, r, s in held:
-                if d not in seen:
-                    seen.add(d), docs_.append(d), sets.append(np.frombuffer(h, np.uint64)), regs.append(np.frombuffer(r, np.uint16)), side.append(s)
-            got = finder.find(docs_, sets, np.array(regs), np.array(side)) if len(docs_) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([max(x) for x in got], pa.int64()), pa.array([min(x) for x in got], pa.int64())], ["a", "b"])
+    ends = edges.select(F.col("a").alias("row")).union(edges.select(F.col("b").alias("row"))).distinct()
+    sets = stash(texts.select("row", "text").join(ends, "row", "left_semi").mapInArrow(full_sets, "row long, hashes binary"), "sets")
+    pairs = edges.join(sets.select(F.col("row").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("row").alias("b"), F.col("hashes").alias("y")), "b").select("a", "b", "x", "y")
 
+    def verify(batches):
         for b in batches:
-            for g, i, j, s, d, h, r in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if (g, i, j) != now:
-                    if held:
-                        yield flush()
-                    now, held = (g, i, j), []
-                held.append((d, h, r, s))
-        if held:
-            yield flush()
-
-    own = texts.join(members.select(F.col("node").alias("doc"), "component", "blocks"), "doc").select("component", "blocks", "doc", "text")
-    full = own.mapInArrow(full_sets, "component long, blocks int, doc long, hashes binary, regs binary")
-    place = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
-    with_block = full.withColumn("mine", place).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = with_block.select(
-        "component", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
-        F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2).cast("int").alias("side"), "doc", "hashes", "regs",
-    )
-    links = dealt.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(link, "a long, b long")
+            good = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                c = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+                good.append(100 * c >= percent * (len(x) + len(y) - c))
+            yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    links = stash(pairs.mapInArrow(verify, "a long, b long"), "links")
     linked = components(links)
-    class_of = F.coalesce("class", "doc")
-    out = rows_.select("doc", "n_shingles", "print").join(classes.filter("copies > 1").select("print", "class"), "print", "left").withColumn("class", class_of)
-    out = out.join(linked.select(F.col("node").alias("class"), F.col("component")), "class", "left")
-    root = F.coalesce("component", "class")
+    clumps = components(edges).join(linked.select("node", F.col("component").alias("known")), "node", "left").withColumn("known", F.coalesce("known", "node"))
+    parts = clumps.groupBy("component").agg(F.count("*").alias("size"), (F.min("known") < F.max("known")).alias("open")).filter("open")
+    open_ = stash(clumps.join(parts, "component").select(F.col("node").alias("row"), "component", "known", F.ceil(F.col("size") / block).cast("int").alias("blocks")), "open")
+
+    def link(batches):
+        finder = Links(sketch, percent, margin)
+        for held in _groups(batches, 3):
+            side, docs_, known, raw = zip(*held, strict=True)
+            if len(set(known)) > 1:
+                sets_ = [np.frombuffer(h, np.uint64) for h in raw]
+                yield _edges(finder.find(docs_, sets_, sketch.registers(sets_), np.array(side), known))
+
+    if not open_.isEmpty():
+        more = _dealt(open_.join(sets, "row"), "component", "known", "hashes").mapInArrow(link, "a long, b long")
+        linked = components(stash(links.unionByName(more), "links"))
+
+    many = classes.join(linked.select(F.col("node").alias("class"), "component"), "class", "left").filter("copies > 1 or component is not null").withColumn("root", F.coalesce("component", "class"))
+    keep = many.groupBy("root").agg(F.min("first").alias("keep"))
+    verdicts = stash(many.join(keep, "root").select("print", F.col("keep.doc").alias("keep"), F.col("keep.row").alias("keep_row")), "verdicts")
+    out = own.select("row", "doc", "n_shingles", "print").join(verdicts, "print", "left")
     null = lambda c: F.when(c != NULL_ID, c)
-    return out.select(null(F.col("doc")).alias(id_col), "n_shingles", null(root).alias("component_id"), (root == F.col("doc")).alias("kept"))
+    named = [F.col("row").alias(row_col)] if row_col else []
+    return out.select(*named, null(F.col("doc")).alias(id_col), "n_shingles", null(F.coalesce("keep", "doc")).alias("component_id"), F.coalesce(F.col("keep_row") == F.col("row"), F.lit(True)).alias("kept"))

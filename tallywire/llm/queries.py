@@ -102,7 +102,8 @@ SELECT page_id, n AS payload_bytes, h AS payload_digest, CASE WHEN n >= 100 AND
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+    got = near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+    return got.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
