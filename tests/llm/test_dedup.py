@@ -7,6 +7,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+import tallywire.llm.exact_dedup as exact
 from tallywire.llm import suffix_dedup
 from tallywire.llm.components import components
 from tallywire.llm.exact_dedup import CuckooIndex, exact_dedup
@@ -32,21 +33,48 @@ def test_cuckoo_index_inserts_deletes_and_grows():
     assert all(index.may_hold(k) for k in held)
 
 
+def test_cuckoo_buckets_are_all_there_is():
+    """An entry is found in its two buckets only, a shared fingerprint is told apart by the content, and deletion frees the slot."""
+    index = CuckooIndex(buckets=64)
+    keys = [bytes([7, 7]) + k.to_bytes(8, "big") + bytes(22) for k in range(6)]  # one fingerprint
+    for k, key in enumerate(keys):
+        index.insert(key, k)
+    assert [index.get(k) for k in keys] == list(range(6))
+    other = bytes([7, 7]) + (1).to_bytes(8, "big") + b"x" * 22
+    assert index.may_hold(other) and index.get(other) is None and not index.delete(other)
+    _, i, j = index._places(keys[3])
+    kept = [list(index.content[b]) for b in (i, j)]
+    index.content[i], index.content[j] = [None] * 4, [None] * 4
+    index.marks[i], index.marks[j] = bytearray(8), bytearray(8)
+    assert index.get(keys[3]) is None
+    index.content[i], index.content[j] = kept
+    assert index.get(keys[3]) is None  # the content alone, without the filter's fingerprint, is not found either
+    small = CuckooIndex(buckets=1)
+    for k in range(4):
+        small.insert(hashlib.sha256(bytes([k])).digest(), k)
+    assert small.delete(hashlib.sha256(bytes([2])).digest())
+    small.insert(hashlib.sha256(b"new").digest(), 9)
+    assert small.resized == 0 and len(small) == 4
+
+
 def exact_brute(rows):
+    """(id, kept id, size of the group) of each row, and the ids of the kept rows."""
     groups = defaultdict(list)
     for i, t in rows:
         groups[BLANK.sub("", t or "")].append((-len(t or ""), ORDER(i), i))
-    out = []
-    for i, t in rows:
-        g = groups[BLANK.sub("", t or "")]
-        keep = min(g)[2]
-        out.append((i, keep, len(g), i == keep))
-    return sorted(out, key=str)
-
-
-def test_exact_dedup(make_docs, prose):
-    got = exact_dedup(make_docs(prose)).select("doc_id", "keep_id", "group_size", "kept").collect()
-    assert sorted((tuple(r) for r in got), key=str) == exact_brute(prose)
+    keep = {t: min(g)[2] for t, g in groups.items()}
+    return sorted(((i, keep[b := BLANK.sub("", t or "")], len(groups[b])) for i, t in rows), key=str), sorted(keep.values(), key=ORDER)
+
+
+@pytest.mark.parametrize("held", [400_000, 7])
+def test_exact_dedup(make_docs, prose, held, monkeypatch):
+    monkeypatch.setattr(exact, "HELD", held)
+    rows = [*prose, (None, "null twin"), (None, "null  twin"), (None, "other"), (8, "only here"), (8, "twin"), (7, "tw in"), (510, "rep"), (510, "rep")]
+    got = exact_dedup(make_docs(rows)).collect()
+    want, kept = exact_brute(rows)
+    assert sorted(((r.doc_id, r.keep_id, r.group_size) for r in got), key=str) == want
+    assert sorted((r.doc_id for r in got if r.kept), key=ORDER) == kept
+    assert all(r.digest == hashlib.sha256(b"rep").digest() for r in got if r.doc_id == 510)
     assert exact_dedup(make_docs([])).count() == 0
 
 
