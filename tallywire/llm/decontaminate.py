@@ -1,85 +1,231 @@
-"""Benchmark items inside documents, also edited ones: unedited pieces, exact edit distance."""
+"""Benchmark items inside documents, also edited ones: random walks, sampled steps, exact edit distance."""
 
 from __future__ import annotations
 
+import uuid
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, as_bytes, id_column, mix64, prepare
+from .common import NULL_ID, as_bytes, id_column, mix64, prepare, ragged
 from .minhash import _word_hashes
 
 #: Lower case for A-Z; other ASCII than letters and digits separates words.
 _FOLD = bytes((b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32) for b in range(256))
 
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
 
 def words_of(text: bytes) -> list[bytes]:
     return text.translate(_FOLD).split()
 
 
-class PieceIndex:
-    """Pieces of items, by which every place where an item may stand within its allowed edits is found.
+class LengthClass(NamedTuple):
+    """How items of `least` words, up to half as many again, are looked for."""
+
+    least: int
+    stride: int  # documents are probed at every so many words, and items indexed from as many of their first words
+    steps: int  # of a walk
+    picks: list[list[np.ndarray]]  # for each walk the steps of each key
+
+
+def _seed(walk: int, k: int) -> np.uint64:
+    return mix64(np.array([0x2545F4914F6CDD1D * (walk + 1) + 0x632BE59BD9B4E019 * k & (1 << 64) - 1], np.uint64))[0]
+
+
+def _length_class(n: int) -> int:
+    if n < 10:
+        return n
+    least = 10
+    while least * 3 // 2 <= n:
+        least = least * 3 // 2
+    return least
+
+
+class WalkIndex:
+    """Places where an item may stand within its allowed edits, by random walks and bit sampling.
+
+    A walk reads a text step by step: at each step a bit of the word it stands on, one of its own for each step, says
+    whether it goes on to the next word or stays. Equal texts have equal walks, and after an edit walks of edited texts
+    soon meet again, so a small edit distance becomes a small Hamming distance of what the walks have read. Every
+    document is walked through from every place, over windows as long as the items of a length class. Keys are what a
+    walk has read at a few sampled steps; one equal key makes a candidate. So many walks, each with PICKS keys, are made
+    for a class that of made-up items at the most edits allowed the `target` share is found, at both ends of the class.
 
-    An item that may have e edits is cut into e + 1 pieces of equal size, give or take a word. An edit touches one
-    piece at most, so one of them stands unedited in every occurrence, at most e words from its own place: looking up
-    the words from every start of a document, at each size of a piece, misses no occurrence.
+    Places are probed at a class's stride; an item is indexed from as many first words, and one of these falls on a
+    probed place. Keys have three words, and one more for each hundredfold of 1000 items.
     """
 
-    def __init__(self, items: list[tuple[int, bytes]], share: float = 0.2):
+    PICKS, MOST, TRIALS = 6, 64, 500
+
+    def __init__(self, items: list[tuple[int, bytes]], share: float = 0.2, target: float = 0.98, walks: dict[int, int] | None = None):
         self.share = share
         self.ids = [i for i, _ in items]
         self.words = [_word_hashes(words_of(t)) for _, t in items]
-        by_size: dict[int, list[tuple[int, int]]] = {}
+        self.depth = 3
+        while len(items) > 1000 * 100 ** (self.depth - 3):
+            self.depth += 1
+        by_class: dict[int, list[int]] = {}
         for k, w in enumerate(self.words):
-            pieces = self.allowed(len(w)) + 1 if len(w) else 0
-            for i in range(pieces):
-                at, end = len(w) * i // pieces, len(w) * (i + 1) // pieces
-                by_size.setdefault(end - at, []).append((k, at))
-        self.sizes = sorted(by_size)
-        keys = [self._piece(self.words[k][at : at + n], n) for n in self.sizes for k, at in by_size[n]]
-        self.keys = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-        whose = np.array([x for n in self.sizes for x in by_size[n]], np.int64).reshape(-1, 2)
+            if len(w):
+                by_class.setdefault(_length_class(len(w)), []).append(k)
+        self.walks = {n: self._enough(n, target) for n in sorted(by_class)} if walks is None else walks
+        self.classes = [self._class(n, self.walks[n]) for n in sorted(by_class)]
+        keys, whose = [np.zeros(0, np.uint64)], [np.zeros((0, 2), np.int64)]
+        for c in self.classes:
+            own = by_class[c.least]
+            starts = [(k, at) for k in own for at in range(c.stride)]
+            size = np.array([len(self.words[k]) for k in own], np.int64)
+            room = c.steps + 2  # a walk that leaves its item reads the gap
+            flat = np.zeros(int((size + room).sum()), np.uint64)
+            heads = np.cumsum(size + room) - (size + room)
+            flat[ragged(heads, size)] = np.concatenate([self.words[k] for k in own])
+            at = (heads[:, None] + np.arange(c.stride)).reshape(-1)
+            for r in range(len(c.picks)):
+                read = self._read(flat, at, r, c.steps)
+                for key, complete in self._keys(c, r, read):
+                    keys.append(key[complete]), whose.append(np.array(starts, np.int64).reshape(-1, 2)[complete])
+        self.keys, both = np.concatenate(keys), np.concatenate(whose)
         order = np.argsort(self.keys, kind="stable")
-        self.keys, self.whose, self.shift = self.keys[order], whose[order, 0], whose[order, 1]
-        self.bits = max(16, int(len(self.keys) * 16).bit_length())
-        self.hot = np.zeros(1 << self.bits, bool)
-        self.hot[(self.keys >> np.uint64(64 - self.bits)).astype(np.int64)] = True
+        self.keys, self.whose, self.shift = self.keys[order], both[order, 0], both[order, 1]
+        self.bits = np.uint64(64 - max(16, int(len(self.keys) * 16).bit_length()))
+        self.hot = np.zeros(1 << (64 - int(self.bits)), bool)
+        self.hot[(self.keys >> self.bits).astype(np.int64)] = True
 
     def allowed(self, n: int) -> int:
         """Edits that an item of n words may have, so that one word at least is its own."""
         return max(min(int(self.share * n + 1e-9), n - 1), 0)
 
+    def _class(self, least: int, walks: int) -> LengthClass:
+        stride = 1 << max((least // 5).bit_length() - 1, 0)
+        steps = least if least < 5 else int(1.6 * (least - stride + 1))
+        depth = min(self.depth, steps)
+        r = np.random.default_rng(least)
+        gap = max(steps // (2 * depth), 1)  # sampled steps stand apart, so as to read different words
+        picks = []
+        for _ in range(walks):
+            own = []
+            while len(own) < self.PICKS:
+                p = np.sort(r.choice(steps, depth, replace=False))
+                if (np.diff(p) >= gap).all():
+                    own.append(p)
+            picks.append(own)
+        return LengthClass(least, stride, steps, picks)
+
+    def _enough(self, least: int, target: float) -> int:
+        """The walks after which the target share of made-up items at the bound is found."""
+        r = np.random.default_rng(1000 + least)
+        if self.allowed(least) == 0 and least < 5:
+            return 1
+        trials = []
+        for n in (least, least if least < 10 else least * 3 // 2 - 1):
+            items = r.integers(1, 1 << 62, (self.TRIALS, n)).astype(np.uint64)
+            docs = []
+            for item in items:
+                parts = [[x] for x in item.tolist()]
+                for at in r.choice(n, self.allowed(n), replace=False).tolist():
+                    fresh = int(r.integers(1, 1 << 62))
+                    parts[at] = [[fresh], [], [*parts[at], fresh]][r.integers(3)]
+                around = r.integers(1, 1 << 62, (2, 10 + int(r.integers(8)))).tolist()
+                docs.append(np.array(around[0] + [x for p in parts for x in p] + around[1], np.uint64))
+            trials.append((items, docs))
+        left = [np.arange(self.TRIALS) for _ in trials]
+        for walks in range(1, self.MOST + 1):
+            c = self._class(least, walks)
+            for t, (items, docs) in enumerate(trials):
+                missed = []
+                for k in left[t].tolist():
+                    read = self._read(np.r_[items[k], np.zeros(c.steps + 2, np.uint64)], np.arange(c.stride), walks - 1, c.steps)
+                    probe = self._read(np.r_[docs[k], np.zeros(c.steps + 2, np.uint64)], np.arange(0, len(docs[k]), c.stride), walks - 1, c.steps)
+                    mine, theirs = self._keys(c, walks - 1, read), self._keys(c, walks - 1, probe)
+                    if not any(np.isin(x[ok], y).any() for (x, ok), (y, _) in zip(mine, theirs, strict=True)):
+                        missed.append(k)
+                left[t] = np.array(missed, np.int64)
+            if all(len(x) <= (1 - target) * self.TRIALS for x in left):
+                return walks
+        raise ValueError(f"{self.MOST} walks do not find a share of {target} of items of {least} words")
+
     @staticmethod
-    def _piece(w: np.ndarray, n: int) -> np.ndarray:
-        """Hash of the n words from each start that has as many."""
-        if len(w) < n:
-            return np.zeros(0, np.uint64)
-        h = np.full(len(w) - n + 1, np.uint64(n))
+    def _bits(flat: np.ndarray, walk: int, steps: int) -> list[np.ndarray]:
+        return [mix64(flat ^ _seed(walk, k)) for k in range(-(-steps // 64))]
+
+    def _read(self, flat: np.ndarray, starts: np.ndarray, walk: int, steps: int) -> list[np.ndarray]:
+        """What a walk from each start reads at each of its steps."""
+        bits, pos, out = self._bits(flat, walk, steps), starts, []
+        for j in range(steps):
+            out.append(flat.take(pos, mode="clip"))
+            pos = pos + ((bits[j >> 6].take(pos, mode="clip") >> np.uint64(j & 63)) & np.uint64(1)).astype(np.int64)
+        return out
+
+    def _keys(self, c: LengthClass, walk: int, read) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each pick the keys of all starts, and which of them have read a word at all of its steps."""
+        out = []
         with np.errstate(over="ignore"):
-            for k in range(n):
-                h = h * np.uint64(0x100000001B3) + w[k : len(w) - n + 1 + k]
-            return mix64(h)
+            for m, pick in enumerate(c.picks[walk]):
+                h = np.full(len(read[pick[0]]), mix64(np.array([(c.least << 32) + (walk << 16) + m], np.uint64))[0])
+                complete = np.ones(len(h), bool)
+                for j in pick.tolist():
+                    h = (h + read[j]) * _ODD
+                    complete &= read[j] != 0
+                out.append((h ^ (h >> np.uint64(32)), complete))
+        return out
 
-    def candidates(self, docs: list[np.ndarray]) -> list[set[tuple[int, int]]]:
-        """For each document (item, place where it would begin). All documents are looked up at once."""
+    def candidates(self, docs: list[np.ndarray], chunk: int = 1 << 15) -> list[set[tuple[int, int]]]:
+        """For each document (item, place where it would begin). All documents are looked up at once, a chunk of places at a time."""
         found: list[set[tuple[int, int]]] = [set() for _ in docs]
-        gap = np.zeros(1, np.uint64)
+        if not self.classes or not docs:
+            return found
         size = np.array([len(w) for w in docs], np.int64)
         heads = np.cumsum(size + 1) - (size + 1)
-        flat = np.concatenate([x for w in docs for x in (w, gap)]) if docs else gap
-        for n in self.sizes:
-            x = self._piece(flat, n)
-            maybe = np.flatnonzero(self.hot[(x >> np.uint64(64 - self.bits)).astype(np.int64)])
-            lo = np.searchsorted(self.keys, x[maybe])
-            hi = np.searchsorted(self.keys, x[maybe], side="right")
-            good = hi > lo
-            where = maybe[good]
-            owner = np.searchsorted(heads, where, side="right") - 1
-            for d, p, a, b in zip(owner.tolist(), (where - heads[owner]).tolist(), lo[good].tolist(), hi[good].tolist(), strict=True):
-                found[d].update(zip(self.whose[a:b].tolist(), (p - self.shift[a:b]).tolist(), strict=True))
+        n = int((size + 1).sum())
+        longest = max(c.steps for c in self.classes)
+        flat = np.zeros(n + longest + 2, np.uint64)
+        flat[ragged(heads, size)] = np.concatenate(docs)
+        for walk in range(max(len(c.picks) for c in self.classes)):
+            active = [c for c in self.classes if len(c.picks) > walk]
+            bits = self._bits(flat, walk, max(c.steps for c in active))
+            for a in range(0, n, chunk):
+                self._probe(flat, bits, active, walk, a, min(a + chunk, n), heads, found)
         return found
 
+    def _probe(self, flat, bits, active, walk, a, b, heads, found) -> None:
+        """One walk from each place in [a, b) that some class probes; classes with longer strides follow the walks of those with shorter ones."""
+        wanted = [set(np.concatenate(c.picks[walk]).tolist()) for c in active]
+        read: list[dict[int, np.ndarray]] = [{} for _ in active]
+        stride = min(c.stride for c in active)
+        pos = np.arange(a, b, stride)
+        for j in range(max(c.steps for c in active)):
+            live = [c.stride for c in active if c.steps > j]
+            if min(live) > stride:
+                pos, stride = pos[:: min(live) // stride].copy(), min(live)
+            word = None
+            for c, steps, got in zip(active, wanted, read, strict=True):
+                if j in steps:
+                    word = flat.take(pos, mode="clip") if word is None else word
+                    got[j] = word[:: c.stride // stride]
+            pos += ((bits[j >> 6].take(pos, mode="clip") >> np.uint64(j & 63)) & np.uint64(1)).view(np.int64)
+        for c, got in zip(active, read, strict=True):
+            with np.errstate(over="ignore"):
+                for m, pick in enumerate(c.picks[walk]):
+                    h = got[pick[0]] + mix64(np.array([(c.least << 32) + (walk << 16) + m], np.uint64))[0]
+                    h *= _ODD
+                    for j in pick[1:].tolist():
+                        h += got[j]
+                        h *= _ODD
+                    h ^= h >> np.uint64(32)
+                    maybe = np.flatnonzero(self.hot.take((h >> self.bits).view(np.int64)))
+                    if not len(maybe):
+                        continue
+                    lo, hi = np.searchsorted(self.keys, h[maybe]), np.searchsorted(self.keys, h[maybe], side="right")
+                    good = hi > lo
+                    where = a + maybe[good] * c.stride
+                    owner = np.searchsorted(heads, where, side="right") - 1
+                    for d, p, x, y in zip(owner.tolist(), (where - heads[owner]).tolist(), lo[good].tolist(), hi[good].tolist(), strict=True):
+                        found[d].update(zip(self.whose[x:y].tolist(), (p - self.shift[x:y]).tolist(), strict=True))
+
     def hits(self, w: np.ndarray, candidates: set[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
         """(item id, first word, words, edits) of each item that occurs in w: its occurrence of fewest edits, then the first."""
         stretches: dict[int, list[list[int]]] = {}
@@ -106,10 +252,6 @@ class PieceIndex:
         return [(self.ids[k], s, n, e) for k, (e, s, n) in sorted(best.items())]
 
 
-#: The index by its former name.
-WalkIndex = PieceIndex
-
-
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     """Least edit distance in words of the item to a stretch of the text: (edits, first word, words)."""
     n = len(text)
@@ -131,50 +273,63 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return int(cost[j]), int(begin[j]), j - int(begin[j])
 
 
+_indexes: dict[str, WalkIndex] = {}
+
+
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
-    share: float = 0.2, block: int = 20_000,
+    share: float = 0.2, target: float = 0.98, block_bytes: int = 4 << 20, row_col: str | None = None,
 ) -> DataFrame:
-    """One row per document and benchmark item that occurs in it: (id, item_id, first_word, n_words, edits).
+    """One row per document and benchmark item that occurs in it: ([row,] id, item_id, first_word, n_words, edits).
 
     An item occurs where a stretch of the document's words is within share * (words of the item) word edits of it, at any
     size of item; one word of it at least is unedited. Words are runs of ASCII letters and digits and of all other
-    characters beyond ASCII, in lower case for A-Z. Every item that so occurs is found.
+    characters beyond ASCII, in lower case for A-Z. Items found are right, their edits counted exactly. Of items at the
+    bound, made up and edited at random, at least the share `target` is found in trials at each length; nearer ones are
+    found more often, and unedited ones always.
 
     Null texts are empty and match nothing, nor do items without a word or with a null id; a null document id comes
     back as null. Repeated rows give repeated results, of repeated items one. Further columns are ignored; with an
-    empty table the result is empty.
+    empty table the result is empty. `row_col` names a column of unique numbers to be returned too.
 
-    Items are taken in blocks of at most `block`, each broadcast, its size so bounded, against all documents in one
-    scan: nothing is shuffled.
+    Items are taken in blocks of about `block_bytes` of text, each broadcast, against all documents in one scan per
+    block: nothing is shuffled.
     """
     spark = docs.sparkSession
     prepare(spark)
-    schema = f"`{id_col}` long, item_id long, first_word long, n_words long, edits long"
-    rows = docs.select(id_column(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
+    names = [*([row_col] if row_col else []), id_col, "item_id", "first_word", "n_words", "edits"]
+    rows = docs.select(id_column(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"), *([F.col(row_col).cast("long").alias("row")] if row_col else []))
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).cast("string").alias("text")).dropna().groupBy("item", "text").count().drop("count")
-    blocks = max(1, -(-items.count() // block))
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-size // block_bytes))
     out = None
     for k in range(blocks):
         part = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).orderBy("item", "text").collect()
-        shared = spark.sparkContext.broadcast([(r.item, r.text.encode()) for r in part])
+        known = [(r.item, r.text.encode()) for r in part]
+        # how many walks each length class takes is worked out here, once
+        shared = spark.sparkContext.broadcast((known, WalkIndex(known, share, target).walks))
+        name = uuid.uuid4().hex
 
-        def run(batches, shared=shared):
-            index = PieceIndex(shared.value, share)
+        def run(batches, shared=shared, name=name):
+            if name not in _indexes:
+                _indexes.clear()
+                _indexes[name] = WalkIndex(shared.value[0], share, target, shared.value[1])
+            index = _indexes[name]
             for b in batches:
-                cols: list[list] = [[] for _ in range(5)]
+                cols: list[list] = [[] for _ in names]
                 ids, raw = b.column(0).to_pylist(), as_bytes(b.column(1))
+                own = b.column(2).to_pylist() if row_col else ids
                 for j in range(0, len(raw), 250):
                     texts = [_word_hashes(words_of(t)) for t in raw[j : j + 250]]
-                    for doc, w, near in zip(ids[j : j + 250], texts, index.candidates(texts), strict=True):
+                    for row, doc, w, near in zip(own[j : j + 250], ids[j : j + 250], texts, index.candidates(texts), strict=True):
                         seen = set()
                         for hit in index.hits(w, near) if near else ():
                             if hit[0] not in seen:
                                 seen.add(hit[0])
-                                for c, v in zip(cols, (None if doc == NULL_ID else doc, *hit), strict=True):
+                                for c, v in zip(cols, (*([row] if row_col else []), None if doc == NULL_ID else doc, *hit), strict=True):
                                     c.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], [id_col, "item_id", "first_word", "n_words", "edits"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
 
-        got = rows.mapInArrow(run, schema)
+        got = rows.mapInArrow(run, ", ".join(f"`{n}` long" for n in names))
         out = got if out is None else out.unionByName(got)
     return out
