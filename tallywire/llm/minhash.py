@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, as_bytes, id_column, mix64, prepare, ragged, release, stash, with_rows
+from .common import NULL_ID, as_bytes, id_column, mix64, prepare, ragged, release, stash
 from .components import components
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -260,14 +260,13 @@ def near_duplicates(
 
     Two documents are linked when 100 * |A & B| >= percent * |A | B| on their sets of `width`-word shingles, held as
     64-bit hashes; a component is what links connect. component_id is its smallest id, and the one row that is kept is
-    the first by id, then by the number it gets when rows are written. Candidates agree in a band of `rows` of the
+    the first by id, then by the number it gets when sketches are written. Candidates agree in a band of `rows` of the
     registers (36 bands of 7: a pair at 0.85 is missed with probability 9e-7); pairs whose estimated similarity is more
     than `margin` under the bound (over four deviations) are left out; all others are verified on full sets.
 
     Null text, and text without words, has an empty set and is linked with nothing. A null id orders before all others
     and comes back as null. Rows that share an id are documents of their own. Further columns are ignored; an empty
-    table gives an empty result. `row_col` names a column of unique numbers, to be returned too; without it texts are
-    written once, numbered.
+    table gives an empty result. `row_col` names a column of unique numbers to be taken and returned instead.
 
     Rows of one shingle set are one class, so copies are never compared or expanded. Registers meet in their band's
     bucket, each set of documents once however many bands it shares, and only pairs that their registers call likely
@@ -280,14 +279,17 @@ def near_duplicates(
     prepare(spark)
     sketch = SetSketch(registers)
     bands = registers // rows
-    texts = docs.select(*([F.col(row_col).cast("long").alias("row")] if row_col else []), id_column(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
-    texts = texts if row_col else with_rows(texts).select("row", "doc", "text")
+    texts = docs.select(id_column(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"), *([F.col(row_col).cast("long").alias("row")] if row_col else []))
 
     def sketches(batches):
+        from pyspark import TaskContext
         from xxhash import xxh3_128_digest
 
+        row = TaskContext.get().partitionId() << 33
         for b in batches:
-            raw = as_bytes(b.column(2))
+            raw = as_bytes(b.column(1))
+            number = b.column(2) if row_col else pa.array(range(row, row + len(raw)), pa.int64())
+            row += len(raw)
             for k in range(0, len(raw), 250):
                 sets = shingle_sets(raw[k : k + 250], width)
                 regs = sketch.registers(sets)
@@ -300,7 +302,7 @@ def near_duplicates(
                 offsets = np.r_[0, np.cumsum(np.where(full, bands, 0))].astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        b.column(0).slice(k, len(sets)), b.column(1).slice(k, len(sets)), pa.array([len(s) for s in sets], pa.int64()),
+                        number.slice(k, len(sets)), b.column(0).slice(k, len(sets)), pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(key[full].reshape(-1).view(np.int64))),
                         pa.array([r.tobytes() for r in regs], pa.binary()),
@@ -332,14 +334,22 @@ def near_duplicates(
     release(spark)
 
     def full_sets(batches):
+        from xxhash import xxh3_128_digest
+
+        seen: set[bytes] = set()
         for b in batches:
-            raw = as_bytes(b.column(b.num_columns - 1))
+            raw = as_bytes(b.column(0))
             for k in range(0, len(raw), 250):
-                sets = shingle_sets(raw[k : k + 250], width)
-                yield pa.RecordBatch.from_arrays([*(b.column(i).slice(k, len(sets)) for i in range(b.num_columns - 1)), pa.array([s.tobytes() for s in sets], pa.binary())], [*b.schema.names[:-1], "hashes"])
+                own = {xxh3_128_digest(x): x for s in shingle_sets(raw[k : k + 250], width) if (x := s.tobytes())}
+                new = [x for x in own if x not in seen]
+                seen.update(new)
+                yield pa.RecordBatch.from_arrays([pa.array(new, pa.binary()), pa.array([own[x] for x in new], pa.binary())], ["print", "hashes"])
 
+    # the sets of these rows alone are made again, from the documents of their ids; the digest says which is which
     ends = edges.select(F.col("a").alias("row")).union(edges.select(F.col("b").alias("row"))).distinct()
-    sets = stash(texts.select("row", "text").join(ends, "row", "left_semi").mapInArrow(full_sets, "row long, hashes binary"), "sets")
+    ends = stash(one.select("row", "doc", "print").join(ends, "row"), "ends")
+    again = texts.select("doc", "text").join(ends.select("doc").distinct(), "doc", "left_semi").select("text").mapInArrow(full_sets, "print binary, hashes binary")
+    sets = stash(again.join(ends.select("row", "print"), "print").select("row", "hashes"), "sets")
     pairs = edges.join(sets.select(F.col("row").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("row").alias("b"), F.col("hashes").alias("y")), "b").select("a", "b", "x", "y")
 
     def verify(batches):
@@ -360,7 +370,7 @@ def near_duplicates(
     def link(batches):
         finder = Links(sketch, percent, margin)
         for held in _groups(batches, 3):
-            side, docs_, known, raw = zip(*held, strict=True)
+            side, docs_, known, raw = zip(*{h[1]: h for h in held}.values(), strict=True)
             if len(set(known)) > 1:
                 sets_ = [np.frombuffer(h, np.uint64) for h in raw]
                 yield _edges(finder.find(docs_, sets_, sketch.registers(sets_), np.array(side), known))
