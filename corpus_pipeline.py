@@ -2,47 +2,58 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywire.llm.common import id_column, stash, table
+from tallywire.llm.common import stash, table, with_rows
 from tallywire.llm.decontaminate import contaminated
 from tallywire.llm.exact_dedup import exact_dedup
 from tallywire.llm.minhash import near_duplicates
 from tallywire.llm.packing import pack
 from tallywire.llm.quality import perplexity_verdicts
-from tallywire.llm.queries import _vocabulary
 
+#: What a stage calls the numbers of its rows; they are gone from what it returns.
+ROW = "_row"
 
-def _among(docs: DataFrame, verdicts: DataFrame, how: str = "left_semi") -> DataFrame:
-    """The rows of docs whose id is among (or, left_anti, is not among) those of the verdicts; null ids match each other."""
-    ids = verdicts.select(id_column().alias("_id")).distinct()
-    return docs.withColumn("_id", id_column()).join(ids, "_id", how).drop("_id")
+# Stages decide by row, not by id: each numbers its rows, in a written table, and drops those whose numbers its operator
+# rejects. So rows without an id, and rows that share one, are documents of their own in every stage, rows that repeat a
+# document are copies of it, and a stage without rows gives none. Null and empty texts are kept by the first stage, are
+# equal to each other in the second, and hold no item in the fourth.
+
+
+def _without(rows: DataFrame, rejected: DataFrame) -> DataFrame:
+    """The rows whose numbers are not among the rejected ones, without their numbers."""
+    return rows.join(rejected.select(ROW).distinct(), ROW, "left_anti").drop(ROW)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the language model does not reject."""
-    return _among(docs, perplexity_verdicts(docs, table(spark, sf_dir, "labels")).filter("not kept"), "left_anti")
+    rows = with_rows(docs, ROW)
+    return _without(rows, perplexity_verdicts(rows, table(spark, sf_dir, "labels"), row_col=ROW).filter("not kept"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
-    return _among(docs, exact_dedup(docs).filter("not kept"), "left_anti")
+    """One document of each group of equal texts: the longest original, then the smallest id."""
+    rows = with_rows(docs, ROW)
+    return _without(rows, exact_dedup(rows, row_col=ROW).filter("not kept"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles, similarity 0.8."""
-    return _among(docs, near_duplicates(docs).filter("not kept"), "left_anti")
+    """One document of each group of near duplicates, that of the smallest id: five-word shingles, similarity 0.8."""
+    rows = with_rows(docs, ROW)
+    return _without(rows, near_duplicates(rows, row_col=ROW).filter("not kept"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    return _among(docs, contaminated(docs, table(spark, sf_dir, "benchmark")), "left_anti")
+    rows = with_rows(docs, ROW)
+    return _without(rows, contaminated(rows, table(spark, sf_dir, "benchmark"), row_col=ROW))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of at most 2048 tokens."""
-    return pack(docs, _vocabulary("byte_bpe_50k.json"))
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [("quality", quality), ("exact", exact), ("near", near), ("decontaminate", decontaminate), ("packing", packing)]
