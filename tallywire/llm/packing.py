@@ -121,45 +121,55 @@ _tokenizers: dict[str, ChunkTokenizer] = {}
 class Packer:
     """Vector bin packing by the dot-product heuristic.
 
-    A bin has a limit on tokens, on segments and on loss-bearing tokens. An item goes to the open bin whose remaining
-    room, in shares of the limits, has the largest dot product with the item's needs, weighted by how scarce each
-    dimension is over the block; among bins that fit. With `cut`, the room left in nearly full bins is then filled by
-    cutting items of the emptiest bins, and what is left at the end is closed at powers of two, which need no padding.
+    A bin has a limit on tokens, on segments and on loss-bearing tokens. Needs and room are shares of these limits. Bins
+    are filled one after another: of the items that fit, the one whose needs have the largest dot product with the
+    bin's remaining room goes in, each limit weighted by how scarce it is over the block; the first by size among
+    equals. So large items come first, and later ones use the limits that the bin has most left of. Items of equal
+    needs are one kind, so a choice looks at each kind once. With `cut`, the room left in nearly full bins is then
+    filled by cutting items of the emptiest bins, and what is left at the end is closed at powers of two, which need
+    no padding.
     """
 
     def __init__(self, tokens: int = 2048, segments: int = 64, loss: int | None = None, cut: bool = True):
         self.cap = np.array([tokens, segments, tokens if loss is None else loss], float)
         self.cut = cut
 
+    def place(self, length: np.ndarray, loss: np.ndarray) -> list[list[int]]:
+        """The items of each bin, in the order in which they were chosen."""
+        if not len(length):
+            return []
+        both, kind = np.unique(np.c_[-length, -loss], axis=0, return_inverse=True)  # largest first
+        need = np.c_[-both[:, 0], np.ones(len(both)), -both[:, 1]] / self.cap
+        order = np.argsort(kind, kind="stable")
+        left = np.bincount(kind)
+        ends = np.cumsum(left)
+        weight = (need * left[:, None]).sum(0)
+        weight = weight / weight.sum()
+        bins: list[list[int]] = []
+        todo = len(length)
+        while todo:
+            room, own = np.ones(3), []
+            fits = left > 0
+            while True:
+                fits &= (need <= room + 1e-12).all(1)
+                if not fits.any():
+                    break
+                k = int(np.argmax(np.where(fits, need @ (room * weight), -1.0)))
+                own.append(int(order[ends[k] - left[k]]))
+                left[k] -= 1
+                if not left[k]:
+                    fits[k] = False
+                room = room - need[k]
+            todo -= len(own)
+            bins.append(own)
+            gone = left == 0
+            if gone.sum() > 64 and 2 * gone.sum() > len(left):  # kinds that are used up are not looked at again
+                need, left, ends = need[~gone], left[~gone], ends[~gone]
+        return bins
+
     def pack(self, length: np.ndarray, loss: np.ndarray) -> list[list[tuple[int, int, int]]]:
         """length, loss: of each item, within the limits. Gives bins of pieces (item, start, length)."""
-        need = np.c_[length, np.ones(len(length)), loss].astype(float) / self.cap
-        weight = need.sum(0) / max(need.sum(), 1e-9)
-        order = np.argsort(-(need @ weight), kind="stable")
-        room = np.ones((64, 3))
-        bins: list[list[int]] = []
-        open_ = np.zeros(0, np.int64)  # bins that still take an item
-        least = need.min(0) if len(need) else np.zeros(3)
-        for i in order.tolist():
-            w = need[i]
-            r = room[open_]
-            fits = (r >= w - 1e-12).all(1)
-            if fits.any():
-                cand = open_[fits]
-                # the tightest of the best: the dot product favours bins rich in what the item needs, the second term full ones
-                score = (room[cand] * w * weight).sum(1) - (room[cand] * weight).sum(1)
-                b = int(cand[np.argmax(score)])
-            else:
-                b = len(bins)
-                bins.append([])
-                if b >= len(room):
-                    room = np.r_[room, np.ones_like(room)]
-                open_ = np.r_[open_, b]
-            bins[b].append(i)
-            room[b] -= w
-            if (room[b] < least - 1e-12).any():
-                open_ = open_[open_ != b]
-        out = [[(i, 0, int(length[i])) for i in x] for x in bins]
+        out = [[(i, 0, int(length[i])) for i in x] for x in self.place(length, loss)]
         return self._fill(out, length, loss) if self.cut else out
 
     def _fill(self, bins, length, loss):

@@ -86,6 +86,32 @@ def test_packer_keeps_all_limits():
         assert (done == length).all()
 
 
+def test_the_dot_product_decides():
+    """Each choice has the largest weighted dot product of needs and room among the items that fit; neither the tightest nor the first that fits would do."""
+    r = np.random.default_rng(3)
+    tight = first = 0
+    for _ in range(20):
+        length = r.integers(1, 700, 60)
+        loss = np.minimum((length * r.random(60) ** 2).astype(int), 300)
+        p = Packer(1000, 6, 300)
+        need = np.c_[length, np.ones(60), loss] / p.cap
+        weight = need.sum(0) / need.sum()
+        left = set(range(60))
+        for own in p.place(length, loss):
+            room = np.ones(3)
+            for i in own:
+                fits = [k for k in sorted(left) if (need[k] <= room + 1e-12).all()]
+                best = max(need[k] @ (room * weight) for k in fits)
+                assert need[i] @ (room * weight) == pytest.approx(best)
+                tight += i != min(fits, key=lambda k: ((room - need[k]) * weight).sum())
+                first += i != max(fits, key=lambda k: length[k])
+                left.remove(i)
+                room = room - need[i]
+            assert not any((need[k] <= room).all() for k in left)
+        assert not left
+    assert tight > 50 and first > 50
+
+
 def test_loss_limit_cuts_long_answers(spark):
     d = spark.createDataFrame([(1, "word " * 900, 1.0), (2, "word " * 50, 0.1), (3, None, None)], "doc_id bigint, text string, share double")
     got = pack(d, P.path("byte_bpe_50k.json"), loss_col="share", max_tokens=512, max_loss=256).collect()
