@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import NULL_ID, as_bytes, id_column, mix64, prepare, ragged, release, stash
@@ -68,26 +69,41 @@ def runs_of(texts: list[bytes], width: int) -> tuple[np.ndarray, ...]:
     return text, s - heads[text], np.diff(np.r_[first, len(start)]), a[first] - s, hash_[s]
 
 
-def pack_runs(text, s, n, d, h) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, number, hash) of runs; runs of one anchor's string that follow on each other are one number.
+class Fields(NamedTuple):
+    """How a run is held in a number of 62 bits: how many follow, the first window (32 bits), the windows of each, the anchor's offset."""
 
-    A text that repeats a short piece over and over has the same run over and over, each right behind the one before.
-    The number holds how many follow (16 bits), the first window (32), the windows of each (7), the anchor's offset (7).
-    """
-    if not len(s):
-        return text, s, h
-    new = np.r_[True, (np.diff(text) != 0) | (np.diff(h) != 0) | (np.diff(n) != 0) | (np.diff(d) != 0) | (np.diff(s) != n[:-1])]
-    at = np.flatnonzero(new)
-    place = np.arange(len(s)) - np.repeat(at, np.diff(np.r_[at, len(s)]))
-    new |= place % (1 << 16) == 0
-    at = np.flatnonzero(new)
-    follow = np.diff(np.r_[at, len(s)]) - 1
-    return text[at], (follow << 46) | (s[at] << 14) | (n[at] << 7) | d[at], h[at]
+    small: int  # bits of a number below `width`
+
+    @classmethod
+    def of(cls, width: int) -> Fields:
+        if not GRAM <= width < 1 << 14:
+            raise ValueError(f"width must be at least {GRAM} and below {1 << 14}")
+        return cls(width.bit_length())
+
+    @property
+    def follow(self) -> int:
+        """Where the number of runs that follow begins; it has what bits are left, two at least."""
+        return 32 + 2 * self.small
 
+    def pack(self, text, s, n, d, h) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, number, hash) of runs; runs of one anchor's string that follow on each other are one number.
 
-def unpack(number: int) -> tuple[int, int, int, int]:
-    """(runs, first window, windows of each, anchor's offset)."""
-    return ((number >> 46) & 0xFFFF) + 1, (number >> 14) & 0xFFFFFFFF, (number >> 7) & 127, number & 127
+        A text that repeats a short piece over and over has the same run over and over, each right behind the one before.
+        """
+        if not len(s):
+            return text, s, h
+        new = np.r_[True, (np.diff(text) != 0) | (np.diff(h) != 0) | (np.diff(n) != 0) | (np.diff(d) != 0) | (np.diff(s) != n[:-1])]
+        at = np.flatnonzero(new)
+        place = np.arange(len(s)) - np.repeat(at, np.diff(np.r_[at, len(s)]))
+        new |= place % (1 << (62 - self.follow)) == 0
+        at = np.flatnonzero(new)
+        follow = np.diff(np.r_[at, len(s)]) - 1
+        return text[at], (follow << self.follow) | (s[at] << 2 * self.small) | (n[at] << self.small) | d[at], h[at]
+
+    def unpack(self, number: int) -> tuple[int, int, int, int]:
+        """(runs, first window, windows of each, anchor's offset)."""
+        low = (1 << self.small) - 1
+        return ((number >> self.follow) & ((1 << (62 - self.follow)) - 1)) + 1, (number >> 2 * self.small) & 0xFFFFFFFF, (number >> self.small) & low, number & low
 
 
 def _lcp(a: bytes, b: bytes) -> int:
@@ -152,36 +168,84 @@ class BlindTrie:
         return out
 
 
+class Quicksort:
+    """Multikey quicksort by words of eight bytes, of all groups of strings at once.
+
+    A segment is what has shared all words so far. In each round every segment is split in three by the word at its own
+    depth: below its pivot's, equal to it, above it; the equal part goes on at the next word, the others at the same.
+    A segment of one string, or at the depth where to stop, is done.
+    """
+
+    def __init__(self, strings: list[bytes], shallow: int):
+        self.size = np.array([len(s) for s in strings], np.int64)
+        self.flat = np.frombuffer(b"".join(strings) + bytes(shallow + 8), np.uint8)
+        self.head = np.cumsum(self.size) - self.size
+        self.shallow = shallow
+        self.rounds = 0
+
+    def word(self, i: np.ndarray, depth: np.ndarray) -> np.ndarray:
+        """The eight bytes of strings from a depth on, zero behind their ends."""
+        at = np.minimum(self.head[i] + depth, len(self.flat) - 8)
+        take = self.flat[at[:, None] + np.arange(8)]
+        take = np.where(depth[:, None] + np.arange(8) < self.size[i][:, None], take, 0).astype(np.uint8)
+        return np.ascontiguousarray(take).view(">u8").reshape(-1).astype(np.uint64)
+
+    def order(self, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The strings by (group, first `shallow` bytes), and the heads of segments that tie in them."""
+        n = len(group)
+        order = np.argsort(group, kind="stable")
+        heads = np.flatnonzero(np.r_[True, np.diff(group[order]) != 0]) if n else np.zeros(0, np.int64)
+        depth = np.zeros(len(heads), np.int64)
+        words = self.word(order, np.zeros(n, np.int64))
+        tied, draw = [], np.random.default_rng(1)
+        while len(heads):
+            self.rounds += 1
+            sizes = np.diff(np.r_[heads, n]) if self.rounds == 1 else sizes
+            done = (sizes == 1) | (depth >= self.shallow)
+            tied.append(heads[done])
+            heads, sizes, depth = heads[~done], sizes[~done], depth[~done]
+            if not len(heads):
+                break
+            at = ragged(heads, sizes)
+            w = words[at]
+            ends = np.cumsum(sizes)
+            x, y, z = (w[ends - sizes + (draw.random(len(sizes)) * sizes).astype(np.int64)] for _ in range(3))
+            pivot = np.repeat(np.maximum(np.minimum(x, y), np.minimum(np.maximum(x, y), z)), sizes)  # of three at random the middle one
+            whose = np.repeat(np.arange(len(heads)), sizes)
+            below, equal = w < pivot, w == pivot
+            n_below, n_equal = np.bincount(whose[below], minlength=len(heads)), np.bincount(whose[equal], minlength=len(heads))
+            rank = lambda part: np.cumsum(part) - np.repeat(np.cumsum(part)[ends - sizes] - part[ends - sizes], sizes) - 1
+            base = np.repeat(heads, sizes)
+            to = np.where(below, base + rank(below), np.where(equal, base + np.repeat(n_below, sizes) + rank(equal), base + np.repeat(n_below + n_equal, sizes) + rank(~below & ~equal)))
+            moved, moved_words = order[at], w
+            order[to], words[to] = moved, moved_words
+            parts = np.r_[heads, heads + n_below, heads + n_below + n_equal]
+            lengths = np.r_[n_below, n_equal, sizes - n_below - n_equal]
+            deeper = np.r_[depth, depth + 8, depth]
+            forward = np.r_[np.zeros(len(heads), bool), np.ones(len(heads), bool), np.zeros(len(heads), bool)]
+            some = lengths > 0
+            parts, lengths, deeper, forward = parts[some], lengths[some], deeper[some], forward[some]
+            next_ = forward & (lengths > 1) & (deeper < self.shallow)
+            to_read = ragged(parts[next_], lengths[next_])
+            words[to_read] = self.word(order[to_read], np.repeat(deeper[next_], lengths[next_]))
+            heads, sizes, depth = parts, lengths, deeper
+        return order, np.sort(np.concatenate(tied)) if tied else np.zeros(0, np.int64)
+
+
 def deep_shallow(strings: list[bytes], group: np.ndarray, shallow: int = 24) -> tuple[np.ndarray, np.ndarray]:
     """Order by (group, string), and the bytes each string shares with the one before it; -1 where a group begins.
 
     Multikey quicksort by words of eight bytes down to `shallow` bytes; blind tries order what still ties.
     """
     n = len(strings)
-    size = np.array([len(s) for s in strings], np.int64)
-    flat = np.frombuffer(b"".join(strings) + bytes(shallow + 8), np.uint8)
-    head = np.cumsum(size) - size
-
-    def word(i: np.ndarray, depth: int) -> np.ndarray:
-        take = flat[(head[i] + depth)[:, None].clip(max=len(flat) - 8) + np.arange(8)]
-        take = np.where(np.arange(depth, depth + 8)[None, :] < size[i][:, None], take, 0).astype(np.uint8)
-        return np.ascontiguousarray(take).view(">u8").reshape(-1).astype(np.uint64)
-
-    order = np.argsort(group, kind="stable")
-    cls = group[order]
-    for depth in range(0, shallow, 8):
-        w = word(order, depth)
-        inner = np.lexsort((w, cls))
-        order, w, c = order[inner], w[inner], cls[inner]
-        cls = np.cumsum(np.r_[0, (np.diff(c) != 0) | (np.diff(w) != 0)]) if n else cls
-    if n:
-        bounds = np.flatnonzero(np.r_[True, np.diff(cls) != 0, True])
-        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            if b - a > 1:
-                trie = BlindTrie(strings)
-                for i in order[a:b].tolist():
-                    trie.insert(i)
-                order[a:b] = trie.order()
+    order, heads = Quicksort(strings, shallow).order(group)
+    bounds = np.r_[heads, n]
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        if b - a > 1:
+            trie = BlindTrie(strings)
+            for i in order[a:b].tolist():
+                trie.insert(i)
+            order[a:b] = trie.order()
     ranked = order.tolist()
     lcp = np.array([-1, *(_lcp(strings[x], strings[y]) for x, y in zip(ranked, ranked[1:], strict=False))][:n], np.int64)
     g = group[order]
@@ -252,6 +316,11 @@ class _First:
             repeats.append(place[:4])
 
 
+def text_key(text: Column, salt: int = 0) -> Column:
+    """A number for a text; a salt gives another one."""
+    return F.xxhash64(text, F.lit(salt)) if salt else F.xxhash64(text)
+
+
 def remove_repeats(docs: DataFrame, width: int = 100, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """One row per input row: (id, n_bytes, n_removed, n_spans, kept_sha256[, kept binary]).
 
@@ -263,16 +332,27 @@ def remove_repeats(docs: DataFrame, width: int = 100, id_col: str = "doc_id", te
     A window's anchor is its gram of least hash, so equal windows meet at equal anchors; runs of windows with one anchor,
     about one for 43 bytes, are what is shuffled, as numbers. Only of anchors that occur again the bytes are fetched;
     equal ones are merged before the shuffle, and an anchor with more than HOT occurrences is dealt out by whole windows
-    instead, so no task gets all occurrences of a frequent line. Exact copies of a text are found first, by digest.
+    instead, so no task gets all occurrences of a frequent line. Exact copies of a text are found first, by digest. A
+    text goes by a 64-bit key; keys that two texts share are found by the digests and replaced. `width` may be from GRAM
+    to 16383. Which anchors recur is found by a window over an anchor's runs, as numbers: those of one anchor are in one
+    task there, which spills.
     """
     spark = docs.sparkSession
     prepare(spark)
-    rows = docs.select(id_column(id_col).alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
-
-    names = stash(rows.select("doc", "th", F.unhex(F.md5("text")).alias("digest")), "texts")
+    fields = Fields.of(width)
+    plain = docs.select(id_column(id_col).alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    key, salt = text_key(F.col("text")), 0
+    while True:
+        rows = plain.withColumn("th", key)
+        names = stash(rows.select("doc", "th", F.unhex(F.sha2("text", 256)).alias("digest")), "texts")
+        first = stash(names.groupBy("th").agg(F.min("doc").alias("doc"), (F.min("digest") < F.max("digest")).alias("shared")), "first")
+        found = [r.th for r in first.filter("shared").select("th").limit(10_000).collect()]
+        if not found:
+            break
+        salt += 1
+        key = F.when(key.isin(found), text_key(F.col("text"), salt)).otherwise(key)
     copies = names.groupBy("digest").agg(F.min("doc").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
     copied = stash(names.join(copies, "digest").filter("doc <> first").select("doc", "th").distinct(), "copies")
-    first = stash(names.groupBy("th").agg(F.min("doc").alias("doc")), "first")
 
     def runs(batches):
         seen: set[int] = set()
@@ -284,16 +364,16 @@ def remove_repeats(docs: DataFrame, width: int = 100, id_col: str = "doc_id", te
                     seen.add(t), keep.append(k)
             for j in range(0, len(keep), 1000):
                 part = keep[j : j + 1000]
-                text, number, h = pack_runs(*runs_of([raw[k] for k in part], width))
+                text, number, h = fields.pack(*runs_of([raw[k] for k in part], width))
                 ids = np.array([th[k] for k in part], np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[text] if len(text) else text), pa.array(number)], ["anchor", "th", "pack"])
 
     anchors = rows.select("th", "text").mapInArrow(runs, "anchor long, th long, pack long")
     same = Window.partitionBy("anchor")
-    again = anchors.withColumns({"n": F.sum(F.shiftright("pack", 46) + 1).over(same), "a": F.min("th").over(same), "z": F.max("th").over(same), "p": F.min("pack").over(same), "q": F.max("pack").over(same)}).filter("a <> z or p <> q or shiftright(q, 46) > 0")
+    again = anchors.withColumns({"n": F.sum(F.shiftright("pack", fields.follow) + 1).over(same), "a": F.min("th").over(same), "z": F.max("th").over(same), "p": F.min("pack").over(same), "q": F.max("pack").over(same)}).filter(f"a <> z or p <> q or shiftright(q, {fields.follow}) > 0")
     hot = F.when(F.col("n") > HOT, F.lit(1 << 62)).otherwise(F.lit(0)).cast("long")
     wanted = again.select("th", F.col("pack").bitwiseOR(hot).alias("pack")).groupBy("th").agg(F.collect_set("pack").alias("packs"))
-    wanted = stash(wanted.join(first, "th"), "wanted")
+    wanted = stash(wanted.join(first.select("th", "doc"), "th"), "wanted")
     release(spark)
 
     route = "route long, doc long, th long, start long, windows long, offset long, span binary"
@@ -308,7 +388,7 @@ def remove_repeats(docs: DataFrame, width: int = 100, id_col: str = "doc_id", te
             whole, single, repeats = _First(), _First(), []
             for doc, th, raw, packs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), as_bytes(b.column(2)), b.column(3).to_pylist(), strict=True):
                 for p in packs:
-                    runs_, first_, n, d = unpack(p)
+                    runs_, first_, n, d = fields.unpack(p)
                     for s in range(first_, first_ + runs_ * n, n):
                         if s + n - 1 + width > len(raw):
                             break
@@ -316,8 +396,8 @@ def remove_repeats(docs: DataFrame, width: int = 100, id_col: str = "doc_id", te
                             for k in range(n):
                                 single.offer(raw[s + k : s + k + width], (doc, th, s + k, 1, d - k), repeats)
                         else:
-                            whole.offer(bytes([d]) + raw[s : s + n - 1 + width], (doc, th, s, n, d), repeats)
-            out = [(signed(xxh3_64_intdigest(k[1:][k[0] : k[0] + GRAM])), *v, k[1:]) for k, v in whole.at.items()]
+                            whole.offer(d.to_bytes(2, "big") + raw[s : s + n - 1 + width], (doc, th, s, n, d), repeats)
+            out = [(signed(xxh3_64_intdigest(k[(at := 2 + int.from_bytes(k[:2], "big")) : at + GRAM])), *v, k[2:]) for k, v in whole.at.items()]
             out += [(signed(xxh3_64_intdigest(k, seed=1)), *v, k) for k, v in single.at.items()]
             out += [(None, *r, None, None) for r in _chained(repeats)]
             for k in range(0, len(out), 20_000):
@@ -334,8 +414,8 @@ def remove_repeats(docs: DataFrame, width: int = 100, id_col: str = "doc_id", te
             repeats: list = []
             distinct: dict[int, _First] = {}
             for r, *place, span in held:
-                distinct.setdefault(r, _First()).offer(bytes([place[4]]) + span, tuple(place), repeats)
-            rest = [(*v, k[1:], g) for g, f in enumerate(distinct.values()) if len(f.at) > 1 for k, v in f.at.items()]
+                distinct.setdefault(r, _First()).offer(place[4].to_bytes(2, "big") + span, tuple(place), repeats)
+            rest = [(*v, k[2:], g) for g, f in enumerate(distinct.values()) if len(f.at) > 1 for k, v in f.at.items()]
             rest.sort(key=lambda x: (x[0], x[1], x[2] + x[4]))
             if rest:
                 group, offset, count = (np.array([x[i] for x in rest], np.int64) for i in (6, 4, 3))

@@ -6,13 +6,14 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import tallywire.llm.exact_dedup as exact
 from tallywire.llm import suffix_dedup
 from tallywire.llm.components import components
 from tallywire.llm.exact_dedup import CuckooIndex, exact_dedup
 from tallywire.llm.minhash import SetSketch, near_duplicates, shingle_sets
-from tallywire.llm.suffix_dedup import BlindTrie, deep_shallow, pack_runs, remove_repeats, runs_of, unpack
+from tallywire.llm.suffix_dedup import BlindTrie, Fields, Quicksort, deep_shallow, remove_repeats, runs_of
 
 BLANK = re.compile(r"[\x20\x09-\x0D]")
 ORDER = lambda i: -(2**63) if i is None else i
@@ -197,12 +198,42 @@ def test_remove_repeats(make_docs, prose, monkeypatch, hot):
     assert sum(x[1] for x in want.values()) > 2000
 
 
-def test_periodic_text_is_few_rows():
-    texts = [b"For " * 1000, b"x" * 5000, bytes(range(256)) * 3, b"short", b""]
-    runs = runs_of(texts, 100)
-    text, number, _ = pack_runs(*runs)
-    assert len(runs[0]) > 5000 and (text == 0).sum() + (text == 1).sum() < 20
-    again = [(t, s + k * n, n, d) for t, x in zip(text.tolist(), number.tolist(), strict=True) for r, s, n, d in [unpack(x)] for k in range(r)]
+@pytest.mark.parametrize("width", [16, 142, 143, 200, 300, 700])
+def test_remove_repeats_at_any_width(make_docs, prose, width):
+    r = random.Random(width)
+    passage = "".join(r.choice("abcdefgh ") for _ in range(width + 250))
+    rows = [x for x in prose if x != (None, None)] + [(900 + k, f"{k} " * k + passage[k:] + " end") for k in range(5)]
+    want = repeats_brute(rows, width)
+    for x in remove_repeats(make_docs(rows), width=width).collect():
+        assert (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) == want[x.doc_id], x.doc_id
+    assert want[904][1] >= width
+
+
+def test_widths_that_cannot_be_held():
+    for width in (15, 1 << 14):
+        with pytest.raises(ValueError, match="width"):
+            Fields.of(width)
+
+
+def test_texts_whose_keys_are_equal(make_docs, prose, monkeypatch):
+    """Keys that texts share are replaced until none is shared."""
+    monkeypatch.setattr(suffix_dedup, "text_key", lambda text, salt=0: F.xxhash64(text, F.lit(salt)) if salt > 1 else F.pmod(F.length(text), F.lit(7 + salt)).cast("long"))
+    rows = [r for r in prose if r[0] is not None and r[0] < 210]
+    want = repeats_brute(rows, 100)
+    for r in remove_repeats(make_docs(rows)).collect():
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[r.doc_id], r.doc_id
+
+
+@pytest.mark.parametrize("width", [100, 1000, 16383])
+def test_periodic_text_is_few_rows(width):
+    texts = [b"For " * 8000, b"x" * 20000, bytes(range(256)) * 3, b"short", b""]
+    fields = Fields.of(width)
+    runs = runs_of(texts, width)
+    text, number, _ = fields.pack(*runs)
+    assert number.max() < 1 << 62
+    if width == 100:
+        assert len(runs[0]) > 20000 and (text == 0).sum() + (text == 1).sum() < 20
+    again = [(t, s + k * n, n, d) for t, x in zip(text.tolist(), number.tolist(), strict=True) for r, s, n, d in [fields.unpack(x)] for k in range(r)]
     assert again == list(zip(*(x.tolist() for x in runs[:4]), strict=True))
 
 
@@ -224,6 +255,22 @@ def test_deep_shallow_is_an_order():
         assert lcp[k] == (same if group[order[k]] == group[order[k - 1]] else -1)
 
 
+def test_multikey_quicksort():
+    """Segments are split in three by word until they differ or share `shallow` bytes: equal words are passed over once, not compared again."""
+    r = random.Random(8)
+    for n in (0, 1, 2, 3000):
+        s = [bytes(r.choice(b"ab") for _ in range(r.randint(0, 40))) for _ in range(n)]
+        group = np.array([r.randrange(5) for _ in s], np.int64)
+        q = Quicksort(s, 24)
+        order, heads = q.order(group)
+        key = [(group[i], s[i][:24].ljust(24, b"\0")) for i in order]
+        assert key == sorted(key) and sorted(order.tolist()) == list(range(n))
+        assert heads.tolist() == [k for k in range(n) if k == 0 or key[k] != key[k - 1]]
+    same = Quicksort([b"x" * 23 + bytes([k]) for k in range(64)] * 4, 24)
+    same.order(np.zeros(256, np.int64))
+    assert same.rounds <= 2 + 4 * 6  # two rounds for the shared words, then halvings
+
+
 def test_blind_trie():
     s = [b"abc", b"ab", b"abd", b"", b"abc", b"b", b"abcde"]
     t = BlindTrie(s)
