@@ -66,12 +66,17 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict, bytes, int]:
     end = data.find(b"\r\n\r\n", at)
     if end < 0:
         raise Damaged("headers do not end")
-    heads = {}
+    heads: dict[str, str] = {}
+    last = None
     for line in data[at:end].split(b"\r\n")[1:]:
+        if last is not None and line[:1] in (b" ", b"\t"):  # a folded line goes on with the value before it
+            heads[last] = f"{heads[last]} {line.strip().decode('latin-1')}"
+            continue
         name, colon, value = line.partition(b":")
         if not colon:
             raise Damaged("header without a colon")
-        heads[name.strip().lower().decode("latin-1")] = value.strip().decode("latin-1")
+        last = name.strip().lower().decode("latin-1")
+        heads[last] = value.strip().decode("latin-1")
     if missing := [h for h in ("warc-type", "warc-record-id", "warc-date") if h not in heads]:
         raise Damaged(f"no {missing[0]}")
     if not heads.get("content-length", "").isdigit():
@@ -87,7 +92,8 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict, bytes, int]:
     return heads, block, start + size + 4
 
 
-def _unzip(data: bytes, at: int, step: int = 1 << 16) -> tuple[bytes, int]:
+def _unzip(data: bytes, at: int, step: int = 1 << 16) -> tuple[bytes, int | None, str]:
+    """The contents of the member at an offset and the offset behind it; of a damaged one what comes before the damage, None, and the reason."""
     z, view, out, k = zlib.decompressobj(31), memoryview(data), [], at
     try:
         while not z.eof and k < len(data):
@@ -95,52 +101,95 @@ def _unzip(data: bytes, at: int, step: int = 1 << 16) -> tuple[bytes, int]:
             out.append(z.decompress(part))
             k += len(part)
     except zlib.error as e:
-        raise Damaged(f"member: {e}") from None
+        return b"".join(out) + _until_error(data, at, k), None, f"member: {e}"
     if not z.eof:
-        raise Damaged("member is cut short")
-    return b"".join(out), k - len(z.unused_data)
-
+        return b"".join(out), None, "member is cut short"
+    return b"".join(out), k - len(z.unused_data), ""
 
-def _read_at(data: bytes, at: int) -> tuple[list[tuple[dict, bytes]], int]:
-    """The records of the member, or the plain record, at an offset, and the offset behind it. An empty member has none."""
-    if data.startswith(MAGIC, at):
-        plain, end = _unzip(data, at)
-        got, k = [], 0
-        while k < len(plain):
-            heads, block, k = parse_record(plain, k)
-            got.append((heads, block))
-        return got, end
-    heads, block, end = parse_record(data, at)
-    return [(heads, block)], end
 
+def _until_error(data: bytes, at: int, k: int) -> bytes:
+    """What a damaged member holds between an offset up to which it reads well and the byte that fails."""
+    z, out = zlib.decompressobj(31), []
+    view = memoryview(data)
+    for j in range(at, k, 1 << 16):
+        z.decompress(view[j : min(j + (1 << 16), k)])
+    try:
+        for j in range(k, len(data)):
+            out.append(z.decompress(view[j : j + 1]))
+    except zlib.error:
+        pass
+    return b"".join(out)
 
-def salvage(data: bytes) -> Iterator[tuple[str, int, int, object]]:
-    """('record', offset, length, (headers, block)) and ('gap', offset, length, reason), in order, covering all bytes.
 
-    After a failed check the search goes on byte by byte for the next member or version line that reads without a
-    failure; what lies between is one quarantined gap.
-    """
-    at, gap, why = 0, None, ""
-    marks = re.compile(re.escape(MAGIC) + rb"|WARC/1\.[01]\r\n")
+def _plain(data: bytes, at: int = 0) -> Iterator[tuple[str, int, int, object]]:
+    """('record', offset, length, (headers, block)) and ('gap', offset, length, reason) of uncompressed records, in order, covering all bytes."""
+    gap, why = None, ""
     while at < len(data):
         try:
-            got, end = _read_at(data, at)
+            heads, block, end = parse_record(data, at)
         except Damaged as e:
             if gap is None:
                 gap, why = at, str(e)
-            m = marks.search(data, at + 1)
+            m = VERSION.search(data, at + 1)
             at = m.start() if m else len(data)
             continue
         if gap is not None:
             yield "gap", gap, at - gap, why
             gap = None
-        for r in got:
-            yield "record", at, end - at, r
+        yield "record", at, end - at, (heads, block)
         at = end
     if gap is not None:
         yield "gap", gap, len(data) - gap, why
 
 
+def salvage(data: bytes) -> Iterator[tuple[str, int, int, object, int | None]]:
+    """('record', offset, length, (headers, block), inner) and ('gap', offset, length, reason, inner), in order.
+
+    After a failed check the search goes on byte by byte for the next member or version line that reads without a
+    failure; what lies between is one quarantined gap. A member's records are read on in the same way from its
+    contents: a damaged one of them is a gap of its own, and `inner` says where in the contents each begins. Offset and
+    length are the member's then. Records before the damage of a member that breaks off are recovered; their length is
+    0, since the member's end is not known, and they follow the gap. All else covers all bytes of the archive.
+    """
+    at, gap, why = 0, None, ""
+    rescued: list[tuple] = []
+    marks = re.compile(re.escape(MAGIC) + rb"|WARC/1\.[01]\r\n")
+    while at < len(data):
+        got: list[tuple] = []
+        if data.startswith(MAGIC, at):
+            plain, end, reason = _unzip(data, at)
+            inside = list(_plain(plain))
+            if end is None:
+                rescued += [("record", at, 0, x, k) for kind, k, _, x in inside if kind == "record"]
+            elif inside and all(kind == "gap" for kind, *_ in inside):
+                end, reason = None, str(inside[0][3])
+            elif len(inside) == 1:
+                got = [("record", at, end - at, inside[0][3], None)]
+            else:
+                got = [(kind, at, end - at, x, k) for kind, k, _, x in inside]
+        else:
+            try:
+                heads, block, end = parse_record(data, at)
+                got = [("record", at, end - at, (heads, block), None)]
+            except Damaged as e:
+                end, reason = None, str(e)
+        if end is None:
+            if gap is None:
+                gap, why = at, reason
+            m = marks.search(data, at + 1)
+            at = m.start() if m else len(data)
+            continue
+        if gap is not None:
+            yield "gap", gap, at - gap, why, None
+            yield from rescued
+            gap, rescued = None, []
+        yield from got
+        at = end
+    if gap is not None:
+        yield "gap", gap, len(data) - gap, why, None
+        yield from rescued
+
+
 def _is_http(heads: dict, block: bytes) -> bool:
     kind = heads.get("content-type")
     return block.startswith(b"HTTP/") if kind is None else kind.lower().startswith("application/http")
@@ -222,14 +271,16 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     made.select(F.col("record").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", per_file).text(path)
 
 
-RECORDS = "path string, offset long, length long, kind string, reason string, record_id string, record_type string, target string, payload_bytes long, payload_digest string, refers_to string"
+RECORDS = "path string, offset long, length long, inner long, kind string, reason string, record_id string, record_type string, target string, payload_bytes long, payload_digest string, refers_to string"
 
 
 def read_warc(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
     """All records and quarantined gaps of the archives below `path`, gzipped or plain.
 
     kind is 'record' or 'gap'; a gap has the reason of the first check that failed. A record whose payload is not the
-    one its digest says (MD5, SHA-1, SHA-256 or SHA-512) is quarantined too. Only HTTP messages lose their headers. `payloads` adds the bytes of responses. An empty folder has no rows.
+    one its digest says (MD5, SHA-1, SHA-256 or SHA-512) is quarantined too. Only HTTP messages lose their headers. `inner` is
+    where in a member of several records one begins. `payloads` adds the bytes of responses. An empty folder has no
+    rows. An archive is read by one task as one value, so it must be under 2 GB; write_warc bounds its own.
     """
     prepare(spark)
 
@@ -237,7 +288,7 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = False) -> DataFra
         for b in batches:
             for name, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 rows = []
-                for kind, at, n, x in salvage(data):
+                for kind, at, n, x, inner in salvage(data):
                     if kind == "record":
                         heads, block = x
                         body = _body(heads, block)
@@ -245,10 +296,10 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = False) -> DataFra
                         if _differs(heads, block, body):
                             kind, x = "gap", "payload digest differs"
                     if kind == "gap":
-                        rows.append((name, at, n, "gap", x, None, None, None, None, None, None, None))
+                        rows.append((name, at, n, inner, "gap", x, None, None, None, None, None, None, None))
                     else:
                         bare = lambda k: None if (v := heads.get(k)) is None else re.sub(r"^<urn:page:|>$", "", v)  # noqa: E731, B023
-                        rows.append((name, at, n, "record", None, bare("warc-record-id"), heads.get("warc-type"), heads.get("warc-target-uri"), size, digest, bare("warc-refers-to"), body if payloads and heads.get("warc-type") == "response" else None))
+                        rows.append((name, at, n, inner, "record", None, bare("warc-record-id"), heads.get("warc-type"), heads.get("warc-target-uri"), size, digest, bare("warc-refers-to"), body if payloads and heads.get("warc-type") == "response" else None))
                     if len(rows) >= 1000:
                         yield _records(rows)
                         rows = []
@@ -261,7 +312,7 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = False) -> DataFra
 
 
 def _records(rows) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.int64(), pa.int64()] + [pa.string()] * 5 + [pa.int64(), pa.string(), pa.string(), pa.binary()]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64()] + [pa.string()] * 5 + [pa.int64(), pa.string(), pa.string(), pa.binary()]
     names = [x.split()[0] for x in RECORDS.split(", ")] + ["payload"]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
