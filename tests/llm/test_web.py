@@ -21,31 +21,38 @@ def entries(spark, rows):
 LIST = [
     ("domain", "bad.org", "block", "2024-01-10"), ("domain", "bad.org", "remove", "2024-02-10"), ("domain", "Bad.org", "block", "2024-03-10"), ("domain", "ok.bad.org", "allow", "2024-01-01"), ("prefix", "x.com/ads", "block", "2024-01-01"),
     ("url", "x.com/ads/fine", "allow", "2024-01-05"), ("domain", "tie.org", "allow", "2024-01-01"), ("domain", "tie.org", "block", "2024-01-01"), ("domain", "bad.org", "block", "2024-01-10"), ("domain", None, "block", "2024-01-01"), ("domain", "n.org", "block", None),
+    ("prefix", "x.com/a/b/", "block", "2024-01-01"), ("prefix", "x.com/a", "allow", "2024-01-01"), ("prefix", "whole.net", "block", "2024-01-01"), ("url", "x.com/q?id=1", "block", "2024-01-01"), ("domain", "[::1]", "block", "2024-01-01"),
 ]
 
 
 def brute(url, on):
     import re
 
-    m = re.match(r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)", (url or "").lower())
+    m = re.match(r"^(?:[a-z][a-z0-9+.-]*:)?//([^/?#]*)([^?#]*)(\?[^#]*)?", (url or "").lower())
     if not m or on is None:
         return "none", 0
-    host = m[1]
-    path = re.match(r"^[a-z][a-z0-9+.-]*://[^/?#]*([^?#]*)", url.lower())[1]
-    step = (re.match("(/[^/]*)", path) or [None, ""])[1]
+    host = m[1].rpartition("@")[2]
+    host = host[: host.index("]") + 1] if host.startswith("[") else host.partition(":")[0].removesuffix(".")
+    path, query = m[2], m[3] or ""
+    steps = [x for x in path.split("/") if x]
+    prefixes = ["/".join([host, *steps[:k]]) for k in range(len(steps) + 1)]
+    if not host:
+        return "none", 0
     found = []
     for kind, value in {(k, v.lower()) for k, v, _, d in LIST if v and d}:
         held = sorted((d, a) for k, v, a, d in LIST if d and v and (k, v.lower()) == (kind, value) and D(d) <= on)
         if not held or held[-1][1] == "remove":
             continue
-        fits = host == value or host.endswith("." + value) if kind == "domain" else host + (step if kind == "prefix" else path) == value
+        value = value.rstrip("/") if kind == "prefix" else value
+        fits = {"domain": host == value or host.endswith("." + value), "prefix": value in prefixes, "url": value in (host + path, host + path + query)}[kind]
         if fits:
-            found.append(({"url": 10**6, "prefix": 9 * 10**5}.get(kind, value.count(".") + 1), held[-1][1]))
+            found.append(({"url": 10**6 + len(value), "prefix": 9 * 10**5 + value.count("/")}.get(kind, value.count(".") + 1), held[-1][1]))
     return (max(found)[1] if found else "none"), len(found)
 
 
 def test_filter_as_of_the_fetch(spark):
     urls = ["http://bad.org/", "https://u:p@www.BAD.org:8080/x?y", "http://ok.bad.org/z", "http://notbad.org/", "http://x.com/ads/foo", "http://x.com/ads/fine?q=1", "http://x.com/adsx", "http://tie.org", "mailto:x", "", None]
+    urls += ["http://x.com/a", "http://x.com/a/b", "http://x.com/a//b/c.html", "http://x.com/a/bc", "http://whole.net", "http://sub.whole.net/", "http://x.com/q?id=1", "http://x.com/q?id=1#z", "http://x.com/q?id=12", "http://x.com/q", "http://[::1]:80/x", "http://bad.org./", "//bad.org/a", "http:///x", "http://u@/x"]
     rows = [(i, u, d, "h") for i, (u, d) in enumerate((u, d) for u in urls for d in (D("2024-01-09"), D("2024-01-10"), D("2024-02-09"), D("2024-02-10"), D("2024-05-01"), None))]
     rows.append(rows[0])
     caps = spark.createDataFrame(rows, "page_id bigint, url string, fetched_on date, decision string")
