@@ -12,17 +12,22 @@ from .components import components
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _words: dict[bytes, int] = {}
-_WORDS = 300_000
+#: Words of which the hashes are kept; longer ones than LONG bytes are hashed each time, so the cache is bounded in bytes.
+_WORDS, LONG = 300_000, 64
 
 
 def _word_hashes(words: list[bytes]) -> np.ndarray:
     from xxhash import xxh3_64_intdigest
 
-    new = {w for w in set(words) if w not in _words}
+    distinct = set(words)
+    new = {w for w in distinct if w not in _words}
     if len(_words) + len(new) > _WORDS:
         _words.clear()
-        new = set(words)
-    _words.update((w, xxh3_64_intdigest(w)) for w in new)
+        new = distinct
+    long = {w: xxh3_64_intdigest(w) for w in new if len(w) > LONG}
+    _words.update((w, xxh3_64_intdigest(w)) for w in new if w not in long)
+    if long:
+        return np.fromiter((long[w] if w in long else _words[w] for w in words), np.uint64, len(words))
     return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
 
 

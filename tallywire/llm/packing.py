@@ -29,7 +29,7 @@ class ChunkTokenizer:
     tiktoken under the same vocabulary, all others by the library.
     """
 
-    CACHE = 1_000_000
+    CACHE, CHARS = 1_000_000, 32 << 20
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -63,7 +63,7 @@ class ChunkTokenizer:
         self.at: dict[str, int] = {}
         self.ids = np.zeros(1 << 16, np.uint32)
         self.starts, self.sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.used = 0
+        self.used = self.chars = 0
 
     def _learn(self, chunks: list[str]) -> None:
         """Many chunks are one text of as many lines: a single line end is a piece of its own, between any two pieces."""
@@ -93,6 +93,7 @@ class ChunkTokenizer:
         self.ids[self.used : self.used + len(ids)] = ids
         self.starts[n:k], self.sizes[n:k] = self.used + cuts[:-1] + 1, size
         self.used += len(ids)
+        self.chars += sum(map(len, part))
         self.at.update(zip(part, range(n, k), strict=True))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -103,7 +104,7 @@ class ChunkTokenizer:
             else:
                 chunks.append([c for c in t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if c] if "\0" not in t else None)
         words = set().union(*(c for c in chunks if c))
-        if len(self.at) > self.CACHE:
+        if len(self.at) > self.CACHE or self.chars > self.CHARS:
             self._reset()
         self._learn([w for w in words if w not in self.at])
         whole = [t for t, c in zip(texts, chunks, strict=True) if c is None]
