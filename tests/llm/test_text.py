@@ -1,5 +1,6 @@
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -34,11 +35,27 @@ def test_merger_on_runs_of_one_pair():
     assert m.counts(["a" * k for k in range(1, 9)]).tolist() == [1, 1, 2, 1, 2, 2, 3, 2]
 
 
+def test_very_long_words():
+    r = random.Random(2)
+    texts = ["".join(r.choice("etaoinshrdlu") for _ in range(60_000)), "ab" * 30_000, "x" * 50_000, "日本語のテキスト" * 3000, "https://" + "a1b2" * 900]
+    began = time.time()
+    assert WordCounter(P.path("word_bpe_49k.json")).count(texts) == [len(x) for x in library("word_bpe_49k.json", texts)]
+    assert time.time() - began < 60
+    m = WordCounter(P.path("word_bpe_49k.json")).merger
+    words = ["".join(r.choice("aeinstr") for _ in range(r.randint(1, 90))) for _ in range(300)]
+    assert [m._lazily(m.symbols(w)) for w in words] == m.counts(words).tolist()
+
+
+def test_characters_newer_than_pythons_tables():
+    texts = ["x\ua7cbY", "\ua7cc \ua7da \ua7dc", "\U00010d50\U00010d51", "\u0378a B"]
+    assert WordCounter(P.path("word_bpe_49k.json")).count(texts) == [len(x) for x in library("word_bpe_49k.json", texts)]
+
+
 def test_counter_forgets_and_learns_again():
     c = WordCounter(P.path("word_bpe_49k.json"))
     first = c.count(["some words here", "other words there"])
-    c.CACHE = 0
-    assert c.count(["some words here", "other words there"]) == first
+    for c.CACHE, c.CHARS in ((0, 10**9), (10**9, 0)):
+        assert c.count(["some words here", "other words there"]) == first
 
 
 @pytest.mark.parametrize("cut", [True, False])
@@ -161,6 +178,24 @@ def test_model_adds_spans_and_leaves_prose_alone(make_docs, prose):
     assert pii.personal_data(make_docs([])).count() == 0
 
 
+#: Sentences written by hand, not by the generator: (text, kind and text of each entity).
+WRITTEN = [
+    ("Reach me at john dot smith at gmail dot com after lunch.", [(0, "john dot smith at gmail dot com")]), ("you can mail anna at firma dot de", [(0, "anna at firma dot de")]), ("my address is p.jones (at) school (dot) edu, thanks", [(0, "p.jones (at) school (dot) edu")]),
+    ("support [at] example.org is read daily", [(0, "support [at] example.org")]), ("Call (415) 555-0132 before noon", [(3, "(415) 555-0132")]), ("phone 212-555-0187 or leave a note", [(3, "212-555-0187")]), ("mobile: 0171 555 2368", [(3, "0171 555 2368")]),
+    ("tel. 020 555 0199 (office)", [(3, "020 555 0199")]), ("the server 192[.]168[.]0[.]17 was down", [(1, "192[.]168[.]0[.]17")]), ("card 4111.1111.1111.1111 expires soon", [(2, "4111.1111.1111.1111")]), ("we met at noon, the dot at the end was missing", []),
+    ("Order 20240117 was shipped on 2024-01-17.", []), ("isbn 978-3-16-148410-0", []), ("He lived from 1879 - 1955 in four towns", []), ("the total was 1,234,567.89 in 2019", []), ("look at page 12 dot three of the manual", []), ("version 10.4.2023 of the tool", []), ("room 1204, floor 12, from 10:30 - 11:45", []),
+]
+
+
+def test_entities_in_sentences_written_by_hand():
+    model = pii.train()
+    right = made = wanted = 0
+    for text, entities in WRITTEN:
+        got = {(k, text[s:e]) for s, k, e in pii.find_spans(text, model)[1]}
+        right, made, wanted = right + len(got & set(entities)), made + len(got), wanted + len(entities)
+    assert right >= 0.8 * wanted and right >= 0.8 * made
+
+
 def test_semi_markov_gradient():
     text, spans = "mail ba at ne dot com now (212) 555-0143 x", [(5, 0, 21), (26, 3, 40)]
     w = pii.Window(text)
