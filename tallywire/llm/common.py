@@ -76,6 +76,59 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_LENGTH = 64
+#: A random number for each byte at each place of a word.
+_PLACES = np.random.default_rng(20240102).integers(0, 2**63, _LENGTH * 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+_MIB = 1 << 20
+
+
+def hashed_words(texts: list[bytes], fold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of the texts, one after another, and each text's number of words.
+
+    fold says what each byte counts as; what counts as a space parts words. A word's hash is a sum over its bytes of
+    random numbers for byte and place, mixed: no word becomes an object of its own. Stretches of a mebibyte, cut between
+    words, are hashed at a time.
+    """
+    size = np.array([len(t) for t in texts], np.int64)
+    buf = fold[np.frombuffer(b" ".join(texts) + b" ", np.uint8)]
+    out, heads, a = [], [], 0
+    while a < len(buf):
+        b = min(a + _MIB, len(buf))
+        while b < len(buf) and buf[b - 1] != 32:
+            stop = np.flatnonzero(buf[b : b + 4096] == 32)
+            b = b + int(stop[0]) + 1 if len(stop) else min(b + 4096, len(buf))
+        part = buf[a:b]
+        word = part != 32
+        start = word.copy()
+        start[1:] &= ~word[:-1]
+        at, head = np.flatnonzero(word), np.flatnonzero(start)
+        if len(head):
+            first = np.flatnonzero(start[at])
+            place = at - np.repeat(head, np.diff(np.r_[first, len(at)]))
+            with np.errstate(over="ignore"):
+                value = _PLACES[(place % _LENGTH) * 256 + part[at]]
+                if int(place.max()) >= _LENGTH:
+                    value = value * ((place // _LENGTH).astype(np.uint64) * np.uint64(2) + np.uint64(1))
+                out.append(mix64(np.add.reduceat(value, first)))
+            heads.append(head + a)
+        a = b
+    ends = np.cumsum(size + 1)
+    where = np.concatenate(heads) if heads else np.zeros(0, np.int64)
+    return np.concatenate(out) if out else np.zeros(0, np.uint64), np.diff(np.searchsorted(where, np.r_[0, ends]))
+
+
+def portions(sizes: list[int], rows: int, total: int):
+    """Ranges (start, stop) of at most so many rows and, but for single ones, of at most so much in all."""
+    a = held = 0
+    for k, n in enumerate(sizes):
+        if k > a and (k - a >= rows or held + n > total):
+            yield a, k
+            a, held = k, 0
+        held += n
+    if a < len(sizes):
+        yield a, len(sizes)
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices of all the ranges [start, start + length), one after another."""
     total = int(lengths.sum())

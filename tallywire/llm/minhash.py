@@ -7,28 +7,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, as_bytes, id_column, mix64, prepare, ragged, release, stash
+from .common import NULL_ID, as_bytes, hashed_words, id_column, mix64, portions, prepare, ragged, release, stash
 from .components import components
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
-_words: dict[bytes, int] = {}
-#: Words of which the hashes are kept; longer ones than LONG bytes are hashed each time, so the cache is bounded in bytes.
-_WORDS, LONG = 300_000, 64
-
-
-def _word_hashes(words: list[bytes]) -> np.ndarray:
-    from xxhash import xxh3_64_intdigest
-
-    distinct = set(words)
-    new = {w for w in distinct if w not in _words}
-    if len(_words) + len(new) > _WORDS:
-        _words.clear()
-        new = distinct
-    long = {w: xxh3_64_intdigest(w) for w in new if len(w) > LONG}
-    _words.update((w, xxh3_64_intdigest(w)) for w in new if w not in long)
-    if long:
-        return np.fromiter((long[w] if w in long else _words[w] for w in words), np.uint64, len(words))
-    return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+#: Lower case for A-Z; space and \x09-\x0D part words.
+_FOLD = np.array([b + 32 if 65 <= b <= 90 else 32 if b in (9, 10, 11, 12, 13, 32) else b for b in range(256)], np.uint8)
 
 
 def shingle_sets(texts: list[bytes], width: int = 5) -> list[np.ndarray]:
@@ -37,9 +21,7 @@ def shingle_sets(texts: list[bytes], width: int = 5) -> list[np.ndarray]:
     A-Z are lower-cased; words are runs of other characters than space and \\x09-\\x0D. A text of fewer words than
     `width` has its whole sequence as its one shingle; a text without words has none.
     """
-    split = [t.lower().split() for t in texts]
-    n = np.array([len(s) for s in split], np.int64)
-    flat = _word_hashes([w for s in split for w in s])
+    flat, n = hashed_words(texts, _FOLD)
     ends = np.cumsum(n)
     with np.errstate(over="ignore"):
         roll = np.zeros(max(len(flat) - width + 1, 0), np.uint64)
@@ -295,8 +277,8 @@ def near_duplicates(
             raw = as_bytes(b.column(1))
             number = b.column(2) if row_col else pa.array(range(row, row + len(raw)), pa.int64())
             row += len(raw)
-            for k in range(0, len(raw), 250):
-                sets = shingle_sets(raw[k : k + 250], width)
+            for k, stop in portions([len(t) for t in raw], 250, 4 << 20):
+                sets = shingle_sets(raw[k:stop], width)
                 regs = sketch.registers(sets)
                 wide = regs[:, : bands * rows].reshape(len(sets), bands, rows).astype(np.uint64)
                 with np.errstate(over="ignore"):
@@ -344,8 +326,8 @@ def near_duplicates(
         seen: set[bytes] = set()
         for b in batches:
             raw = as_bytes(b.column(0))
-            for k in range(0, len(raw), 250):
-                own = {xxh3_128_digest(x): x for s in shingle_sets(raw[k : k + 250], width) if (x := s.tobytes())}
+            for k, stop in portions([len(t) for t in raw], 250, 4 << 20):
+                own = {xxh3_128_digest(x): x for s in shingle_sets(raw[k:stop], width) if (x := s.tobytes())}
                 new = [x for x in own if x not in seen]
                 seen.update(new)
                 yield pa.RecordBatch.from_arrays([pa.array(new, pa.binary()), pa.array([own[x] for x in new], pa.binary())], ["print", "hashes"])
