@@ -10,17 +10,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, as_bytes, id_column, mix64, prepare, ragged
-from .minhash import _word_hashes
+from .common import NULL_ID, as_bytes, hashed_words, id_column, mix64, portions, prepare, ragged
 
 #: Lower case for A-Z; other ASCII than letters and digits separates words.
-_FOLD = bytes((b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32) for b in range(256))
+_FOLD = np.array([b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256)], np.uint8)
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def words_of(text: bytes) -> list[bytes]:
-    return text.translate(_FOLD).split()
+def words_of(texts: list[bytes]) -> list[np.ndarray]:
+    """Hashes of the words of each text."""
+    flat, n = hashed_words(texts, _FOLD)
+    return np.split(flat, np.cumsum(n)[:-1]) if len(texts) else []
 
 
 class LengthClass(NamedTuple):
@@ -64,7 +65,8 @@ class WalkIndex:
     def __init__(self, items: list[tuple[int, bytes]], share: float = 0.2, target: float = 0.98, walks: dict[int, int] | None = None):
         self.share = share
         self.ids = [i for i, _ in items]
-        self.words = [_word_hashes(words_of(t)) for _, t in items]
+        self.words = words_of([t for _, t in items])
+        self.sets = [frozenset(w.tolist()) for w in self.words]
         self.depth = 3
         while len(items) > 1000 * 100 ** (self.depth - 3):
             self.depth += 1
@@ -243,8 +245,8 @@ class WalkIndex:
             item = self.words[k]
             most = self.allowed(len(item))
             for lo, hi in own:
-                # each word of the item that is not edited stands in the stretch
-                if np.isin(item, w[lo:hi]).sum() < len(item) - most:
+                # an edit takes one of the item's distinct words out of the stretch at most
+                if len(self.sets[k].intersection(w[lo:hi].tolist())) < len(self.sets[k]) - most:
                     continue
                 got = align(item, w[lo:hi])
                 if got[0] <= most and (k not in best or got[0] < best[k][0]):
@@ -319,9 +321,9 @@ def contaminated(
                 cols: list[list] = [[] for _ in names]
                 ids, raw = b.column(0).to_pylist(), as_bytes(b.column(1))
                 own = b.column(2).to_pylist() if row_col else ids
-                for j in range(0, len(raw), 250):
-                    texts = [_word_hashes(words_of(t)) for t in raw[j : j + 250]]
-                    for row, doc, w, near in zip(own[j : j + 250], ids[j : j + 250], texts, index.candidates(texts), strict=True):
+                for j, stop in portions([len(t) for t in raw], 250, 4 << 20):
+                    texts = words_of(raw[j:stop])
+                    for row, doc, w, near in zip(own[j:stop], ids[j:stop], texts, index.candidates(texts), strict=True):
                         seen = set()
                         for hit in index.hits(w, near) if near else ():
                             if hit[0] not in seen:

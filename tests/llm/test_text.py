@@ -10,7 +10,6 @@ from tokenizers import Tokenizer
 
 from tallywire.llm import pii
 from tallywire.llm.decontaminate import WalkIndex, align, contaminated, words_of
-from tallywire.llm.minhash import _word_hashes
 from tallywire.llm.packing import Packer, pack
 from tallywire.llm.token_counts import RankMerger, WordCounter, token_counts
 
@@ -276,13 +275,27 @@ def test_hits_equal_brute_force(bench):
     items, rows, _ = bench
     known = [(r.item_id, r.text.encode()) for r in items.collect() if r.text]
     index = WalkIndex(known)
-    texts = [_word_hashes(words_of((t or "").encode())) for _, t in rows]
+    texts = words_of([(t or "").encode() for _, t in rows])
     for w, near in zip(texts, index.candidates(texts), strict=True):
         for k, start, n, edits in index.hits(w, near):
             item = index.words[index.ids.index(k)]
             assert align(item, w)[0] <= edits <= index.allowed(len(item)) and align(item, w[start : start + n])[0] == edits
 
 
+def test_hashed_words():
+    """Words by the definition, equal ones and no others with equal hashes, over stretches of any length."""
+    r = random.Random(21)
+    texts = ["".join(r.choice("abA1é -.\n") for _ in range(r.randint(0, 50))).encode() for _ in range(400)]
+    texts += [b"", b" ", b"x" * 5000, b"y" * 70 + b" " + b"y" * 134, b"ab " * 500_000, b"q" * 1_200_000 + b" tail", (b"a" * 64 + b"b" * 64), (b"b" * 64 + b"a" * 64)]
+    want = [re.findall(rb"[0-9a-z\x80-\xff]+", t.lower()) for t in texts]
+    got = words_of(texts)
+    assert [len(x) for x in got] == [len(x) for x in want]
+    by = {}
+    for h, w in zip(np.concatenate(got).tolist(), (w for x in want for w in x), strict=True):
+        assert by.setdefault(w, h) == h
+    assert len(set(by.values())) == len(by) and words_of([]) == []
+
+
 def edited(item, edits, r):
     """The words with so many of them replaced, dropped or doubled, each edit at a word of its own."""
     out = [[x] for x in item]
@@ -299,7 +312,7 @@ def test_recall_at_the_bound(n):
     say = lambda k: [f"w{r.randrange(vocabulary)}" for _ in range(k)]
     items = [say(n) for _ in range(300)]
     index = WalkIndex([(i, " ".join(w).encode()) for i, w in enumerate(items)])
-    docs = [_word_hashes([x.encode() for x in say(r.randint(0, 40)) + edited(w, index.allowed(n), r) + say(r.randint(0, 40))]) for w in items]
+    docs = words_of([" ".join(say(r.randint(0, 40)) + edited(w, index.allowed(n), r) + say(r.randint(0, 40))).encode() for w in items])
     found = brute = missed = 0
     for i, (w, near) in enumerate(zip(docs, index.candidates(docs), strict=True)):
         got = {k: e for k, _, _, e in index.hits(w, near)}
@@ -316,7 +329,7 @@ def test_unedited_items_are_always_found():
     r = random.Random(77)
     items = [[f"w{r.randrange(3000)}" for _ in range(n)] for n in range(1, 90) for _ in range(4)]
     index = WalkIndex([(i, " ".join(w).encode()) for i, w in enumerate(items)])
-    docs = [_word_hashes([x.encode() for x in [f"v{k}" for k in range(r.randint(0, 30))] + w + ["end"] * r.randint(0, 9)]) for w in items]
+    docs = words_of([" ".join([f"v{k}" for k in range(r.randint(0, 30))] + w + ["end"] * r.randint(0, 9)).encode() for w in items])
     for i, (w, near) in enumerate(zip(docs, index.candidates(docs), strict=True)):
         assert i in {h[0] for h in index.hits(w, near)}, len(items[i])
 
@@ -326,6 +339,6 @@ def test_deeper_keys_for_more_items():
     items = [[f"w{r.randrange(2000)}" for _ in range(r.choice([10, 33]))] for _ in range(1500)]
     index = WalkIndex([(i, " ".join(w).encode()) for i, w in enumerate(items)])
     assert index.depth == 4
-    docs = [_word_hashes([x.encode() for x in edited(w, index.allowed(len(w)), r)]) for w in items[:300]]
+    docs = words_of([" ".join(edited(w, index.allowed(len(w)), r)).encode() for w in items[:300]])
     got = [i in {h[0] for h in index.hits(w, near)} for i, (w, near) in enumerate(zip(docs, index.candidates(docs), strict=True))]
     assert sum(got) >= 0.95 * len(got)
