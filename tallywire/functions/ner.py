@@ -8,7 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The forms in which mentions are written.
+# The forms in which mentions are written. Digits are spelt [0-9] since \d takes other digits in Python than in Java and in
+# the SQL that holds these queries: all three must find the same mentions.
 AMOUNT = r"\$[0-9,]+(?:\.[0-9]+)?(?:\s*(?:million|billion|trillion|thousand|[Kk]))?"
 DATE = (
     r"\b(?:(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:t(?:ember)?)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)\.?\s+[0-9]{1,2},\s+[0-9]{4}"
@@ -39,8 +40,8 @@ def all_matches(c: Column, pattern: str) -> Column:
 def mentions(text: str) -> list[tuple[str, str, int, int]]:
     """(kind, text, first character, first byte) by place, then kind.
 
-    Organizations do not overlap amounts; people overlap neither, a title before a name going before a bare name at the
-    same place.
+    Organizations do not overlap amounts; people overlap neither, and a name with a title goes before a bare name that
+    begins at the same place. So the name behind a title is a mention of its own.
     """
     spans = lambda k: [(m.start(), m.end()) for m in _C[k].finditer(text)]
     clash = lambda s, xs: any(s[0] < e and s[1] > b for b, e in xs)
@@ -51,8 +52,6 @@ def mentions(text: str) -> list[tuple[str, str, int, int]]:
         for s in spans(k):
             if clash(s, amounts) or clash(s, orgs) or any(s[0] == p[0] for p in people) or (k == "bare" and text[s[0] : s[1]].lower() in _NO):
                 continue
-            if k == "bare" and clash(s, people):
-                continue
             people.append(s)
     rows = [(rank, s) for rank, xs in enumerate((people, orgs, amounts, dates, filings)) for s in xs]
     rows.sort(key=lambda r: (r[1][0], r[0]))

@@ -40,6 +40,7 @@ def person_name(c: Column) -> Column:
     return F.initcap(one_spaced(F.when(turn, F.concat(rest, F.lit(" "), last)).otherwise(bare)))
 
 
+# The forms of amounts and dates. Digits are spelt [0-9] to be the same ones in Java and in the SQL that holds these queries.
 _AMOUNT = r"(?i)^\$?\s*([0-9]{1,3}(?:,[0-9]{3})*(?:\.[0-9]+)?|[0-9]+(?:\.[0-9]+)?|\.[0-9]+)\s*(k|m|b|t|thousand|million|billion|trillion)?$"
 
 
@@ -51,6 +52,7 @@ def dollar_amount(c: Column) -> Column:
     return number * F.when(unit == "t", F.when(F.lower(F.regexp_extract(t, _AMOUNT, 2)) == "thousand", 1e3).otherwise(1e12)).when(unit == "k", 1e3).when(unit == "m", 1e6).when(unit == "b", 1e9).otherwise(1.0)
 
 
+# Fixed values.
 _TEXT_DATE = r"(?i)^(January|February|March|April|May|June|July|August|September|October|November|December|Jan\.?|Feb\.?|Mar\.?|Apr\.?|Jun\.?|Jul\.?|Aug\.?|Sep\.?|Sept\.?|Oct\.?|Nov\.?|Dec\.?)\s+([0-9]{1,2}),?\s+([0-9]{4})$"
 
 

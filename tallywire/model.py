@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# The names of kinds, fields and edge types below.
 #: Kinds of entities, in the order in which facets are listed.
 ENTITY_TYPES = (
     "Person", "Organization", "Document", "Payment", "CourtCase", "Pardon", "FlightLogEntry", "TimingCorrelation", "ConductComparison",

@@ -33,24 +33,22 @@ def entry_hash(prev: Column) -> Column:
 def append(entries: DataFrame, last: str = GENESIS) -> DataFrame:
     """Adds prev_hash and entry_hash. Each hash needs the one before it, so the log is one chain by nature.
 
-    The driver walks over it in order, a partition at a time, and holds no more than that; what an entry adds to the
-    chain is made ready by the tasks.
+    What an entry adds to the chain is made ready by all tasks. One task then walks over these short parts in order and
+    writes the hashes out as it goes, holding a batch: the sort before it spills, and nothing comes to the driver.
     """
-    spark = entries.sparkSession
-    ready = entries.withColumn("_head", _entry()).repartitionByRange("seq").sortWithinPartitions("seq")
-    heads = ready.select("seq", "_head")
-    out, now, made = None, last, []
-    schema = "seq bigint, prev_hash string, entry_hash string"
-    for r in heads.toLocalIterator():
-        h = hashlib.sha256(bytes(r["_head"]) + now.encode()).hexdigest()
-        made.append((r["seq"], now, h))
-        now = h
-        if len(made) >= 100_000:
-            part = spark.createDataFrame(made, schema)
-            out, made = part if out is None else out.unionAll(part), []
-    part = spark.createDataFrame(made, schema)
-    out = part if out is None else out.unionAll(part)
-    return entries.join(out, "seq")
+    heads = entries.select("seq", _entry().alias("_head")).repartition(1).sortWithinPartitions("seq")
+
+    def run(batches):
+        now = last
+        for b in batches:
+            prev, own = [], []
+            for head in b.column(1).to_pylist():
+                prev.append(now)
+                now = hashlib.sha256(bytes(head) + now.encode()).hexdigest()
+                own.append(now)
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(prev, pa.string()), pa.array(own, pa.string())], ["seq", "prev_hash", "entry_hash"])
+
+    return entries.join(heads.mapInArrow(run, "seq bigint, prev_hash string, entry_hash string"), "seq")
 
 
 def verify(log: DataFrame) -> DataFrame:

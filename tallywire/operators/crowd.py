@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import in_order
+
 # Points of a review's outcome.
 POINTS = {"approved": 10, "rejected": -3, "disputed": 15, "bad_faith": -25}
 #: (from, action, to); anything else is refused and changes nothing.
@@ -37,17 +39,23 @@ def leaderboard(profiles: DataFrame, n: int) -> DataFrame:
 
 def submission_states(events: DataFrame) -> DataFrame:
     """(submission_id, status, errors) after all actions (submission_id, seq, action) in order; refused ones are counted."""
-    key = lambda a, b: F.concat(a, F.lit("/"), b)
-    moves = F.create_map(*(F.lit(x) for a, b, c in TRANSITIONS for x in (f"{a}/{b}", c)))
-    start = F.struct(F.lit("Pending").alias("s"), F.lit(0).cast("bigint").alias("n"))
+    moves = {(a, b): c for a, b, c in TRANSITIONS}
+
+    def walker():
+        status, errors = "Pending", 0
+
+        def step(row):
+            nonlocal status, errors
+            if row is None:
+                return [(status, errors)]
+            to = moves.get((status, row[1]))
+            status, errors = to or status, errors + (to is None)
+            return []
 
-    def step(acc, x):
-        to = F.try_element_at(moves, key(acc.s, x.action))
-        return F.struct(F.coalesce(to, acc.s).alias("s"), (acc.n + F.when(to.isNull(), 1).otherwise(0)).alias("n"))
+        return step
 
-    rows = events.groupBy("submission_id").agg(F.sort_array(F.collect_list(F.struct("seq", "action"))).alias("e"))
-    done = rows.withColumn("z", F.aggregate("e", start, step))
-    return done.select("submission_id", F.col("z.s").alias("status"), F.col("z.n").alias("errors"))
+    kind = events.schema["submission_id"].dataType.simpleString()
+    return in_order(events.select("submission_id", "seq", "action"), "submission_id", ["seq", "action"], walker, f"submission_id {kind}, status string, errors bigint")
 
 
 def status_counts(states: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import normalize as N
-from ..functions.names import name_parts, part_similarity
+from ..functions.names import may_reach, name_parts, part_similarity, similar_parts
+from ..session import cut
 
 
 def first_of(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -41,20 +42,22 @@ def person_matches(new: DataFrame, existing: DataFrame, threshold: float = 0.85)
     Confidence is the mean similarity of first and last names. One birth date on both sides makes it 0.95 at least,
     different ones take it down by 0.3 of itself. Rows below the threshold are left out.
 
-    Distinct names are compared, not persons. A pair of names can reach the threshold only with both parts at twice
-    the threshold less one, so lengths of the last names are bounded in the join, and the two need a letter in common:
-    that is the key. Equal birth dates are a join of their own. Nothing is compared all against all.
+    Distinct names are compared, not persons, and of their parts first: a mean reaches the threshold only if one part
+    does, and the other twice the threshold less one. Pairs of parts that may reach the threshold meet by
+    `similar_parts`; the other part of their names is held against its own bound before the similarity is worked out.
+    Equal birth dates are a join of their own. Nothing is compared all against all.
     """
     first, last = name_parts(F.col("name"))
     a, b = (d.select("id", "birth_date", first.alias("first"), last.alias("last")) for d in (new, existing))
-    least = 2 * threshold - 1
     ends = lambda d, s: d.select(F.col("first").alias(f"first_{s}"), F.col("last").alias(f"last_{s}")).distinct()
-    letters = lambda c: F.array_distinct(F.concat(F.filter(F.split(c, ""), lambda x: x != ""), F.when(c == "", F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))))
-    na, nb = ends(a, "a").withColumn("k", letters(F.col("last_a"))), ends(b, "b").withColumn("k", letters(F.col("last_b")))
-    la, lb = F.length("last_a"), F.length("last_b")
-    # Jaro is (2 + shorter / longer) / 3 at most, and four equal letters close 0.4 of what is missing
-    bound = F.when((la == 0) | (lb == 0), F.when((la == 0) & (lb == 0), 1.0).otherwise(0.0)).otherwise(0.4 + 0.6 * (2 + F.least(la, lb) / F.greatest(la, lb)) / 3)
-    met = na.withColumn("x", F.explode("k")).drop("k").join(nb.withColumn("x", F.explode("k")).drop("k"), "x").drop("x").filter(bound >= least).distinct()
+    na, nb = cut(ends(a, "a")), cut(ends(b, "b"))
+    met = None
+    for part, other in (("last", "first"), ("first", "last")):
+        near = similar_parts(na.select(F.col(f"{part}_a").alias("a")), nb.select(F.col(f"{part}_b").alias("b")), threshold)
+        near = near.select(F.col("a").alias(f"{part}_a"), F.col("b").alias(f"{part}_b"))
+        got = na.join(near, f"{part}_a").join(nb, f"{part}_b").filter(may_reach(F.col(f"{other}_a"), F.col(f"{other}_b"), 2 * threshold - 1))
+        got = got.select("first_a", "last_a", "first_b", "last_b")
+        met = got if met is None else met.union(got).distinct()
     scored = met.withColumn("sim", (part_similarity(F.col("first_a"), F.col("first_b")) + part_similarity(F.col("last_a"), F.col("last_b"))) / 2).filter(F.col("sim") >= threshold)
     pa = a.select(F.col("id").alias("new_id"), F.col("birth_date").alias("born_a"), F.col("first").alias("first_a"), F.col("last").alias("last_a"))
     pb = b.select(F.col("id").alias("existing_id"), F.col("birth_date").alias("born_b"), F.col("first").alias("first_b"), F.col("last").alias("last_b"))

@@ -9,12 +9,14 @@ from ..model import FINANCIAL
 from ..session import cut, numbered
 
 
-def flow_chains(flows: DataFrame, gap: int, least: int = 2, deepest: int = 50) -> DataFrame:
+def flow_chains(flows: DataFrame, gap: int, least: int = 2) -> DataFrame:
     """(path, n, total, first_date, last_date): maximal chains of flows, each passing on what the flow before it brought.
 
     A chain goes on with a flow not yet in it whose donor is the last recipient and whose date is 0 to `gap` days on. Of
     chains over one sequence of nodes the first stays, by the flows' order (date, flow_id). Chains grow by one join a
-    round; a chain that none goes on from is maximal. Guards: gap < 0 or least = 0 give no rows.
+    round, until none grows; a chain that none goes on from is maximal. Guards: gap < 0 or least = 0 give no rows. The
+    rule asks for every chain, so the result grows with the number of ways through the flows: narrow the flows or the
+    gap where many hands pass money on within it.
     """
     rows = flows.select("flow_id", F.col("donor").cast("string").alias("donor"), F.col("recipient").cast("string").alias("recipient"), "amount", "date")
     f = cut(numbered(rows, "rank", "date", "flow_id"))
@@ -23,7 +25,7 @@ def flow_chains(flows: DataFrame, gap: int, least: int = 2, deepest: int = 50) -
     if gap < 0 or least == 0:
         chain = chain.limit(0)
     done = None
-    for _ in range(deepest):
+    while True:
         days = F.datediff("on", "last_date")
         grown = chain.join(nxt, "at").filter((days >= 0) & (days <= gap) & ~F.array_contains("ranks", F.col("next")))
         grown = cut(grown.select(F.concat("ranks", F.array("next")).alias("ranks"), F.concat("nodes", F.array("to")).alias("nodes"), (F.col("total") + F.col("more")).alias("total"), "first_date", F.col("on").alias("last_date"), F.col("to").alias("at")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -62,10 +64,11 @@ def simple_paths(edges: DataFrame, start, end, longest: int) -> DataFrame:
     return out.select(F.array_join("nodes", "->").alias("path"))
 
 
-def shortest_path(edges: DataFrame, start, end, directed: bool = True, longest: int = 100) -> DataFrame:
+def shortest_path(edges: DataFrame, start, end, directed: bool = True) -> DataFrame:
     """(path, length) of the least path with fewest edges, by its nodes as text; no row if there is none.
 
-    Each round joins the front with the edges and keeps for every new node the least path to it.
+    Each round joins the front with the edges and keeps for every new node the least path to it, until the end is
+    reached or no node is new.
     """
     spark = edges.sparkSession
     if start == end:
@@ -75,7 +78,7 @@ def shortest_path(edges: DataFrame, start, end, directed: bool = True, longest:
     e = cut(e)
     front = spark.createDataFrame([(str(start), [str(start)])], "at string, nodes array<string>")
     seen = front.select("at")
-    for k in range(1, longest + 1):
+    for k in itertools.count(1):
         front = front.join(e, "at").select(F.col("to").alias("at"), F.concat("nodes", F.array("to")).alias("nodes")).join(seen, "at", "left_anti").groupBy("at").agg(F.min("nodes").alias("nodes"))
         front = cut(front)
         hit = front.filter(F.col("at") == str(end))
@@ -139,14 +142,13 @@ def modularity(edges: DataFrame, communities: DataFrame) -> DataFrame:
 def betweenness(edges: DataFrame, largest: int = 2_000_000) -> DataFrame:
     """(node, centrality): shortest paths through a node, parallel edges as so many paths, by (n - 1)(n - 2).
 
-    Sources are dealt out; every task needs all edges, so the graph is broadcast, and refused above `largest` edges.
+    Up to `largest` edges the graph is broadcast and the sources are dealt out. Beyond that the searches of a block of
+    sources go level by level as joins with the edges.
     """
     spark = edges.sparkSession
     if edges.count() > largest:
-        raise ValueError(f"betweenness needs all edges in each task; there are more than {largest}")
+        return _normed(edges, _dependencies_by_joins(edges))
     shared = spark.sparkContext.broadcast([tuple(r) for r in edges.select("src", "dst").collect()])
-    names = nodes(edges)
-    n = names.count()
     kind = edges.schema["src"].dataType.simpleString()
 
     def run(frames):
@@ -173,11 +175,53 @@ def betweenness(edges: DataFrame, largest: int = 2_000_000) -> DataFrame:
                         score[w] = score.get(w, 0.0) + delta[w]
         yield pd.DataFrame({"node": list(score), "s": [float(x) for x in score.values()]})
 
-    sums = names.repartition("node").mapInPandas(run, f"node {kind}, s double").groupBy("node").agg(F.sum("s").alias("s"))
+    return _normed(edges, nodes(edges).repartition("node").mapInPandas(run, f"node {kind}, s double"))
+
+
+def _normed(edges: DataFrame, parts: DataFrame) -> DataFrame:
+    """(node, centrality) from summands (node, s)."""
+    names = nodes(edges)
+    n = names.count()
+    sums = parts.groupBy("node").agg(F.sum("s").alias("s"))
     norm = float((n - 1) * (n - 2)) if n > 2 else 0.0
     return names.join(sums, "node", "left").select("node", (F.coalesce("s", F.lit(0.0)) / norm if norm else F.lit(0.0)).alias("centrality"))
 
 
+def _dependencies_by_joins(edges: DataFrame, states: int = 500_000_000) -> DataFrame:
+    """(node, s): what a block of sources adds to each node's betweenness, blocks of about `states` pairs of source and node at a time.
+
+    Forward, a level's nodes are those that the one before it leads to and that its source has not reached, with the
+    number of shortest paths to them. Backward, each node's dependency is shared out to the level before it.
+    """
+    e = cut(edges.groupBy("src", "dst").agg(F.count("*").alias("m")).withColumnsRenamed({"src": "v", "dst": "w"}))
+    names = nodes(edges)
+    blocks = max(1, -(-(names.count() ** 2) // states))
+    out = None
+    for k in range(blocks):
+        block = names.filter(F.pmod(F.xxhash64("node"), F.lit(blocks)) == k)
+        levels = [cut(block.select(F.col("node").alias("s"), F.col("node").alias("v"), F.lit(1.0).alias("sigma")))]
+        seen = levels[0].select("s", "v")
+        while True:
+            reached = levels[-1].join(e, "v").groupBy("s", F.col("w").alias("v")).agg(F.sum(F.col("sigma") * F.col("m")).alias("sigma"))
+            level = cut(reached.join(seen, ["s", "v"], "left_anti"))
+            if level.isEmpty():
+                break
+            levels.append(level)
+            seen = seen.union(level.select("s", "v"))
+        below = None
+        for level in reversed(levels[1:]):
+            own = level.withColumn("delta", F.lit(0.0))
+            if below is not None:
+                ahead = below.select("s", F.col("v").alias("w"), ((1 + F.col("delta")) / F.col("sigma")).alias("share"))
+                gained = level.join(e, "v").join(ahead, ["s", "w"]).groupBy("s", "v").agg(F.sum(F.col("m") * F.col("share")).alias("g"))
+                own = level.join(gained, ["s", "v"], "left").withColumn("delta", F.col("sigma") * F.coalesce("g", F.lit(0.0))).drop("g")
+            below = cut(own)
+            part = below.groupBy(F.col("v").alias("node")).agg(F.sum("delta").alias("s"))
+            out = part if out is None else out.unionByName(part)
+        out = None if out is None else cut(out.groupBy("node").agg(F.sum("s").alias("s")))
+    return names.select("node", F.lit(0.0).alias("s")).limit(0) if out is None else out
+
+
 def articulation_points(edges: DataFrame, labelled: DataFrame) -> DataFrame:
     """(node) of the cut vertices of the undirected graph, parallel edges being one; one task for each component."""
     kind = edges.schema["src"].dataType.simpleString()

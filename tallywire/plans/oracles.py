@@ -84,7 +84,7 @@ _ALL = 1_000_000_000
 _AUD = """a AS (SELECT s_suppkey AS seq, unhex(md5('a' || s_suppkey)) || encode(strftime(TIMESTAMP '2024-01-01' + to_minutes(CAST(s_suppkey AS INTEGER)), '%Y-%m-%dT%H:%M:%S+00:00') || 'Create' || 'Organization') || unhex(md5('O' || s_suppkey)) || encode(sha256(s_name)) AS head FROM supplier),
 o AS (SELECT *, row_number() OVER (ORDER BY seq) AS k FROM a),
 c(k, seq, prev_hash, entry_hash) AS (SELECT k, seq, repeat('0', 64), sha256(head || encode(repeat('0', 64))) FROM o WHERE k = 1 UNION ALL SELECT o.k, o.seq, c.entry_hash, sha256(o.head || encode(c.entry_hash)) FROM c JOIN o ON o.k = c.k + 1)"""
-_COMP = """both_ AS (SELECT src AS a, dst AS b FROM money UNION SELECT dst, src FROM money),
+_COMP = """both_ AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges),
 reach(a, b) AS (SELECT a, a FROM both_ UNION SELECT b, b FROM both_ UNION SELECT reach.a, both_.b FROM reach JOIN both_ ON reach.b = both_.a),
 comp AS (SELECT a AS node, min(b) AS component FROM reach GROUP BY a)"""
 _SIM = "(CASE WHEN {a} = {b} THEN 1.0 ELSE jaro_similarity({a}, {b}) END)"
@@ -107,6 +107,26 @@ SELECT array_to_string(nodes, '->') AS path, walk.k AS length FROM walk JOIN tar
 _WAY, _WAYS = "SELECT DISTINCT src AS a, dst AS b FROM money", "SELECT src AS a, dst AS b FROM money UNION SELECT dst, src FROM money"
 
 
+# all walks of k steps: at the least k there is one, they are the shortest paths
+_BETWEEN = f"""WITH RECURSIVE {_FLOWS}, n AS (SELECT src AS node FROM edges UNION SELECT dst FROM edges), size AS (SELECT count(*) AS n FROM n), e AS (SELECT src, dst, count(*) AS m FROM edges GROUP BY ALL),
+w(s, v, k, sigma) AS (SELECT node, node, 0, 1.0::DOUBLE FROM n UNION ALL SELECT s, dst, k + 1, sum(sigma * m) FROM w JOIN e ON src = v, size WHERE k < least(size.n, 40) GROUP BY s, dst, k),
+d AS (SELECT s, v, min(k) AS k, arg_min(sigma, k) AS sigma FROM w GROUP BY s, v),
+p AS (SELECT a.v AS node, sum(a.sigma * b.sigma / c.sigma) AS s FROM d a JOIN d b ON b.s = a.v JOIN d c ON c.s = a.s AND c.v = b.v AND c.k = a.k + b.k WHERE a.v <> a.s AND b.v <> a.v GROUP BY 1)
+SELECT n.node, round(coalesce(p.s, 0) / ((size.n - 1) * (size.n - 2)), 9) AS centrality FROM n LEFT JOIN p USING (node), size"""
+# who is cut off from a node's least neighbour when the node is taken away
+_CUTS = f"""WITH RECURSIVE {_FLOWS}, b AS (SELECT src AS a, dst AS b FROM edges WHERE src <> dst UNION SELECT dst, src FROM edges WHERE src <> dst), f AS (SELECT a AS node, min(b) AS first FROM b GROUP BY a),
+r(cut, node) AS (SELECT node, first FROM f UNION SELECT r.cut, b.b FROM r JOIN b ON b.a = r.node WHERE b.b <> r.cut)
+SELECT DISTINCT b.a AS node FROM b WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.cut = b.a AND r.node = b.b)"""
+# one step is one node's turn; labels stand in a list by the nodes' order, and `still` counts the turns without a change
+_LABELS = f"""WITH RECURSIVE {_FLOWS}, ends AS (SELECT src AS node, 2 * seq AS q FROM edges UNION ALL SELECT dst, 2 * seq + 1 FROM edges), o AS (SELECT node, min(q) AS first, row_number() OVER (ORDER BY min(q)) AS i FROM ends GROUP BY node),
+g AS (SELECT x.i AS i, list(y.i) AS near FROM (SELECT src AS a, dst AS b FROM edges UNION ALL SELECT dst, src FROM edges) JOIN o x ON x.node = a JOIN o y ON y.node = b GROUP BY x.i), size AS (SELECT count(*) AS n FROM o),
+s(k, labels, still) AS (SELECT 0::BIGINT, (SELECT list(first ORDER BY i) FROM o), 0::BIGINT
+  UNION ALL SELECT k + 1, list_concat(list_concat(list_slice(labels, 1, turn - 1), [best]), list_slice(labels, turn + 1, n)), CASE WHEN best = labels[turn] THEN still + 1 ELSE 0 END
+  FROM (SELECT s.*, size.n AS n, s.k % size.n + 1 AS turn, list_sort(list_transform(map_entries(list_aggregate(list_transform(g.near, lambda x: s.labels[x]), 'histogram')), lambda e: {{'n': -CAST(e.value AS BIGINT), 'l': e.key}}))[1].l AS best
+        FROM s, size, g WHERE g.i = s.k % size.n + 1 AND s.still < size.n AND s.k < 100 * size.n))
+SELECT o.node, labels[o.i] AS label FROM o, (SELECT labels FROM s ORDER BY k DESC LIMIT 1)"""
+
+
 def _ego(ways: str) -> str:
     return f"""WITH RECURSIVE {_FLOWS}, way AS ({ways}), d(node, k) AS (SELECT node, 0 FROM busiest UNION SELECT way.b, k + 1 FROM d JOIN way ON way.a = d.node WHERE k < 2), i AS (SELECT DISTINCT node FROM d)
 SELECT seq, src, dst, rel_type FROM money WHERE src IN (FROM i) AND dst IN (FROM i)"""
@@ -199,20 +219,23 @@ SELECT array_to_string(nodes, '->') AS path, count(*) AS n FROM t WHERE loc = (S
     "shortest_path_undirected": _bfs(_WAYS),
     "components": f"WITH RECURSIVE {_FLOWS}, {_COMP} SELECT * FROM comp",
     "component_communities": f"WITH RECURSIVE {_FLOWS}, {_COMP} SELECT dense_rank() OVER (ORDER BY component) - 1 AS community, node FROM comp",
-    "dense_clusters": f"""WITH RECURSIVE {_FLOWS}, {_COMP}, z AS (SELECT component, count(*) AS size FROM comp GROUP BY 1), i AS (SELECT component, count(*) AS internal_edges FROM money JOIN comp ON src = node GROUP BY 1)
+    "betweenness": _BETWEEN,
+    "articulation_points": _CUTS,
+    "label_propagation": _LABELS,
+    "dense_clusters": f"""WITH RECURSIVE {_FLOWS}, {_COMP}, z AS (SELECT component, count(*) AS size FROM comp GROUP BY 1), i AS (SELECT component, count(*) AS internal_edges FROM edges JOIN comp ON src = node GROUP BY 1)
 SELECT component, size, internal_edges, round(CASE WHEN size > 1 THEN 2 * internal_edges / (size * (size - 1)) ELSE 0.0 END, 6) AS density FROM z JOIN i USING (component) WHERE size >= 2""",
-    "modularity": f"""WITH RECURSIVE {_FLOWS}, {_COMP}, o AS (SELECT src, count(*) AS o FROM money GROUP BY 1), i AS (SELECT dst, count(*) AS i FROM money GROUP BY 1), m AS (SELECT count(*) AS m FROM money)
-SELECT round(coalesce(sum(1 - o * i / m) / any_value(m), 0.0), 6) AS modularity FROM money JOIN o USING (src) JOIN i USING (dst), m""",
-    "export_dot": f"""WITH {_FLOWS}, n AS (SELECT DISTINCT src AS node FROM money UNION SELECT dst FROM money), l AS (SELECT 0 AS part, 0 AS k, 'digraph {{' AS line UNION ALL SELECT 1, row_number() OVER (ORDER BY node), '    "' || node || '";' FROM n
-  UNION ALL SELECT 2, row_number() OVER (ORDER BY seq), '    "' || src || '" -> "' || dst || '" [label="' || rel_type || '"];' FROM money UNION ALL SELECT 3, 0, '}}') SELECT row_number() OVER (ORDER BY part, k) - 1 AS line_no, line FROM l""",
-    "export_graphml": f"""WITH {_FLOWS}, n AS (SELECT DISTINCT src AS node FROM money UNION SELECT dst FROM money), e AS (SELECT *, row_number() OVER (ORDER BY seq) - 1 AS i FROM money),
+    "modularity": f"""WITH RECURSIVE {_FLOWS}, {_COMP}, o AS (SELECT src, count(*) AS o FROM edges GROUP BY 1), i AS (SELECT dst, count(*) AS i FROM edges GROUP BY 1), m AS (SELECT count(*) AS m FROM edges)
+SELECT round(coalesce(sum(1 - o * i / m) / any_value(m), 0.0), 6) AS modularity FROM edges JOIN o USING (src) JOIN i USING (dst), m""",
+    "export_dot": f"""WITH {_FLOWS}, n AS (SELECT DISTINCT src AS node FROM edges UNION SELECT dst FROM edges), l AS (SELECT 0 AS part, 0 AS k, 'digraph {{' AS line UNION ALL SELECT 1, row_number() OVER (ORDER BY node), '    "' || node || '";' FROM n
+  UNION ALL SELECT 2, row_number() OVER (ORDER BY seq), '    "' || src || '" -> "' || dst || '" [label="' || rel_type || '"];' FROM edges UNION ALL SELECT 3, 0, '}}') SELECT row_number() OVER (ORDER BY part, k) - 1 AS line_no, line FROM l""",
+    "export_graphml": f"""WITH {_FLOWS}, n AS (SELECT DISTINCT src AS node FROM edges UNION SELECT dst FROM edges), e AS (SELECT *, row_number() OVER (ORDER BY seq) - 1 AS i FROM edges),
 l AS (SELECT 0 AS part, k, line FROM (VALUES (0, '<?xml version="1.0" encoding="UTF-8"?>'), (1, '<graphml xmlns="http://graphml.graphdrawing.org/graphml"'), (2, '         xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance"'),
   (3, '         xsi:schemaLocation="http://graphml.graphdrawing.org/graphml http://graphml.graphdrawing.org/graphml/graphml.xsd">'), (4, '  <key id="relationship" for="edge" attr.name="relationship" attr.type="string"/>'), (5, '  <graph id="G" edgedefault="directed">')) AS h(k, line)
   UNION ALL SELECT 1, row_number() OVER (ORDER BY node), '    <node id="' || node || '"/>' FROM n UNION ALL SELECT 2, i * 3, '    <edge id="e' || i || '" source="' || src || '" target="' || dst || '">' FROM e
   UNION ALL SELECT 2, i * 3 + 1, '      <data key="relationship">' || rel_type || '</data>' FROM e UNION ALL SELECT 2, i * 3 + 2, '    </edge>' FROM e UNION ALL SELECT 3, 0, '  </graph>' UNION ALL SELECT 3, 1, '</graphml>')
 SELECT row_number() OVER (ORDER BY part, k) - 1 AS line_no, line FROM l""",
-    "export_cytoscape": f"""WITH {_FLOWS}, n AS (SELECT DISTINCT src AS node FROM money UNION SELECT dst FROM money) SELECT 'node' AS kind, '{{"data":{{"id":"' || node || '"}}}}' AS json FROM n
-UNION ALL SELECT 'edge', '{{"data":{{"source":"' || src || '","target":"' || dst || '","relationship":"' || rel_type || '"}}}}' FROM money""",
+    "export_cytoscape": f"""WITH {_FLOWS}, n AS (SELECT DISTINCT src AS node FROM edges UNION SELECT dst FROM edges) SELECT 'node' AS kind, '{{"data":{{"id":"' || node || '"}}}}' AS json FROM n
+UNION ALL SELECT 'edge', '{{"data":{{"source":"' || src || '","target":"' || dst || '","relationship":"' || rel_type || '"}}}}' FROM edges""",
     "export_correlations": f"""WITH {_PAIRS} SELECT '{{"entity_id":' || entity_id || ',"event_a_date":"' || event_a_date || '","event_b_date":"' || event_b_date || '","days_between":' || days_between || ',"correlation_type":"DonationToVote"}}' AS json FROM corr WHERE correlation_type = 'DonationToVote'""",
     "entity_labels": f"""WITH {_ENT} SELECT entity_id, CASE WHEN entity_type = 'Payment' THEN '$' || CAST(round_even(CAST(o_totalprice AS DECIMAL(18, 6)), 0) AS BIGINT) || ' payment' ELSE name END AS label FROM entities LEFT JOIN orders ON entity_id = 'Y' || o_orderkey""",
     "search_bm25": _bm25(["the", "that", "with"]),
@@ -239,10 +262,10 @@ UNION ALL SELECT 'edge', '{{"data":{{"source":"' || src || '","target":"' || dst
     "ingest_pipeline": f"""WITH {_REC.format(cap=1000)} SELECT CAST(i AS BIGINT) AS record_index, seq, array_to_string(list_transform(string_split(nm, ' '), lambda w: upper(left(w, 1)) || substr(w, 2)), ' ') AS name,
   CASE WHEN amount LIKE '$%' THEN CAST(CAST(replace(replace(amount, '$', ''), 'K', '') AS BIGINT) * 1000 AS VARCHAR) ELSE amount END AS amount FROM kept""",
     "ingest_counters": f"WITH {_REC.format(cap=1000)} SELECT (SELECT count(*) FROM kept) AS processed, (SELECT count(*) FROM taken) - (SELECT count(*) FROM kept) AS skipped_duplicate, (SELECT count(*) FROM kept WHERE amount IS NULL OR trim(amount) = '') AS validation_errors",
-    "person_fuzzy": f"""WITH p AS (SELECT p_partkey AS id, DATE '1950-01-01' + CAST(p_partkey % 5000 AS INTEGER) AS born, lower(split_part(p_name, ' ', 1)) AS f, lower(split_part(p_name, ' ', -1)) AS l FROM part),
+    "person_fuzzy": f"""WITH p AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 3 > 0 THEN DATE '1950-01-01' + CAST(p_partkey % 37 AS INTEGER) END AS born, lower(split_part(p_name, ' ', 1)) AS f, lower(split_part(p_name, ' ', -1)) AS l FROM part),
 n AS (SELECT DISTINCT f, l FROM p), s AS (SELECT a.f AS fa, a.l AS la, b.f AS fb, b.l AS lb, ({_jw('a.f', 'b.f')} + {_jw('a.l', 'b.l')}) / 2 AS sim FROM n a, n b),
-m AS (SELECT a.id AS new_id, b.id AS existing_id, sim, a.born = b.born AS same FROM p a JOIN s ON a.f = fa AND a.l = la JOIN p b ON b.f = fb AND b.l = lb WHERE a.id % 20 = 0 AND b.id % 20 = 1),
-c AS (SELECT *, CASE WHEN same THEN greatest(sim, 0.95) WHEN sim >= 0.85 THEN sim * 0.7 ELSE sim END AS confidence FROM m)
+m AS (SELECT a.id AS new_id, b.id AS existing_id, sim, coalesce(a.born = b.born, false) AS same, a.born <> b.born AS apart FROM p a JOIN s ON a.f = fa AND a.l = la JOIN p b ON b.f = fb AND b.l = lb WHERE a.id % 50 = 0),
+c AS (SELECT *, CASE WHEN same THEN greatest(sim, 0.95) WHEN sim >= 0.85 AND apart THEN sim * 0.7 ELSE sim END AS confidence FROM m)
 SELECT new_id, existing_id, round(confidence, 6) AS confidence, concat_ws(', ', CASE WHEN sim >= 0.85 THEN 'name similarity ' || printf('%.2f', sim) END, CASE WHEN same THEN 'birth_date match' END) AS reason FROM c WHERE confidence >= 0.85""",
     "html_title": "SELECT page_id, nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '') AS title FROM pages",
     "csv_records": "SELECT c_custkey, trim(c_name) AS name, c_mktsegment AS segment, CAST(c_custkey AS VARCHAR) AS key FROM customer",

@@ -355,40 +355,40 @@ def shortest_path_undirected(s, d):
 
 @query
 def components(s, d):
-    return graph.components(M.money_edges(s, d))
+    return graph.components(M.edges(s, d))
 
 
 @query
 def component_communities(s, d):
-    return graph.component_communities(graph.components(M.money_edges(s, d)))
+    return graph.component_communities(graph.components(M.edges(s, d)))
 
 
 @query
 def dense_clusters(s, d):
-    e = M.money_edges(s, d)
+    e = M.edges(s, d)
     return graph.dense_clusters(e, graph.components(e), 2).withColumn("density", F.round("density", 6))
 
 
 @query
 def modularity(s, d):
-    e = M.money_edges(s, d)
+    e = M.edges(s, d)
     return graph.modularity(e, graph.components(e).withColumnRenamed("component", "community")).withColumn("modularity", F.round("modularity", 6))
 
 
 @query
 def betweenness(s, d):
-    return graph.betweenness(M.money_edges(s, d)).withColumn("centrality", F.round("centrality", 9))
+    return graph.betweenness(M.edges(s, d)).withColumn("centrality", F.round("centrality", 9))
 
 
 @query
 def articulation_points(s, d):
-    e = M.money_edges(s, d)
+    e = M.edges(s, d)
     return graph.articulation_points(e, graph.components(e))
 
 
 @query
 def label_propagation(s, d):
-    e = M.money_edges(s, d)
+    e = M.edges(s, d)
     return graph.label_propagation(e, graph.components(e))
 
 
@@ -397,17 +397,17 @@ def label_propagation(s, d):
 
 @query
 def export_dot(s, d):
-    return export.dot_lines(M.money_edges(s, d))
+    return export.dot_lines(M.edges(s, d))
 
 
 @query
 def export_graphml(s, d):
-    return export.graphml_lines(M.money_edges(s, d))
+    return export.graphml_lines(M.edges(s, d))
 
 
 @query
 def export_cytoscape(s, d):
-    return export.cytoscape(M.money_edges(s, d))
+    return export.cytoscape(M.edges(s, d))
 
 
 @query
@@ -556,10 +556,10 @@ def ingest_counters(s, d):
 
 @query
 def person_fuzzy(s, d):
-    """Parts of brand 1x against those of other brands, by name; a part's size is its day of birth."""
-    p = M.table(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.date_add(F.lit("1950-01-01").cast("date"), (F.col("p_partkey") % 5000).cast("int")).alias("birth_date"), F.col("p_partkey"))
-    new = p.filter("p_partkey % 20 = 0").drop("p_partkey")
-    return dedup.person_matches(new, p.filter("p_partkey % 20 = 1").drop("p_partkey")).withColumn("confidence", F.round("confidence", 6))
+    """The parts of numbers divisible by 50 against all parts, by name; two thirds have one of 37 days of birth, by their number."""
+    born = F.when(F.col("p_partkey") % 3 > 0, F.date_add(F.lit("1950-01-01").cast("date"), (F.col("p_partkey") % 37).cast("int")))
+    p = M.table(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), born.alias("birth_date"))
+    return dedup.person_matches(p.filter("id % 50 = 0"), p).withColumn("confidence", F.round("confidence", 6))
 
 
 @query
@@ -629,9 +629,8 @@ def html_tables(s, d):
 def csv_records(s, d):
     """The customers as delimited text of one line each, read back."""
     rows = M.table(s, d, "customer").select("c_custkey", F.concat_ws("\n", F.lit("name;segment;key"), F.concat_ws(";", "c_name", "c_mktsegment", F.col("c_custkey").cast("string"))).alias("t"))
-    kind = "array<map<string,string>>"
-    read = F.udf(lambda t: list(delimited.records(t)), kind)
-    return rows.select("c_custkey", F.explode(read("t")).alias("r")).select("c_custkey", F.element_at("r", "name").alias("name"), F.element_at("r", "segment").alias("segment"), F.element_at("r", "key").alias("key"))
+    read = delimited.parsed(rows, "c_custkey", "t")
+    return read.select("c_custkey", F.col("fields").alias("r")).select("c_custkey", F.element_at("r", "name").alias("name"), F.element_at("r", "segment").alias("segment"), F.element_at("r", "key").alias("key"))
 
 
 @query

@@ -64,17 +64,22 @@ def field(record: dict[str, str], name: str) -> str | None:
     return next((v for k, v in record.items() if k.lower() == name.lower()), None)
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """(path, row_no, fields map) of all files below a path; a file that has nothing in it has no rows."""
-    files = spark.read.text(path, wholetext=True).selectExpr("_metadata.file_path AS path", "value")
+def parsed(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, row_no, fields map) of the delimited text in each row; a blank or null one has no rows."""
+    kind = texts.schema[id_col].dataType.simpleString()
 
     def run(batches):
         import pyarrow as pa
 
-        kind = pa.map_(pa.string(), pa.string())
+        fields = pa.map_(pa.string(), pa.string())
         for b in batches:
-            rows = [(p, i, list(r.items())) for p, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if t.strip() for i, r in enumerate(records(t))]
+            rows = [(p, i, list(r.items())) for p, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if t and t.strip() for i, r in enumerate(records(t))]
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], kind)], ["path", "row_no", "fields"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.schema.field(0).type), pa.array(cols[1], pa.int64()), pa.array(cols[2], fields)], [id_col, "row_no", "fields"])
+
+    return texts.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, row_no bigint, fields map<string,string>")
 
-    return files.mapInArrow(run, "path string, row_no bigint, fields map<string,string>")
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """(path, row_no, fields map) of all files below a path; a file that has nothing in it has no rows."""
+    return parsed(spark.read.text(path, wholetext=True).selectExpr("_metadata.file_path AS path", "value"), "path", "value")

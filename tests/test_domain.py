@@ -64,6 +64,7 @@ def test_mentions():
     got = [(k, t) for k, t, *_ in ner.mentions(X.PASSAGES[0])]
     assert ("person", "Sen. John Smith") in got and ("amount", "$1,500") in got and ("organization", "Acme Holdings LLC") in got and ("filing", "FEC-2024-123") in got and ("date", "Jan. 15, 2024") in got
     assert [t for k, t, *_ in ner.mentions(X.PASSAGES[2]) if k == "person"] == ["Mary Jones", "Robert Brown"]
+    assert [x[:3] for x in ner.mentions("Sen. John Smith met Sen. Ann Lee.") if x[0] == "person"] == [("person", "Sen. John Smith", 0), ("person", "John Smith", 5), ("person", "Sen. Ann Lee", 20), ("person", "Ann Lee", 25)]
     assert ner.mentions("é $5")[0][2:] == (2, 3)
 
 

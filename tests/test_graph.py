@@ -106,3 +106,26 @@ def test_exports(spark):
     xml = [r.line for r in export.graphml_lines(e).orderBy("line_no").collect()]
     assert xml[-5:] == ['    <edge id="e0" source="a" target="b">', '      <data key="relationship">DonatedTo</data>', "    </edge>", "  </graph>", "</graphml>"]
     assert sum("<node" in x for x in xml) == 2
+
+
+def test_long_paths_are_found(spark):
+    e = edges(spark, " ".join(f"{i:03d}>{i + 1:03d}" for i in range(110)))
+    assert graph.shortest_path(e, "000", "110").first()["length"] == 110
+
+
+def test_long_chains_are_found(spark):
+    rows = [(i, f"n{i:02d}", f"n{i + 1:02d}", 1.0, f"2024-03-{1 + i // 4:02d}") for i in range(60)]
+    f = spark.createDataFrame(rows, "flow_id bigint, donor string, recipient string, amount double, date string").selectExpr("flow_id", "donor", "recipient", "amount", "date(date) AS date")
+    got = flows.flow_chains(f, 5, 59).collect()
+    assert sorted((r.n, r.total) for r in got) == [(59, 59.0), (60, 60.0)]
+
+
+def test_betweenness_by_joins(spark):
+    import random
+
+    r = random.Random(3)
+    e = edges(spark, " ".join(f"{a}>{b}" for a, b in ((r.choice("abcdefghijk"), r.choice("abcdefghijk")) for _ in range(30))))
+    want = {x.node: x.centrality for x in graph.betweenness(e).collect()}
+    assert max(want.values()) > 0
+    for got in (graph.betweenness(e, largest=0), graph._normed(e, graph._dependencies_by_joins(e, states=40))):
+        assert {x.node: x.centrality for x in got.collect()} == pytest.approx(want)
