@@ -6,6 +6,7 @@ import json
 import os
 import re
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -69,7 +70,7 @@ class ChunkTokenizer:
         """Many chunks are one text of as many lines: a single line end is a piece of its own, between any two pieces."""
         for i in range(0, len(chunks), 20_000):
             part = chunks[i : i + 20_000]
-            odd = [c for c in part if c[-1].isspace() or (c[0].isspace() and c[0] != " ") or RARE.search(c)]
+            odd = [c for c in part if c[-1].isspace() or (c[0] != " " and c[0].isspace()) or not (c.isascii() or RARE.search(c) is None)]
             for c, x in zip(odd, self.library.encode_batch(odd, add_special_tokens=False), strict=True):
                 self._add([c], np.array(x.ids, np.uint32), None)
             if odd:
@@ -110,7 +111,7 @@ class ChunkTokenizer:
         whole = [t for t, c in zip(texts, chunks, strict=True) if c is None]
         rest = iter([np.array(x.ids, np.uint32) for x in self.library.encode_batch(whole, add_special_tokens=False)])
         sizes = np.array([len(c) if c else 0 for c in chunks], np.int64)
-        k = np.fromiter((self.at[w] for c in chunks if c for w in c), np.int64, int(sizes.sum()))
+        k = np.fromiter(map(self.at.__getitem__, chain.from_iterable(c for c in chunks if c)), np.int64, int(sizes.sum()))
         flat = self.ids[ragged(self.starts[k], self.sizes[k])]
         ends = np.cumsum(np.r_[0, self.sizes[k]])[np.cumsum(np.r_[0, sizes])]
         return [next(rest) if c is None else flat[a:b] for c, a, b in zip(chunks, ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
