@@ -79,6 +79,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 _LENGTH = 64
 #: A random number for each byte at each place of a word.
 _PLACES = np.random.default_rng(20240102).integers(0, 2**63, _LENGTH * 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+_PLACES_AGAIN = np.random.default_rng(20240103).integers(0, 2**63, _LENGTH * 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _MIB = 1 << 20
 
 
@@ -117,6 +118,44 @@ def hashed_words(texts: list[bytes], fold: np.ndarray) -> tuple[np.ndarray, np.n
     return np.concatenate(out) if out else np.zeros(0, np.uint64), np.diff(np.searchsorted(where, np.r_[0, ends]))
 
 
+def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct values in order, a place of each, and how often each occurs."""
+    s = np.sort(h)
+    at = np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if len(s) else np.zeros(0, np.int64)
+    key, n = s[at], np.diff(np.r_[at, len(s)])
+    # a place by a table of slots; values that share a slot with others are looked for among themselves
+    bits = np.uint64(64 - max(int(4 * len(key)).bit_length(), 10))
+    slots = np.zeros(1 << (64 - int(bits)), np.int64)
+    slots[(h >> bits).astype(np.int64)] = np.arange(len(h))
+    place = slots[(key >> bits).astype(np.int64)] if len(key) else np.zeros(0, np.int64)
+    lost = np.flatnonzero(h[place] != key) if len(key) else place
+    if len(lost):
+        taken = np.zeros(len(slots), bool)
+        taken[(key[lost] >> bits).astype(np.int64)] = True
+        some = np.flatnonzero(taken[(h >> bits).astype(np.int64)])
+        order = some[np.argsort(h[some], kind="stable")]
+        place[lost] = order[np.searchsorted(h[order], key[lost])]
+    return key, place, n
+
+
+def piece_hashes(buf: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Two independent 64-bit hashes of the pieces of a buffer that begin at the given places; a mebibyte or a piece at a time."""
+    ends = np.r_[starts[1:], len(buf)]
+    out = np.empty((len(starts), 2), np.uint64)
+    a = 0
+    while a < len(starts):
+        b = max(a + 1, int(np.searchsorted(ends, starts[a] + _MIB, side="right")))
+        first, n = starts[a:b] - starts[a], ends[a:b] - starts[a:b]
+        place = np.arange(int(n.sum())) - np.repeat(first, n)
+        at = (place % _LENGTH) * 256 + buf[starts[a] : ends[b - 1]]
+        far = (place // _LENGTH).astype(np.uint64) * np.uint64(2) + np.uint64(1) if int(n.max()) > _LENGTH else None
+        with np.errstate(over="ignore"):
+            for k, table in enumerate((_PLACES, _PLACES_AGAIN)):
+                out[a:b, k] = np.add.reduceat(table[at] if far is None else table[at] * far, first)
+        a = b
+    return mix64(out + np.repeat(ends - starts, 2).reshape(-1, 2).astype(np.uint64))
+
+
 def portions(sizes: list[int], rows: int, total: int):
     """Ranges (start, stop) of at most so many rows and, but for single ones, of at most so much in all."""
     a = held = 0

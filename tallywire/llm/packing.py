@@ -6,14 +6,13 @@ import json
 import os
 import re
 import zlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, ragged
+from .common import distinct, piece_hashes, portions, prepare, ragged
 
 #: Where white space runs over more than one character, a text is tokenized whole.
 RUNS = re.compile(r"\s\s")
@@ -22,7 +21,7 @@ RARE = re.compile("[\u0250-\U0010ffff]")
 
 
 class ChunkTokenizer:
-    """Token ids of whole texts as the tokenizers library gives them, with a bounded cache of chunks.
+    """Token ids of whole texts as the tokenizers library gives them, with a cache of chunks that is bounded in chunks and ids.
 
     The vocabulary's pre-tokenizer always begins a new piece at a single space before a word and on both sides of a
     single line end, so texts without longer runs of white space fall into chunks that are tokenized apart. Texts with
@@ -30,7 +29,7 @@ class ChunkTokenizer:
     tiktoken under the same vocabulary, all others by the library.
     """
 
-    CACHE, CHARS = 1_000_000, 32 << 20
+    CACHE, IDS = 1_000_000, 16 << 20
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -61,60 +60,80 @@ class ChunkTokenizer:
         return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def _reset(self) -> None:
-        self.at: dict[str, int] = {}
+        self.at: dict[int, int] = {}
+        self.second = np.zeros(1 << 16, np.uint64)
         self.ids = np.zeros(1 << 16, np.uint32)
         self.starts, self.sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.used = self.chars = 0
+        self.used = 0
 
-    def _learn(self, chunks: list[str]) -> None:
+    def _learn(self, chunks: list[str], hashes: np.ndarray) -> None:
         """Many chunks are one text of as many lines: a single line end is a piece of its own, between any two pieces."""
         for i in range(0, len(chunks), 20_000):
-            part = chunks[i : i + 20_000]
-            odd = [c for c in part if c[-1].isspace() or (c[0] != " " and c[0].isspace()) or not (c.isascii() or RARE.search(c) is None)]
-            for c, x in zip(odd, self.library.encode_batch(odd, add_special_tokens=False), strict=True):
-                self._add([c], np.array(x.ids, np.uint32), None)
-            if odd:
-                gone = set(odd)
-                part = [c for c in part if c not in gone]
-            if part:
-                lines = "\n".join(part)
+            part, keys = chunks[i : i + 20_000], hashes[i : i + 20_000]
+            apart = np.array([c[-1].isspace() or (c[0] != " " and c[0].isspace()) or not (c.isascii() or RARE.search(c) is None) for c in part])
+            odd = [c for c, x in zip(part, apart.tolist(), strict=True) if x]
+            for c, x, h in zip(odd, self.library.encode_batch(odd, add_special_tokens=False), keys[apart], strict=True):
+                self._add([c], h[None], np.array(x.ids, np.uint32), None)
+            if not apart.all():
+                rest = [c for c, x in zip(part, apart.tolist(), strict=True) if not x]
+                lines = "\n".join(rest)
                 ids = np.array(self.ranks.encode_ordinary(lines) if self.ranks else self.library.encode(lines, add_special_tokens=False).ids, np.uint32)
-                self._add(part, ids, np.flatnonzero(ids == self.line_end))
+                self._add(rest, keys[~apart], ids, np.flatnonzero(ids == self.line_end))
 
-    def _add(self, part: list[str], ids: np.ndarray, ends: np.ndarray | None) -> None:
+    def _add(self, part: list[str], hashes: np.ndarray, ids: np.ndarray, ends: np.ndarray | None) -> None:
         cuts = np.r_[-1, [] if ends is None else ends, len(ids)].astype(np.int64)
         size = np.diff(cuts) - 1
         if len(size) != len(part):
             raise ValueError("chunks and lines differ")
         n, k = len(self.at), len(self.at) + len(part)
         while k > len(self.starts):
-            self.starts, self.sizes = np.r_[self.starts, np.zeros_like(self.starts)], np.r_[self.sizes, np.zeros_like(self.sizes)]
+            self.starts, self.sizes, self.second = (np.r_[x, np.zeros_like(x)] for x in (self.starts, self.sizes, self.second))
         while self.used + len(ids) > len(self.ids):
             self.ids = np.r_[self.ids, np.zeros_like(self.ids)]
         self.ids[self.used : self.used + len(ids)] = ids
-        self.starts[n:k], self.sizes[n:k] = self.used + cuts[:-1] + 1, size
+        self.starts[n:k], self.sizes[n:k], self.second[n:k] = self.used + cuts[:-1] + 1, size, hashes[:, 1]
         self.used += len(ids)
-        self.chars += sum(map(len, part))
-        self.at.update(zip(part, range(n, k), strict=True))
+        self.at.update(zip(hashes[:, 0].tolist(), range(n, k), strict=True))
+
+    def _chunked(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of all chunks of the texts, which are not empty, and each text's number of chunks.
+
+        A chunk begins at a text's start, at a space, and at and behind a line end. It goes by two hashes of 64 bits: no
+        chunk that was seen before becomes an object of its own.
+        """
+        size = np.array([len(t) for t in texts], np.int64)
+        buf = np.frombuffer(b"".join(texts), np.uint8)
+        heads = np.cumsum(size) - size
+        start = (buf == 32) | (buf == 10)
+        start[1:] |= buf[:-1] == 10
+        start[heads] = True
+        at = np.flatnonzero(start)
+        hashes = piece_hashes(buf, at)
+        key, place, _ = distinct(hashes[:, 0])
+        fresh = np.array([k not in self.at for k in key.tolist()], bool)
+        ends = np.r_[at[1:], len(buf)]
+        p = place[fresh]
+        self._learn([buf[a:b].tobytes().decode() for a, b in zip(at[p].tolist(), ends[p].tolist(), strict=True)], hashes[p])
+        number = np.fromiter(map(self.at.__getitem__, key.tolist()), np.int64, len(key))
+        k = number[np.searchsorted(key, hashes[:, 0])]
+        if (self.second[k] != hashes[:, 1]).any():
+            raise ValueError("two chunks share a hash")
+        return k, np.diff(np.searchsorted(at, np.r_[heads, len(buf)]))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        chunks: list[list[str] | None] = []
-        for t in texts:
-            if RUNS.search(t) or any(s in t for s in self.special):
-                chunks.append(None)
-            else:
-                chunks.append([c for c in t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if c] if "\0" not in t else None)
-        words = set().union(*(c for c in chunks if c))
-        if len(self.at) > self.CACHE or self.chars > self.CHARS:
-            self._reset()
-        self._learn([w for w in words if w not in self.at])
-        whole = [t for t, c in zip(texts, chunks, strict=True) if c is None]
-        rest = iter([np.array(x.ids, np.uint32) for x in self.library.encode_batch(whole, add_special_tokens=False)])
-        sizes = np.array([len(c) if c else 0 for c in chunks], np.int64)
-        k = np.fromiter(map(self.at.__getitem__, chain.from_iterable(c for c in chunks if c)), np.int64, int(sizes.sum()))
-        flat = self.ids[ragged(self.starts[k], self.sizes[k])]
-        ends = np.cumsum(np.r_[0, self.sizes[k]])[np.cumsum(np.r_[0, sizes])]
-        return [next(rest) if c is None else flat[a:b] for c, a, b in zip(chunks, ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        whole = [not t or RUNS.search(t) is not None or any(s in t for s in self.special) for t in texts]
+        rest = iter([np.array(x.ids, np.uint32) for x in self.library.encode_batch([t for t, w in zip(texts, whole, strict=True) if w], add_special_tokens=False)])
+        parts = [t.encode() for t, w in zip(texts, whole, strict=True) if not w]
+        done: list[np.ndarray] = []
+        for a, b in portions([len(t) for t in parts], len(parts), 4 << 20):
+            if len(self.at) > self.CACHE or self.used > self.IDS:
+                self._reset()
+            k, n = self._chunked(parts[a:b])
+            flat = self.ids[ragged(self.starts[k], self.sizes[k])]
+            ends = np.r_[0, np.cumsum(self.sizes[k])][np.cumsum(n)]
+            done += np.split(flat, ends[:-1])
+        others = iter(done)
+        return [next(rest) if w else next(others) for w in whole]
 
 
 _tokenizers: dict[str, ChunkTokenizer] = {}
