@@ -141,3 +141,13 @@ def plain_number(c: Column) -> Column:
     """A double as text without an exponent or a needless fraction."""
     text = F.regexp_replace(F.regexp_replace(c.cast("decimal(38,10)").cast("string"), "0+$", ""), r"\.$", "")
     return F.when(c.isNotNull(), text)
+
+
+def display_text(c: Column) -> Column:
+    """Without angle brackets and white space at the ends, as the front end shows it."""
+    return F.trim(F.regexp_replace(c, "[<>]", ""))
+
+
+def sortable_date(c: Column) -> Column:
+    """Milliseconds since 1970 of an ISO date or time; 0 without one, so that undated rows come first."""
+    return F.coalesce(F.unix_millis(F.try_to_timestamp(c)), F.lit(0).cast("bigint"))

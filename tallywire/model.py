@@ -11,8 +11,18 @@ ENTITY_TYPES = (
     "Person", "Organization", "Document", "Payment", "CourtCase", "Pardon", "FlightLogEntry", "TimingCorrelation", "ConductComparison",
     "PublicStatement", "PolicyDecision", "LobbyingActivity",
 )
-#: Required fields by entity type, for the types that declare them.
-REQUIRED = {"Person": ["name"], "Organization": ["name", "org_type"], "Payment": ["amount", "date"], "Document": ["title"], "CourtCase": ["case_id", "court"]}
+#: Required and optional fields by entity type, for the types that declare them; all of them need a source.
+SCHEMAS = {
+    "Person": (("name",), ("aliases", "current_role", "party_affiliation", "jurisdiction", "status", "birth_date")),
+    "Organization": (("name", "org_type"), ("aliases", "jurisdiction", "known_principals", "foreign_connection")),
+    "Payment": (("amount", "date", "donor", "recipient"), ("filing_id", "election_cycle", "description")),
+    "TimingCorrelation": (("event_a", "event_b", "days_between", "correlation_type"), ("threshold_days",)),
+    "ConductComparison": (("official_action", "official", "action_date", "action_source", "equivalent_private_conduct", "documented_consequence", "consequence_source"), ()),
+}
+#: What a new entity has unless it says otherwise.
+DEFAULTS = {"Person": {"status": "Active"}, "Organization": {"foreign_connection": "false"}, "LobbyingActivity": {"foreign_connection": "false"}}
+#: Operations that the audit log knows.
+AUDIT_OPERATIONS = ("Insert", "Update", "Delete")
 #: Edge types along which money moves.
 FINANCIAL = ("DonatedTo", "ReceivedContract", "LobbiedFor")
 
@@ -89,3 +99,30 @@ def relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
         _pick(F.col("l_returnflag"), {"A": "DonatedTo", "N": "ReceivedContract"}, "LobbiedFor").alias("rel_type"), start.alias("start_date"), F.when(line % 3 != 0, F.date_add(start, (line * 30).cast("int"))).alias("end_date"),
         (line % 2 + 1).cast("bigint").alias("version"), F.col("o_orderdate").alias("created_at"), F.col("l_extendedprice").alias("amount"),
     )
+
+
+def missing_fields(entities: DataFrame) -> DataFrame:
+    """(entity_id, entity_type, field): required fields that entities (entity_id, entity_type, fields map) do not have or leave blank."""
+    out = None
+    for kind, (required, _) in SCHEMAS.items():
+        value = F.try_element_at("fields", F.col("field"))
+        rows = entities.filter(F.col("entity_type") == kind).withColumn("field", F.explode(F.array(*map(F.lit, required)))).filter(value.isNull() | (F.trim(value) == ""))
+        rows = rows.select("entity_id", "entity_type", "field")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def new_entities(rows: DataFrame) -> DataFrame:
+    """Rows (entity_id, entity_type, fields map) with the defaults of their type and version 1."""
+    fields = F.col("fields")
+    for kind, values in DEFAULTS.items():
+        own = F.create_map(*(F.lit(x) for kv in values.items() for x in kv))
+        rest = F.map_filter(own, lambda k, v: ~F.map_contains_key("fields", k))
+        fields = F.when(F.col("entity_type") == kind, F.map_concat("fields", rest)).otherwise(fields)
+    return rows.withColumn("fields", fields).withColumn("version", F.lit(1).cast("bigint"))
+
+
+def new_relationships(rows: DataFrame, start: Column | None = None, end: Column | None = None) -> DataFrame:
+    """Rows (rel_id, src, dst, rel_type) with version 1 and their dates, null unless given."""
+    none = F.lit(None).cast("date")
+    return rows.withColumns({"start_date": none if start is None else start, "end_date": none if end is None else end, "version": F.lit(1).cast("bigint")})

@@ -11,6 +11,10 @@ from .folds import in_order
 POINTS = {"approved": 10, "rejected": -3, "disputed": 15, "bad_faith": -25}
 #: (from, action, to); anything else is refused and changes nothing.
 TRANSITIONS = (("Pending", "claim", "InReview"), ("InReview", "approve", "Approved"), ("InReview", "reject", "Rejected"), ("Rejected", "dispute", "Disputed"))
+#: Submissions an hour by tier, and the tiers whose submissions are reviewed first.
+EXPEDITED = ("Trusted", "Verified", "Maintainer")
+#: What a subscription is told of unless it says so itself.
+NOTIFY = ("EntityUpdate", "NewRelationship", "NewCorrelation", "NewDocument")
 TIER_LIMITS = {"New": 5, "Established": 15, "Trusted": 30, "Verified": 60, "Maintainer": 120}
 
 
@@ -68,6 +72,33 @@ def watch_alerts(changes: DataFrame, subscriptions: DataFrame) -> DataFrame:
     return changes.join(subscriptions.filter("active and watch_type <> 'Keyword'"), "entity_id").filter(fits).select("sub_id", "subscriber", "seq", "entity_id", "alert_type")
 
 
+def tier_rights(profiles: DataFrame) -> DataFrame:
+    """Adds per_hour and expedited, what a profile's tier allows."""
+    limit = F.create_map(*(F.lit(x) for kv in TIER_LIMITS.items() for x in kv))
+    return profiles.withColumns({"per_hour": F.try_element_at(limit, F.col("tier")), "expedited": F.col("tier").isin(*EXPEDITED)})
+
+
+def reject_note(reason, note):
+    return F.concat(reason, F.lit(": "), note)
+
+
+def log_review(log: DataFrame, actions: DataFrame) -> DataFrame:
+    """The review log (submission_id, reviewer, action, rationale, at) with further actions."""
+    return log.unionByName(actions.select(*log.columns))
+
+
+def subscribe(events: DataFrame, entities: DataFrame) -> DataFrame:
+    """(sub_id, entity_id, entity_type, entity_name, notify_on, subscribed_at), the newest first, of events (seq, at, sub_id, action, entity_id, notify_on).
+
+    An entity that is not stored cannot be subscribed to. 'delete' removes a subscription for good.
+    """
+    made = events.filter("action = 'subscribe'").join(entities.select("entity_id", "entity_type", F.col("name").alias("entity_name")), "entity_id")
+    gone = events.filter("action = 'delete'").select("sub_id", F.col("seq").alias("gone"))
+    left = made.join(gone, "sub_id", "left").filter("gone is null or gone < seq").dropDuplicates(["sub_id"])
+    told = F.coalesce("notify_on", F.array(*map(F.lit, NOTIFY)))
+    return left.select("sub_id", "entity_id", "entity_type", "entity_name", told.alias("notify_on"), F.col("at").alias("subscribed_at")).orderBy(F.col("subscribed_at").desc(), "sub_id")
+
+
 def dispute_note(note, text):
     return F.concat(F.coalesce(note, F.lit("")), F.lit("\n\nDISPUTE: "), text)
 

@@ -61,14 +61,19 @@ def entity_labels(entities: DataFrame, amount_col: str | None = None) -> DataFra
     return entities.select("entity_id", label.alias("label"))
 
 
-def story_package(entities: DataFrame, relationships: DataFrame, entity: str, path: str, cap: int = 500) -> None:
-    """entity, relationships (the newest `cap` each way), timeline and one-step graph of an entity, each as JSON below path."""
+def story_parts(entities: DataFrame, relationships: DataFrame, entity: str, cap: int = 500) -> dict[str, DataFrame]:
+    """entity, relationships (the newest `cap` each way), timeline and one-step graph of an entity; neighbours that are not stored are left out."""
     from .temporal import timeline
 
-    own = entities.filter(F.col("entity_id") == entity)
     line = timeline(relationships, entity, cap)
     ends = line.select(F.when(F.col("src") == entity, F.col("dst")).otherwise(F.col("src")).alias("entity_id")).distinct()
-    own.write.json(f"{path}/entity")
-    line.filter("direction = 'out'").unionByName(line.filter("direction = 'in'")).write.json(f"{path}/relationships")
-    line.select("rel_id", "rel_type", "start_date", "end_date", "src", "dst").write.json(f"{path}/timeline")
-    entities.join(ends, "entity_id", "left_semi").select("entity_id", "entity_type", "name").write.json(f"{path}/graph")
+    return {
+        "entity": entities.filter(F.col("entity_id") == entity), "relationships": line,
+        "timeline": line.select("rel_id", "rel_type", "start_date", "end_date", "src", "dst"), "graph": entities.join(ends, "entity_id", "left_semi").select("entity_id", "entity_type", "name"),
+    }
+
+
+def story_package(entities: DataFrame, relationships: DataFrame, entity: str, path: str, cap: int = 500) -> None:
+    """The parts of an entity's story, each as JSON below path."""
+    for name, part in story_parts(entities, relationships, entity, cap).items():
+        part.write.json(f"{path}/{name}")

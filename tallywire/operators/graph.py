@@ -296,3 +296,22 @@ def label_propagation(edges: DataFrame, labelled: DataFrame, rounds: int = 100)
 
     own = edges.join(labelled, edges["src"] == labelled["node"]).select("component", "seq", "src", "dst")
     return own.groupBy("component").applyInPandas(run, f"node {kind}, label bigint")
+
+
+def label_propagation_in_rounds(edges: DataFrame, rounds: int = 20) -> DataFrame:
+    """(node, label): as label_propagation, but all nodes of a round look at the labels of the round before.
+
+    Each round is one join and one count by node and label, for graphs whose largest component is no single task's. Two
+    sides of a graph may swap labels for ever, so `rounds` is a bound; the asynchronous rule has other results.
+    """
+    ends = edges.select(F.col("src").alias("node"), (F.col("seq") * 2).alias("q")).unionAll(edges.select("dst", F.col("seq") * 2 + 1))
+    label = cut(ends.groupBy("node").agg(F.min("q").alias("label")))
+    near = cut(both_ways(edges.select("src", "dst")).groupBy("src", "dst").agg(F.count("*").alias("m")))
+    for _ in range(rounds):
+        votes = near.join(label, near["dst"] == label["node"]).groupBy("src", "label").agg(F.sum("m").alias("n"))
+        now = cut(votes.groupBy(F.col("src").alias("node")).agg(F.max(F.struct("n", (-F.col("label")).alias("o"), "label")).getField("label").alias("label")))
+        same = now.join(label, ["node", "label"], "left_anti").isEmpty()
+        label = now
+        if same:
+            break
+    return label

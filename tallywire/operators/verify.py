@@ -59,3 +59,36 @@ def source_chain(primary: DataFrame, supporting: DataFrame) -> DataFrame:
     s = supporting.groupBy("entity_id").agg(F.sort_array(F.collect_list(F.struct("n", "url"))).alias("s"))
     urls = F.concat(F.array("url"), F.coalesce(F.col("s.url"), F.array().cast("array<string>")))
     return primary.join(s, "entity_id", "left").select("entity_id", F.size(urls).alias("source_count"), urls.alias("urls"))
+
+
+# Answers after which a URL is asked again.
+TRANSIENT = (429, 500, 502, 503, 504)
+
+
+def url_answers(answers: DataFrame) -> DataFrame:
+    """Adds (is_live, status_code, archive_available, archive_url) to landed answers (id, tries, archive_status, archive_body).
+
+    tries are the statuses of the requests in order, of which there are four at most: the first that is not transient
+    counts, else the last. A URL is live with a status of 200 to 299; without any answer both are null. The archive's
+    answer counts if it came with success and can be read.
+    """
+    tries = F.slice("tries", F.lit(1), F.lit(4))
+    settled = F.filter(tries, lambda x: ~x.isin(*TRANSIENT))
+    status = F.coalesce(F.try_element_at(settled, F.lit(1)), F.try_element_at(tries, F.lit(-1)))
+    body = F.when(F.col("archive_status").between(200, 299), F.from_json("archive_body", "archived_snapshots struct<closest: struct<available: boolean, url: string>>"))
+    snap = body.getField("archived_snapshots").getField("closest")
+    return answers.withColumns({"is_live": status.between(200, 299), "status_code": status, "archive_available": F.coalesce(snap.getField("available"), F.lit(False)), "archive_url": snap.getField("url")})
+
+
+def verified(sources: DataFrame, filings: DataFrame, urls: DataFrame) -> DataFrame:
+    """(source_id, kind, confidence, level, evidence, error): a row for each source (source_id, source_type, filing_id), whatever became of the others.
+
+    filings (source_id, found) and urls (source_id, is_live, archive_available) are the answers that landed. A source
+    without an answer has an error and no confidence.
+    """
+    r = sources.withColumn("kind", route(F.col("source_type"), F.col("filing_id")))
+    r = r.join(filings.select("source_id", "found"), "source_id", "left").join(urls.select("source_id", F.col("is_live").alias("live"), F.col("archive_available").alias("archived")), "source_id", "left")
+    answered = (F.col("kind") == "not_applicable") | ((F.col("kind") == "filing") & F.col("found").isNotNull()) | ((F.col("kind") == "url") & F.col("live").isNotNull())
+    c = F.when(answered, confidence(F.col("kind"), F.col("found"), F.col("live"), F.col("archived"), F.lit(None).cast("double")))
+    r = r.withColumn("confidence", c).withColumn("error", F.when(~answered, "no answer"))
+    return r.select("source_id", "kind", "confidence", F.when(answered, level(F.col("confidence"))).alias("level"), F.when(answered, evidence(F.col("kind"), F.col("found"), F.col("live"), F.col("archived"))).alias("evidence"), "error")

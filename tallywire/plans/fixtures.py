@@ -63,6 +63,9 @@ LANDED = [
     ("bills", "https://r/6", {"bills": [{"number": "12", "type": "HR", "title": "Roads", "introducedDate": "2023-05-01"}, {"number": "13", "type": "S", "title": "Parks", "latestAction": {"actionDate": "2023-06-01"}}, {"number": "14", "type": "S", "title": "Ponds"}]}),
     ("dockets", "https://r/7", {"results": [{"id": 77, "docket_number": "1:24", "court": "ca9", "nature_of_suit": "x", "date_filed": "2024-01-02"}, {"docket_number": "2:24", "court": "nysd", "nature_of_suit": "Criminal matter"}]}),
     ("cases", "https://r/8", {"results": [{"case_id": "K1", "court": "x", "case_type": "Civil rights", "date_filed": "2022-02-02"}]}), ("cases", "https://r/9", None),
+    ("opinions", "https://r/10", {"results": [{"id": 5, "case_name": "A v. B", "court": "scotus", "absolute_url": "/opinion/5/", "date_filed": "2023-04-05"}, {"court": "nysd"}]}),
+    ("committee", "https://r/committee/C1/", {"results": [{"name": "Forward", "treasurer_name": "T. Lee", "filing_frequency": "Q"}, {"name": "no"}]}), ("committee", "https://r/committee/C2/", {"results": []}), ("committee", "https://r/committee/C3/", {"results": [{}]}),
+    ("bill", "https://r/bill/118/hr/21", {"bill": {"title": "Roads", "congress": 117, "type": "S", "number": "9", "introducedDate": "2023-01-02", "latestAction": {"text": "Passed"}, "policyArea": {"name": "Transport"}}}), ("bill", "https://r/bill/118/hr/22", {"bill": {}}), ("bill", "https://r/bill/118/hr/23", None),
 ]
 SOURCE_ROWS = [("FecFiling", "F1", "filing"), ("FecFiling", None, "not_applicable"), ("NewsArticle", None, "url"), ("SanctionsList", "x", "url")]
 

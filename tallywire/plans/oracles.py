@@ -316,6 +316,42 @@ def _found(pattern: str) -> str:
     return f"WITH c AS (SELECT doc_id AS id, text AS t FROM documents UNION ALL SELECT id, t FROM {inline}) SELECT id, array_to_string(regexp_extract_all(t, {_q(pattern)}), '|') AS found FROM c WHERE len(regexp_extract_all(t, {_q(pattern)})) > 0"
 
 
+ORACLES |= {
+    "creation_checks": """SELECT c_custkey AS entity_id, CASE WHEN c_custkey % 4 = 0 THEN 'no source' WHEN c_custkey % 3 < 2 AND c_custkey % 5 = 0 THEN 'empty name' WHEN c_custkey % 11 = 0 OR c_custkey % 13 = 0 THEN 'invalid URL' END AS error FROM customer""",
+    "submission_checks": """SELECT o_orderkey AS seq, 'order ' || o_orderkey AS description, CASE WHEN o_orderkey % 17 > 0 AND o_orderkey % 19 = 0 THEN 'empty url' WHEN o_orderkey % 23 = 0 THEN 'empty reference' WHEN o_orderkey % 17 = 0 THEN 'invalid url'
+  WHEN o_orderkey % 4 = 1 AND o_orderkey % 3 = 0 THEN 'empty entity_type' WHEN o_orderkey % 4 = 2 AND o_orderkey % 7 = 0 THEN 'empty current_value' WHEN o_orderkey % 4 = 3 AND o_orderkey % 5 = 0 THEN 'empty documented_consequence'
+  WHEN o_orderkey % 4 = 3 AND o_orderkey % 3 = 0 THEN 'invalid consequence_source_url' END AS error FROM orders""",
+    "limiter_windows": """WITH RECURSIVE o AS (SELECT user_id AS key, event_id AS seq, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+w(key, k, begun, n, accepted, retry_after) AS (SELECT key, 0::BIGINT, TIMESTAMP '1900-01-01', 0, false, NULL::BIGINT FROM o WHERE k = 1 UNION ALL
+  SELECT key, k, b, CASE WHEN c < 3 THEN c + 1 ELSE c END, c < 3, CASE WHEN c >= 3 THEN greatest((43200000000 - (epoch_us(ts) - epoch_us(b))) // 1000000, 1) END
+  FROM (SELECT o.key, o.k, o.ts, CASE WHEN o.ts >= begun + INTERVAL 12 HOUR THEN o.ts ELSE begun END AS b, CASE WHEN o.ts >= begun + INTERVAL 12 HOUR THEN 0 ELSE n END AS c FROM w JOIN o ON o.key = w.key AND o.k = w.k + 1))
+SELECT o.key, o.seq, accepted, retry_after FROM w JOIN o USING (key, k)""",
+    "url_liveness": """WITH t AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN 200 WHEN o_orderkey % 7 = 0 THEN 504 WHEN o_orderkey % 11 = 0 THEN NULL WHEN o_orderkey % 2 = 0 THEN 404 ELSE 204 END AS status_code FROM orders)
+SELECT id, status_code BETWEEN 200 AND 299 AS is_live, CAST(status_code AS INTEGER) AS status_code, id % 4 > 0 AND id % 3 = 0 AS archive_available, CASE WHEN id % 4 > 0 AND id % 3 = 0 THEN 'http://w/' || id END AS archive_url FROM t""",
+    "batch_verify": """WITH t AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 THEN 'filing' WHEN o_orderkey % 2 = 0 THEN 'not_applicable' ELSE 'url' END AS kind FROM orders),
+c AS (SELECT *, CASE kind WHEN 'filing' THEN id % 3 > 0 WHEN 'url' THEN id % 5 > 0 ELSE true END AS answered, CASE kind WHEN 'filing' THEN CASE WHEN id % 8 = 0 THEN 1.0 ELSE 0.0 END
+  WHEN 'url' THEN CASE WHEN id % 3 = 0 AND id % 7 = 0 THEN 1.0 WHEN id % 3 = 0 THEN 0.85 WHEN id % 7 = 0 THEN 0.5 ELSE 0.0 END ELSE 0.0 END AS conf FROM t)
+SELECT id AS source_id, kind, CASE WHEN answered THEN CAST(conf AS DOUBLE) END AS confidence, CASE WHEN answered THEN CASE WHEN conf >= 0.85 THEN 'High' WHEN conf >= 0.6 THEN 'Medium' WHEN conf >= 0.3 THEN 'Low' ELSE 'Unverified' END END AS level,
+  CASE WHEN answered THEN CASE kind WHEN 'filing' THEN CASE WHEN id % 8 = 0 THEN 'Filing found' ELSE 'Filing not found' END WHEN 'url' THEN CASE WHEN id % 3 = 0 THEN 'URL is live' ELSE 'URL is not reachable' END || CASE WHEN id % 7 = 0 THEN '; archived copy exists' ELSE '; no archived copy' END ELSE 'Not applicable' END END AS evidence,
+  CASE WHEN NOT answered THEN 'no answer' END AS error FROM c""",
+    "content_summaries": "SELECT doc_id AS id, 'text' AS extractor, CAST(NULL AS VARCHAR) AS title, CAST(strlen(coalesce(text, '')) AS BIGINT) AS text_length, 0::BIGINT AS page_count, 0::BIGINT AS table_count FROM documents",
+    "tier_rights": f"WITH {_REP} SELECT contributor, tier, CASE tier WHEN 'New' THEN 5 WHEN 'Established' THEN 15 ELSE 30 END AS per_hour, tier = 'Trusted' AS expedited FROM prof",
+    "review_notes": "SELECT o_orderkey AS submission_id, o_orderpriority || ': order ' || o_orderkey || CASE WHEN o_orderkey % 3 = 0 THEN chr(10) || chr(10) || 'DISPUTE: see file' ELSE '' END AS note FROM orders",
+    "watch_subscriptions": f"WITH {_ENT} SELECT event_id AS sub_id, entity_id, name AS entity_name, CASE WHEN event_id % 2 = 0 THEN 'NewDocument' ELSE 'EntityUpdate,NewRelationship,NewCorrelation,NewDocument' END AS notify_on, ts AS subscribed_at FROM events JOIN entities ON entity_id = 'P' || user_id WHERE event_id % 9 > 0",
+    "display_texts": "SELECT p_partkey, 'b' || p_name || '/b' AS text, CASE WHEN p_partkey % 3 = 1 THEN epoch_ms(CAST(DATE '2020-01-01' + CAST(p_partkey % 900 AS INTEGER) AS TIMESTAMP)) ELSE 0 END AS sort_ms FROM part",
+    "committee_detail": "SELECT * FROM (VALUES ('https://r/committee/C1/', 'Forward', 'T. Lee', 'Q'), ('https://r/committee/C3/', '', NULL, NULL)) AS t(url, name, treasurer_name, filing_frequency)",
+    "bill_detail": """SELECT url, title, congress, bill_type, bill_number, CAST(introduced AS DATE) AS introduced_date, latest_action, policy_area FROM (VALUES ('https://r/bill/118/hr/21', 'Roads', 117, 'S', '9', '2023-01-02', 'Passed', 'Transport'), ('https://r/bill/118/hr/22', '', 118, 'hr', '22', NULL, NULL, NULL))
+AS t(url, title, congress, bill_type, bill_number, introduced, latest_action, policy_area)""",
+    "story_package": f"""WITH {_ENT}, {_REL}, l AS ((SELECT * FROM rel WHERE src = 'P7' ORDER BY created_at DESC, rel_id LIMIT 500) UNION ALL (SELECT * FROM rel WHERE dst = 'P7' ORDER BY created_at DESC, rel_id LIMIT 500)),
+g AS (SELECT * FROM entities WHERE entity_id IN (SELECT CASE WHEN src = 'P7' THEN dst ELSE src END FROM l))
+SELECT 'entity' AS part, count(*) AS n, min(entity_id) AS first_key, max(entity_id) AS last_key FROM entities WHERE entity_id = 'P7' UNION ALL SELECT 'relationships', count(*), min(rel_id), max(rel_id) FROM l
+UNION ALL SELECT 'timeline', count(*), min(rel_id), max(rel_id) FROM l UNION ALL SELECT 'graph', count(*), min(entity_id), max(entity_id) FROM g""",
+    "search_index": ORACLES["search_bm25"],
+    "missing_fields": """SELECT p_partkey AS entity_id, CASE WHEN p_partkey % 2 = 0 THEN 'Person' ELSE 'Organization' END AS entity_type, 'name' AS field FROM part WHERE p_partkey % 5 = 0
+UNION ALL SELECT p_partkey, 'Organization', 'org_type' FROM part WHERE p_partkey % 2 = 1 AND p_partkey % 3 > 0""",
+}
+
+
 def _finish() -> None:
     from ..functions import ner
 
@@ -325,9 +361,11 @@ def _finish() -> None:
         ("Person", "DOE, JANE", "H2NY05168", "Democrat", None, None, 0), ("Person", "ROE, RAY", "S6TX00194", "Other", None, None, 0), ("Person", "POE, PAT", "P80003338", None, None, None, 0), ("Organization", "Forward", "C00000001", "SuperPac", None, None, 1),
         ("Person", "Ann", "t1", None, None, None, 2), ("Organization", "Forward", "C1", None, None, None, 2), ("Payment", "Ann to Forward", "t1", "IndividualContribution", 250.5, "2024-03-01", 2), ("Organization", "Forward", "C1", None, None, None, 3),
         ("Organization", "Printer", "t4", None, None, None, 3), ("Payment", "Forward to Printer", "t4", "PacContribution", 10.0, "2024-04-02", 3), ("Person", "Lee, Ann", "M1", "Democrat", None, None, 4), ("PolicyDecision", "Roads", "HR12", None, None, "2023-05-01", 5),
-        ("PolicyDecision", "Parks", "S13", None, None, "2023-06-01", 5), ("PolicyDecision", "Ponds", "S14", None, None, "2024-01-01", 5), ("CourtCase", "77", "77", "Appellate", None, "2024-01-02", 6), ("CourtCase", "2:24", "2:24", "Criminal", None, None, 6), ("CourtCase", "K1", "K1", "Civil", None, "2022-02-02", 7),
+        ("PolicyDecision", "Parks", "S13", None, None, "2023-06-01", 5), ("PolicyDecision", "Ponds", "S14", None, None, "2024-01-01", 5), ("CourtCase", "77", "77", "Appellate", None, "2024-01-02", 6), ("CourtCase", "2:24", "2:24", "Criminal", None, None, 6), ("CourtCase", "opinion-5", "opinion-5", "SupremeCourt", None, "2023-04-05", 10), ("CourtCase", "unknown", "unknown", "Civil", None, None, 11), ("CourtCase", "K1", "K1", "Civil", None, "2022-02-02", 7),
     ]
-    rows = [(*r[:6], X.LANDED[r[6]][1], json.dumps(X.LANDED[r[6]][2])) for r in landed]
+    opinions = next(x for x in X.LANDED if x[0] == "opinions")
+    page = lambda k: ("https://www.courtlistener.com/opinion/5/", json.dumps(opinions[2])) if k == 10 else (opinions[1], json.dumps(opinions[2])) if k == 11 else (X.LANDED[k][1], json.dumps(X.LANDED[k][2]))
+    rows = [(*r[:6], *page(r[6])) for r in landed]
     ORACLES["landed_entities"] = f"SELECT entity_type, name, key, detail, CAST(amount AS DOUBLE) AS amount, CAST(date AS DATE) AS date, url, sha256(body) AS content_hash FROM {_values(rows, 'entity_type, name, key, detail, amount, date, url, body')}"
 
 

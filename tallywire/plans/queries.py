@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,8 +11,8 @@ from .. import model as M
 from ..functions import ner
 from ..functions import normalize as N
 from ..functions.names import name_parts
-from ..operators import audit, crowd, dedup, export, flows, graph, ingest, repo, search, temporal, timing, verify
-from ..session import cut, ship
+from ..operators import audit, crowd, dedup, export, flows, graph, index, ingest, intake, repo, search, temporal, timing, verify
+from ..session import cut, shared_dir, ship
 from ..sources import delimited, html, landed
 from . import fixtures as X
 
@@ -835,3 +837,137 @@ def pardon_days(s, d):
 def search_documents(s, d):
     """What is indexed of an entity: its name, and how many words of text."""
     return _search_docs(s, d).select("entity_id", "entity_type", "name", F.size(search.tokens(F.col("content"))).alias("words"), (F.unix_date("date").cast("bigint") * 86400).alias("date_seconds"))
+
+
+# intake, and what was added to the workflow, the sources and the exports
+
+
+@query
+def creation_checks(s, d):
+    """Customers as entities of three kinds, some without a name, a source or a good URL."""
+    k = F.col("c_custkey")
+    kind = F.element_at(F.array(*map(F.lit, ("Person", "Organization", "Payment"))), (k % 3 + 1).cast("int"))
+    urls = F.when(k % 4 == 0, F.array().cast("array<string>")).when(k % 11 == 0, F.array(F.lit("ftp://x/"))).otherwise(F.array(F.concat(F.lit("https://h/"), k.cast("string"))))
+    old = F.when(k % 13 == 0, F.array(F.lit("mailto:a@b"), F.lit(None)))
+    rows = M.table(s, d, "customer").select(k.alias("entity_id"), kind.alias("entity_type"), F.when(k % 5 == 0, "  ").otherwise(F.col("c_name")).alias("name"), urls.alias("urls"), old.alias("archive_urls"))
+    return intake.creation_errors(rows).select("entity_id", "error")
+
+
+@query
+def submission_checks(s, d):
+    """Orders as submissions of four kinds, some with blank or bad fields."""
+    k = F.col("o_orderkey")
+    kind = F.element_at(F.array(*map(F.lit, ("NewConnection", "NewEntity", "Correction", "ConductComparison"))), (k % 4 + 1).cast("int"))
+    fields = F.create_map(
+        F.lit("entity_type"), F.when(k % 3 == 0, " ").otherwise("Person"), F.lit("field"), F.lit("name"), F.lit("current_value"), F.when(k % 7 == 0, F.lit(None).cast("string")).otherwise("old"), F.lit("proposed_value"), F.lit("new"), F.lit("official_action"), F.lit("a"),
+        F.lit("equivalent_private_conduct"), F.lit("b"), F.lit("documented_consequence"), F.when(k % 5 == 0, "").otherwise("c"), F.lit("consequence_source_url"), F.when(k % 3 == 0, "nowhere").otherwise("http://c/x"),
+    )
+    rows = M.table(s, d, "orders").select(
+        k.alias("seq"), F.col("o_orderdate").alias("ts"), F.col("o_custkey").alias("contributor"), kind.alias("kind"), F.when(k % 17 == 0, "ftp://a/").when(k % 19 == 0, " ").otherwise("https://a/b").alias("url"),
+        F.when(k % 23 == 0, F.lit(None).cast("string")).otherwise("p. 4").alias("reference"), F.concat(F.lit(" order  "), k.cast("string")).alias("description"), F.col("o_custkey").cast("string").alias("ip"), fields.alias("fields"),
+    )
+    return intake.checked_submissions(rows).select("seq", "description", "error")
+
+
+@query
+def limiter_windows(s, d):
+    """At most three events a user in windows of twelve hours."""
+    e = M.table(s, d, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), "ts")
+    return temporal.fixed_windows(e, 3, 12 * 3600)
+
+
+@query
+def url_liveness(s, d):
+    """Orders as URLs that were asked once or several times, and what the archive said."""
+    k = F.col("o_orderkey")
+    tries = F.when(k % 5 == 0, F.array(F.lit(503), F.lit(200))).when(k % 7 == 0, F.array(F.lit(500), F.lit(502), F.lit(503), F.lit(504))).when(k % 11 == 0, F.array().cast("array<int>")).when(k % 2 == 0, F.array(F.lit(404))).otherwise(F.array(F.lit(204)))
+    body = F.when(k % 3 == 0, F.concat(F.lit('{"archived_snapshots":{"closest":{"available":true,"url":"http://w/'), k.cast("string"), F.lit('"}}}'))).when(k % 3 == 1, '{"archived_snapshots":{}}').otherwise("oops")
+    rows = M.table(s, d, "orders").select(k.alias("id"), tries.alias("tries"), F.when(k % 4 == 0, 500).otherwise(200).alias("archive_status"), body.alias("archive_body"))
+    return verify.url_answers(rows).select("id", "is_live", "status_code", "archive_available", "archive_url")
+
+
+@query
+def batch_verify(s, d):
+    """Orders as sources, with answers for two of three filings and four of five URLs."""
+    k = F.col("source_id")
+    rows = M.table(s, d, "orders").select(F.col("o_orderkey").alias("source_id"), F.when(F.col("o_orderkey") % 2 == 0, "FecFiling").otherwise("NewsArticle").alias("source_type"), F.when(F.col("o_orderkey") % 4 == 0, "F").alias("filing_id"))
+    got = verify.verified(rows, rows.filter(k % 3 > 0).select(k, (k % 8 == 0).alias("found")), rows.filter(k % 5 > 0).select(k, (k % 3 == 0).alias("is_live"), (k % 7 == 0).alias("archive_available")))
+    return got.withColumn("confidence", F.round("confidence", 4))
+
+
+@query
+def content_summaries(s, d):
+    """Documents as plain text."""
+    t = M.table(s, d, "documents").select(F.col("doc_id").alias("id"), F.lit("text").alias("extractor"), "text", F.lit("t").alias("title"), F.lit(3).alias("pages"), F.lit(2).alias("tables"))
+    return intake.content_summary(t)
+
+
+@query
+def tier_rights(s, d):
+    return crowd.tier_rights(crowd.reputation(X.reputation_events(s, d))).select("contributor", "tier", "per_hour", "expedited")
+
+
+@query
+def review_notes(s, d):
+    """Orders as rejected submissions, every third of them disputed."""
+    k = F.col("o_orderkey")
+    note = crowd.reject_note(F.col("o_orderpriority"), F.concat(F.lit("order "), k.cast("string")))
+    return M.table(s, d, "orders").select(k.alias("submission_id"), F.when(k % 3 == 0, crowd.dispute_note(note, F.lit("see file"))).otherwise(note).alias("note"))
+
+
+@query
+def watch_subscriptions(s, d):
+    """Events as subscriptions to the persons, every ninth taken back."""
+    e = M.table(s, d, "events").select(F.col("event_id").alias("seq"), F.col("ts").alias("at"), F.col("event_id").alias("sub_id"), F.lit("subscribe").alias("action"), F.concat(F.lit("P"), F.col("user_id").cast("string")).alias("entity_id"), F.when(F.col("event_id") % 2 == 0, F.array(F.lit("NewDocument"))).alias("notify_on"))
+    gone = e.filter("seq % 9 = 0").withColumns({"action": F.lit("delete"), "seq": F.col("seq") + 1})
+    people = M.entities(s, d).filter("entity_type = 'Person'")
+    return crowd.subscribe(e.unionByName(gone), people).select("sub_id", "entity_id", "entity_name", F.array_join("notify_on", ",").alias("notify_on"), "subscribed_at")
+
+
+@query
+def display_texts(s, d):
+    t = F.concat(F.lit(" <b>"), "p_name", F.lit("</b> "))
+    when = F.when(F.col("p_partkey") % 3 == 0, "no date").when(F.col("p_partkey") % 3 == 1, F.date_add(F.lit("2020-01-01").cast("date"), (F.col("p_partkey") % 900).cast("int")).cast("string"))
+    return M.table(s, d, "part").select("p_partkey", N.display_text(t).alias("text"), N.sortable_date(when).alias("sort_ms"))
+
+
+@query
+def committee_detail(s, d):
+    return landed.committee_details(X.landed(s))
+
+
+@query
+def bill_detail(s, d):
+    return landed.bill_details(X.landed(s))
+
+
+@query
+def story_package(s, d):
+    """How many rows each part of a customer's story has, and the least and greatest of its keys."""
+    parts = export.story_parts(M.entities(s, d), M.relationships(s, d), "P7")
+    key = {"entity": "entity_id", "graph": "entity_id"}
+    out = None
+    for name, part in parts.items():
+        k = F.col(key.get(name, "rel_id"))
+        row = part.agg(F.lit(name).alias("part"), F.count("*").alias("n"), F.min(k).alias("first_key"), F.max(k).alias("last_key"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query
+def search_index(s, d):
+    """The documents indexed in two batches, the second of which has half of them again, and searched."""
+    path = f"{shared_dir(s)}/index-{uuid.uuid4().hex}"
+    docs = _search_docs(s, d)
+    early = docs.filter("entity_id % 2 = 0").withColumn("content", F.lit("the that with the"))
+    index.append(early.unionByName(docs.filter("entity_id % 2 = 1")), path, 0)
+    index.append(docs.filter("entity_id % 2 = 0"), path, 1)
+    return index.search(s, path, "the that with", limit=20).withColumn("score", F.round("score", 4))
+
+
+@query
+def missing_fields(s, d):
+    """Parts as entities of two kinds, some without their fields."""
+    k = F.col("p_partkey")
+    rows = M.table(s, d, "part").select(k.alias("entity_id"), F.when(k % 2 == 0, "Person").otherwise("Organization").alias("entity_type"), F.create_map(F.lit("name"), F.when(k % 5 == 0, " ").otherwise(F.col("p_name")), F.when(k % 3 == 0, "org_type").otherwise("other"), F.lit("Pac")).alias("fields"))
+    return M.missing_fields(rows)

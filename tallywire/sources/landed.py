@@ -78,12 +78,38 @@ def dockets(landed: DataFrame) -> DataFrame:
     return _entity(r, "CourtCase", key, key, N.docket_kind(F.col("nature_of_suit"), F.col("court")), date=_day("date_filed"))
 
 
+def opinions(landed: DataFrame, site: str = "https://www.courtlistener.com") -> DataFrame:
+    """A case for each opinion, its own address as URL where it has one, of the kind that its court says."""
+    r = _rows(landed, "opinions", "results", "id: bigint, case_name: string, court: string, absolute_url: string, date_filed: string")
+    key = F.coalesce(F.concat(F.lit("opinion-"), F.col("id").cast("string")), F.lit("unknown"))
+    own = r.withColumn("url", F.coalesce(F.concat(F.lit(site), "absolute_url"), "url"))
+    return _entity(own, "CourtCase", key, key, N.docket_kind(F.lit(None).cast("string"), F.col("court")), date=_day("date_filed"))
+
+
+def committee_details(landed: DataFrame) -> DataFrame:
+    """(url, name, treasurer_name, filing_frequency) of the first result of each answer; an answer without one has no row."""
+    body = F.from_json("body", "results array<struct<name: string, treasurer_name: string, filing_frequency: string>>")
+    r = landed.filter("source = 'committee'").select("url", F.try_element_at(body.getField("results"), F.lit(1)).alias("r")).filter("r is not null")
+    return r.select("url", F.coalesce("r.name", F.lit("")).alias("name"), "r.treasurer_name", "r.filing_frequency")
+
+
+def bill_details(landed: DataFrame) -> DataFrame:
+    """(url, title, congress, bill_type, bill_number, introduced_date, latest_action, policy_area); what an answer does not say of its number comes from its address."""
+    body = F.from_json("body", "bill struct<title: string, congress: int, type: string, number: string, introducedDate: string, latestAction: struct<text: string>, policyArea: struct<name: string>>")
+    r = landed.filter("source = 'bill'").select("url", body.getField("bill").alias("r")).filter("r is not null")
+    asked = lambda k: F.nullif(F.regexp_extract("url", r"/bill/([0-9]+)/([^/?]+)/([0-9]+)", k), F.lit(""))
+    return r.select(
+        "url", F.coalesce("r.title", F.lit("")).alias("title"), F.coalesce("r.congress", asked(1).cast("int")).alias("congress"), F.coalesce("r.type", asked(2)).alias("bill_type"), F.coalesce("r.number", asked(3)).alias("bill_number"),
+        _day("r.introducedDate").alias("introduced_date"), F.col("r.latestAction.text").alias("latest_action"), F.col("r.policyArea.name").alias("policy_area"),
+    )
+
+
 def cases(landed: DataFrame) -> DataFrame:
     r = _rows(landed, "cases", "results", "case_id: string, court: string, case_type: string, date_filed: string")
     return _entity(r, "CourtCase", F.col("case_id"), F.col("case_id"), N.case_kind(F.col("case_type")), date=_day("date_filed"))
 
 
-SOURCES = (candidates, committees, receipts, disbursements, members, bills, dockets, cases)
+SOURCES = (candidates, committees, receipts, disbursements, members, bills, dockets, opinions, cases)
 
 
 def run_all(landed: DataFrame, sources=SOURCES) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import normalize as N
-from ..operators import crowd, timing
+from ..operators import audit, crowd, index, timing
 
 
 def dedup_records(records: DataFrame, time_col: str | None = None, late: str = "30 days") -> DataFrame:
@@ -27,7 +27,7 @@ def timing_correlations(events: DataFrame, rules=timing.CORRELATIONS, late: str
     """Pairs of events (seq, entity_id, event_type, ts) by the bounded rules, in whatever order they arrive.
 
     A join of the stream with itself in which both sides' state is let go once the threshold and the watermark have
-    passed. Rules without a threshold have no bounded state; the batch operator has them.
+    passed. The rule without a threshold, indictment and pardon, is a stream of its own: `pardons`.
     """
     bounded = [(i, a, b, c, t) for i, (a, b, c, t) in enumerate(rules) if t is not None]
     longest = max(t for *_, t in bounded)
@@ -41,6 +41,32 @@ def timing_correlations(events: DataFrame, rules=timing.CORRELATIONS, late: str
     return pairs.select(F.col("a.entity_id").alias("entity_id"), F.col("a.seq").alias("event_a_id"), F.col("b.seq").alias("event_b_id"), days.alias("days_between"), rule(3).alias("correlation_type"))
 
 
+def pardons(events: DataFrame) -> DataFrame:
+    """(entity_id, event_a_id, event_b_id, days_between, correlation_type) of indictments and later pardons, in whatever order they arrive.
+
+    The rule has no threshold, so an entity's indictments and pardons are kept for ever, numbers and days only.
+    """
+    rows = events.filter(F.col("event_type").isin("Indictment", "Pardon")).select("entity_id", "seq", "event_type", F.datediff(F.to_date("ts"), F.lit("1970-01-01").cast("date")).alias("day"))
+    kind = events.schema["entity_id"].dataType.simpleString()
+
+    def step(key, frames, state):
+        known = list(zip(*state.get, strict=True)) if state.exists else []
+        new = [(int(s), int(d), t == "Pardon") for s, d, t in pd.concat(list(frames)).sort_values("seq")[["seq", "day", "event_type"]].itertuples(index=False)]
+        old = [(int(s), int(d), bool(p)) for s, d, p in known]
+        pairs = []
+        for x in new:
+            for y in old:
+                a, b = (y, x) if x[2] else (x, y)
+                if not a[2] and b[2] and (a[1], a[0]) < (b[1], b[0]):
+                    pairs.append((key[0], a[0], b[0], b[1] - a[1], "IndictmentToPardon"))
+            old.append(x)
+        state.update(tuple(map(list, zip(*old, strict=True))))
+        yield pd.DataFrame(pairs, columns=["entity_id", "event_a_id", "event_b_id", "days_between", "correlation_type"])
+
+    out = f"entity_id {kind}, event_a_id bigint, event_b_id bigint, days_between int, correlation_type string"
+    return rows.groupBy("entity_id").applyInPandasWithState(step, out, "seqs array<bigint>, days array<int>, pardons array<boolean>", "append", "NoTimeout")
+
+
 def watch_alerts(changes: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """Alerts for a stream of changes; the subscriptions are a table, read anew for each batch."""
     return crowd.watch_alerts(changes, subscriptions)
@@ -97,3 +123,26 @@ def rate_limited(calls: DataFrame, per_hour: int, window: int = 3600) -> DataFra
 def each_batch(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str):
     """Run a batch sink (an upsert, an audit append, an index write) on each micro-batch, once each."""
     return stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+
+
+def index_sink(path: str) -> Callable[[DataFrame, int], None]:
+    """A batch sink that indexes documents for operators.index; a batch that is tried again replaces itself."""
+    return lambda batch, number: index.append(batch, path, number)
+
+
+def audit_sink(path: str) -> Callable[[DataFrame, int], None]:
+    """A batch sink that chains entries (seq and what audit.append takes) on to the log below path; there is one writer.
+
+    A batch goes on from the last hash of the batches before it, and one that is tried again replaces itself.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        last = audit.GENESIS
+        if number:
+            log = spark.read.parquet(path).filter(F.col("batch") < number)
+            row = log.agg(F.max_by("entry_hash", "seq")).first()
+            last = row[0] or last
+        audit.append(batch, last).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return write

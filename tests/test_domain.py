@@ -3,8 +3,9 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from tallywire import model
 from tallywire.functions import names, ner
-from tallywire.operators import audit, crowd, dedup, ingest, repo, search, verify
+from tallywire.operators import audit, crowd, dedup, index, ingest, intake, repo, search, temporal, verify
 from tallywire.plans import fixtures as X
 from tallywire.plans.oracles import ORACLES
 from tallywire.plans.queries import QUERIES
@@ -164,3 +165,66 @@ def test_ingest_counts_after_dedup(spark):
     assert [(x.record_index, x.seq) for x in got] == [(0, 0), (1, 2)] and got[0].fields == {"name": "Ann Smith", "amount": "5000000"}
     assert sorted((x.record_index, x.field, x.reason) for x in errors.collect()) == [(1, "amount", "missing"), (1, "name", "empty")]
     assert tuple(counters.first()) == (2, 1, 2)
+
+
+def test_submissions_are_checked_then_limited(spark):
+    rows = [(i, dt.datetime(2024, 1, 1, 0, i), 1, "NewConnection", "http://a/", "p", "d\x07 e", "ip", {}) for i in range(4)] + [(9, dt.datetime(2024, 1, 1), 1, "NewConnection", "", "p", "d", "ip", {}), (10, dt.datetime(2024, 1, 1), 1, "Other", "http://a/", "p", "d", "ip2", {})]
+    d = spark.createDataFrame(rows, "seq bigint, ts timestamp, contributor bigint, kind string, url string, reference string, description string, ip string, fields map<string,string>")
+    got = {r.seq: (r.status, r.error) for r in intake.submit(d, 2).collect()}
+    assert got == {0: ("Pending", None), 1: ("Pending", None), 2: (None, "rate limited"), 3: (None, "rate limited"), 9: (None, "empty url"), 10: (None, "unknown kind")}
+
+
+def test_folds_are_the_rules(spark):
+    import random
+
+    r = random.Random(5)
+    rows = [(k, i, dt.datetime(2024, 1, 1) + dt.timedelta(hours=r.randrange(400))) for k in "abc" for i in range(40)] + [("one", 1, dt.datetime(2024, 1, 1))]
+    e = spark.createDataFrame(rows, "entity string, seq bigint, ts timestamp_ntz")
+    want = []
+    for k in {x[0] for x in rows}:
+        line = sorted((t, i) for q, i, t in rows if q == k)
+        at = 0
+        while at < len(line):
+            n = sum(line[at][0] <= t <= line[at][0] + dt.timedelta(days=2) for t, _ in line[at:])
+            if n >= 3:
+                want.append((k, line[at][0], line[at + n - 1][0], n))
+                at += n
+            else:
+                at += 1
+    assert sorted(tuple(x) for x in temporal.bursts(e, 2 * 86400).collect()) == sorted(want) and want
+    assert temporal.bursts(e.limit(0)).count() == 0
+
+
+def test_index_keeps_the_latest(spark, tmp_path):
+    docs = lambda rows: spark.createDataFrame([(i, "Document", n, c, ["t"], dt.date(2024, 1, 1)) for i, n, c in rows], "entity_id string, entity_type string, name string, content string, tags array<string>, date date")
+    path = str(tmp_path / "i")
+    index.append(docs([("a", "first", "river bank"), ("b", "second", "river"), ("c", "third", "hill")]), path, 0)
+    index.append(docs([("b", "second", "lake")]), path, 1, deleted=docs([("a", "", "")]))
+    index.append(docs([("c", "third", "river hill")]), path, 2)
+    index.append(docs([("c", "third", "river hill hill")]), path, 2)  # tried again
+    assert [r.entity_id for r in index.search(spark, path, "river").collect()] == ["c"] and index.search(spark, path, "bank").count() == 0
+    now = docs([("b", "second", "lake"), ("c", "third", "river hill hill")])
+    for q in ("hill", "lake", "third", "t", "nothing", ""):
+        assert sorted(map(tuple, index.search(spark, path, q).collect())) == [(*x[:3], pytest.approx(x[3])) for x in sorted(map(tuple, search.search(now, q).collect()))]
+
+
+def test_similar_parts_equal_all_pairs(spark):
+    import random
+
+    r = random.Random(6)
+    pool = ["", "a", "smith", "smyth", "smithe", "johnson", "jonson", "o'neil", "oneill", "li", "lee", "müller", "muller"] + ["".join(r.choice("aeiostrn") for _ in range(r.randint(1, 9))) for _ in range(80)]
+    pool += [x[: r.randint(1, len(x))] + r.choice("aez") + x[2:] for x in pool if x]
+    d = lambda c: spark.createDataFrame([(x,) for x in pool], f"{c} string")
+    for least in (0.82, 0.85, 0.95):
+        want = {(x, y) for x in pool for y in pool if (1.0 if x == y == "" else 0.0 if not x or not y else names.jaro_winkler(x, y)) >= least}
+        assert {tuple(x) for x in names.similar_parts(d("a"), d("b"), least).collect()} == want
+
+
+def test_entities_and_relationships_from_scratch(spark):
+    rows = spark.createDataFrame([("1", "Person", {"name": "A"}), ("2", "Person", {"name": "B", "status": "Former"}), ("3", "Payment", {"x": "y"})], "entity_id string, entity_type string, fields map<string,string>")
+    got = {r.entity_id: (r.fields, r.version) for r in model.new_entities(rows).collect()}
+    assert got == {"1": ({"name": "A", "status": "Active"}, 1), "2": ({"name": "B", "status": "Former"}, 1), "3": ({"x": "y"}, 1)}
+    rel = model.new_relationships(spark.createDataFrame([("r", "a", "b", "DonatedTo")], "rel_id string, src string, dst string, rel_type string")).first()
+    assert (rel.version, rel.start_date, rel.end_date) == (1, None, None)
+    log = crowd.log_review(*(spark.createDataFrame([x], "submission_id bigint, reviewer bigint, action string, rationale string, at string") for x in ((1, 2, "approve", "ok", "t"), (3, 4, "reject", "no", "u"))))
+    assert log.count() == 2

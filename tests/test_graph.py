@@ -129,3 +129,11 @@ def test_betweenness_by_joins(spark):
     assert max(want.values()) > 0
     for got in (graph.betweenness(e, largest=0), graph._normed(e, graph._dependencies_by_joins(e, states=40))):
         assert {x.node: x.centrality for x in got.collect()} == pytest.approx(want)
+
+
+def test_label_propagation_in_rounds(spark):
+    e = edges(spark, "a>b b>c c>a c>d d>e e>f f>d x>y y>z z>x")
+    groups = {}
+    for r in graph.label_propagation_in_rounds(e).collect():
+        groups.setdefault(r.label, set()).add(r.node)
+    assert {"x", "y", "z"} in groups.values() and len(groups) >= 2

@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from tallywire.operators import crowd
+from tallywire.operators import audit, crowd, index
 from tallywire.streaming import engines
 
 
@@ -67,3 +67,24 @@ def test_rate_limit(stream):
     got = stream("key bigint, seq bigint, ts timestamp", rows, lambda d: engines.rate_limited(d, 2))
     by_seq = {r.seq: r.accepted for r in got}
     assert all(F is not None for _ in by_seq) and (by_seq[0], by_seq[1]) == (True, True) and sorted(by_seq) == [0, 1, 2, 3]
+
+
+def test_pardons_in_any_order(stream):
+    t = lambda s: dt.datetime.fromisoformat(s)
+    rows = [[(4, "e", "Pardon", t("2025-12-31")), (9, "f", "Pardon", t("2020-01-01"))], [(1, "e", "Indictment", t("2020-06-15"))], [(2, "e", "Indictment", t("2026-01-01")), (8, "f", "Indictment", t("2020-01-01"))]]
+    got = stream("seq bigint, entity_id string, event_type string, ts timestamp", rows, engines.pardons)
+    assert sorted((r.entity_id, r.event_a_id, r.event_b_id, r.days_between) for r in got) == [("e", 1, 4, 2025), ("f", 8, 9, 0)]
+
+
+def test_sinks(spark, tmp_path):
+    docs = lambda rows: spark.createDataFrame([(i, "Document", i, c, ["t"], dt.date(2024, 1, 1)) for i, c in rows], "entity_id string, entity_type string, name string, content string, tags array<string>, date date")
+    write = engines.index_sink(str(tmp_path / "i"))
+    write(docs([("a", "river")]), 0), write(docs([("a", "hill")]), 1), write(docs([("a", "hill")]), 1)
+    assert [r.entity_id for r in index.search(spark, str(tmp_path / "i"), "hill").collect()] == ["a"]
+    entry = lambda k: (k, f"{k:032x}", dt.datetime(2024, 1, 1), "Insert", "Person", f"{k + 100:032x}", "d")
+    schema = "seq bigint, id string, timestamp timestamp_ntz, operation string, entity_type string, entity_id string, data_hash string"
+    chain = engines.audit_sink(str(tmp_path / "log"))
+    for number, ks in ((0, (1, 2)), (1, (3,)), (1, (3,)), (2, (4, 5))):
+        chain(spark.createDataFrame([entry(k) for k in ks], schema), number)
+    log = spark.read.parquet(str(tmp_path / "log"))
+    assert log.count() == 5 and audit.summary(log).first().chain_valid
