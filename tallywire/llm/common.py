@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -37,12 +38,44 @@ def prepare(spark: SparkSession) -> None:
             raise
 
 
+_made: list[list[str]] = []
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, and survives the loss of executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stash = path
+    for made in _made:
+        made.append(path)
+    return out
+
+
+@contextmanager
+def tracked():
+    """The paths of the tables that are written meanwhile."""
+    made: list[str] = []
+    _made.append(made)
+    try:
+        yield made
+    finally:
+        _made.remove(made)
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Delete written tables."""
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete stashed tables that nothing will be read from again: what was made of them has been written itself."""
+    for df in frames:
+        delete(df.sparkSession, [df._stash])
 
 
 def with_rows(df: DataFrame, name: str = "row") -> DataFrame:

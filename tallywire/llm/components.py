@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, stash
+from .common import discard, release, stash
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -24,13 +24,15 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of an edge; component is the smallest node reachable.
 
-    Rounds grow with the logarithm of a component's size. Each round is written to the shared folder.
+    Rounds grow with the logarithm of a component's size. Each round is written to the shared folder, where it replaces
+    the one before it. Edges with a null end are left out; an empty table gives an empty result.
     """
     x, y = F.col(a).cast("long"), F.col(b).cast("long")
     now = stash(edges.select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).filter("a > b").distinct(), "cc")
     seen = None
     while True:
-        now = stash(_star(_star(now, True), False), "cc")
+        before, now = now, stash(_star(_star(now, True), False), "cc")
+        discard(before)
         release(edges.sparkSession)
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if state == seen:

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, as_bytes, hashed_words, id_column, mix64, portions, prepare, ragged, release, stash
+from .common import NULL_ID, as_bytes, discard, hashed_words, id_column, mix64, portions, prepare, ragged, release, stash
 from .components import components
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -318,6 +318,7 @@ def near_duplicates(
 
     with_regs = members.join(one.select("row", "n_shingles", "regs"), "row")
     edges = stash(_dealt(with_regs, "key", "n_shingles", "regs").mapInArrow(estimate, "a long, b long").distinct(), "likely")
+    discard(members)
     release(spark)
 
     def full_sets(batches):
@@ -349,6 +350,7 @@ def near_duplicates(
             yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     links = stash(pairs.mapInArrow(verify, "a long, b long"), "links")
+    release(spark)
     linked = components(links)
     clumps = components(edges).join(linked.select("node", F.col("component").alias("known")), "node", "left").withColumn("known", F.coalesce("known", "node"))
     parts = clumps.groupBy("component").agg(F.count("*").alias("size"), (F.min("known") < F.max("known")).alias("open")).filter("open")
@@ -364,11 +366,13 @@ def near_duplicates(
 
     if not open_.isEmpty():
         more = _dealt(open_.join(sets, "row"), "component", "known", "hashes").mapInArrow(link, "a long, b long")
-        linked = components(stash(links.unionByName(more), "links"))
+        links = stash(links.unionByName(more), "all-links")
+        linked = components(links)
 
     many = classes.join(linked.select(F.col("node").alias("class"), "component"), "class", "left").filter("copies > 1 or component is not null").withColumn("root", F.coalesce("component", "class"))
     keep = many.groupBy("root").agg(F.min("first").alias("keep"))
     verdicts = stash(many.join(keep, "root").select("print", F.col("keep.doc").alias("keep"), F.col("keep.row").alias("keep_row")), "verdicts")
+    discard(edges, ends, sets, links, open_, classes)
     out = own.select("row", "doc", "n_shingles", "print").join(verdicts, "print", "left")
     null = lambda c: F.when(c != NULL_ID, c)
     named = [F.col("row").alias(row_col)] if row_col else []

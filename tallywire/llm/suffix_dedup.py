@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, as_bytes, id_column, mix64, prepare, ragged, release, stash
+from .common import NULL_ID, as_bytes, discard, id_column, mix64, prepare, ragged, release, stash
 
 #: Bytes of an anchor's own string. Anchors with more occurrences than HOT are dealt out window by window.
 GRAM, HOT = 16, 20_000
@@ -349,6 +349,7 @@ def remove_repeats(docs: DataFrame, width: int = 100, id_col: str = "doc_id", te
         found = [r.th for r in first.filter("shared").select("th").limit(10_000).collect()]
         if not found:
             break
+        discard(names, first)
         salt += 1
         key = F.when(key.isin(found), text_key(F.col("text"), salt)).otherwise(key)
     copies = names.groupBy("digest").agg(F.min("doc").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
@@ -374,6 +375,7 @@ def remove_repeats(docs: DataFrame, width: int = 100, id_col: str = "doc_id", te
     hot = F.when(F.col("n") > HOT, F.lit(1 << 62)).otherwise(F.lit(0)).cast("long")
     wanted = again.select("th", F.col("pack").bitwiseOR(hot).alias("pack")).groupBy("th").agg(F.collect_set("pack").alias("packs"))
     wanted = stash(wanted.join(first.select("th", "doc"), "th"), "wanted")
+    discard(names, first)
     release(spark)
 
     route = "route long, doc long, th long, start long, windows long, offset long, span binary"
@@ -405,6 +407,7 @@ def remove_repeats(docs: DataFrame, width: int = 100, id_col: str = "doc_id", te
 
     texts = rows.select("doc", "th", "text").join(wanted, ["doc", "th"]).select("doc", "th", "text", "packs")
     found = stash(texts.mapInArrow(spans, route), "spans")
+    discard(wanted)
     release(spark)
 
     def compare(batches):
@@ -445,6 +448,7 @@ def remove_repeats(docs: DataFrame, width: int = 100, id_col: str = "doc_id", te
     marks = flags.select("doc", "th", F.col("f.start").alias("starts"), F.col("f.windows").alias("counts"), F.lit(False).alias("copy"))
     empty = F.array().cast("array<bigint>")
     status = stash(marks.join(copied, ["doc", "th"], "left_anti").unionByName(copied.select("doc", "th", empty.alias("starts"), empty.alias("counts"), F.lit(True).alias("copy"))), "marks")
+    discard(found, copied)
     release(spark)
 
     def cut(batches):
