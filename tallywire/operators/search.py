@@ -33,13 +33,11 @@ def _count(words: str, word: str) -> Column:
 
 
 def postings(docs: DataFrame, words: list[str], fields=FIELDS) -> DataFrame:
-    """(entity_id, field, len, term, tf) of the query's terms only: the corpus is scanned, never exploded into all its words."""
-    parts = []
-    for f in fields:
-        t = docs.select("entity_id", F.lit(f).alias("field"), tokens(field_text(f)).alias("t"))
-        hits = F.array(*(F.struct(F.lit(w).alias("term"), _count("t", w).alias("tf")) for w in words))
-        parts.append(t.select("entity_id", "field", F.size("t").alias("len"), F.explode(hits).alias("h")).select("entity_id", "field", "len", "h.term", "h.tf"))
-    return reduce(DataFrame.unionAll, parts)
+    """(entity_id, field, len, term, tf) of the query's terms only: one scan of the corpus, which is never exploded into all its words."""
+    each = F.array(*(F.struct(F.lit(f).alias("field"), tokens(field_text(f)).alias("t")) for f in fields))
+    hits = F.array(*(F.struct(F.lit(w).alias("term"), _count("t", w).alias("tf")) for w in words))
+    t = docs.select("entity_id", F.explode(each).alias("x")).select("entity_id", "x.field", "x.t")
+    return t.select("entity_id", "field", F.size("t").alias("len"), F.explode(hits).alias("h")).select("entity_id", "field", "len", "h.term", "h.tf")
 
 
 def search(docs: DataFrame, query: str, limit: int = 10, offset: int = 0, kind: str | None = None, first: str | None = None, last: str | None = None, fields=FIELDS, every: bool = True) -> DataFrame:

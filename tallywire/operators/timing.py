@@ -86,13 +86,22 @@ def suspicious_bursts(flows: DataFrame, votes: DataFrame, lookback: int, most: f
     """Per vote (vote_row, vote_date) the small flows of the days before it: (vote_row, vote_date, n, total, average, donors, recipients).
 
     Flows of [vote - lookback, vote - 1] with 0 < amount <= most; votes with fewer than `least` are left out. A repeated
-    date is a row of its own. The range join has a bucket of `lookback` days as its key.
+    date is a row of its own.
+
+    Flows are added up by day, and who gave and got on a day are made distinct, before the days that lie ahead of each
+    distinct date of a vote meet them by day: no vote meets a flow, and a busy day is as many rows as it has people.
     """
     if lookback <= 0 or most <= 0 or least == 0:
         flows = flows.limit(0)
         lookback = max(lookback, 1)
-    day = lambda c: F.floor(F.datediff(c, F.lit("1970-01-01")) / lookback)
-    small = flows.filter((F.col("amount") > 0) & (F.col("amount") <= most)).withColumn("bucket", F.explode(F.array(day("date"), day("date") + 1)))
-    near = votes.withColumn("bucket", day("vote_date")).join(small, "bucket").filter((F.col("date") >= F.date_sub("vote_date", lookback)) & (F.col("date") < F.col("vote_date")))
-    out = near.groupBy("vote_row", "vote_date").agg(F.count("*").alias("n"), F.sum("amount").alias("total"), F.avg("amount").alias("average"), F.count_distinct("donor").alias("donors"), F.count_distinct("recipient").alias("recipients"))
-    return out.filter(F.col("n") >= least)
+    small = flows.filter((F.col("amount") > 0) & (F.col("amount") <= most))
+    days = votes.select("vote_date").distinct().withColumn("date", F.explode(F.sequence(F.date_sub("vote_date", lookback), F.date_sub("vote_date", 1))))
+    by_day = small.groupBy("date").agg(F.count("*").alias("n"), F.sum("amount").alias("total"))
+    sums = days.join(by_day, "date").groupBy("vote_date").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).filter(F.col("n") >= least)
+
+    def people(c: str, name: str) -> DataFrame:
+        return days.join(small.select("date", c).dropna().distinct(), "date").select("vote_date", c).distinct().groupBy("vote_date").agg(F.count("*").alias(name))
+
+    out = votes.join(sums, "vote_date").join(people("donor", "donors"), "vote_date", "left").join(people("recipient", "recipients"), "vote_date", "left")
+    none = lambda c: F.coalesce(c, F.lit(0).cast("bigint")).alias(c)
+    return out.select("vote_row", "vote_date", "n", "total", (F.col("total") / F.col("n")).alias("average"), none("donors"), none("recipients"))
