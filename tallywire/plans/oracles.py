@@ -352,6 +352,37 @@ UNION ALL SELECT p_partkey, 'Organization', 'org_type' FROM part WHERE p_partkey
 }
 
 
+# pages without a table in a table, an anchor in an anchor or a comment inside a text: there, patterns find what a parser does
+_HTML = "h AS (SELECT page_id, html FROM pages UNION ALL SELECT id, html FROM {rows})"
+_STRIP = r"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+_PLAIN = "replace(replace(replace(replace(replace(replace({x}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+
+
+def _plain(x: str) -> str:
+    return _STRIP.format(x=_PLAIN.format(x=x))
+
+
+def _pages() -> None:
+    h = _HTML.format(rows=_values([(x,) for x in X.PAGES], "html"))
+    gone = r"regexp_replace(html, '(?is)<title[^>]*>.*?</title>|<script.*?</script>|<style.*?</style>|<!--.*?-->', '<>', 'g')"
+    ORACLES["html_links"] = rf"""WITH {h}, l AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a\s[^>]*href="[^"]+"[^>]*>.*?</a>')) AS a, generate_subscripts(regexp_extract_all(html, '(?is)<a\s[^>]*href="[^"]+"[^>]*>.*?</a>'), 1) - 1 AS k FROM h)
+SELECT page_id, CAST(k AS INTEGER) AS k, {_PLAIN.format(x="regexp_extract(a, '(?i)href=\"([^\"]+)\"', 1)")} AS href, {_plain("regexp_replace(a, '<[^>]*>', '', 'g')")} AS text FROM l"""
+    ORACLES["html_text"] = rf"""WITH {h}, p AS (SELECT page_id, html, list_filter(list_transform(string_split_regex({gone}, '<[^>]*>'), lambda x: {_plain("x")}), lambda x: x <> '') AS parts FROM h)
+SELECT page_id, nullif({_plain("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")}, '') AS title, nullif({_plain("regexp_extract(html, '(?i)<meta name=\"description\" content=\"([^\"]*)\"', 1)")}, '') AS description, nullif(array_to_string(parts, ' '), '') AS text FROM p"""
+    cell = _plain("regexp_replace(c, '<[^>]*>', '', 'g')")
+    ORACLES["html_tables"] = rf"""WITH {h}, t AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<table[^>]*>(.*?)</table>', 1)) AS t, generate_subscripts(regexp_extract_all(html, '(?is)<table[^>]*>(.*?)</table>', 1), 1) AS n FROM h),
+r AS (SELECT page_id, n, list_filter(list_transform(regexp_extract_all(t, '(?is)<tr[^>]*>(.*?)</tr>', 1), lambda r: list_transform(regexp_extract_all(r, '(?is)<t[dh][^>]*>(.*?)</t[dh]>', 1), lambda c: {cell})), lambda r: len(list_filter(r, lambda c: c <> '')) > 0) AS rows FROM t),
+f AS (SELECT page_id, dense_rank() OVER (PARTITION BY page_id ORDER BY n) - 1 AS table_no, rows FROM r WHERE len(rows) > 0)
+SELECT page_id, CAST(table_no AS INTEGER) AS table_no, CAST(row_no - 1 AS INTEGER) AS row_no, array_to_string(rows[row_no], '|') AS cells FROM (SELECT *, unnest(generate_series(1, len(rows))) AS row_no FROM f)"""
+    found = [
+        (-1, "person", "Sen. John Smith", 0), (-1, "person", "John Smith", 5), (-1, "amount", "$1,500", 25), (-1, "organization", "Acme Holdings LLC", 37), (-1, "date", "Jan. 15, 2024", 58), (-1, "filing", "FEC-2024-123", 78),
+        (-2, "filing", "H.R. 123", 12), (-2, "filing", "S.Res. 34", 25), (-2, "date", "01/15/2024", 42), (-2, "amount", "$2.3 million", 54), (-2, "amount", "$500K", 71), (-2, "date", "Q1 2024", 91), (-2, "date", "FY 2024", 103),
+        (-3, "person", "Mary Jones", 0), (-3, "person", "Robert Brown", 15), (-4, "filing", "24-cv-12345", 5), (-4, "organization", "Widget Corp.", 25), (-4, "person", "Dr. Anna Lee Moore", 44), (-4, "person", "Anna Lee Moore", 48),
+    ]
+    rows = ", ".join(f"({i}, '{k}', '{t}', {at})" for i, k, t, at in found)
+    ORACLES["ner_passages"] = f"SELECT CAST(id AS BIGINT) AS id, kind, mention, CAST(place AS BIGINT) AS char_offset, CAST(place AS BIGINT) AS byte_offset FROM (VALUES {rows}) AS t(id, kind, mention, place)"
+
+
 def _finish() -> None:
     from ..functions import ner
 
@@ -370,3 +401,4 @@ def _finish() -> None:
 
 
 _finish()
+_pages()

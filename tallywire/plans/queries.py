@@ -602,6 +602,12 @@ def ner_mentions(s, d):
     return ner.extract_mentions(_corpus(s, d), "id", "t")
 
 
+@query
+def ner_passages(s, d):
+    """Mentions of all kinds in written passages, whose mentions are known."""
+    return ner.extract_mentions(X.passages(s), "id", "t")
+
+
 @query
 def html_title(s, d):
     return M.table(s, d, "pages").select("page_id", html.title_of(F.col("html")).alias("title"))
