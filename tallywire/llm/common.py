@@ -83,6 +83,17 @@ def with_rows(df: DataFrame, name: str = "row") -> DataFrame:
     return stash(df.withColumn(name, F.monotonically_increasing_id()), "rows")
 
 
+_held: dict[tuple, object] = {}
+
+
+def held(key: tuple, make):
+    """What a worker keeps between batches and tasks. There is one such thing at a time: another key's takes its place."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished jobs now rather than at the driver's next garbage collection.
 

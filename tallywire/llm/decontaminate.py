@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, as_bytes, hashed_words, id_column, mix64, portions, prepare, ragged
+from .common import NULL_ID, as_bytes, hashed_words, held, id_column, mix64, portions, prepare, ragged
 
 #: Lower case for A-Z; other ASCII than letters and digits separates words.
 _FOLD = np.array([b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256)], np.uint8)
@@ -275,9 +275,6 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return int(cost[j]), int(begin[j]), j - int(begin[j])
 
 
-_indexes: dict[str, WalkIndex] = {}
-
-
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
     share: float = 0.2, target: float = 0.98, block_bytes: int = 4 << 20, row_col: str | None = None,
@@ -313,10 +310,7 @@ def contaminated(
         name = uuid.uuid4().hex
 
         def run(batches, shared=shared, name=name):
-            if name not in _indexes:
-                _indexes.clear()
-                _indexes[name] = WalkIndex(shared.value[0], share, target, shared.value[1])
-            index = _indexes[name]
+            index = held(("walks", name), lambda: WalkIndex(shared.value[0], share, target, shared.value[1]))
             for b in batches:
                 cols: list[list] = [[] for _ in names]
                 ids, raw = b.column(0).to_pylist(), as_bytes(b.column(1))

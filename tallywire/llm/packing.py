@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import distinct, piece_hashes, portions, prepare, ragged
+from .common import held as kept_by_worker
 
 #: Where white space runs over more than one character, a text is tokenized whole.
 RUNS = re.compile(r"\s\s")
@@ -29,7 +30,7 @@ class ChunkTokenizer:
     tiktoken under the same vocabulary, all others by the library.
     """
 
-    CACHE, IDS = 1_000_000, 16 << 20
+    CACHE, IDS = 600_000, 8 << 20
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -136,9 +137,6 @@ class ChunkTokenizer:
         return [next(rest) if w else next(others) for w in whole]
 
 
-_tokenizers: dict[str, ChunkTokenizer] = {}
-
-
 class Packer:
     """Vector bin packing by the dot-product heuristic.
 
@@ -272,7 +270,7 @@ def pack(
     def run(batches):
         from pyspark import TaskContext
 
-        tok = _tokenizers.get(vocabulary) or _tokenizers.setdefault(vocabulary, ChunkTokenizer(vocabulary))
+        tok = kept_by_worker(("chunks", vocabulary), lambda: ChunkTokenizer(vocabulary))
         packer = Packer(max_tokens, max_segments, max_loss, cut)
         limit = max_tokens if max_loss is None else min(max_loss, max_tokens)
         sequence = TaskContext.get().partitionId() << 36

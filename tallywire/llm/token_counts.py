@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, ragged
+from .common import held, prepare, ragged
 
 #: Characters that the vocabulary's normalizer takes for white space.
 SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
@@ -197,9 +197,6 @@ class WordCounter:
         return [sum(map(self.words.__getitem__, s)) for s in split]
 
 
-_counters: dict[str, WordCounter] = {}
-
-
 def token_counts(docs: DataFrame, vocabulary: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: (id, n_bytes, n_tokens, over_limit). One scan, no shuffle.
 
@@ -209,7 +206,7 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 2048, id_col: st
     prepare(docs.sparkSession)
 
     def run(batches):
-        counter = _counters.get(vocabulary) or _counters.setdefault(vocabulary, WordCounter(vocabulary))
+        counter = held(("words", vocabulary), lambda: WordCounter(vocabulary))
         for b in batches:
             texts = ["" if t is None else t for t in b.column(1).to_pylist()]
             n = counter.count(texts)
