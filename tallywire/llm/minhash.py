@@ -11,6 +11,8 @@ from .common import NULL_ID, as_bytes, discard, hashed_words, id_column, mix64,
 from .components import components
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
+#: Ids of documents that are broadcast, so as not to shuffle texts.
+IDS = 1 << 21
 #: Lower case for A-Z; space and \x09-\x0D part words.
 _FOLD = np.array([b + 32 if 65 <= b <= 90 else 32 if b in (9, 10, 11, 12, 13, 32) else b for b in range(256)], np.uint8)
 
@@ -326,17 +328,27 @@ def near_duplicates(
 
         seen: set[bytes] = set()
         for b in batches:
-            raw = as_bytes(b.column(0))
+            if wanted is not None:
+                doc = b.column(0).to_numpy()
+                b = b.filter(pa.array(wanted.value[np.minimum(np.searchsorted(wanted.value, doc), len(wanted.value) - 1)] == doc))
+            raw = as_bytes(b.column(1))
             for k, stop in portions([len(t) for t in raw], 250, 4 << 20):
                 own = {xxh3_128_digest(x): x for s in shingle_sets(raw[k:stop], width) if (x := s.tobytes())}
                 new = [x for x in own if x not in seen]
                 seen.update(new)
                 yield pa.RecordBatch.from_arrays([pa.array(new, pa.binary()), pa.array([own[x] for x in new], pa.binary())], ["print", "hashes"])
 
-    # the sets of these rows alone are made again, from the documents of their ids; the digest says which is which
+    # the sets of these rows alone are made again, from the documents of their ids; the digest says which is which. Up to
+    # IDS of them the ids are broadcast to the scan, beyond that texts are joined with them
     ends = edges.select(F.col("a").alias("row")).union(edges.select(F.col("b").alias("row"))).distinct()
     ends = stash(one.select("row", "doc", "print").join(ends, "row"), "ends")
-    again = texts.select("doc", "text").join(ends.select("doc").distinct(), "doc", "left_semi").select("text").mapInArrow(full_sets, "print binary, hashes binary")
+    ids, wanted, again = ends.select("doc").distinct(), None, texts.select("doc", "text")
+    few = ids.limit(IDS + 1).toArrow()["doc"].to_numpy()
+    if 0 < len(few) <= IDS:
+        wanted = spark.sparkContext.broadcast(np.sort(few))
+    else:
+        again = again.join(ids, "doc", "left_semi").select("doc", "text")
+    again = again.mapInArrow(full_sets, "print binary, hashes binary")
     sets = stash(again.join(ends.select("row", "print"), "print").select("row", "hashes"), "sets")
     pairs = edges.join(sets.select(F.col("row").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("row").alias("b"), F.col("hashes").alias("y")), "b").select("a", "b", "x", "y")
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import tallywire.llm.exact_dedup as exact
-from tallywire.llm import suffix_dedup
+from tallywire.llm import minhash, suffix_dedup
 from tallywire.llm.components import components
 from tallywire.llm.exact_dedup import CuckooIndex, exact_dedup
 from tallywire.llm.minhash import SetSketch, near_duplicates, shingle_sets
@@ -103,8 +103,9 @@ def near_brute(rows, percent):
     return [(i, len(sets[k]), least[find(k)], find(k)) for k, (i, _) in enumerate(rows)]
 
 
-@pytest.mark.parametrize(("percent", "block"), [(85, 2000), (80, 3)])
-def test_near_duplicates(make_docs, prose, percent, block):
+@pytest.mark.parametrize(("percent", "block", "ids"), [(85, 2000, 1 << 21), (80, 3, 2)])
+def test_near_duplicates(make_docs, prose, percent, block, ids, monkeypatch):
+    monkeypatch.setattr(minhash, "IDS", ids)
     want = near_brute(prose, percent)
     got = near_duplicates(make_docs(prose), percent=percent, block=block).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == sorted((w[:3] for w in want), key=str)
