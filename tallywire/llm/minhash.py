@@ -328,10 +328,7 @@ def near_duplicates(
 
         seen: set[bytes] = set()
         for b in batches:
-            if wanted is not None:
-                doc = b.column(0).to_numpy()
-                b = b.filter(pa.array(wanted.value[np.minimum(np.searchsorted(wanted.value, doc), len(wanted.value) - 1)] == doc))
-            raw = as_bytes(b.column(1))
+            raw = as_bytes(b.column(0))
             for k, stop in portions([len(t) for t in raw], 250, 4 << 20):
                 own = {xxh3_128_digest(x): x for s in shingle_sets(raw[k:stop], width) if (x := s.tobytes())}
                 new = [x for x in own if x not in seen]
@@ -342,12 +339,9 @@ def near_duplicates(
     # IDS of them the ids are broadcast to the scan, beyond that texts are joined with them
     ends = edges.select(F.col("a").alias("row")).union(edges.select(F.col("b").alias("row"))).distinct()
     ends = stash(one.select("row", "doc", "print").join(ends, "row"), "ends")
-    ids, wanted, again = ends.select("doc").distinct(), None, texts.select("doc", "text")
-    few = ids.limit(IDS + 1).toArrow()["doc"].to_numpy()
-    if 0 < len(few) <= IDS:
-        wanted = spark.sparkContext.broadcast(np.sort(few))
-    else:
-        again = again.join(ids, "doc", "left_semi").select("doc", "text")
+    ids = ends.select("doc").distinct()
+    ids = F.broadcast(ids) if ends.count() <= IDS else ids
+    again = texts.select("doc", "text").join(ids, "doc", "left_semi").select("text")
     again = again.mapInArrow(full_sets, "print binary, hashes binary")
     sets = stash(again.join(ends.select("row", "print"), "print").select("row", "hashes"), "sets")
     pairs = edges.join(sets.select(F.col("row").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("row").alias("b"), F.col("hashes").alias("y")), "b").select("a", "b", "x", "y")
