@@ -11,7 +11,7 @@ from .common import NULL_ID, as_bytes, discard, hashed_words, id_column, mix64,
 from .components import components
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
-#: Ids of documents that are broadcast, so as not to shuffle texts.
+#: Numbers of rows, or ids, that are broadcast, so as not to shuffle texts and sketches.
 IDS = 1 << 21
 #: Lower case for A-Z; space and \x09-\x0D part words.
 _FOLD = np.array([b + 32 if 65 <= b <= 90 else 32 if b in (9, 10, 11, 12, 13, 32) else b for b in range(256)], np.uint8)
@@ -302,7 +302,10 @@ def near_duplicates(
     own = stash(texts.mapInArrow(sketches, "row long, doc long, n_shingles long, print binary, bands array<long>, regs binary"), "sketches")
     first = F.min(F.struct("doc", "row"))
     classes = stash(own.filter("print is not null").groupBy("print").agg(F.min("row").alias("class"), F.count("*").alias("copies"), first.alias("first")), "classes")
-    one = own.join(classes.filter("copies > 1").select("print", "class"), "print", "left").filter("print is not null and (class is null or row = class)")
+    # all rows of a class but its first, by light columns, so that bands and registers need not be shuffled to leave them out
+    others = own.select("row", "print").join(classes.filter("copies > 1").select("print", "class"), "print").filter("row <> class")
+    others = stash(others.select("row"), "others")
+    one = own.filter("print is not null").join(F.broadcast(others) if others.count() <= IDS else others, "row", "left_anti")
 
     keys = one.select("row", F.explode("bands").alias("key"))
     buckets = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("row").alias("least"), F.bit_xor(F.xxhash64("row")).alias("whose")).filter("n > 1")
@@ -378,7 +381,7 @@ def near_duplicates(
     many = classes.join(linked.select(F.col("node").alias("class"), "component"), "class", "left").filter("copies > 1 or component is not null").withColumn("root", F.coalesce("component", "class"))
     keep = many.groupBy("root").agg(F.min("first").alias("keep"))
     verdicts = stash(many.join(keep, "root").select("print", F.col("keep.doc").alias("keep"), F.col("keep.row").alias("keep_row")), "verdicts")
-    discard(edges, ends, sets, links, open_, classes)
+    discard(edges, ends, sets, links, open_, classes, others)
     out = own.select("row", "doc", "n_shingles", "print").join(verdicts, "print", "left")
     null = lambda c: F.when(c != NULL_ID, c)
     named = [F.col("row").alias(row_col)] if row_col else []
