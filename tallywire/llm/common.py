@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from contextlib import contextmanager
 
@@ -30,9 +31,9 @@ def prepare(spark: SparkSession) -> None:
     if app in _prepared:
         return
     _prepared.add(app)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     try:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     except Exception as e:  # a Spark without this setting: rows alone bound a batch
         if "CONFIG" not in str(e).upper():
             raise
@@ -83,6 +84,25 @@ def with_rows(df: DataFrame, name: str = "row") -> DataFrame:
     return stash(df.withColumn(name, F.monotonically_increasing_id()), "rows")
 
 
+def tidy(run):
+    """run, a function of batches, that gives freed memory back to the system when a task is done.
+
+    Workers go on to other operators; without this each would keep the most that any of them has ever used.
+    """
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library: it keeps what it likes
+                pass
+
+    return wrapped
+
+
 _held: dict[tuple, object] = {}
 
 

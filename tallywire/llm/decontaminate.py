@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, as_bytes, hashed_words, held, id_column, mix64, portions, prepare, ragged
+from .common import NULL_ID, as_bytes, hashed_words, held, id_column, mix64, portions, prepare, ragged, tidy
 
 #: Lower case for A-Z; other ASCII than letters and digits separates words.
 _FOLD = np.array([b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256)], np.uint8)
@@ -326,6 +326,6 @@ def contaminated(
                                     c.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
 
-        got = rows.mapInArrow(run, ", ".join(f"`{n}` long" for n in names))
+        got = rows.mapInArrow(tidy(run), ", ".join(f"`{n}` long" for n in names))
         out = got if out is None else out.unionByName(got)
     return out

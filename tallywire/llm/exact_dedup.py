@@ -9,7 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, as_bytes, id_column, prepare, stash
+from .common import NULL_ID, as_bytes, id_column, prepare, stash, tidy
 
 #: The characters that do not count when texts are compared.
 BLANKS = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -192,9 +192,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     prepare(spark)
     rows = docs.select(id_column(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"), *([F.col(row_col).cast("long").alias("row")] if row_col else []))
-    ids = stash(rows.mapInArrow(_digests, "row long, doc long, digest binary, chars long"), "digests")
-    near = ids.withColumn("copies", F.lit(1).cast("long")).mapInArrow(_index, LIVE)
-    merged = near.repartition("digest").mapInArrow(_index, LIVE)
+    ids = stash(rows.mapInArrow(tidy(_digests), "row long, doc long, digest binary, chars long"), "digests")
+    near = ids.withColumn("copies", F.lit(1).cast("long")).mapInArrow(tidy(_index), LIVE)
+    merged = near.repartition("digest").mapInArrow(tidy(_index), LIVE)
     # a task that passed its memory bound has left more than one row of a digest
     least = lambda c: (-F.col(c).cast("decimal(20,0)")).alias(f"o_{c}")
     best = F.max(F.struct("chars", least("doc"), least("row"), "doc", "row")).alias("best")

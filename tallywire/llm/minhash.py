@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, as_bytes, discard, hashed_words, id_column, mix64, portions, prepare, ragged, release, stash
+from .common import NULL_ID, as_bytes, discard, hashed_words, id_column, mix64, portions, prepare, ragged, release, stash, tidy
 from .components import components
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -299,7 +299,7 @@ def near_duplicates(
                     ["row", "doc", "n_shingles", "print", "bands", "regs"],
                 )
 
-    own = stash(texts.mapInArrow(sketches, "row long, doc long, n_shingles long, print binary, bands array<long>, regs binary"), "sketches")
+    own = stash(texts.mapInArrow(tidy(sketches), "row long, doc long, n_shingles long, print binary, bands array<long>, regs binary"), "sketches")
     first = F.min(F.struct("doc", "row"))
     classes = stash(own.filter("print is not null").groupBy("print").agg(F.min("row").alias("class"), F.count("*").alias("copies"), first.alias("first")), "classes")
     # all rows of a class but its first, by light columns, so that bands and registers need not be shuffled to leave them out
@@ -322,7 +322,7 @@ def near_duplicates(
         yield _edges(likely.drain())
 
     with_regs = members.join(one.select("row", "n_shingles", "regs"), "row")
-    edges = stash(_dealt(with_regs, "key", "n_shingles", "regs").mapInArrow(estimate, "a long, b long").distinct(), "likely")
+    edges = stash(_dealt(with_regs, "key", "n_shingles", "regs").mapInArrow(tidy(estimate), "a long, b long").distinct(), "likely")
     discard(members)
     release(spark)
 
@@ -345,7 +345,7 @@ def near_duplicates(
     ids = ends.select("doc").distinct()
     ids = F.broadcast(ids) if ends.count() <= IDS else ids
     again = texts.select("doc", "text").join(ids, "doc", "left_semi").select("text")
-    again = again.mapInArrow(full_sets, "print binary, hashes binary")
+    again = again.mapInArrow(tidy(full_sets), "print binary, hashes binary")
     sets = stash(again.join(ends.select("row", "print"), "print").select("row", "hashes"), "sets")
     pairs = edges.join(sets.select(F.col("row").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("row").alias("b"), F.col("hashes").alias("y")), "b").select("a", "b", "x", "y")
 
@@ -358,7 +358,7 @@ def near_duplicates(
                 good.append(100 * c >= percent * (len(x) + len(y) - c))
             yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    links = stash(pairs.mapInArrow(verify, "a long, b long"), "links")
+    links = stash(pairs.mapInArrow(tidy(verify), "a long, b long"), "links")
     release(spark)
     linked = components(links)
     clumps = components(edges).join(linked.select("node", F.col("component").alias("known")), "node", "left").withColumn("known", F.coalesce("known", "node"))
@@ -374,7 +374,7 @@ def near_duplicates(
                 yield _edges(finder.find(docs_, sets_, sketch.registers(sets_), np.array(side), known))
 
     if not open_.isEmpty():
-        more = _dealt(open_.join(sets, "row"), "component", "known", "hashes").mapInArrow(link, "a long, b long")
+        more = _dealt(open_.join(sets, "row"), "component", "known", "hashes").mapInArrow(tidy(link), "a long, b long")
         links = stash(links.unionByName(more), "all-links")
         linked = components(links)
 

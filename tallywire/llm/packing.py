@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import distinct, piece_hashes, portions, prepare, ragged
+from .common import distinct, piece_hashes, portions, prepare, ragged, tidy
 from .common import held as kept_by_worker
 
 #: Where white space runs over more than one character, a text is tokenized whole.
@@ -321,5 +321,5 @@ def pack(
 
     share = F.lit(None) if loss_col is None else F.col(loss_col)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), share.cast("double").alias("share"))
-    out = rows.mapInArrow(run, f"`{id_col}` long, {PIECES}")
+    out = rows.mapInArrow(tidy(run), f"`{id_col}` long, {PIECES}")
     return out if with_ids else out.drop("ids")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, as_bytes, discard, id_column, mix64, prepare, ragged, release, stash
+from .common import NULL_ID, as_bytes, discard, id_column, mix64, prepare, ragged, release, stash, tidy
 
 #: Bytes of an anchor's own string. Anchors with more occurrences than HOT are dealt out window by window.
 GRAM, HOT = 16, 20_000
@@ -369,7 +369,7 @@ def remove_repeats(docs: DataFrame, width: int = 100, id_col: str = "doc_id", te
                 ids = np.array([th[k] for k in part], np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[text] if len(text) else text), pa.array(number)], ["anchor", "th", "pack"])
 
-    anchors = rows.select("th", "text").mapInArrow(runs, "anchor long, th long, pack long")
+    anchors = rows.select("th", "text").mapInArrow(tidy(runs), "anchor long, th long, pack long")
     same = Window.partitionBy("anchor")
     again = anchors.withColumns({"n": F.sum(F.shiftright("pack", fields.follow) + 1).over(same), "a": F.min("th").over(same), "z": F.max("th").over(same), "p": F.min("pack").over(same), "q": F.max("pack").over(same)}).filter(f"a <> z or p <> q or shiftright(q, {fields.follow}) > 0")
     hot = F.when(F.col("n") > HOT, F.lit(1 << 62)).otherwise(F.lit(0)).cast("long")
@@ -406,7 +406,7 @@ def remove_repeats(docs: DataFrame, width: int = 100, id_col: str = "doc_id", te
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[k : k + 20_000], strict=True), kinds, strict=True)], route_names)
 
     texts = rows.select("doc", "th", "text").join(wanted, ["doc", "th"]).select("doc", "th", "text", "packs")
-    found = stash(texts.mapInArrow(spans, route), "spans")
+    found = stash(texts.mapInArrow(tidy(spans), route), "spans")
     discard(wanted)
     release(spark)
 
@@ -443,7 +443,7 @@ def remove_repeats(docs: DataFrame, width: int = 100, id_col: str = "doc_id", te
             yield flush()
 
     local = found.filter("route is null").select("doc", "th", "start", "windows")
-    dealt = found.filter("route is not null").repartition("route").sortWithinPartitions("route").mapInArrow(compare, FLAGS)
+    dealt = found.filter("route is not null").repartition("route").sortWithinPartitions("route").mapInArrow(tidy(compare), FLAGS)
     flags = local.unionByName(dealt).groupBy("doc", "th").agg(F.collect_list(F.struct("start", "windows")).alias("f"))
     marks = flags.select("doc", "th", F.col("f.start").alias("starts"), F.col("f.windows").alias("counts"), F.lit(False).alias("copy"))
     empty = F.array().cast("array<bigint>")
@@ -469,7 +469,7 @@ def remove_repeats(docs: DataFrame, width: int = 100, id_col: str = "doc_id", te
             kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    out = rows.join(status, ["doc", "th"], "left").select("doc", "text", "starts", "counts", "copy").mapInArrow(cut, f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    out = rows.join(status, ["doc", "th"], "left").select("doc", "text", "starts", "counts", "copy").mapInArrow(tidy(cut), f"`{id_col}` long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out if with_text else out.drop("kept")
 
 

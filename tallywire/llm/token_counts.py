@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held, prepare, ragged
+from .common import held, prepare, ragged, tidy
 
 #: Characters that the vocabulary's normalizer takes for white space.
 SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
@@ -214,4 +214,4 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 2048, id_col: st
             yield pa.RecordBatch.from_arrays([b.column(0), size, pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], [id_col, "n_bytes", "n_tokens", "over_limit"])
 
     rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"`{id_col}` long, n_bytes long, n_tokens long, over_limit boolean")
+    return rows.mapInArrow(tidy(run), f"`{id_col}` long, n_bytes long, n_tokens long, over_limit boolean")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
-from .common import NULL_ID, as_bytes, id_column, prepare, stash
+from .common import NULL_ID, as_bytes, id_column, prepare, stash, tidy
 
 MAGIC = b"\x1f\x8b\x08"
 #: A complete gzip member of nothing. Every member ends with a zero byte when it is under 16 MiB, as this one does.
@@ -248,7 +248,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([hashlib.sha256(x).digest() for x in raw], pa.binary()), pa.array([len(x) for x in raw], pa.int64())], ["page", "digest", "size"])
 
     rows = pages.select(id_column(id_col).alias("page"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), F.col(payload_col).cast("string").alias("payload"))
-    ids = stash(rows.select("page", "payload").mapInArrow(digests, "page long, digest binary, size long"), "payloads")
+    ids = stash(rows.select("page", "payload").mapInArrow(tidy(digests), "page long, digest binary, size long"), "payloads")
     first = ids.filter(F.col("size") >= least).groupBy("digest").agg(F.min("page").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
     revisits = stash(ids.join(first, "digest").filter("page <> first").select("page", "digest", "first").distinct(), "revisits")
     mean, most = ids.agg(F.avg("size"), F.max("size")).first()
@@ -266,7 +266,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
     known = revisits.groupBy("page").agg(F.collect_list(F.struct("digest", "first")).alias("r")).select("page", F.col("r.digest").alias("digest"), F.col("r.first").alias("first"))
-    made = rows.join(known, "page", "left").select("page", "url", "payload", "digest", "first").mapInArrow(records, "record binary")
+    made = rows.join(known, "page", "left").select("page", "url", "payload", "digest", "first").mapInArrow(tidy(records), "record binary")
     # the writer ends each row with the separator, which is the last byte of each member
     made.select(F.col("record").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", per_file).text(path)
 
@@ -307,7 +307,7 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = False) -> DataFra
                     yield _records(rows)
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    out = files.mapInArrow(run, RECORDS + ", payload binary")
+    out = files.mapInArrow(tidy(run), RECORDS + ", payload binary")
     return out if payloads else out.drop("payload")
 
 
