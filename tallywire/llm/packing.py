@@ -30,7 +30,7 @@ class ChunkTokenizer:
     tiktoken under the same vocabulary, all others by the library.
     """
 
-    CACHE, IDS = 600_000, 8 << 20
+    CACHE, IDS = 300_000, 4 << 20
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
