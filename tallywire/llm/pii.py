@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
+import itertools
 import random
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -65,8 +68,6 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|\s+|[^\sA-Za-z0-9]")
-#: Where an entity may be: groups of digits, or the words that stand for the signs of an address.
-_TRIGGER = re.compile(r"[0-9][0-9]?[0-9() .\[\]-]{5,40}[0-9]|[\[({]\s?(?:at|AT|@)\s?[\])}]|\b(?:dot|DOT)\b|\s@\s")
 _CALL = frozenset("call phone tel telephone fax mobile cell dial ring text whatsapp sms".split())
 _MAIL = frozenset("mail email write contact reach".split())
 _CARD_WORDS = frozenset("card visa mastercard amex credit debit".split())
@@ -75,60 +76,89 @@ _NOT = frozenset("order invoice isbn version release date year id no number ref
 FEATURES = (
     "bias digits<7 digits7-9 digits10 digits11-13 digits14-19 digits>19 nodigits plus paren groups334 groups4444 groups1 groups2 groups3+ four_small luhn14 at_sign at_word dot_word dot_sign"
     " letters two_letter_runs tld uniform_seps mixed_seps starts_word starts_digit ends_word ends_digit ends_punct call mail card host not_word glued_left glued_right long brackets zero_start"
+    " comma two_at joins_left joins_right starts_joint loose_dot"
 ).split()
 _F = {f: i for i, f in enumerate(FEATURES)}
 _TLD = frozenset("com org net edu gov io de fr es uk info eu".split())
+_JOINS = frozenset(("dot", "at", "@"))
+
+
+def _numeral(word: str) -> bool:
+    return word.isascii() and word.isdigit()
+
+
+def _sign(word: str) -> bool:
+    """A token that stands for the sign of an address."""
+    return word == "@" or (len(word) == 2 and word.lower() == "at")
 
 
 class Window:
-    """Tokens of a stretch of text and the segments of it that may be entities, each with features of the whole span."""
+    """Segments of a text's tokens that may be entities, each with features of the whole span.
 
-    MOST = 18  # tokens of an entity: bounds the dynamic program
+    These are all segments of at most MOST tokens on one line that begin with a word, a number, a plus or an opening
+    bracket, end with a word or a number, and have what no entity of the four kinds is without: FEWEST digits, or an
+    address's sign between two other tokens. With first and last, those segments that end there, as places between tokens.
+    """
 
-    def __init__(self, text: str, at: int = 0):
-        self.tokens = [(m.start(), m.end()) for m in _TOKEN.finditer(text)]
-        self.at, n = at, len(self.tokens)
-        word = [text[s:e] for s, e in self.tokens]
-        low = [w.lower() for w in word]
-        blank = [w.isspace() for w in word]
+    MOST = 18  # tokens of an entity: bounds the dynamic program
+    FEWEST = 4  # digits of an entity without an address's sign; an IP has four numbers
+
+    def __init__(self, text: str | list[str], first: int = 1, last: int | None = None):
+        word = _TOKEN.findall(text) if isinstance(text, str) else text
+        n = len(word)
+        stop = itertools.accumulate(map(len, word))
+        self.tokens = [(e - len(w), e) for w, e in zip(word, stop, strict=True)] if isinstance(text, str) else []
+        last = n if last is None else last
+        base = max(0, first - 1 - self.MOST - 5)
+        low = [w.lower() for w in word[base:last]]
         seg, rows = [], []
-        for i in range(n):
-            if blank[i] or not (word[i].isalnum() or word[i] in "+(["):
+        for j in range(first, last + 1):
+            if not word[j - 1].isalnum():
                 continue
-            if i and word[i - 1].isalnum() and word[i].isalnum():
-                continue
-            before = {w for w in low[max(0, i - 5) : i] if not w.isspace()}
-            digits, has = "", False
-            for j in range(i + 1, min(n, i + self.MOST) + 1):
-                last = low[j - 1]
-                if "\n" in last:
-                    break
-                digits += word[j - 1] if word[j - 1].isdigit() else ""
-                has = has or last in ("@", "at")
-                if blank[j - 1] or not word[j - 1].isalnum() or j - i < 3 or not (len(digits) >= 7 or (has and j - i >= 5)):
-                    continue
-                if j < n and word[j].isalnum():
+            digits, at = 0, False
+            right, after = word[j] if j < n else "", [w.lower() for w in word[j : j + 2]]
+            for i in range(j - 1, max(-1, j - 1 - self.MOST), -1):
+                w = word[i]
+                if w.isspace():
+                    if "\n" in w:
+                        break
                     continue
-                seg.append((i, j))
-                rows.append(self._features(word[i:j], low[i:j], before, word[i - 1] if i else "", word[j] if j < n else "", digits))
+                if _numeral(w):
+                    digits += len(w)
+                sign = _sign(w)
+                if (digits >= self.FEWEST or (at and not sign)) and (w.isalnum() or w in "+(["):
+                    seg.append((i, j))
+                    rows.append(self._features(word[i:j], low[i - base : j - base], low[max(0, i - 5 - base) : i - base], word[i - 1] if i else "", right, after))
+                at = at or (sign and i < j - 1)
         self.start = np.array([s for s, _ in seg], np.int64)
         self.end = np.array([e for _, e in seg], np.int64)
         self.x = np.zeros((len(seg), len(FEATURES)))
-        for k, r in enumerate(rows):
-            self.x[k, [_F[f] for f in r]] = 1
-        self.by_end: list[np.ndarray] = [np.zeros(0, np.int64)] * (n + 1)
-        self.by_start: list[np.ndarray] = [np.zeros(0, np.int64)] * (n + 1)
-        for e in np.unique(self.end).tolist():
-            self.by_end[e] = np.flatnonzero(self.end == e)
-        for s in np.unique(self.start).tolist():
-            self.by_start[s] = np.flatnonzero(self.start == s)
+        self.x[np.repeat(np.arange(len(seg)), [len(r) for r in rows]), [_F[f] for r in rows for f in r]] = 1
+
+    @functools.cached_property
+    def by_end(self) -> list[np.ndarray]:
+        return self._by(self.end)
+
+    @functools.cached_property
+    def by_start(self) -> list[np.ndarray]:
+        return self._by(self.start)
+
+    def _by(self, places: np.ndarray) -> list[np.ndarray]:
+        out = [np.zeros(0, np.int64)] * (len(self.tokens) + 1)
+        for k in np.unique(places).tolist():
+            out[k] = np.flatnonzero(places == k)
+        return out
 
     @staticmethod
-    def _features(word, low, before, left, right, digits):
+    def _features(word, low, before, left, right, after):
         f = ["bias"]
+        groups = [w for w in word if _numeral(w)]
+        digits = "".join(groups)
         n = len(digits)
+        near = [w for w in before[-2:] if not w.isspace()][-1:], [w for w in after if not w.isspace()][:1]
+        inner = [w for w in low[-4:-1] if not w.isspace()][-1:]
+        before = set(before)
         f.append("nodigits" if not n else "digits<7" if n < 7 else "digits7-9" if n < 10 else "digits10" if n == 10 else "digits11-13" if n < 14 else "digits14-19" if n < 20 else "digits>19")
-        groups = [w for w in word if w.isdigit()]
         sizes = [len(g) for g in groups]
         seps = {w for w in word if not w.isalnum()}
         letters = [w for w in low if w.isalpha()]
@@ -136,10 +166,12 @@ class Window:
         checks = {
             "plus": word[0] == "+", "paren": word[0] == "(", "groups334": sizes == [3, 3, 4], "groups4444": sizes == [4, 4, 4, 4], "groups1": len(sizes) == 1, "groups2": len(sizes) == 2, "groups3+": len(sizes) > 2,
             "four_small": len(sizes) == 4 and max(sizes, default=9) <= 3 and all(int(g) <= 255 for g in groups), "luhn14": 14 <= n <= 19 and luhn(digits), "at_sign": "@" in seps, "at_word": "at" in letters,
-            "dot_word": "dot" in letters, "dot_sign": "." in seps, "letters": bool(letters), "two_letter_runs": len([w for w in letters if w not in ("at", "dot")]) > 2, "tld": low[-1] in _TLD,
+            "dot_word": "dot" in letters, "dot_sign": "." in seps, "letters": bool(letters), "two_letter_runs": len([w for w in letters if w not in ("at", "dot")]) > 2, "tld": low[-1] in _TLD and inner in (["."], ["dot"], [")"], ["]"]),
             "uniform_seps": len(seps) == 1, "mixed_seps": len(seps) > 2, "starts_word": word[0].isalpha(), "starts_digit": word[0].isdigit(), "ends_word": word[-1].isalpha(), "ends_digit": word[-1].isdigit(),
             "call": bool(before & _CALL), "mail": bool(before & _MAIL), "card": bool(before & _CARD_WORDS), "host": bool(before & _HOST), "not_word": bool(before & _NOT),
             "glued_left": bool(left) and not left.isspace() and left not in ":(,;", "glued_right": bool(right) and not right.isspace() and right not in ".,;:!?)", "long": len(joined) > 40, "brackets": "[" in seps or "(" in seps, "zero_start": word[0].startswith("0"),
+            "comma": "," in seps, "two_at": low.count("at") + low.count("@") > 1, "joins_left": bool(_JOINS.intersection(near[0])), "joins_right": bool(_JOINS.intersection(near[1])),
+            "starts_joint": low[0] in _JOINS, "loose_dot": any(w == "." and not a.isspace() and b.isspace() for a, w, b in zip(word, word[1:], word[2:])),
         }
         return f + [k for k, v in checks.items() if v]
 
@@ -220,34 +252,53 @@ class SemiMarkov:
                 at, y = win.end[k], kind
         return total - z, gw, gt
 
-    def decode(self, win: Window) -> list[tuple[int, int, int]]:
-        """(start, kind, end) in characters of the best segmentation: boundaries and kinds are chosen together."""
-        n, k = len(win.tokens), len(KINDS) + 1
-        if not len(win.start):
-            return []
-        sc = self._scores(win)
-        best = np.full((n + 1, k), -np.inf)
-        best[0, 0] = 0
-        pre, came = np.empty((n + 1, k)), np.empty((n + 1, k), np.int64)
-        back: list[list] = [[None] * k for _ in range(n + 1)]
-        for i in range(n + 1):
-            if i:
-                best[i, 0], back[i][0] = pre[i - 1, 0], (i - 1, came[i - 1, 0], None)
-                ends = win.by_end[i]
-                if len(ends):
-                    v = pre[win.start[ends], 1:] + sc[ends]
-                    for y, q in enumerate(v.argmax(0).tolist(), 1):
-                        s = int(win.start[ends[q]])
-                        best[i, y], back[i][y] = v[q, y - 1], (s, came[s, y], int(ends[q]))
-            m = best[i][:, None] + self.t
-            pre[i], came[i] = m.max(0), m.argmax(0)
-        i, y, out = n, int(best[n].argmax()), []
+    def decode(self, word: list[str], at: int = 0, block: int = 2048) -> list[tuple[int, int, int]]:
+        """(start, kind, end) in characters of the best segmentation of tokens: boundaries and kinds are chosen together.
+
+        Segments are scored for `block` places where they may end at a time, so a long text takes memory for one step
+        back a place and label.
+        """
+        n, k, none = len(word), len(KINDS) + 1, -np.inf
+        t = self.t.tolist()
+        came, start = bytearray(k * (n + 1)), array("q", [0]) * (k * (n + 1))
+        ring = Window.MOST + 1
+        pre: list[list[float]] = [t[0]] * ring  # of the last places: the best that a label there can follow on
+        best = [0.0, *[none] * (k - 1)]
+        for a in range(0, n, block):
+            win = Window(word, a + 1, min(a + block, n))
+            score, begin, end = self._scores(win).tolist(), win.start.tolist(), win.end.tolist()
+            q = 0
+            for i in range(a + 1, min(a + block, n) + 1):
+                best = [pre[(i - 1) % ring][0], *[none] * (k - 1)]
+                start[k * i] = i - 1
+                some = q < len(end) and end[q] == i
+                while q < len(end) and end[q] == i:
+                    s, sc = begin[q], score[q]
+                    ahead = pre[s % ring]
+                    for y in range(1, k):
+                        v = ahead[y] + sc[y - 1]
+                        if v > best[y]:
+                            best[y], start[k * i + y] = v, s
+                    q += 1
+                if some:
+                    row = []
+                    for y in range(k):
+                        of = max(range(k), key=lambda x: best[x] + t[x][y])  # noqa: B023
+                        row.append(best[of] + t[of][y])
+                        came[k * i + y] = of
+                    pre[i % ring] = row
+                else:
+                    pre[i % ring] = [best[0] + v for v in t[0]]
+        i, y, found = n, max(range(k), key=lambda x: best[x]), []
         while i:
-            s, before, seg = back[i][y]
-            if seg is not None:
-                out.append((win.at + win.tokens[s][0], y - 1, win.at + win.tokens[i - 1][1]))
-            i, y = s, int(before)
-        return out[::-1]
+            s = start[k * i + y]
+            if y:
+                found.append((s, y - 1, i))
+            i, y = s, came[k * s + y]
+        if not found:
+            return []
+        places = [at, *itertools.accumulate(map(len, word), initial=at)][1:]
+        return [(places[s], kind, places[e]) for s, kind, e in reversed(found)]
 
 
 def examples(n: int = 400, seed: int = 7) -> list[tuple[str, list[tuple[int, int, int]]]]:
@@ -320,32 +371,34 @@ def train(n: int = 400, epochs: int = 12, rate: float = 0.3, decay: float = 1e-3
     return model
 
 
-def model_spans(text: str, model: SemiMarkov, reach: int = 60) -> list[tuple[int, int, int]]:
-    """Entities that the model finds around the places where there may be one."""
-    out, done = [], 0
+def model_spans(text: str, model: SemiMarkov) -> list[tuple[int, int, int]]:
+    """Entities of the best segmentation of the whole text.
+
+    Tokens that are in no segment of a Window are outside in every segmentation, so it is put together from those of the
+    stretches between them: those that a segment with a digit or an address's sign may reach.
+    """
+    word = _TOKEN.findall(text)
+    reach = Window.MOST - 1
     stretches: list[list[int]] = []
-    for m in _TRIGGER.finditer(text):
-        a, b = max(0, m.start() - reach), min(len(text), m.end() + reach)
-        if stretches and a <= stretches[-1][1] and b - stretches[-1][0] <= 600:
-            stretches[-1][1] = b
+    for i in [i for i, w in enumerate(word) if w[0] in "0123456789@" or (len(w) == 2 and w.lower() == "at")]:
+        if stretches and i - reach <= stretches[-1][1]:
+            stretches[-1][1] = i + reach + 1
         else:
-            stretches.append([a, b])
+            stretches.append([i - reach, i + reach + 1])
+    out, seen, at = [], 0, 0
     for a, b in stretches:
-        while a and text[a - 1].isalnum() and text[a].isalnum():
-            a -= 1
-        while b < len(text) and text[b].isalnum() and text[b - 1].isalnum():
-            b += 1
-        for s in model.decode(Window(text[a:b], a)):
-            if s[0] >= done:
-                out.append(s)
-                done = s[2]
+        a = max(0, a - 5)  # words before a segment are features of it
+        at, seen = at + sum(map(len, word[seen:a])), a
+        out += model.decode(word[a : b + 1], at)  # the token behind is outside
     return out
 
 
 def find_spans(text: str, model: SemiMarkov) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """The base spans, and all spans: what the model adds never overlaps a base span."""
     base = base_spans(text)
-    extra = [x for x in model_spans(text, model) if all(x[2] <= b[0] or x[0] >= b[2] for b in base)]
+    ends = list(itertools.accumulate((e for _, _, e in base), max))  # of the spans up to each start
+    starts = [s for s, _, _ in base]
+    extra = [x for x in model_spans(text, model) if not (k := bisect.bisect_left(starts, x[2])) or ends[k - 1] <= x[0]]
     return base, sorted(base + extra)
 
 
@@ -360,9 +413,9 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     null, repeated rows get a row each, further columns are ignored, an empty table gives an empty result. One scan, no
     shuffle; the model is trained on made-up sentences by the driver and goes along with the task.
 
-    The model reads the stretches around groups of seven digits or more and around the words and signs that stand for
-    those of an address (at, dot, brackets); entities are of at most 18 tokens on one line and of the four kinds. What
-    has none of these marks, names and street addresses among it, is not looked for.
+    The model reads every text from end to end. Entities are of the four kinds, of at most 18 tokens on one line and
+    have four digits or the sign of an address, which is @ or the word at (`Window`); names and street addresses are of
+    no such kind.
     """
     prepare(docs.sparkSession)
     model = train()

@@ -195,6 +195,44 @@ def test_entities_in_sentences_written_by_hand():
     assert right >= 0.8 * wanted and right >= 0.8 * made
 
 
+def test_the_model_reads_every_place():
+    model = pii.train()
+    alone = {
+        "call 555/123/4567 at once": (3, "555/123/4567"), "phone 555_123_4567 please": (3, "555_123_4567"), "call 5551234567 today": (3, "5551234567"), "write to joe at gmail.com please": (0, "joe at gmail.com"),
+        "the host 8[.]8[.]8[.]8 is up": (1, "8[.]8[.]8[.]8"), "card 4111_1111_1111_1111 here": (2, "4111_1111_1111_1111"),
+    }
+    for text, want in alone.items():
+        assert [(k, text[s:e]) for s, k, e in pii.model_spans(text, model)] == [want]
+    r = random.Random(9)
+    for _ in range(20):
+        gaps = [" ".join(r.choice(["so", "at", "dot", "red", "two 12", "1999", "a\nb", ".", "@", "x (y)"]) for _ in range(r.randint(0, 60))) for _ in range(8)]
+        text = " ".join(x for pair in zip(gaps, r.choices(list(alone), k=8), strict=True) for x in pair)
+        whole = model.decode(pii._TOKEN.findall(text))
+        assert pii.model_spans(text, model) == whole == model.decode(pii._TOKEN.findall(text), 0, 7)
+    assert pii.model_spans("", model) == [] and pii.model_spans("call 12\u00b23\u00b24 and 1111222233334\u00b2", model) == []
+
+
+def test_decode_is_the_best_of_all_segmentations():
+    r = np.random.default_rng(5)
+    for text in ("a at b.c 12 3-45", "(12) 34 @ x 5", "card 1 22 003, 4444 at"):
+        m = pii.SemiMarkov(r.normal(size=(4, len(pii.FEATURES))), r.normal(size=(5, 5)))
+        w = pii.Window(text)
+        sc, n = w.x @ m.w.T, len(w.tokens)
+
+        def best(i, y):
+            if i == n:
+                return 0.0, []
+            v, path = best(i + 1, 0)
+            out = (m.t[y, 0] + v, path)
+            for q in np.flatnonzero(w.start == i).tolist():
+                for k in range(1, 5):
+                    v, path = best(int(w.end[q]), k)
+                    out = max(out, (m.t[y, k] + sc[q, k - 1] + v, [(w.tokens[i][0], k - 1, w.tokens[int(w.end[q]) - 1][1]), *path]))
+            return out
+
+        assert m.decode(pii._TOKEN.findall(text)) == best(0, 0)[1]
+
+
 def test_semi_markov_gradient():
     text, spans = "mail ba at ne dot com now (212) 555-0143 x", [(5, 0, 21), (26, 3, 40)]
     w = pii.Window(text)
