@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections import Counter
 from functools import lru_cache
 
@@ -11,14 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, discard, distinct, held, id_column, mix64, portions, prepare, release, stash, tidy
+from .common import NULL_ID, discard, distinct, id_column, mix64, portions, prepare, release, stash, tidy
 
 #: Length of the longest n-grams, in characters.
 ORDER = 5
 #: What an unseen character's share of the lowest order is spread over: about the number of characters of Unicode.
 SYMBOLS = 150_000
-#: N-grams whose log probabilities are broadcast, the commonest of the corpus; all others go through a join.
-COMMON = 1 << 18
+#: N-grams that the texts of a chunk have in common, about: a chunk has SHARE characters for each. Its texts take one table of prices.
+COMMON, SHARE = 1 << 18, 64
 #: Ids of training documents that are broadcast; with more of them, texts meet them in a join.
 IDS = 1 << 21
 #: Trusted documents from which on a fifth of them is held out for the thresholds, and documents a language needs for its own.
@@ -175,16 +174,31 @@ class GramCounts:
 
 
 def _count_grams(batches):
-    """(gram, n, t): how often each n-gram occurs in a task's documents, and in those that train. Bounded: full tables are passed on."""
-    counts = GramCounts()
+    """(chunk, gram, t): the n-grams of each chunk, and how often each occurs in documents that train. Bounded: full tables are passed on."""
+    tables: dict[int, GramCounts] = {}
+
+    def drained(chunk):
+        for b in tables.pop(chunk).drain():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, chunk, np.int32)), b.column(0), b.column(2)], ["chunk", "gram", "t"])
+
     for b in batches:
-        texts = ["" if t is None else t for t in b.column(0).to_pylist()]
-        trains = np.array([bool(x) for x in b.column(1).to_pylist()], bool)
-        for part, owner in in_pieces(texts):
-            counts.add(part, trains[owner])
-        if counts.rows > 400_000 and len(counts.parts) == 1:
-            yield from counts.drain()
-    yield from counts.drain()
+        for chunk, some in _runs(b.column(0).to_numpy()):
+            counts = tables.setdefault(chunk, GramCounts())
+            texts = ["" if t is None else t for t in b.column(1)[some].to_pylist()]
+            trains = np.array([bool(x) for x in b.column(2)[some].to_pylist()], bool)
+            for part, owner in in_pieces(texts):
+                counts.add(part, trains[owner])
+            if counts.rows > 400_000 and len(counts.parts) == 1:
+                yield from drained(chunk)
+    for chunk in list(tables):
+        yield from drained(chunk)
+
+
+def _runs(values: np.ndarray):
+    """Runs of equal values: the value and where it stands."""
+    at = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.zeros(0, np.int64)
+    for i, j in zip(at.tolist(), [*at[1:].tolist(), len(values)], strict=True):
+        yield values[i].item(), slice(i, j)
 
 
 def kneser_ney(grams: DataFrame) -> tuple[DataFrame, float]:
@@ -301,41 +315,47 @@ class Prices:
         return n, sums, [list(x) for x in left], [list(x.values()) for x in left]
 
 
-def document_scores(rows: DataFrame, scores: DataFrame) -> DataFrame:
-    """(row, doc, lang, n_symbols, s): s is the sum of the log probabilities of all symbols of a row's text.
+def dealt(rows: DataFrame) -> tuple[DataFrame, int]:
+    """rows (doc, text[, row], ...) with the number of their chunk, and how many chunks there are. A row's chunk follows from what it holds."""
+    total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    chunks = int(max(1, -(-total // (COMMON * SHARE))))
+    return rows.withColumn("chunk", F.pmod(F.xxhash64("row") if "row" in rows.columns else F.xxhash64("doc", "text"), F.lit(chunks)).cast("int")), chunks
 
-    rows: (doc, text, lang[, row]); scores: (gram, n, logp). The COMMON commonest n-grams are broadcast and summed in
-    the scan. A row's other n-grams, counted, are joined by n-gram with their log probabilities and summed by row: these
-    joins are sharded by n-gram, and no n-gram of very many rows is left in them.
+
+def document_scores(rows: DataFrame, chunks: int, pairs: DataFrame, prices: DataFrame) -> DataFrame:
+    """([row,] doc, lang, n_symbols, s): s is the sum of the log probabilities of all symbols of a row's text.
+
+    rows: (chunk, doc, text, lang[, row]); pairs: (chunk, gram), the n-grams of each chunk's texts; prices: (gram, logp).
+    Pairs are joined with prices by n-gram, and what comes of that meets the texts by chunk: a task sums up a chunk's
+    texts with the prices of that chunk's n-grams. Both joins are sharded; an n-gram comes once a chunk, however common.
     """
-    spark = rows.sparkSession
-    common = scores.orderBy(F.desc("n"), "gram").limit(COMMON).select("gram", "logp").toArrow()
-    shared = spark.sparkContext.broadcast((np.array(common["gram"].to_pylist(), f"<U{ORDER}"), common["logp"].to_numpy()))
-    name = uuid.uuid4().hex
+    kinds = {f.name: f.dataType for f in rows.schema.fields if f.name in ("row", "doc", "lang", "text")}
+    table = pairs.join(prices, "gram").select("chunk", "gram", "logp", *(F.lit(None).cast(t).alias(c) for c, t in kinds.items()))
+    texts = rows.select("chunk", F.lit(None).cast("string").alias("gram"), F.lit(None).cast("double").alias("logp"), *kinds)
+    both = table.unionAll(texts).repartitionById(chunks, F.col("chunk")).sortWithinPartitions("chunk", F.col("gram").isNull())
+    kept = [c for c in kinds if c != "text"]
 
     def run(batches):
-        from pyspark import TaskContext
-
-        prices = held(("prices", name), lambda: Prices(*shared.value))
-        row = TaskContext.get().partitionId() << 33
+        chunk, grams, logp, known = None, [], [], None
         for b in batches:
-            texts = ["" if t is None else t for t in b.column(1).to_pylist()]
-            for k in range(0, len(texts), 1000):
-                n, s, left, times = prices.read(texts[k : k + 1000])
-                part = b.slice(k, len(n))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(3) if b.num_columns > 3 else pa.array(range(row, row + len(n)), pa.int64()), part.column(0), part.column(2), pa.array(n), pa.array(s),
-                        pa.array(left, pa.list_(pa.string())), pa.array(times, pa.list_(pa.int64())),
-                    ],
-                    ["row", "doc", "lang", "n_symbols", "common", "grams", "times"],
-                )
-                row += len(n)
-
-    scan = stash(rows.mapInArrow(tidy(run), "row long, doc long, lang string, n_symbols long, common double, grams array<string>, times array<long>"), "scan")
-    rest = scan.select("row", F.explode(F.arrays_zip("grams", "times")).alias("g")).select("row", F.col("g.grams").alias("gram"), F.col("g.times").alias("times"))
-    sums = rest.join(scores.select("gram", "logp"), "gram").groupBy("row").agg(F.sum(F.col("times") * F.col("logp")).alias("rare"))
-    return scan.select("row", "doc", "lang", "n_symbols", "common").join(sums, "row", "left").select("row", "doc", "lang", "n_symbols", (F.col("common") + F.coalesce("rare", F.lit(0.0))).alias("s"))
+            is_text = b.column("gram").is_null().to_numpy(zero_copy_only=False)
+            for key, some in _runs(b.column("chunk").to_numpy().astype(np.int64) * 2 + is_text):
+                part = b.slice(some.start, some.stop - some.start)
+                if key // 2 != chunk:
+                    chunk, grams, logp, known = key // 2, [], [], None
+                if not key % 2:
+                    grams.append(np.array(part.column("gram").to_pylist(), f"<U{ORDER}"))
+                    logp.append(part.column("logp").to_numpy())
+                    continue
+                if known is None:
+                    known = Prices(np.concatenate(grams or [np.zeros(0, f"<U{ORDER}")]), np.concatenate(logp or [np.zeros(0)]))
+                    grams, logp = [], []
+                n, s, left, _ = known.read(["" if t is None else t for t in part.column("text").to_pylist()])
+                if any(left):
+                    raise ValueError(f"n-grams of chunk {chunk} have no price")
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(n), pa.array(s)], [*kept, "n_symbols", "s"])
+
+    return both.mapInArrow(tidy(run), ", ".join(f"{c} {kinds[c].simpleString()}" for c in kept) + ", n_symbols long, s double")
 
 
 def perplexity_verdicts(
@@ -355,8 +375,10 @@ def perplexity_verdicts(
     are never trusted and come back as null; repeated rows each get theirs, alike; further columns are ignored; an empty
     table gives an empty result. `row_col` names a column of unique numbers to be returned too.
 
-    Counts of n-grams grow with the corpus; tasks add them up and they are joined by key. Only the COMMON commonest
-    n-grams and, up to IDS of them, the ids of training documents are broadcast; beyond that texts are joined with them.
+    Counts of n-grams grow with the corpus; chunks of texts add them up and they are joined by key. A text's perplexity
+    comes of joins too (`document_scores`), for its commonest n-grams as for its rarest. Texts are dealt out by chunk,
+    once to count and once to score. Only the ids of training documents are broadcast, up to IDS of them; beyond that
+    texts are joined with them.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -366,17 +388,19 @@ def perplexity_verdicts(
     split = trusted.count() >= SPLIT
     trains = trusted.filter("not held") if split else trusted
     flags = trains.select("doc", F.lit(True).alias("trains"))
-    marked = rows.select("doc", "text").join(F.broadcast(flags) if trains.count() <= IDS else flags, "doc", "left").select("text", "trains")
-    counts = marked.mapInArrow(tidy(_count_grams), "gram string, n long, t long").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-    counts = stash(counts, "grams")
+    rows, chunks = dealt(rows)
+    marked = rows.select("chunk", "doc", "text").join(F.broadcast(flags) if trains.count() <= IDS else flags, "doc", "left").select("chunk", "text", "trains")
+    pairs = stash(marked.repartitionById(chunks, F.col("chunk")).mapInArrow(tidy(_count_grams), "chunk int, gram string, t long"), "pairs")
     release(spark)
+    counts = stash(pairs.groupBy("gram").agg(F.sum("t").alias("t")), "grams")
     model, unseen = kneser_ney(counts)
     known = not model.isEmpty()
-    prices = stash(counts.select("gram", "n").join(gram_scores(counts.select("gram"), model, unseen), "gram"), "prices")
+    prices = stash(gram_scores(counts.select("gram"), model, unseen), "prices")
     release(spark)
     discard(counts, model)
-    scores = stash(document_scores(rows, prices), "scores")
-    discard(prices)
+    scores = stash(document_scores(rows, chunks, pairs.select("chunk", "gram"), prices), "scores")
+    release(spark)
+    discard(pairs, prices)
 
     sets = scores.join(trusted.filter("held") if split else trusted, "doc", "left_semi")
     mean = F.try_divide(F.sum("s"), F.sum("n_symbols")).alias("mean")

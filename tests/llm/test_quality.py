@@ -181,6 +181,24 @@ def test_junk_of_every_script_is_told_from_prose(spark, corpus, common, ids, mon
         assert by[i].n_symbols == n and by[i].perplexity == pytest.approx(math.exp(-(s + 200 * mean) / (n + 200)), rel=1e-6)
 
 
+def test_every_perplexity_comes_of_sharded_joins(spark, corpus, monkeypatch):
+    """No table of n-grams goes to the driver or to all tasks, and without it each text's sum is whole, in one chunk or many."""
+
+    def refuse(*_):
+        raise AssertionError("n-grams are gathered or sent out")
+
+    _, good, _ = corpus
+    docs, labels = build(spark, good[::6] + [(7000, None, "en"), (7001, "the " * 400, "en")]), labelled(spark, good)
+    got = []
+    for common in (40, 1 << 18):
+        monkeypatch.setattr(quality, "COMMON", common)
+        with monkeypatch.context() as m:
+            m.setattr(type(spark.sparkContext), "broadcast", refuse)
+            m.setattr(type(docs), "toArrow", refuse)
+            got.append(sorted((r.doc_id, r.n_symbols, round(r.perplexity, 9), r.kept) for r in perplexity_verdicts(docs, labels).collect()))
+    assert got[0] == got[1] and len(got[0]) == 152
+
+
 def test_thresholds_are_held_out(spark, corpus, monkeypatch):
     monkeypatch.setattr(quality, "SPLIT", 100)
     monkeypatch.setattr(quality, "ENOUGH", 20)
