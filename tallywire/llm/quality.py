@@ -7,6 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.ipc  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -322,16 +323,49 @@ def dealt(rows: DataFrame) -> tuple[DataFrame, int]:
     return rows.withColumn("chunk", F.pmod(F.xxhash64("row") if "row" in rows.columns else F.xxhash64("doc", "text"), F.lit(chunks)).cast("int")), chunks
 
 
+#: Bytes of rows that a task holds to pack those of a chunk together.
+HELD = 1 << 25
+
+
+def _packed(batches):
+    """(chunk, pack): the rows of a task by chunk, compressed, about HELD bytes of them at a time: half as much to shuffle."""
+    rows, size = [], 0
+    for b in batches:
+        rows.append(b)
+        size += b.nbytes
+        if size >= HELD:
+            yield _packs(rows)
+            rows, size = [], 0
+    if rows:
+        yield _packs(rows)
+
+
+def _packs(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+    table = pa.Table.from_batches(rows).combine_chunks()
+    chunk = table.column("chunk").to_numpy()
+    order = np.argsort(chunk, kind="stable")
+    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
+    keys, packs = [], []
+    for key, some in _runs(chunk[order]):
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, table.schema, options=options) as stream:
+            stream.write_table(table.take(pa.array(order[some])))
+        keys.append(key)
+        packs.append(out.getvalue().to_pybytes())
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(packs, pa.binary())], ["chunk", "pack"])
+
+
 def document_scores(rows: DataFrame, chunks: int, pairs: DataFrame, prices: DataFrame) -> DataFrame:
     """([row,] doc, lang, n_symbols, s): s is the sum of the log probabilities of all symbols of a row's text.
 
     rows: (chunk, doc, text, lang[, row]); pairs: (chunk, gram), the n-grams of each chunk's texts; prices: (gram, logp).
-    Pairs are joined with prices by n-gram, and what comes of that meets the texts by chunk: a task sums up a chunk's
+    Pairs are joined with prices by n-gram, and what comes of that meets the packed texts by chunk: a task sums up a chunk's
     texts with the prices of that chunk's n-grams. Both joins are sharded; an n-gram comes once a chunk, however common.
     """
     kinds = {f.name: f.dataType for f in rows.schema.fields if f.name in ("row", "doc", "lang", "text")}
-    table = pairs.join(prices, "gram").select("chunk", "gram", "logp", *(F.lit(None).cast(t).alias(c) for c, t in kinds.items()))
-    texts = rows.select("chunk", F.lit(None).cast("string").alias("gram"), F.lit(None).cast("double").alias("logp"), *kinds)
+    table = pairs.join(prices, "gram").select("chunk", "gram", "logp", F.lit(None).cast("binary").alias("pack"))
+    packs = rows.select("chunk", *kinds).mapInArrow(tidy(_packed), "chunk int, pack binary")
+    texts = packs.select("chunk", F.lit(None).cast("string").alias("gram"), F.lit(None).cast("double").alias("logp"), "pack")
     both = table.unionAll(texts).repartitionById(chunks, F.col("chunk")).sortWithinPartitions("chunk", F.col("gram").isNull())
     kept = [c for c in kinds if c != "text"]
 
@@ -350,10 +384,12 @@ def document_scores(rows: DataFrame, chunks: int, pairs: DataFrame, prices: Data
                 if known is None:
                     known = Prices(np.concatenate(grams or [np.zeros(0, f"<U{ORDER}")]), np.concatenate(logp or [np.zeros(0)]))
                     grams, logp = [], []
-                n, s, left, _ = known.read(["" if t is None else t for t in part.column("text").to_pylist()])
-                if any(left):
-                    raise ValueError(f"n-grams of chunk {chunk} have no price")
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(n), pa.array(s)], [*kept, "n_symbols", "s"])
+                for pack in part.column("pack"):
+                    for texts in pa.ipc.open_stream(pack.as_buffer()):
+                        n, s, left, _ = known.read(["" if t is None else t for t in texts.column("text").to_pylist()])
+                        if any(left):
+                            raise ValueError(f"n-grams of chunk {chunk} have no price")
+                        yield pa.RecordBatch.from_arrays([*(texts.column(c) for c in kept), pa.array(n), pa.array(s)], [*kept, "n_symbols", "s"])
 
     return both.mapInArrow(tidy(run), ", ".join(f"{c} {kinds[c].simpleString()}" for c in kept) + ", n_symbols long, s double")
 
