@@ -15,7 +15,7 @@ from .common import NULL_ID, as_bytes, hashed_words, held, id_column, mix64, por
 #: Lower case for A-Z; other ASCII than letters and digits separates words.
 _FOLD = np.array([b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256)], np.uint8)
 
-_ODD = np.uint64(0x9E3779B97F4A7C15)
+_ONE, _EVEN = np.uint64(1), np.uint64(0x5555555555555555)
 
 
 def words_of(texts: list[bytes]) -> list[np.ndarray]:
@@ -37,6 +37,30 @@ def _seed(walk: int, k: int) -> np.uint64:
     return mix64(np.array([0x2545F4914F6CDD1D * (walk + 1) + 0x632BE59BD9B4E019 * k & (1 << 64) - 1], np.uint64))[0]
 
 
+def _factors(walk: int, steps: int) -> np.ndarray:
+    """What the word read at each step of a walk is multiplied by in a key: odd numbers."""
+    return mix64(np.arange(steps, dtype=np.uint64) ^ _seed(walk, -1)) | np.uint64(1)
+
+
+class KeyTable(NamedTuple):
+    """Keys of one pick, in order, with the item and place of each; `hot` says which leading bits any of them has."""
+
+    keys: np.ndarray
+    items: np.ndarray
+    shifts: np.ndarray
+    bits: np.uint64
+    hot: np.ndarray
+
+
+def _key_table(keys: np.ndarray, starts: np.ndarray) -> KeyTable:
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    bits = np.uint64(64 - max(15, int(len(keys) * 16).bit_length()))  # a small table stays in the nearest cache
+    hot = np.zeros(1 << (64 - int(bits)), bool)
+    hot[(keys >> bits).astype(np.int64)] = True
+    return KeyTable(keys, starts[order, 0], starts[order, 1], bits, hot)
+
+
 def _length_class(n: int) -> int:
     if n < 10:
         return n
@@ -76,10 +100,10 @@ class WalkIndex:
                 by_class.setdefault(_length_class(len(w)), []).append(k)
         self.walks = {n: self._enough(n, target) for n in sorted(by_class)} if walks is None else walks
         self.classes = [self._class(n, self.walks[n]) for n in sorted(by_class)]
-        keys, whose = [np.zeros(0, np.uint64)], [np.zeros((0, 2), np.int64)]
+        self.found: dict[tuple[int, int, int], KeyTable] = {}
         for c in self.classes:
             own = by_class[c.least]
-            starts = [(k, at) for k in own for at in range(c.stride)]
+            starts = np.array([(k, at) for k in own for at in range(c.stride)], np.int64)
             size = np.array([len(self.words[k]) for k in own], np.int64)
             room = c.steps + 2  # a walk that leaves its item reads the gap
             flat = np.zeros(int((size + room).sum()), np.uint64)
@@ -88,14 +112,8 @@ class WalkIndex:
             at = (heads[:, None] + np.arange(c.stride)).reshape(-1)
             for r in range(len(c.picks)):
                 read = self._read(flat, at, r, c.steps)
-                for key, complete in self._keys(c, r, read):
-                    keys.append(key[complete]), whose.append(np.array(starts, np.int64).reshape(-1, 2)[complete])
-        self.keys, both = np.concatenate(keys), np.concatenate(whose)
-        order = np.argsort(self.keys, kind="stable")
-        self.keys, self.whose, self.shift = self.keys[order], both[order, 0], both[order, 1]
-        self.bits = np.uint64(64 - max(16, int(len(self.keys) * 16).bit_length()))
-        self.hot = np.zeros(1 << (64 - int(self.bits)), bool)
-        self.hot[(self.keys >> self.bits).astype(np.int64)] = True
+                for m, (key, complete) in enumerate(self._keys(c, r, read)):
+                    self.found[c.least, r, m] = _key_table(key[complete], starts[complete])
 
     def allowed(self, n: int) -> int:
         """Edits that an item of n words may have, so that one word at least is its own."""
@@ -162,20 +180,30 @@ class WalkIndex:
             pos = pos + ((bits[j >> 6].take(pos, mode="clip") >> np.uint64(j & 63)) & np.uint64(1)).astype(np.int64)
         return out
 
-    def _keys(self, c: LengthClass, walk: int, read) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each pick the keys of all starts, and which of them have read a word at all of its steps."""
+    @staticmethod
+    def _paths(flat: np.ndarray, walk: int, steps: int) -> list[np.ndarray]:
+        """For each place the bits of `_bits` at even steps, and at odd steps those of the word that a walk there at the step before stands on."""
         out = []
-        with np.errstate(over="ignore"):
-            for m, pick in enumerate(c.picks[walk]):
-                h = np.full(len(read[pick[0]]), mix64(np.array([(c.least << 32) + (walk << 16) + m], np.uint64))[0])
-                complete = np.ones(len(h), bool)
-                for j in pick.tolist():
-                    h = (h + read[j]) * _ODD
-                    complete &= read[j] != 0
-                out.append((h ^ (h >> np.uint64(32)), complete))
+        for bits in WalkIndex._bits(flat, walk, steps):
+            moved = bits[:-1] ^ bits[1:]
+            moved &= (bits[:-1] & _EVEN) << np.uint64(1)
+            bits[:-1] ^= moved
+            out.append(bits)
+        return out
+
+    @staticmethod
+    def _keys(c: LengthClass, walk: int, read) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each pick the keys of all starts, and which of them have read a word at all of its steps."""
+        by, out = _factors(walk, c.steps), []
+        for pick in c.picks[walk]:
+            h, complete = np.zeros(len(read[pick[0]]), np.uint64), np.ones(len(read[pick[0]]), bool)
+            for j in pick.tolist():
+                h += read[j] * by[j]
+                complete &= read[j] != 0
+            out.append((h, complete))
         return out
 
-    def candidates(self, docs: list[np.ndarray], chunk: int = 1 << 15) -> list[set[tuple[int, int]]]:
+    def candidates(self, docs: list[np.ndarray], chunk: int = 1 << 17) -> list[set[tuple[int, int]]]:
         """For each document (item, place where it would begin). All documents are looked up at once, a chunk of places at a time."""
         found: list[set[tuple[int, int]]] = [set() for _ in docs]
         if not self.classes or not docs:
@@ -186,47 +214,64 @@ class WalkIndex:
         longest = max(c.steps for c in self.classes)
         flat = np.zeros(n + longest + 2, np.uint64)
         flat[ragged(heads, size)] = np.concatenate(docs)
+        room = np.empty((3, min(chunk, n)), np.uint64)
         for walk in range(max(len(c.picks) for c in self.classes)):
             active = [c for c in self.classes if len(c.picks) > walk]
-            bits = self._bits(flat, walk, max(c.steps for c in active))
+            steps = max(c.steps for c in active)
+            paths, by = self._paths(flat, walk, steps), _factors(walk, steps)
+            readers: list[list[int]] = [[] for _ in range(steps)]
+            for k, c in enumerate(active):
+                for j in np.unique(np.concatenate(c.picks[walk])).tolist():
+                    readers[j].append(k)
             for a in range(0, n, chunk):
-                self._probe(flat, bits, active, walk, a, min(a + chunk, n), heads, found)
+                self._probe(flat, paths, by, active, readers, walk, a, min(a + chunk, n), room, heads, found)
         return found
 
-    def _probe(self, flat, bits, active, walk, a, b, heads, found) -> None:
+    def _probe(self, flat, paths, by, active, readers, walk, a, b, room, heads, found) -> None:
         """One walk from each place in [a, b) that some class probes; classes with longer strides follow the walks of those with shorter ones."""
-        wanted = [set(np.concatenate(c.picks[walk]).tolist()) for c in active]
         read: list[dict[int, np.ndarray]] = [{} for _ in active]
         stride = min(c.stride for c in active)
-        pos = np.arange(a, b, stride)
-        for j in range(max(c.steps for c in active)):
-            live = [c.stride for c in active if c.steps > j]
-            if min(live) > stride:
-                pos, stride = pos[:: min(live) // stride].copy(), min(live)
-            word = None
-            for c, steps, got in zip(active, wanted, read, strict=True):
-                if j in steps:
-                    word = flat.take(pos, mode="clip") if word is None else word
-                    got[j] = word[:: c.stride // stride]
-            pos += ((bits[j >> 6].take(pos, mode="clip") >> np.uint64(j & 63)) & np.uint64(1)).view(np.int64)
+        m = -(-(b - a) // stride)
+        pos, path, bit = room[0, :m].view(np.int64), room[1, :m], room[2, :m]
+        pos[:] = np.arange(a, b, stride)
+        for j, reads in enumerate(readers):
+            longer = min(c.stride for c in active if c.steps > j) // stride
+            if longer > 1:
+                stride *= longer
+                m = -(-(b - a) // stride)
+                pos[:m], path[:m] = pos[::longer].copy(), path[::longer].copy()
+                pos, path, bit = pos[:m], path[:m], bit[:m]
+            if reads:
+                least = min(active[k].stride for k in reads)
+                word = flat.take(pos[:: least // stride], mode="clip")
+                word *= by[j]
+                for k in reads:
+                    read[k][j] = word[:: active[k].stride // least]
+            if not j & 1:
+                paths[j >> 6].take(pos, mode="clip", out=path)
+            np.right_shift(path, np.uint64(j & 63), out=bit)
+            bit &= _ONE
+            pos += bit.view(np.int64)
         for c, got in zip(active, read, strict=True):
-            with np.errstate(over="ignore"):
-                for m, pick in enumerate(c.picks[walk]):
-                    h = got[pick[0]] + mix64(np.array([(c.least << 32) + (walk << 16) + m], np.uint64))[0]
-                    h *= _ODD
-                    for j in pick[1:].tolist():
-                        h += got[j]
-                        h *= _ODD
-                    h ^= h >> np.uint64(32)
-                    maybe = np.flatnonzero(self.hot.take((h >> self.bits).view(np.int64)))
-                    if not len(maybe):
-                        continue
-                    lo, hi = np.searchsorted(self.keys, h[maybe]), np.searchsorted(self.keys, h[maybe], side="right")
-                    good = hi > lo
-                    where = a + maybe[good] * c.stride
-                    owner = np.searchsorted(heads, where, side="right") - 1
-                    for d, p, x, y in zip(owner.tolist(), (where - heads[owner]).tolist(), lo[good].tolist(), hi[good].tolist(), strict=True):
-                        found[d].update(zip(self.whose[x:y].tolist(), (p - self.shift[x:y]).tolist(), strict=True))
+            for m, pick in enumerate(c.picks[walk]):
+                t = self.found[c.least, walk, m]
+                first, *others = pick.tolist()
+                h = got[first] + got[others[0]] if others else got[first]
+                for j in others[1:]:
+                    h += got[j]
+                maybe = np.flatnonzero(t.hot.take((h >> t.bits).view(np.int64), mode="clip"))
+                if not len(maybe):
+                    continue
+                h = h[maybe]
+                lo = np.searchsorted(t.keys, h)
+                good = np.flatnonzero(t.keys.take(lo, mode="clip") == h)
+                if not len(good):
+                    continue
+                lo, hi = lo[good], np.searchsorted(t.keys, h[good], side="right")
+                where = a + maybe[good] * c.stride
+                owner = np.searchsorted(heads, where, side="right") - 1
+                for d, p, x, y in zip(owner.tolist(), (where - heads[owner]).tolist(), lo.tolist(), hi.tolist(), strict=True):
+                    found[d].update(zip(t.items[x:y].tolist(), (p - t.shifts[x:y]).tolist(), strict=True))
 
     def hits(self, w: np.ndarray, candidates: set[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
         """(item id, first word, words, edits) of each item that occurs in w: its occurrence of fewest edits, then the first."""
